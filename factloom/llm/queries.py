@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from factloom.llm.bpe import op6_bpe
 from factloom.llm.decontaminate import op10_decontaminate
 
-QUERIES = {f.__name__: f for f in (op10_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op6_bpe, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
