@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factloom.llm.bpe import op6_bpe
 from factloom.llm.decontaminate import op10_decontaminate
+from factloom.llm.token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op6_bpe, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op6_bpe, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
