@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from factloom.llm.bpe import op6_bpe
 from factloom.llm.decontaminate import op10_decontaminate
+from factloom.llm.language import op4_language
 from factloom.llm.secrets import op7_secrets
 from factloom.llm.token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op6_bpe, op7_secrets, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op4_language, op6_bpe, op7_secrets, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
