@@ -7,7 +7,8 @@ from factloom.llm.decontaminate import op10_decontaminate
 from factloom.llm.language import op4_language
 from factloom.llm.quality import op8_quality
 from factloom.llm.secrets import op7_secrets
+from factloom.llm.suffix_dedup import op2_suffix_dedup
 from factloom.llm.token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op4_language, op6_bpe, op7_secrets, op8_quality, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_language, op6_bpe, op7_secrets, op8_quality, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
