@@ -5,6 +5,7 @@ from __future__ import annotations
 from factloom.llm.bpe import op6_bpe
 from factloom.llm.decontaminate import op10_decontaminate
 from factloom.llm.language import op4_language
+from factloom.llm.lm_score import op3_lm_score
 from factloom.llm.minhash import op1_minhash
 from factloom.llm.quality import op8_quality
 from factloom.llm.rlz_dedup import op5_rlz_dedup
@@ -12,5 +13,5 @@ from factloom.llm.secrets import op7_secrets
 from factloom.llm.suffix_dedup import op2_suffix_dedup
 from factloom.llm.token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op4_language, op5_rlz_dedup, op6_bpe, op7_secrets, op8_quality, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_lm_score, op4_language, op5_rlz_dedup, op6_bpe, op7_secrets, op8_quality, op9_token_files, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
