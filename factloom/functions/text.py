@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the notation that the texts use.
 SAID = "前記"
@@ -23,7 +24,7 @@ CONFUSED, MEANT = "OoDQlIi|tSsZzBGbqgAT", "00001111155228669947"
 ERAS = {"平": "H", "昭": "S", "令": "R"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x) if x and not x.isascii() else x or "")
 
