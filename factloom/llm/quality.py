@@ -177,8 +177,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if total > sample:
         marks = marks.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(1_000_000 * sample / total) + 1)
     marks = marks.groupBy("labelled").agg(F.min("label").alias("label"))
-    some = docs.join(F.broadcast(marks), F.col(id_col) == F.col("labelled"))  # about `sample` rows of two numbers
-    found = statistics(some.select(F.col(id_col).alias("id"), F.struct("label", F.col(text_col).alias("text")).alias("both")).select(F.struct("id", "both.label").alias("id"), F.col("both.text").alias("text")), id_col="id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = texts.join(F.broadcast(marks), F.col("id") == F.col("labelled"))  # about `sample` rows of two numbers
+    found = statistics(some.select(F.struct("id", "label").alias("id"), "text"), id_col="id", text_col="text")
     rows = [r.asDict(recursive=True) for r in found.select("id", *FEATURES).orderBy(F.xxhash64("id.id"), "id.id", "n_words").collect()]
     return cover([{**{f: float(r[f]) for f in FEATURES}, "bad": int(r["id"]["label"] == 0)} for r in rows])
 
