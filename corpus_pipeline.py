@@ -56,9 +56,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts; n_chars follows."""
     docs = _known(docs)
     rows = docs.select(F.struct("doc_id", "lang", "source", "n_chars").alias("row"), "text")
-    found = secrets.scan(rows, secrets.train(docs), id_col="row", with_text=True)
-    text = secrets.redacted(F.col("text"), F.col("spans"))
-    return found.select("row.doc_id", text.alias("text"), "row.lang", "row.source", F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))
+    found = secrets.scan(rows, secrets.train(docs), id_col="row", redact=True)
+    n_chars = F.when(F.size("spans") > 0, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))
+    return found.select("row.doc_id", F.col("redacted").alias("text"), "row.lang", "row.source", n_chars.alias("n_chars"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

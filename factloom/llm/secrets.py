@@ -35,6 +35,7 @@ TRAIN_DOCS = 4000
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+MASK = "[SECRET]"
 KINDS = ("assign", "access", "hex", "crf")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -313,7 +314,8 @@ def _scanning(broadcast, schema: pa.Schema):
         for batch in batches:
             texts = column(batch, "text")
             buf, off = utf8(texts)
-            spans: list[list[tuple[int, int, int]]] = [base_spans(t) if t else [] for t in texts.to_pylist()]
+            plain = texts.to_pylist()
+            spans: list[list[tuple[int, int, int]]] = [base_spans(t) if t else [] for t in plain]
             for a, b in chunks(off):
                 part, rows = buf[off[a] : off[b]], off[a : b + 1] - off[a]
                 tokens = Tokens(part, rows)
@@ -337,7 +339,10 @@ def _scanning(broadcast, schema: pa.Schema):
                 base = [f for f in found if f[0] < 3]
                 out.append(sorted([*base, *(f for f in found if f[0] == 3 and not any(x < f[2] and f[1] < y for _, x, y in base))], key=lambda x: (x[1], x[0])))
             made = pa.array([[{"kind": KINDS[k], "start": x, "end": y} for k, x, y in found] for found in out], schema.field("spans").type)
-            yield pa.RecordBatch.from_arrays([made if f.name == "spans" else column(batch, f.name) for f in schema], schema=schema)
+            made_of = {"spans": made}
+            if "redacted" in schema.names:
+                made_of["redacted"] = pa.array(map(masked, plain, out), pa.string())
+            yield pa.RecordBatch.from_arrays([made_of[f.name] if f.name in made_of else column(batch, f.name) for f in schema], schema=schema)
 
     return run
 
@@ -345,28 +350,28 @@ def _scanning(broadcast, schema: pa.Schema):
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def scan(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row (id, spans by start and kind[, text]) for each row of docs."""
+def scan(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
+    """One row (id[, redacted], spans by start and kind) for each row of docs; redacted is the text with its secrets masked."""
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("id", to_arrow_type(kind)), *([("text", pa.string())] if with_text else []), ("spans", pa.list_(span))])
-    found = rows.mapInArrow(_scanning(spark.sparkContext.broadcast(field), schema), f"id {kind.simpleString()}, {'text string, ' * with_text}spans {SPANS}")
+    schema = pa.schema([("id", to_arrow_type(kind)), *([("redacted", pa.string())] if redact else []), ("spans", pa.list_(span))])
+    found = rows.mapInArrow(_scanning(spark.sparkContext.broadcast(field), schema), f"id {kind.simpleString()}, {'redacted string, ' * redact}spans {SPANS}")
     return found.withColumnRenamed("id", id_col)
 
 
-def redacted(text: F.Column, spans: F.Column, mask: str = "[SECRET]") -> F.Column:
-    """The text with each union of overlapping spans replaced by the mask."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-
-    def step(acc, s):
-        a, b = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
-        piece = F.substring(text, acc["at"] + 1, a - acc["at"])
-        return F.struct(F.when(s["end"] <= acc["at"], acc["text"]).otherwise(F.concat(acc["text"], piece, F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit("")))).alias("text"), b.alias("at"))
-
-    return F.when(F.size(spans) <= 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text)))))
+def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str = MASK) -> str | None:
+    """The text with each union of overlapping spans (kind, start, end; by start) replaced by the mask."""
+    if not text or not spans:
+        return text
+    out, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
 def _listed(spans: F.Column) -> F.Column:
