@@ -39,6 +39,11 @@ def squeezed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def norm(c: Column) -> Column:
     """A name without spaces, leading references and quantities, and "said"."""
     x = F.regexp_replace(squeezed(c), f"^(?:{LEADING})", "")
@@ -109,14 +114,14 @@ def company_name(c: Column) -> Column:
 def first_claim(c: Column) -> Column:
     """Claim 1 of a text in numbered claims; the whole text without numbers."""
     found = F.regexp_extract(c, r"(?s)【請求項[1１]】(.*?)(?:【請求項|$)", 1)
-    return F.trim(F.when(found != "", found).otherwise(c))
+    return stripped(F.when(found != "", found).otherwise(c))
 
 
 def claims_block(c: Column) -> Column:
     """array<struct<no, text>> of a text in numbered claims."""
     pattern = F.lit(r"(?s)【請求項([0-9]+)】(.*?)(?=【請求項|$)")
     numbers, texts = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
-    return F.transform(F.arrays_zip(numbers.alias("no"), texts.alias("text")), lambda x: F.struct(x["no"].cast("int").alias("no"), F.trim(x["text"]).alias("text")))
+    return F.transform(F.arrays_zip(numbers.alias("no"), texts.alias("text")), lambda x: F.struct(x["no"].cast("int").alias("no"), stripped(x["text"]).alias("text")))
 
 
 def fig_label(c: Column) -> Column:
@@ -203,11 +208,10 @@ def sign_pairs(text: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         name = clean_name(F.regexp_extract(x, named, 2))
         good = x.rlike(named) & name.rlike(r"[^\x00-\x7F]")
-        codes = F.array_append(acc["waiting"], bare(F.regexp_extract(x, named, 1)))
+        codes = F.array_distinct(F.array_append(acc["waiting"], bare(F.regexp_extract(x, named, 1))))
+        codes = F.filter(codes, lambda c: ~F.exists(acc["pairs"], lambda p: p["code"] == c))
         more = F.concat(acc["pairs"], F.transform(codes, lambda c: F.struct(c.alias("code"), name.alias("name"))))
         none = F.array().cast("array<string>")
         return F.when(x.rlike(only), F.struct(F.array_append(acc["waiting"], bare(x)).alias("waiting"), acc["pairs"].alias("pairs"))).when(good, F.struct(none.alias("waiting"), more.alias("pairs"))).otherwise(F.struct(none.alias("waiting"), acc["pairs"].alias("pairs")))
 
-    found = F.aggregate(chunks, start, step, lambda acc: acc["pairs"])
-    codes = F.array_distinct(F.transform(found, lambda p: p["code"]))
-    return F.transform(codes, lambda c: F.element_at(F.filter(found, lambda p: p["code"] == c), 1))
+    return F.aggregate(chunks, start, step, lambda acc: acc["pairs"])
