@@ -74,14 +74,18 @@ def f_score(counts: DataFrame) -> DataFrame:
     return counts.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
 
 
-def next_open(queue: DataFrame, order: str, done: str) -> DataFrame:
-    """For each row the next row of the queue that is not done, going round at the end; null where there is none but itself.
-    One ordered pass with running minima: the next open position after the row, else the first one of all."""
-    after = Window.orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    open_at = F.when(~F.col(done), F.col(order))
-    first = queue.agg(F.min(open_at).alias("first_open"))
-    found = F.coalesce(F.min(open_at).over(after), F.col("first_open"))
-    return queue.crossJoin(F.broadcast(first)).select("*", F.when(found != F.col(order), found).alias("next_open")).drop("first_open")
+def next_open(queue: DataFrame, order: str, done: str, group: str, *, width: int = 1000) -> DataFrame:
+    """For each row the next row of its group's queue that is not done, going round at the end; null where there is none but
+    itself. The order is dealt in ranges of `width`: windows hold one range, or one row for each range, never a whole group."""
+    at = F.col(order)
+    rows = queue.withColumn("range", F.floor(at / width)).withColumn("open_at", F.when(~F.col(done), at))
+    ranges = rows.groupBy(group, "range").agg(F.min("open_at").alias("least"))
+    later = Window.partitionBy(group).orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    ranges = ranges.select(group, "range", F.min("least").over(later).alias("later"), F.min("least").over(Window.partitionBy(group)).alias("first_open"))
+    after = Window.partitionBy(group, "range").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    near = rows.withColumn("near", F.min("open_at").over(after)).join(ranges, [group, "range"])
+    found = F.coalesce("near", "later", "first_open")
+    return near.select(*queue.columns, F.nullif(found, at).alias("next_open"))
 
 
 def merge_texts(documents: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ def shares(rows: DataFrame, group: str, value: str) -> DataFrame:
     flat = rows.select("id", group, value).distinct()
     counts = flat.groupBy(group, value).agg(F.count("*").alias("n"))
     sizes = flat.groupBy(group).agg(F.countDistinct("id").alias("size"))
-    return counts.join(F.broadcast(sizes), group).withColumn("share", ratio(F.col("n"), F.col("size")))
+    return counts.join(sizes, group).withColumn("share", ratio(F.col("n"), F.col("size")))
 
 
 def specialisation(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -54,7 +54,7 @@ def specialisation(rows: DataFrame, group: str, value: str) -> DataFrame:
     everything = flat.agg(F.countDistinct("id").alias("all_ids"))
     overall = flat.groupBy(value).agg(F.countDistinct("id").alias("all_n"))
     part = shares(rows, group, value)
-    return part.join(F.broadcast(overall), value).crossJoin(F.broadcast(everything)).select(group, value, "n", "size", "all_n", "all_ids", ratio(F.col("share"), ratio(F.col("all_n"), F.col("all_ids"))).alias("coefficient"))
+    return part.join(overall, value).crossJoin(F.broadcast(everything)).select(group, value, "n", "size", "all_n", "all_ids", ratio(F.col("share"), ratio(F.col("all_n"), F.col("all_ids"))).alias("coefficient"))
 
 
 def terms(selected: DataFrame, all_rows: DataFrame, least: int, n: int) -> DataFrame:

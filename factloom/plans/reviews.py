@@ -69,15 +69,9 @@ o AS (SELECT source, min(id) AS first_open FROM q WHERE NOT done GROUP BY source
 SELECT id, source, nullif(coalesce((SELECT min(p.id) FROM q p WHERE p.source = q.source AND NOT p.done AND p.id > q.id), first_open), id) AS next_open FROM q LEFT JOIN o USING (source)""")
 def next_unreviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next open item after each within its source, going round at the end."""
-    from pyspark.sql import Window
-
     done = model.review(spark, sf_dir).select("id").distinct().withColumn("done", F.lit(True))
-    q = model.doc(spark, sf_dir).select("id", F.col("company").alias("source")).join(done, "id", "left")
-    open_id = F.when(F.col("done").isNull(), F.col("id"))
-    after = Window.partitionBy("source").orderBy("id").rowsBetween(1, Window.unboundedFollowing)
-    first = Window.partitionBy("source")
-    found = F.coalesce(F.min(open_id).over(after), F.min(open_id).over(first))
-    return q.select("id", "source", F.nullif(found, F.col("id")).alias("next_open"))
+    q = model.doc(spark, sf_dir).select("id", F.col("company").alias("source")).join(done, "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    return review.next_open(q, "id", "done", "source").select("id", "source", "next_open")
 
 
 @query(f"""WITH {TRIPLE}, d AS (SELECT DISTINCT id * 1000 + CAST(substr(source, 7) AS INTEGER) * 10 + ascii(relation) % 10 AS row_id, source, relation, min(target) AS target, max(score) AS score FROM triple GROUP BY id, source, relation),

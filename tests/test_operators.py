@@ -54,8 +54,10 @@ def test_dedupe_is_idempotent(spark):
 
 
 def test_next_open_goes_round(spark):
-    q = spark.createDataFrame([(1, False), (2, True), (3, False)], "at int, done boolean")
-    assert [r.next_open for r in review.next_open(q, "at", "done").orderBy("at").collect()] == [3, 3, 1]
+    q = spark.createDataFrame([(1, False, "g"), (2, True, "g"), (9, True, "g"), (13, False, "g"), (5, False, "h"), (6, True, "h")], "at int, done boolean, grp string")
+    for width in (1, 3, 1000):
+        got = {r.at: r.next_open for r in review.next_open(q, "at", "done", "grp", width=width).collect()}
+        assert got == {1: 13, 2: 13, 9: 13, 13: 1, 5: None, 6: 5}
 
 
 def test_evaluate_empty(spark):
