@@ -215,3 +215,53 @@ def sign_pairs(text: Column) -> Column:
         return F.when(x.rlike(only), F.struct(F.array_append(acc["waiting"], bare(x)).alias("waiting"), acc["pairs"].alias("pairs"))).when(good, F.struct(none.alias("waiting"), more.alias("pairs"))).otherwise(F.struct(none.alias("waiting"), acc["pairs"].alias("pairs")))
 
     return F.aggregate(chunks, start, step, lambda acc: acc["pairs"])
+
+
+def sign_section(c: Column) -> Column:
+    """The part of a text under the heading for reference signs, up to the next heading; the whole text without one."""
+    t = nfkc(c)
+    part = F.regexp_extract(t, r"(?s)符号の説明[】\]]?(.*?)(?:【(?![0-9]+】|符号)|$)", 1)
+    return F.regexp_replace(F.when(F.contains(t, F.lit("符号の説明")), part).otherwise(t), "【[0-9]+】", "\n")
+
+
+def dotted_signs(c: Column) -> Column:
+    """array<struct<code, name>> of items that join codes and a name by dot leaders and stand apart by white space. A digit set
+    apart after a number, as a subscript, belongs to it; a number known only with its subscript also stands for itself."""
+    t = F.regexp_replace(nfkc(c), r"([0-9]+)[ 　]+([0-9]|n)(?=\s*[、,，)）]|\s*(?:…|\.\.|‥))", "$1$2")
+    marked = F.regexp_replace(t, r"(?:…|\.\.|‥)[…\.‥]*", "⇒")
+    items = F.filter(F.split(F.trim(marked), r"\s+(?=[^\s⇒]*⇒)"), lambda x: F.contains(x, F.lit("⇒")))
+
+    def item(x: Column) -> Column:
+        name = clean_name(F.regexp_extract(x, r"(?s)^[^⇒]*⇒\s*([^\n]*?)(?:\s{2,}|\n|$)", 1))
+        codes = F.filter(F.transform(F.split(F.regexp_extract(x, "^([^⇒]*)⇒", 1), r"[、,，・()（）\s]+"), lambda k: F.translate(k, "'’", "")), lambda k: k.rlike(f"^(?:{CODE}|{CODE_LETTERS})$"))
+        good = name.rlike(r"[^\x00-\x7F]") | name.rlike(r"^[A-Z][A-Za-z0-9\- ]+$")
+        return F.when(good, F.transform(codes, lambda k: F.struct(k.alias("code"), name.alias("name")))).otherwise(F.array().cast("array<struct<code:string,name:string>>"))
+
+    return F.flatten(F.transform(items, item))
+
+
+def solution_part(c: Column) -> Column:
+    """The part of an abstract under its solution heading, without bracketed reference signs."""
+    part = F.regexp_extract(c, "(?s)【解決手段】(.*?)(?:【|$)", 1)
+    return stripped(F.regexp_replace(F.when(part != "", part).otherwise(c), rf"[（(]{CODE}(?:[,、，]\s*{CODE})*[）)]|(?<=[^\x00-\x7F]){CODE}(?=[^\x00-\x7F]|$)", ""))
+
+
+def item_label(key: Column, title: Column, company: Column) -> Column:
+    """key, title and company in one line, with words for what is missing."""
+    shown = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
+    return F.concat_ws("｜", key, shown(title, "no title"), shown(company, "unknown"))
+
+
+def text_label(c: Column) -> Column:
+    """The kind of a text's source without the remark in brackets."""
+    return F.split_part(c, F.lit("（"), F.lit(1))
+
+
+def clean_answer(c: Column) -> Column:
+    """A language model's answer without its notes."""
+    return stripped(F.regexp_replace(c, r"(?is)<think>.*?(?:</think>|$)|<note>.*?(?:</note>|$)", ""))
+
+
+def fingerprint(*columns: Column) -> Column:
+    """A key of values that does not depend on the order of map entries or fields within them."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)

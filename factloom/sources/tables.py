@@ -81,3 +81,23 @@ def known_reviews(reviews: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFr
     """Reviews of ids of the collection, and how many others were dropped."""
     names = ids.select("id").distinct()
     return reviews.join(names, "id", "left_semi"), reviews.join(names, "id", "left_anti").agg(F.count("*").alias("dropped"))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation runs, the newest first."""
+    runs = spark.read.json(path, multiLine=True, schema="time string, disabled array<string>, n long, exact_f1 double, struct_f1 double, note string")
+    return runs.orderBy(F.desc("time"))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder: path, length and content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+
+
+def claim_texts(df: DataFrame, id_col: str, text_col: str, *, abstract: bool = False) -> DataFrame:
+    """key and text of a supplement of claims, or of abstracts cut to their solution; the longest text of a key stays."""
+    from factloom.functions import text
+
+    body = text.solution_part(F.col(text_col)) if abstract else F.trim(F.col(text_col))
+    rows = df.select(text.doc_key(F.col(id_col)).alias("key"), body.alias("text")).where("key <> '' AND text <> ''")
+    return rows.groupBy("key").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
