@@ -200,3 +200,43 @@ def tree_depth_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = links.union(nation.select(at("N", "n_nationkey", 5), at("R", "n_nationkey", 3))).union(spark.createDataFrame([("R0", "N1")], "source string, target string")).distinct()
     depth = network.depths(links, spark.createDataFrame([("BUILDING",)], "node string"))
     return network.crossing(links, depth)
+
+
+@query(f"WITH {ENTITY}, k AS (SELECT count(DISTINCT company) AS k FROM entity), g AS (SELECT company, row_number() OVER (ORDER BY company) - 1 AS i FROM (SELECT DISTINCT company FROM entity)) SELECT year, company, count(*) AS n, year + (any_value(i) - (any_value(k) - 1) / 2.0::DOUBLE) * 0.8::DOUBLE / any_value(k) AS place FROM entity JOIN g USING (company) CROSS JOIN k GROUP BY year, company")
+def dodged_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by year and group with the group's place beside the year, so that marks do not hide each other."""
+    rows = model.entity(spark, sf_dir)
+    places = rows.agg(F.array_sort(F.collect_set("company")).alias("groups"))  # the few groups chosen for a chart
+    counts = rows.groupBy("year", "company").agg(F.count("*").alias("n")).crossJoin(F.broadcast(places))
+    k, i = F.size("groups"), F.array_position("groups", F.col("company")) - 1
+    return counts.select("year", "company", "n", (F.col("year") + (i - (k - 1) / F.lit(2.0)) * F.lit(0.8) / k).alias("place"))
+
+
+@query(_FLAT + """, s AS (SELECT company, count(DISTINCT id) AS size FROM flat GROUP BY company), o AS (SELECT code, count(DISTINCT id) AS all_n FROM flat GROUP BY code), t AS (SELECT count(DISTINCT id) AS all_ids FROM flat)
+SELECT company, code, least(((CAST(count(*) AS DOUBLE) / any_value(size)) / (CAST(any_value(all_n) AS DOUBLE) / any_value(all_ids))) / 3, 1) AS heat FROM flat JOIN s USING (company) JOIN o USING (code) CROSS JOIN t GROUP BY company, code""")
+def specialisation_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour scale of the coefficient: a third at the mean, full from three times the mean."""
+    rows = model.entity(spark, sf_dir).join(model.entity_code(spark, sf_dir, 0), "id")
+    return stats.specialisation(rows, "company", "code").select("company", "code", F.least(F.col("coefficient") / 3, F.lit(1.0)).alias("heat"))
+
+
+@query(f"WITH {ENTITY} SELECT id, CAST(id AS VARCHAR) || '｜' || coalesce(nullif(trim(title), ''), 'no title') || '｜' || coalesce(nullif(trim(company), ''), 'unknown') AS label FROM entity")
+def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.functions import text
+
+    rows = model.entity(spark, sf_dir)
+    return rows.select("id", text.item_label(F.col("id").cast("string"), F.col("title"), F.col("company")).alias("label"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the windows that streaming.progress keeps."""
+    windows = model.table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    return windows.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("""SELECT event_type, CAST(sum(CAST(nullif(regexp_extract(props, '"k": *([0-9]+)', 1), '') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY event_type""")
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values out of JSON text; text that is no JSON counts as none."""
+    value = F.from_json("props", "k long", {"mode": "PERMISSIVE"})["k"]
+    return model.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
