@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.pretokens import LETTER, classes, code_points
-from factloom.llm.shared import arrow_batches, read
+from factloom.llm.shared import arrow_batches, read, stored
 from factloom.llm.textnp import chunks, column, gather, letters, prefix, span_hash, utf8
 
 TRAIN_DOCS = 20_000
@@ -150,18 +150,17 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sa
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / total) + 1)
     counts = rows.mapInArrow(_counting(), "n int, hash long, lang string, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
-    per_key = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by"))
-    kept = [r for n in (0, *LENGTHS) for r in per_key.where(F.col("n") == n).orderBy(F.desc("total"), "hash").limit(ngrams if n else words).collect()]
-    langs = sorted({x.lang for r in kept for x in r.by})
-    place = {x: k for k, x in enumerate(langs)}
+    per_key = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
+    per_key = stored(per_key, "ngrams")
+    langs = sorted(r.lang for r in per_key.select(F.explode(F.map_keys("by")).alias("lang")).distinct().collect())
+    shares = F.transform(F.array(*map(F.lit, langs)).cast("array<string>"), lambda x: F.coalesce(F.try_element_at("by", x), F.lit(0)).cast("double"))
     tables = {}
     for n in (0, *LENGTHS):
-        some = sorted((r.hash % (1 << 64), r.by) for r in kept if r.n == n)
-        matrix = np.zeros((len(some), len(langs)))
-        for i, (_, by) in enumerate(some):
-            for x in by:
-                matrix[i, place[x.lang]] = x["count"]
-        tables[n] = np.array([k for k, _ in some], np.uint64), matrix, matrix.sum(axis=0)
+        top = per_key.where(F.col("n") == n).orderBy(F.desc("total"), "hash").limit(ngrams if n else words).select("hash", shares.alias("by")).toArrow()
+        keys = top["hash"].to_numpy().astype(np.int64).view(np.uint64)
+        matrix = top["by"].combine_chunks().flatten().to_numpy().reshape(len(keys), len(langs)) if len(keys) else np.zeros((0, len(langs)))
+        order = np.argsort(keys)
+        tables[n] = keys[order], matrix[order], matrix.sum(axis=0)
     return Model(langs, tables)
 
 
