@@ -32,10 +32,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no known language; lang becomes the one found."""
     docs = _known(docs)
     model = language.train(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
-    # The whole row rides along as the id, so nothing is shuffled to bring it back.
-    found = language.predict(docs.select(F.struct(*COLUMNS).alias("row"), "text"), model, id_col="row")
+    # The other columns ride along as the id, so nothing is shuffled to bring them back.
+    found = language.predict(docs.select(F.struct("doc_id", "source", "n_chars").alias("row"), "text"), model, id_col="row", with_text=True)
     good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return good.select("row.doc_id", "row.text", F.col("lang_pred").alias("lang"), "row.source", "row.n_chars")
+    return good.select("row.doc_id", "text", F.col("lang_pred").alias("lang"), "row.source", "row.n_chars")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth of the words or more is test text."""
-    rows = _known(docs).select(F.struct(*COLUMNS).alias("row"), "text")
-    found = decontaminate.decontaminate(rows, read(spark, sf_dir, "benchmark", "item_id", "text"), id_col="row")
-    return decontaminate.judged(found).where(~F.col("contaminated")).select("row.*")
+    rows = _known(docs).select(F.struct("doc_id", "lang", "source", "n_chars").alias("row"), "text")
+    found = decontaminate.decontaminate(rows, read(spark, sf_dir, "benchmark", "item_id", "text"), id_col="row", with_text=True)
+    return decontaminate.judged(found).where(~F.col("contaminated")).select("row.doc_id", "text", "row.lang", "row.source", "row.n_chars")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

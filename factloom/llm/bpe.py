@@ -78,7 +78,7 @@ class Vocabulary:
         """Whether merging by rank leaves tokens a and b apart where they meet."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             found = self.pairs[a, b] = self._compatible(a, b)
         return found

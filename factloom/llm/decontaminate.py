@@ -35,6 +35,8 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20
 #: Indexed symbols of one shard; bounds a task's memory.
 SHARD_SYMBOLS = 1 << 20
+#: Rows of a shard, and bytes of its rows that wait for the search.
+SHARD_ROWS, SHARD_BYTES = 50_000, 32 << 20
 
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -167,7 +169,7 @@ def _pass(broadcast, schema: pa.Schema):
         for batch in batches:
             shard.add(column(batch, "text"))
             held.append(batch if "text" in schema.names else batch.drop_columns(["text"]).append_column("text", pa.nulls(batch.num_rows)))
-            if shard.size >= SHARD_SYMBOLS or len(shard.n_words) >= 50_000:
+            if shard.size >= SHARD_SYMBOLS or len(shard.n_words) >= SHARD_ROWS or sum(b.nbytes for b in held) >= SHARD_BYTES:
                 yield from flush()
         if held:
             yield from flush()
@@ -180,8 +182,8 @@ def merged(spans: list[dict]) -> list[dict]:
     return [{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each row of docs: id, n_words, merged hit spans (word positions, end exclusive), item_ids."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
+    """One row for each row of docs: id[, text], n_words, merged hit spans (word positions, end exclusive), item_ids."""
     spark = docs.sparkSession
     arrow_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
@@ -192,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     for k in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(Windows([tuple(r) for r in some.collect()], window))
-        names = ["id", *(["text"] if k < blocks - 1 else []), "n_words", "spans", "item_ids"]
+        names = ["id", *(["text"] if with_text or k < blocks - 1 else []), "n_words", "spans", "item_ids"]
         kinds = {"text": "string", "n_words": "bigint", "spans": _SPANS, "item_ids": "array<string>"}
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         arrow = {"id": _arrow_type(id_type), "text": pa.string(), "n_words": pa.int64(), "spans": pa.list_(span), "item_ids": pa.list_(pa.string())}

@@ -185,19 +185,21 @@ def _predicting(broadcast, schema: pa.Schema):
                 langs[a:b] = np.where(some, sums.argmax(axis=1), -1)
                 scores[a:b] = np.where(some, p.max(axis=1) / p.sum(axis=1), 0)
             named = pa.array([model.langs[i] if i >= 0 else UNKNOWN for i in langs.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), named, pa.array(scores)], schema=schema)
+            made = {"lang_pred": named, "score": pa.array(scores)}
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else column(batch, f.name) for f in schema], schema=schema)
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, lang_pred, score) for each row of docs, in one pass without a shuffle."""
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """One row (id[, text], lang_pred, score) for each row of docs, in one pass without a shuffle."""
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
-    schema = pa.schema([("id", to_arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64())])
-    return rows.mapInArrow(_predicting(spark.sparkContext.broadcast(model), schema), f"id {kind.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    schema = pa.schema([("id", to_arrow_type(kind)), *([("text", pa.string())] if with_text else []), ("lang_pred", pa.string()), ("score", pa.float64())])
+    found = rows.mapInArrow(_predicting(spark.sparkContext.broadcast(model), schema), f"id {kind.simpleString()}, {'text string, ' * with_text}lang_pred string, score double")
+    return found.withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

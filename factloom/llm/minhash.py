@@ -186,17 +186,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
     size = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least"))
     size = size.where("size > 1").select("bucket", F.col("least.node").alias("least"), F.col("least.n").alias("least_n"))
-    buckets = stored(rows.join(size, "bucket"), "buckets")
+    # Aggregates are written before a join uses them: right above its aggregation a join cannot have hot keys split.
+    buckets = stored(rows.join(stored(size, "sizes"), "bucket"), "buckets")
     possible = (100 * F.least("n", "least_n") >= percent * F.greatest("n", "least_n")) & (F.col("node") != F.col("least"))
     pairs = buckets.where(possible).groupBy("node").agg(F.min("least").alias("pivot"))
     pairs = stored(pairs, "pairs")
 
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+    salts = stored(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")), "salts")
     met = pairs.join(salts, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     heads = salts.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = buckets.select("node").distinct().join(classes.select("node", "text_key"), "node")
-    held = texts.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("node")) & (texts.text_key == wanted.text_key)).select("node", "text").dropDuplicates(["node"])
-    held = stored(held, "texts")
+    held = texts.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("node")) & (texts.text_key == wanted.text_key)).select("id", texts.text_key, "text")
+    held = stored(held.dropDuplicates(["id", "text_key"]).select(F.col("id").alias("node"), "text"), "texts")  # by the join's own keys
     dealt = held.join(met.unionByName(heads).hint("shuffle_hash"), "node").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "node")
     tested = stored(dealt.select("pivot", "salt", "node", "text").mapInArrow(_against_first(words), "node long, pivot long, both long, either long"), "tested")
     links = tested.where(100 * F.col("both") >= percent * F.col("either")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         parts = open_rows.groupBy("bucket", "size", "label").agg(F.count("*").alias("c")).groupBy("bucket", "size").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("c"))
         parts = parts.select("bucket", "major", F.ceil((F.col("size") - F.col("c")) / BLOCK).cast("int").alias("parts"), F.ceil(F.col("size") / (4 * BLOCK)).cast("int").alias("blocks"))
         far = tested.select("node", "pivot", (1 - F.col("both") / F.col("either")).alias("distance"))
-        known = open_rows.drop("size").join(parts, "bucket").join(far, "node", "left")
+        known = open_rows.drop("size").join(stored(parts, "parts"), "bucket").join(far, "node", "left")
         key = F.xxhash64("node")
         few = known.where("label <> major").select("bucket", F.pmod(key, F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("few"), "node", "label", "pivot", "distance")
         every = known.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(key, F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("few"), "node", "label", "pivot", "distance")

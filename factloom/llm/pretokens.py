@@ -75,7 +75,7 @@ def code_points(buf: np.ndarray, off: np.ndarray) -> tuple[str, np.ndarray, np.n
 class Encoder:
     """Token ids of texts: every distinct piece is encoded once and kept, up to a bound."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], added: dict[str, int], bound: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], added: dict[str, int], bound: int = 500_000):
         self.encode, self.added, self.bound = encode, added, bound
         self.clear()
 

@@ -198,7 +198,8 @@ class Repeats:
         anchors = stored(texts.select("id", "text_key", "text").mapInArrow(_anchoring(self.units, self.size, self.gram), _ANCHORS), "anchors")
         counted = anchors.groupBy("key").agg(F.count("*").alias("rows"), F.min("hull").alias("a"), F.max("hull").alias("b"), F.min("id").alias("x"), F.max("id").alias("y"))
         twice = counted.where((F.col("rows") > 1) & ((F.col("x") < F.col("y")) if self.earlier else F.lit(True))).select("key", (F.col("a") != F.col("b")).alias("several"))
-        repeated = stored(anchors.join(twice, "key"), "repeated")
+        # Written before the join: a join right above its aggregation cannot have hot keys split.
+        repeated = stored(anchors.join(stored(twice, "twice"), "key"), "repeated")
         first = F.min(F.struct("id", "text_key", "lo", "hi", "at")).alias("first")
         distinct = repeated.groupBy("key", "hull", "several").agg(F.count("*").alias("n"), F.max("id").alias("max_id"), first)
         whole = distinct.where(self._whole(F.col("n"), F.col("first.id"), F.col("max_id"))).select("key", "hull", F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("after"), F.col("first.id").alias("witness"))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in an Arrow batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 5000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once inside a task; bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
