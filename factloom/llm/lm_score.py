@@ -8,10 +8,13 @@ smooth alike: a bigram backs off to its word, a word to a uniform share, each
 with a fixed prior weight, and words outside the vocabulary are one unknown word.
 
 Counting is two scans with counts summed in each task and then by a shuffle, so
-what is gathered grows with the corpus. The vocabulary keeps the words and the
-model the bigrams whose counts reach the smallest threshold at which at most
-VOCABULARY words and BIGRAMS bigrams remain, which bounds the broadcast at every
-corpus size. Equal counts are kept or left out together.
+what is gathered grows with the corpus. The vocabulary keeps the words whose
+counts reach the smallest threshold at which at most VOCABULARY words remain,
+equal counts together; with its counts it is all that is broadcast. Every bigram
+counted over it stays in the model's table. Scoring numbers the words of
+documents in blocks; each block asks for its distinct bigrams once, dealt by key
+into buckets where they meet the table, so a key comes at most once from a block
+and none is hot; the answers go back to their block, which sums its texts' losses.
 
 Words are maximal runs of anything but the six ASCII spaces, A-Z lower-cased.
 Defined cases: a null or empty text has no words, no losses and score 0; without
@@ -22,6 +25,7 @@ count and keep their own row; other columns of the inputs are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +38,14 @@ from factloom.llm.shared import arrow_batches, read, stored
 from factloom.llm.textnp import chunks, column, fold_table, letters, prefix, span_hash, utf8, word_spans, word_table
 
 VOCABULARY = 65_535
-BIGRAMS = 1_000_000
 #: Prior weights of a word's share among all words, and of the uniform share.
 PRIOR_BIGRAM, PRIOR_WORD = 20.0, 1000.0
 #: Distinct counts that a task gathers before it sends them on.
 _HELD = 1_000_000
+#: Words in a block that is scored at once; a longer text stands alone.
+_BLOCK = 1_000_000
+#: Bigrams in a bucket where blocks meet the table.
+_BUCKET = 2_000_000
 
 
 def word_hashes(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -126,28 +133,29 @@ class Ids:
         return w, v
 
 
-class Model:
-    """Loss of a word after another under the target and the background counts."""
+class Shares:
+    """The vocabulary with its counts: what is broadcast of a model."""
 
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, context: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        """words: sorted hashes; word_counts and context: (numbers, 2); pairs: sorted keys; pair_counts: (pairs, 2)."""
-        self.ids, self.pairs, self.pair_counts, self.context = Ids(words), pairs, pair_counts, context
+    def __init__(self, words: np.ndarray, word_counts: np.ndarray, context: np.ndarray):
+        """words: sorted hashes; word_counts and context: (numbers, 2)."""
+        self.ids, self.context = Ids(words), context
         uniform = 1.0 / (len(words) + 1)
         self.share = (word_counts + PRIOR_WORD * uniform) / (word_counts.sum(axis=0) + PRIOR_WORD)
         self.share[0] = 0  # no word
 
-    def losses(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """(words, 2): background and target loss in nats."""
-        w, v = self.ids.pairs(h, rows)
-        key = v * (1 << 20) + w
-        found = np.zeros((len(w), 2))
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            found[hit] = self.pair_counts[at[hit]]
+    def losses(self, keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """(keys, 2): background and target loss in nats of bigrams that were counted so often."""
+        v, w = keys >> 20, keys & ((1 << 20) - 1)
         return -np.log((found + PRIOR_BIGRAM * self.share[w]) / (self.context[v] + PRIOR_BIGRAM))
 
 
+class Model:
+    """Both models: the vocabulary's shares, and the table (key, every, target) of all bigrams."""
+
+    def __init__(self, shares: Shares, pairs: DataFrame):
+        self.shares, self.pairs, self.share = shares, pairs, shares.share
+
+
 def kept(counts: DataFrame, most: int, cap: int = 100_000) -> DataFrame:
     """Rows whose `every` reaches the smallest count at which at most `most` rows remain."""
     sizes = counts.groupBy(F.least("every", F.lit(cap)).alias("count")).agg(F.count("*").alias("rows")).orderBy(F.desc("count")).collect()
@@ -160,7 +168,7 @@ def kept(counts: DataFrame, most: int, cap: int = 100_000) -> DataFrame:
     return counts.where(F.col("every") >= least)
 
 
-def train(docs: DataFrame, *, text_col: str = "text", target_col: str = "target", vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", target_col: str = "target", vocabulary: int = VOCABULARY) -> Model:
     """Counts both models over all of docs; target_col is boolean."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -177,21 +185,117 @@ def train(docs: DataFrame, *, text_col: str = "text", target_col: str = "target"
     for table, number in ((context, F.shiftright("key", 20)), (counts, F.col("key").bitwiseAND((1 << 20) - 1))):
         by = pairs.groupBy(number.alias("number")).agg(*summed).toArrow()
         table[by["number"].to_numpy()] = np.stack([by["every"].to_numpy(), by["target"].to_numpy()], axis=1)
-    some = kept(pairs, bigrams).toArrow().sort_by("key")
-    return Model(hashes, counts, context, some["key"].to_numpy(), np.stack([some["every"].to_numpy(), some["target"].to_numpy()], axis=1))
+    return Model(Shares(hashes, counts, context), pairs)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, those of one weight together."""
+    flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(flat, codec="zstd", asbytes=True) if len(x) else b""
 
 
-def _scoring(broadcast, schema: pa.Schema):
+def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(data, n * size, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _numbering(broadcast, schema: pa.Schema):
+    """Documents to blocks: their ids, numbers of words, and the words' numbers in the vocabulary."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = broadcast.value
+        numbers, held, size = broadcast.value.ids, [], 0
+
+        def block() -> pa.RecordBatch:
+            ids = pa.concat_arrays([x for x, _, _ in held])
+            lengths, words = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+            n_keys = len(np.unique(_keys(lengths, words)))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            values = [[uuid.uuid4().hex], lists, [_packed(lengths)], [_packed(words.astype(np.int32))], [len(words)], [n_keys]]
+            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
         for batch in batches:
             ids = column(batch, "id")
             for a, b, h, rows in word_hashes(column(batch, "text")):
-                sums = np.concatenate([np.zeros((1, 2)), np.cumsum(model.losses(h, rows), axis=0)]) if len(h) else np.zeros((1, 2))
-                loss = sums[rows[1:]] - sums[rows[:-1]]
-                n = np.diff(rows)
-                mean = (loss[:, 1] - loss[:, 0]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(n), pa.array(loss[:, 1]), pa.array(loss[:, 0]), pa.array(mean)], schema=schema)
+                if size and size + len(h) > _BLOCK:
+                    yield block()
+                    held, size = [], 0
+                held.append((ids[a:b], np.diff(rows), numbers.of(h)))
+                size += len(h)
+        if held:
+            yield block()
+
+    return run
+
+
+def _keys(lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The bigram that each word ends."""
+    before = np.concatenate([[0], words[:-1]]).astype(np.int64) if len(words) else words.astype(np.int64)
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+    return before * (1 << 20) + words
+
+
+def _bucket(keys, buckets: int):
+    """The bucket of each key, of an array or a column alike."""
+    return keys % 2_147_483_647 * 1_000_003 % 2_147_483_629 % buckets
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its keys, in order."""
+    of = _bucket(keys, buckets)
+    order = np.argsort(of, kind="stable")
+    found, first = np.unique(of[order], return_index=True)
+    return zip(found.tolist(), np.split(order, first[1:]), strict=True)
+
+
+def _asking(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = np.unique(_keys(_unpacked(r["lengths"], r["n_rows"], np.int64), _unpacked(r["words"], r["n_words"], np.int32)))
+                dealt = [(r["block"], k, len(at), _packed(np.diff(keys[at], prepend=0))) for k, at in _dealt(keys, buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*dealt, strict=True) if dealt else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "n", "keys"])
+
+    return run
+
+
+_ANSWER = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("every", pa.binary()), ("target", pa.binary())])
+
+
+def _answering(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """Counts of the keys that each block asked one bucket for; 0 where a bigram was never counted."""
+    out: list[list] = [[], [], [], []]
+    have = table["key"].to_numpy() if table.num_rows else np.zeros(0, np.int64)
+    order = np.argsort(have)
+    have = have[order]
+    counts = [table[c].to_numpy()[order] if len(have) else have for c in ("every", "target")]
+    for block, bucket, n, keys in zip(*(asked[c].to_pylist() for c in ("block", "bucket", "n", "keys")), strict=True) if asked.num_rows else ():
+        key = np.cumsum(_unpacked(keys, n, np.int64))
+        at = np.minimum(np.searchsorted(have, key), max(len(have) - 1, 0))
+        hit = have[at] == key if len(have) else np.zeros(n, bool)
+        answers = [_packed(np.where(hit, c[at], 0) if len(have) else np.zeros(n, np.int64)) for c in counts]
+        for values, x in zip(out, (block, bucket, *answers), strict=True):
+            values.append(x)
+    return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(out, _ANSWER, strict=True)], schema=_ANSWER)
+
+
+def _scoring(broadcast, buckets: int, schema: pa.Schema):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        shares, parts = broadcast.value, [schema.empty_table()]
+        got = {k: (x, y) for k, x, y in zip(*(answers[c].to_pylist() for c in ("bucket", "every", "target")), strict=True)} if answers.num_rows else {}
+        for i in range(blocks.num_rows):
+            r = {c: blocks[c][i].as_py() for c in ("lengths", "words", "n_rows", "n_words")}
+            n = _unpacked(r["lengths"], r["n_rows"], np.int64)
+            keys, where = np.unique(_keys(n, _unpacked(r["words"], r["n_words"], np.int32)), return_inverse=True)
+            found = np.zeros((len(keys), 2))
+            for k, at in _dealt(keys, buckets):
+                found[at] = np.stack([_unpacked(x, len(at), np.int64) for x in got[k]], axis=1)
+            loss = shares.losses(keys, found)[where]
+            rows = np.repeat(np.arange(len(n)), n)
+            back, target = (np.bincount(rows, loss[:, k], len(n)) for k in (0, 1))
+            columns = [blocks["ids"][i].values, pa.array(n), pa.array(target), pa.array(back), pa.array((target - back) / np.maximum(n, 1))]
+            parts.append(pa.Table.from_arrays(columns, schema=schema))
+        return pa.concat_tables(parts)
 
     return run
 
@@ -203,7 +307,17 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     schema = pa.schema([("id", to_arrow_type(kind)), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-    found = rows.mapInArrow(_scoring(spark.sparkContext.broadcast(model), schema), f"id {kind.simpleString()}, n_words long, target_loss double, background_loss double, score double")
+    packed = pa.schema([("block", pa.string()), ("ids", pa.list_(to_arrow_type(kind))), ("lengths", pa.binary()), ("words", pa.binary()), ("n_words", pa.int64()), ("n_keys", pa.int64())])
+    shares = spark.sparkContext.broadcast(model.shares)
+    # Block names are made up by the tasks: they hold once the blocks are written.
+    blocks = stored(rows.mapInArrow(_numbering(shares, packed), f"block string, ids array<{kind.simpleString()}>, lengths binary, words binary, n_words long, n_keys long"), "blocks")
+    blocks = blocks.withColumn("n_rows", F.size("ids").cast("long"))
+    buckets = int(blocks.agg(F.sum("n_keys")).first()[0] or 0) // _BUCKET + 1
+    buckets = max(buckets, model.pairs.count() // _BUCKET + 1)
+    asked = blocks.select("block", "lengths", "words", "n_words", "n_rows").mapInArrow(_asking(buckets), "block string, bucket long, n long, keys binary")
+    table = model.pairs.withColumn("bucket", _bucket(F.col("key"), buckets))
+    answers = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_answering, "block string, bucket long, every binary, target binary")
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(shares, buckets, schema), f"id {kind.simpleString()}, n_words long, target_loss double, background_loss double, score double")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -124,3 +124,27 @@ def test_language_model_scores(spark):
     # Shares of the words after each context sum to one over the vocabulary and the unknown word.
     total = model.share.sum(axis=0)
     assert np.allclose(total, 1, atol=1e-6)
+
+
+def test_language_model_keeps_every_bigram(spark, monkeypatch):
+    """Losses against plain counts; no bigram is dropped, however many blocks and buckets there are."""
+    monkeypatch.setattr(lm_score, "BIGRAMS", 1, raising=False)
+    monkeypatch.setattr(lm_score, "_BUCKET", 50, raising=False)
+    monkeypatch.setattr(lm_score.train, "__kwdefaults__", {k: 1 if k == "bigrams" else v for k, v in lm_score.train.__kwdefaults__.items()})
+    rng = random.Random(9)
+    rows = [(i, spoken("aa" if i % 2 else "bb", rng, rng.randint(0, 30)), i % 3 == 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
+    got = {r.doc_id: r for r in lm_score.score(docs, lm_score.train(docs)).collect()}
+    assert len(got) == len(rows)
+    losses = {}
+    for name, marked in (("background_loss", False), ("target_loss", True)):
+        pairs, context, words = {}, {}, {}
+        vocabulary = {w for _, t, _ in rows for w in t.split()}
+        for _, t, target in rows:
+            for v, w in zip([None, *t.split()], t.split(), strict=False) if target or not marked else ():
+                pairs[v, w], context[v], words[w] = pairs.get((v, w), 0) + 1, context.get(v, 0) + 1, words.get(w, 0) + 1
+        share = lambda w: (words.get(w, 0) + 1000 / (len(vocabulary) + 1)) / (sum(words.values()) + 1000)  # noqa: B023, E731
+        losses[name] = lambda v, w, p=pairs, c=context, s={w: share(w) for w in vocabulary}: -np.log((p.get((v, w), 0) + 20 * s[w]) / (c.get(v, 0) + 20))
+    for i, t, _ in rows:
+        for name, loss in losses.items():
+            assert got[i][name] == pytest.approx(sum(loss(v, w) for v, w in zip([None, *t.split()], t.split(), strict=False)))
