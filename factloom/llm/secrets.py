@@ -2,11 +2,14 @@
 
 Tokens are maximal runs of ASCII letters, digits and _ + / . -. The field tags
 each as begin, inside or outside of a secret from its shape, the words and
-marks around it and features of the whole text. A token shorter than eight
-characters, or without a digit and shorter than 24, is outside by constraint,
-so Viterbi decoding falls apart exactly into the runs of the other tokens.
+marks around it and features of the whole text. Every token may be tagged;
+those whose score for outside beats all that their neighbours could add are
+outside on each best path, so Viterbi decoding falls apart exactly into the
+runs of the others.
 Training takes a bounded sample of texts (TRAIN_DOCS, by hash of the text)
-tagged by the fixed patterns, and generated lines in other common formats.
+tagged by the fixed patterns, and generated lines in other common formats. It
+takes them in pieces cut between any two outside tokens, each given that its
+neighbours are outside; equal pieces count together.
 Scanning is one pass over the texts without a shuffle.
 
 Defined cases: a null or empty text has no spans; spans are code points, end
@@ -88,26 +91,22 @@ def _cues() -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Sizes of the feature groups, in the order of features().
-GROUPS = (1, 8, 5, 5, 5, 2, 2, 6, 6, len(CUES) + 2, len(CUES) + 2, 5, 4, 4, 4)
+GROUPS = (1, 11, 5, 5, 5, 2, 2, 6, 6, len(CUES) + 2, len(CUES) + 2, 5, 4, 4, 4)
 N_FEATURES = sum(GROUPS)
 _STARTS = np.cumsum([0, *GROUPS[:-1]])
 
 
 class Tokens:
-    """The tokens of some rows that a secret may hold, in runs of neighbours."""
+    """The tokens of some rows; those of a row are a run."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         s, e, rows = word_spans(buf, off, _token_table())
         digits = _sums(buf, _SETS[_DIGIT])
-        length = e - s
-        some = (length >= 8) & ((digits[e] > digits[s]) | (length >= 24))
-        at = np.flatnonzero(some)
-        self.n = len(at)
-        self.start, self.end = s[at], e[at]
-        self.row = np.searchsorted(off, self.start, "right") - 1
-        new = np.ones(self.n, bool)
-        new[1:] = (np.diff(at) != 1) | (np.diff(self.row) != 0)
-        self.runs = np.flatnonzero(new)
+        self.n = len(s)
+        self.start, self.end = s, e
+        self.row = np.searchsorted(off, s, "right") - 1
+        self.runs = rows[:-1][np.diff(rows) > 0]
+        at = np.arange(self.n)
         self.features = self._features(buf, off, s, e, rows, at, digits) if self.n else np.zeros((0, len(GROUPS)), np.int32)
 
     def _features(self, buf, off, s, e, rows, at, digits) -> np.ndarray:
@@ -143,7 +142,7 @@ class Tokens:
         size = np.maximum(last - first, 1)
         density = lambda k, unit: np.minimum(3, (count(k, first, last) * unit) // size)
         columns = [
-            np.zeros(len(at), np.int64), np.searchsorted([12, 16, 20, 24, 32, 40, 64], n, "right"), share(d), share(up), share(lo), (hexes == n).astype(int), (d == n).astype(int),
+            np.zeros(len(at), np.int64), np.searchsorted([4, 6, 8, 12, 16, 20, 24, 32, 40, 64], n, "right"), share(d), share(up), share(lo), (hexes == n).astype(int), (d == n).astype(int),
             np.minimum(5, turns * 8 // np.maximum(n, 1)), np.minimum(5, marks + 4 * ((digits[b] == digits[a]))), cue(1), cue(2), mark, quoted, density(_EQUALS, 1000), density(_DIGIT, 50),
         ]
         return np.stack([np.minimum(np.maximum(c, 0), g - 1) + z for c, g, z in zip(columns, GROUPS, _STARTS, strict=True)], axis=1).astype(np.int32)
@@ -160,17 +159,45 @@ class Field:
         self.weights, self.moves = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        return self.weights[features].sum(axis=1)
+        out = np.zeros((len(features), 3))
+        for c in range(features.shape[1]):
+            out += self.weights[features[:, c]]
+        return out
 
     def transitions(self) -> np.ndarray:
         m = self.moves.copy()
         m[OUTSIDE, INSIDE] = _FORBIDDEN
         return m
 
+    def outside(self, e: np.ndarray, m: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """Tokens that are outside on every best path: on any path, making one outside (and a next inside token a beginning) gains."""
+        gap = np.zeros(len(e))  # what inside gains over beginning at the next token
+        gap[:-1] = e[1:, INSIDE] - e[1:, BEGIN]
+        gap[runs[1:] - 1] = _FORBIDDEN
+        gap[-1:] = _FORBIDDEN
+        sure = np.ones(len(e), bool)
+        longer = max(m[INSIDE, q] - m[BEGIN, q] for q in (OUTSIDE, BEGIN, INSIDE))
+        for t in (BEGIN, INSIDE):
+            enter = max(m[p, t] - m[p, OUTSIDE] for p in (OUTSIDE, BEGIN, INSIDE) if (p, t) != (OUTSIDE, INSIDE))
+            leave = max(m[t, q] - m[OUTSIDE, q] for q in (OUTSIDE, BEGIN))
+            go_on = m[t, INSIDE] - m[OUTSIDE, BEGIN] + longer
+            sure &= e[:, OUTSIDE] - e[:, t] > enter + np.maximum(leave, go_on + gap) + 1e-9
+        return sure
+
     def viterbi(self, features: np.ndarray, runs: np.ndarray) -> np.ndarray:
-        """Best tags of all runs; each starts and ends beside an outside token. Steps go over all runs at once."""
-        n = len(features)
+        """Best tags of all runs; each starts and ends beside an outside token."""
         e, m = self.scores(features), self.transitions()
+        first = np.zeros(len(e), bool)
+        first[runs] = True
+        sure = self.outside(e, m, runs)
+        tags, at = np.zeros(len(e), np.int8), np.flatnonzero(~sure)
+        if len(at):
+            tags[at] = self._paths(e[at], m, np.flatnonzero(first[at] | (np.diff(at, prepend=-2) != 1)))
+        return tags
+
+    def _paths(self, e: np.ndarray, m: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """Best tags of tokens with scores e. Steps go over all runs at once."""
+        n = len(e)
         length = np.diff(np.append(runs, n))
         order = np.argsort(-length, kind="stable")
         starts, length = runs[order], length[order]
@@ -197,16 +224,16 @@ class Field:
             now[:live] = back[at, now[:live]]
         return tags
 
-    def fit(self, features: np.ndarray, runs: np.ndarray, tags: np.ndarray, rounds: int = 200, rate: float = 0.15, decay: float = 1e-4) -> None:
-        """Maximum likelihood by Adam on all runs, with exact marginals by forward-backward."""
+    def fit(self, features: np.ndarray, runs: np.ndarray, tags: np.ndarray, counts: np.ndarray, rounds: int = 200, rate: float = 0.15, decay: float = 1e-4) -> None:
+        """Maximum likelihood by Adam on all runs, each seen so often as counts says, with exact marginals by forward-backward."""
         n = len(features)
         length = np.diff(np.append(runs, n))
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (self.weights, self.moves)]
-        by = [(k, runs[length == k][:, None] + np.arange(k)) for k in np.unique(length).tolist()]
+        by = [(k, runs[length == k][:, None] + np.arange(k), counts[length == k].astype(float)) for k in np.unique(length).tolist()]
         for i in range(1, rounds + 1):
             e, m = self.scores(features), self.transitions()
             g_e, g_m = np.zeros_like(e), decay * self.moves
-            for k, at in by:
+            for k, at, times in by:
                 x, y = e[at], tags[at]
                 alpha, beta = np.empty_like(x), np.empty_like(x)
                 alpha[:, 0] = x[:, 0] + m[OUTSIDE]
@@ -217,13 +244,13 @@ class Field:
                     beta[:, t] = np.logaddexp.reduce(m[None] + (x[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
                 z = np.logaddexp.reduce(alpha[:, -1] + beta[:, -1], axis=1)
                 p = np.exp(alpha + beta - z[:, None, None])
-                g_e[at] = p - np.eye(3)[y]
+                g_e[at] = (p - np.eye(3)[y]) * times[:, None, None]
                 g_m[OUTSIDE] += g_e[at][:, 0].sum(axis=0)
                 g_m[:, OUTSIDE] += g_e[at][:, -1].sum(axis=0)
                 for t in range(1, k):
                     both = np.exp(alpha[:, t - 1, :, None] + m[None] + (x[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-                    g_m += both.sum(axis=0)
-                    np.subtract.at(g_m, (y[:, t - 1], y[:, t]), 1)
+                    g_m += (both * times[:, None, None]).sum(axis=0)
+                    np.subtract.at(g_m, (y[:, t - 1], y[:, t]), times)
             g_w = decay * n * self.weights
             for c in range(features.shape[1]):
                 np.add.at(g_w, features[:, c], g_e)
@@ -244,15 +271,43 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, off = utf8(texts)
         for a, b in chunks(off):
             f, runs, tags = tagged(texts[a:b].to_pylist(), buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            new = np.zeros(len(f), bool)
-            new[runs] = True
-            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.int32())), pa.array(new), pa.array(tags.astype(np.int32))], names=["features", "new", "tag"])
+            starts, counts = pieces(f, runs, tags)
+            length = np.diff(np.append(starts, len(f)))
+            kept = counts > 0
+            rows = np.repeat(kept, length)
+            ends = np.append(0, np.cumsum(length[kept])).astype(np.int32)
+            features = pa.ListArray.from_arrays(pa.array(ends * len(GROUPS)), pa.array(f[rows].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([features, pa.ListArray.from_arrays(pa.array(ends), pa.array(tags[rows].astype(np.int32))), pa.array(counts[kept])], names=["features", "tags", "n"])
+
+
+def pieces(features: np.ndarray, runs: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the pieces of runs, and how often each is seen: equal outside tokens that stand alone count at the first, 0 at the others."""
+    at = np.arange(len(tags))
+    new = np.zeros(len(tags), bool)
+    new[runs] = True
+    new[1:] |= (tags[1:] == OUTSIDE) & (tags[:-1] == OUTSIDE)
+    # Pieces are cut at 32 tokens, which bounds the groups of equal length.
+    since = at - np.maximum.accumulate(np.where(new, at, 0))
+    new |= (since % 32 == 0) & (tags != INSIDE)
+    starts = np.flatnonzero(new)
+    counts = np.ones(len(starts), np.int64)
+    alone = np.flatnonzero((np.diff(np.append(starts, len(tags))) == 1) & (tags[starts] == OUTSIDE))
+    if len(alone):
+        _, first, inverse = np.unique(features[starts[alone]], axis=0, return_index=True, return_inverse=True)
+        counts[alone] = 0
+        counts[alone[first]] = np.bincount(inverse.reshape(-1))
+    return starts, counts
+
+
+def values(text: str) -> list[tuple[int, int]]:
+    """The secrets themselves in the spans of the fixed patterns: of an assignment, what is assigned."""
+    return [(ASSIGN.match(text, x).start(2) if kind == 0 else x, y) for kind, x, y in base_spans(text)]
 
 
 def tagged(texts: list[str | None], buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, runs and tags of texts; a token that a pattern's span covers is part of a secret."""
+    """Features, runs and tags of texts; a token that a pattern finds secret is part of a secret."""
     tokens, at = Tokens(buf, off), points(buf)
-    spans = [(at[off[i]] + x, at[off[i]] + y) for i, t in enumerate(texts) if t for _, x, y in base_spans(t)]
+    spans = [(at[off[i]] + x, at[off[i]] + y) for i, t in enumerate(texts) if t for x, y in values(t)]
     tags = np.zeros(tokens.n, np.int64)
     for x, y in spans:
         inside = np.flatnonzero((at[tokens.start] < y) & (at[tokens.end] > x))
@@ -273,10 +328,19 @@ def generated(seed: int = 7, n: int = 60) -> tuple[list[str], list[tuple[int, in
     word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     lines, spans = [], []
     for _ in range(n):
-        for before, secret in (("Authorization: Bearer ", pick(word, 40)), ("client secret ", pick(word, 32)), ("auth = '", pick(word, 24)), ("access key: ", pick(word + "+/", 40)), ("pwd=", pick(word, 12)), ("private key ", pick("0123456789ABCDEF", 40))):
-            lines.append(f"set {before}{secret}' for it")
-            spans.append((4 + len(before), 4 + len(before) + len(secret)))
-        for plain in (f"call {pick('0123456789', 3)}-{pick('0123456789', 3)}-{pick('0123456789', 4)} now", f"on 20{pick('0123456789', 2)}-01-02T10.00 it", f"see www.site{pick('0123456789', 2)}.org/page for more", f"version {pick('0123456789', 2)}.{pick('0123456789', 3)}.{pick('0123456789', 4)} of it", f"number {pick('0123456789', 16)} is", f"at {pick('123', 3)}.{pick('123', 2)}.{pick('123', 3)}.{pick('123', 2)} there"):
+        low = "abcdefghijklmnopqrstuvwxyz"
+        some = lambda alphabet, a, b: pick(alphabet, int(rng.integers(a, b)))
+        for before, secret in (
+            ("Authorization: Bearer ", pick(word, 40)), ("client secret ", pick(word, 32)), ("auth = '", pick(word, 24)), ("access key: ", pick(word + "+/", 40)), ("pwd=", pick(word, 12)), ("private key ", pick("0123456789ABCDEF", 40)),
+            ("pwd=", some(low, 5, 16)), ("pwd: ", some(low + "0123456789", 5, 10)), ("Authorization: Bearer ", some(low, 10, 24)), ("client secret ", some(word[:52], 10, 24)), ("auth = '", some(low, 6, 20)), ("bearer ", some(word, 10, 30)), ("access key: ", some(word, 6, 20)),
+        ):
+            lead, after = ("set ", "", "then\n")[rng.integers(3)], ("' for it", " for it", "", "\nthen")[rng.integers(4)]
+            lines.append(f"{lead}{before}{secret}{after}")
+            spans.append((len(lead + before), len(lead + before + secret)))
+        for plain in (
+            f"call {pick('0123456789', 3)}-{pick('0123456789', 3)}-{pick('0123456789', 4)} now", f"on 20{pick('0123456789', 2)}-01-02T10.00 it", f"see www.site{pick('0123456789', 2)}.org/page for more", f"version {pick('0123456789', 2)}.{pick('0123456789', 3)}.{pick('0123456789', 4)} of it", f"number {pick('0123456789', 16)} is", f"at {pick('123', 3)}.{pick('123', 2)}.{pick('123', 3)}.{pick('123', 2)} there",
+            f"the {some(low, 2, 14)} of {some(low, 2, 14)} {some(low, 2, 14)} and {some(low, 2, 14)}.", f"note: {some(low, 3, 12)} = {some(low, 2, 12)}, '{some(low, 3, 12)}'", f"The client {some(low, 3, 12)} had access {some(low, 2, 12)} to a private {some(low, 3, 12)}", f"a secret {some(low, 3, 12)}, the key {some(low, 3, 12)} and a token {some(low, 3, 12)}", f"id: {pick('0123456789', 5)} at https://{some(low, 3, 12)}.org/{some(low, 3, 9)}",
+        ):
             lines.append(plain)
             spans.append((0, 0))
     return lines, spans
@@ -289,22 +353,19 @@ def train(docs: DataFrame, *, text_col: str = "text", sample: int = TRAIN_DOCS)
     total = texts.count()
     if total > sample:
         texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / total) + 1)
-    rows = texts.mapInArrow(_training, "features array<int>, new boolean, tag int").collect()
+    found = texts.mapInArrow(_training, "features array<int>, tags array<int>, n long").groupBy("features", "tags").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("features", "tags")).toArrow()
+    flat = lambda name: np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in found[name].chunks)])
+    lengths = np.concatenate([np.zeros(0, np.int32), *(c.value_lengths().to_numpy() for c in found["tags"].chunks)]).astype(np.int64)
     lines, spans = generated()
     buf, off = utf8(pa.array(lines, pa.string()))
     tokens = Tokens(buf, off)
     begin = np.array([spans[r][0] <= s - off[r] < spans[r][1] for r, s in zip(tokens.row.tolist(), tokens.start.tolist(), strict=True)])
-    first = np.zeros(tokens.n, bool)
-    first[tokens.runs] = True
-    features = np.array([r.features for r in rows], np.int32).reshape(-1, len(GROUPS))
-    features = np.concatenate([features, tokens.features])
-    new = np.concatenate([np.array([r.new for r in rows], bool), first])
-    tags = np.concatenate([np.array([r.tag for r in rows], np.int64), np.where(begin, BEGIN, OUTSIDE)])
+    made = np.where(begin, BEGIN, OUTSIDE)
+    starts, counts = pieces(tokens.features, tokens.runs, made)
+    features = np.concatenate([flat("features").reshape(-1, len(GROUPS)), tokens.features]).astype(np.int32)
+    runs = np.concatenate([np.cumsum(lengths) - lengths, lengths.sum() + starts])
     field = Field()
-    # Runs are cut at 32 tokens for training, which bounds the groups of equal length.
-    since = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    new |= (since % 32 == 0) & (tags != INSIDE)
-    field.fit(features, np.flatnonzero(new), tags)
+    field.fit(features, runs, np.concatenate([flat("tags"), made]).astype(np.int64), np.concatenate([found["n"].to_numpy(), counts]))
     return field
 
 

@@ -148,3 +148,14 @@ def test_language_model_keeps_every_bigram(spark, monkeypatch):
     for i, t, _ in rows:
         for name, loss in losses.items():
             assert got[i][name] == pytest.approx(sum(loss(v, w) for v, w in zip([None, *t.split()], t.split(), strict=False)))
+
+
+def test_any_token_may_be_secret(spark):
+    """Secrets without a digit or of few characters, in formats that no fixed pattern knows; plain words beside cues stay."""
+    hidden = ["Authorization: Bearer qwertyuiopasdfgh", "pwd=correcthorse", "client secret AbCdEfGhIjKlMnOp", "pwd=ab12cd"]
+    plain = ["the client met the private access team", "a house stands on the green hill and the river runs to the sea", "see note: the bearer of this is known"]
+    docs = brute.frame(spark, list(enumerate([*hidden, *plain])))
+    got = {r.doc_id: r for r in secrets.scan(docs, secrets.train(docs.where("doc_id >= 4")), redact=True).collect()}
+    for i, t in enumerate(hidden):
+        assert got[i].redacted == t[: max(t.rfind(" "), t.rfind("=")) + 1] + secrets.MASK
+    assert [got[4 + i].redacted for i in range(len(plain))] == plain
