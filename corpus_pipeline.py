@@ -39,10 +39,14 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates."""
-    docs = _known(docs)
-    dropped = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(dropped, docs.doc_id.eqNullSafe(F.col("gone")), "left_anti")
+    """Keeps the document of the smallest id of each group of near duplicates. Ids may repeat: what goes is told by id and text,
+    so other texts of a copy's id stay, and of rows equal in both one stays. Near texts of one id all stay. The operator takes an id
+    for one document where it is the smallest of several sets: if one of its texts is then near to a smaller id's, all of them go."""
+    keyed = _known(docs).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = minhash.near_duplicates(_known(docs), with_key=True).where(~F.col("kept"))
+    dropped = found.select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key")).distinct()
+    stay = keyed.join(dropped, keyed.doc_id.eqNullSafe(F.col("gone")) & (keyed.text_key == F.col("gone_key")), "left_anti")
+    return stay.dropDuplicates(["doc_id", "text_key"]).drop("text_key")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,8 +175,8 @@ def _against_block(words: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable), kept."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, with_key: bool = False) -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable), kept[, text_key]."""
     arrow_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     signed = stored(texts.mapInArrow(_signing(words, bands), "id long, text_key long, n long, set_a long, set_b long, bands array<long>"), "signatures")
@@ -221,9 +221,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         labels = components(links.unionByName(more))
 
     named = classes.select("set_a", "set_b", "node").join(labels, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("component"))
-    out = signed.select("id", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    out = signed.select("id", "text_key", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (F.col("id") == component).alias("kept"), *(["text_key"] if with_key else []))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

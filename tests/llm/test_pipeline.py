@@ -35,3 +35,14 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Where ids repeat, only the copy's own rows go, and one of equal rows stays."""
+    a, b, c = ("the house stands on a green hill " * 3, "ships wait for wind below the wide river " * 3, "nothing here is like the other two texts at all")
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (None, "one more text of its own without any id"), (5, a + "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.deduplicate(spark, docs, "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(str(i) for i, _ in got) == ["3", "7", "9", "None"] and (7, b) in got
