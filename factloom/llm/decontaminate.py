@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.fm_index import FMIndex
 from factloom.llm.shared import arrow_batches, read
-from factloom.llm.textnp import chunks, column, covered, fold_table, prefix, letters, span_hash, utf8, word_spans, word_table
+from factloom.llm.textnp import chunks, column, covered, fold_table, prefix, span_hash, utf8, word_spans, word_table
 
 WINDOW = 13
 #: Text of the test items in one block; bounds the broadcast.
@@ -47,7 +47,7 @@ def words_of(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     for a, b in chunks(off):
         part = fold_table(True)[buf[off[a] : off[b]]]
         s, e, rows = word_spans(part, off[a : b + 1] - off[a], word_table(True))
-        yield a, b, span_hash(prefix(letters(10)[part]), s, e), rows
+        yield a, b, span_hash(prefix(part), s, e), rows
 
 
 class Windows:

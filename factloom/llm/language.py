@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.pretokens import LETTER, classes, code_points
 from factloom.llm.shared import arrow_batches, read, stored
-from factloom.llm.textnp import chunks, column, gather, letters, prefix, span_hash, utf8
+from factloom.llm.textnp import chunks, column, gather, prefix, span_hash, utf8
 
 TRAIN_DOCS = 20_000
 WORDS, NGRAMS = 100_000, 30_000
@@ -64,7 +64,7 @@ class Words:
         s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.rows = np.searchsorted(s, rows)
         self.letters = np.diff(self.rows)
-        keys = span_hash(prefix(letters(40, 0x110000)[low]), s, e)
+        keys = span_hash(prefix(low), s, e)
         self.keys, first, self.inverse, self.counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         self.low, self.s, self.e = low, s[first], e[first]
 
@@ -78,7 +78,7 @@ class Words:
         if n == 1:
             at, count = at + 1, size
         i = gather(at, count)
-        return span_hash(prefix(letters(40, 0x110000)[flat]), i, i + n), count
+        return span_hash(prefix(flat), i, i + n), count
 
 
 def _counting():

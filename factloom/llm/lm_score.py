@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.shared import arrow_batches, read, stored
-from factloom.llm.textnp import chunks, column, fold_table, letters, prefix, span_hash, utf8, word_spans, word_table
+from factloom.llm.textnp import chunks, column, fold_table, prefix, span_hash, utf8, word_spans, word_table
 
 VOCABULARY = 65_535
 #: Prior weights of a word's share among all words, and of the uniform share.
@@ -53,7 +53,7 @@ def word_hashes(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     for a, b in chunks(off):
         part = fold_table(True)[buf[off[a] : off[b]]]
         s, e, rows = word_spans(part, off[a : b + 1] - off[a], word_table(False))
-        yield a, b, span_hash(prefix(letters(80)[part]), s, e), rows
+        yield a, b, span_hash(prefix(part), s, e), rows
 
 
 class Tally:

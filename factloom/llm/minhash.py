@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from factloom.llm.graph import components
 from factloom.llm.shared import arrow_batches, read, stored
 from factloom.llm.suffix_dedup import keyed, shown
-from factloom.llm.textnp import chunks, column, fold_table, letters, mix, prefix, span_hash, utf8, word_spans, word_table
+from factloom.llm.textnp import chunks, column, fold_table, mix, prefix, set_hash, span_hash, utf8, word_spans, word_table
 
 WORDS = 5
 PERCENT = 80
@@ -46,7 +46,7 @@ def sets(arr: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.n
     for a, b in chunks(off):
         part = fold_table(True)[buf[off[a] : off[b]]]
         s, e, rows = word_spans(part, off[a : b + 1] - off[a], word_table(False))
-        sums = prefix(span_hash(prefix(letters(70)[part]), s, e))
+        sums = prefix(span_hash(prefix(part), s, e))
         n = np.diff(rows)
         count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
         doc = np.repeat(np.arange(b - a), count)
@@ -87,9 +87,8 @@ def _signing(words: int, count: int):
                 digest = np.zeros((2, b - a), np.uint64)
                 table = np.zeros((b - a, count), np.uint64)
                 if len(some):
-                    sums = (prefix(h), prefix(mix(h + np.uint64(73))))
                     for k in range(2):
-                        digest[k][some] = span_hash(sums[k], starts, rows[1:][some])
+                        digest[k][some] = set_hash(h, starts, k)
                     table[some] = bands(h, starts, count)
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(b - a + 1) * count).astype(np.int32)), pa.array(table.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids[a:b], keys[a:b], pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists], names=names)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from factloom.llm.textnp import chunks, gather, letters, prefix, span_hash, utf8
+from factloom.llm.textnp import chunks, gather, prefix, span_hash, utf8
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _classes: list[np.ndarray] = []
@@ -82,6 +82,7 @@ class Encoder:
     def clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.letters, self.places = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # code points of the pieces
 
     def __call__(self, arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For bounded ranges of rows: first row, end row, all ids, the offsets of each row's ids."""
@@ -98,8 +99,8 @@ class Encoder:
                 start[x + 1 : y] = False
             s = np.flatnonzero(start)
             e = np.append(s[1:], len(cp))
-            keys = span_hash(prefix(letters(20, 0x110000)[cp]), s, e)
-            slot = self.slots_of(keys, text, s, e)
+            keys = span_hash(prefix(cp), s, e)
+            slot = self.checked(self.slots_of(keys, text, s, e), text, cp, s, e)
             n = self.offsets[slot + 1] - self.offsets[slot]
             ids = self.ids[gather(self.offsets[slot], n)]
             yield a, b, ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(s, rows)]
@@ -119,7 +120,7 @@ class Encoder:
         return sorted(out)
 
     def slots_of(self, keys: np.ndarray, text: str, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        if len(self.keys) > self.bound:
+        if len(self.keys) > self.bound or len(self.letters) > 16 * self.bound:
             self.clear()
         uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, uniq)
@@ -131,15 +132,37 @@ class Encoder:
         new = np.flatnonzero(~known)
         if len(new):
             pieces = [text[x:y] for x, y in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
-            plain = [x for x in pieces if x not in self.added]
-            got = iter(self.encode(plain))
-            lists = [[self.added[x]] if x in self.added else next(got) for x in pieces]
-            base = len(self.offsets) - 1
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-            self.ids = np.concatenate([self.ids, flat])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-            slot[new] = base + np.arange(len(new))
+            slot[new] = self.held(pieces)
             self.keys = np.insert(self.keys, at[new], uniq[new])
             self.slots = np.insert(self.slots, at[new], slot[new])
         return slot[inverse]
+
+    def held(self, pieces: list[str]) -> np.ndarray:
+        """Encodes pieces and keeps them; their slots."""
+        plain = [x for x in pieces if x not in self.added]
+        got = iter(self.encode(plain))
+        lists = [[self.added[x]] if x in self.added else next(got) for x in pieces]
+        base = len(self.offsets) - 1
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+        self.ids = np.concatenate([self.ids, flat])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)])
+        self.places = np.concatenate([self.places, self.places[-1] + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        return base + np.arange(len(pieces))
+
+    def checked(self, slot: np.ndarray, text: str, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The slots, once each piece is found equal to the one kept there; a piece that only hashes like another is encoded itself."""
+        n, size = e - s, self.places[slot + 1] - self.places[slot]
+        wrong = n != size
+        at = gather(self.places[slot], np.where(wrong, 0, n))
+        here = cp if not wrong.any() else cp[gather(s, np.where(wrong, 0, n))]
+        differ = np.flatnonzero(self.letters[at] != here)
+        if not len(differ) and not wrong.any():
+            return slot
+        ends = np.cumsum(np.where(wrong, 0, n))
+        wrong[np.searchsorted(ends, differ, "right")] = True
+        odd = np.flatnonzero(wrong)
+        slot = slot.copy()
+        slot[odd] = self.held([text[x:y] for x, y in zip(s[odd].tolist(), e[odd].tolist(), strict=True)])
+        return slot

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.shared import arrow_batches, read
-from factloom.llm.textnp import chunks, column, fold_table, letters, prefix, span_hash, utf8, word_spans
+from factloom.llm.textnp import chunks, column, fold_table, prefix, span_hash, utf8, word_spans
 
 #: Expected number of texts that the field is trained on.
 TRAIN_DOCS = 4000
@@ -84,7 +84,7 @@ def _cues() -> tuple[np.ndarray, np.ndarray]:
     if _CUE_HASHES is None:
         buf = np.frombuffer("".join(CUES).encode(), np.uint8)
         end = np.cumsum([len(c) for c in CUES])
-        h = span_hash(prefix(letters(30)[buf]), np.append(0, end[:-1]), end)
+        h = span_hash(prefix(buf), np.append(0, end[:-1]), end)
         order = np.argsort(h)
         _CUE_HASHES = h[order], order
     return _CUE_HASHES
@@ -129,7 +129,7 @@ class Tokens:
         mark = np.select([gap(_EQUALS), gap(_COLON), gap(_QUOTE), a - before > 2], [4, 3, 2, 1], 0)
         quoted = (count(_QUOTE, b, np.minimum(after, b + 1)) > 0) + 2 * gap(_QUOTE)
         low = fold_table(True)[buf]
-        hashes = span_hash(prefix(letters(30)[low]), s, e)
+        hashes = span_hash(prefix(low), s, e)
         keys, order = _cues()
 
         def cue(back: int) -> np.ndarray:

@@ -19,17 +19,34 @@ CHUNK_BYTES = 1 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Hashes are polynomials modulo this prime in one of two random bases: any two contents of n letters
+#: hash alike for at most n bases in 2**61. Arithmetic that wraps at 2**64 has no such bound.
+PRIME = (1 << 61) - 1
+_P = _U(PRIME)
+_BASES = (0x1B7A4C93D5E6F021, 0x0D3C5A96E1F7842B)
+_INVERSES = tuple(pow(b, -1, PRIME) for b in _BASES)
+_LOW31, _LOW30, _30, _31, _61 = _U((1 << 31) - 1), _U((1 << 30) - 1), _U(30), _U(31), _U(61)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << _U(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, _U)
-    out[0] = 1
+    out = np.ones(n, _U)
     done = 1
     while done < n:
         step = min(done, n - done)
-        out[done : done + step] = out[:step] * _U(pow(base, done, 1 << 64))
+        out[done : done + step] = times(out[:step], np.full(1, pow(base, done, PRIME), _U))
         done += step
     return out
 
@@ -37,20 +54,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 _cache: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    if "p" not in _cache or len(_cache["p"]) < n:
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash base and of its inverse."""
+    p, q = f"p{base}", f"q{base}"
+    if p not in _cache or len(_cache[p]) < n:
         size = max(n, CHUNK_BYTES + 1)
-        _cache["p"], _cache["q"] = _powers(_BASE, size), _powers(_INVERSE, size)
-    return _cache["p"], _cache["q"]
-
-
-def letters(seed: int, size: int = 256) -> np.ndarray:
-    """A fixed random 64-bit value for each byte."""
-    key = f"t{seed}.{size}"
-    if key not in _cache:
-        _cache[key] = np.random.default_rng(seed).integers(1, 1 << 63, size, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-    return _cache[key]
+        _cache[p], _cache[q] = _powers(_BASES[base], size), _powers(_INVERSES[base], size)
+    return _cache[p], _cache[q]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -63,20 +73,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times powers, one longer than the input."""
-    out = np.empty(len(values) + 1, _U)
-    out[0] = 0
-    np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=out[1:])
+def prefix(values: np.ndarray, base: int = 0) -> np.ndarray:
+    """Prefix sums modulo the prime of values (bytes, code points or hashes) times powers, one longer than the input."""
+    power = powers(len(values) + 1, base)[0][: len(values)]
+    if values.dtype == _U:
+        term = times(reduced(values), power)
+    else:  # small letters: a product needs fewer parts
+        letter = values.astype(_U) + _U(1)
+        high = (power >> _31) * letter
+        term = reduced((high >> _30) + ((high & _LOW30) << _31) + (power & _LOW31) * letter)
+    out = np.zeros(len(values) + 1, _U)
+    # Halves of the terms are summed apart, so that no sum passes 2**64; 2**30 of the upper half's sum wraps around 61 bits.
+    high, low = reduced(np.cumsum(term >> _30)), np.cumsum(term & _LOW30)
+    out[1:] = reduced((high >> _31) + ((high & _LOW31) << _30) + reduced(low))
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
     """64-bit hash of each span [start, end); equal contents hash alike wherever they stand."""
-    h = sums[end] - sums[start]
-    h *= powers(len(sums))[1][start]
-    h += (end - start).astype(_U) * _U(0xA24BAED4963EE407)
-    return mix(h)
+    d = sums[end] + (_P - sums[start])
+    h = times(np.where(d >= _P, d - _P, d), powers(len(sums), base)[1][start])
+    return mix(h + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+
+
+def set_hash(h: np.ndarray, starts: np.ndarray, which: int) -> np.ndarray:
+    """64-bit hash of each run of distinct hashes as a set: runs start at starts and none is empty."""
+    return mix(np.add.reduceat(mix(h ^ _U((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[which])), starts))
 
 
 def fold_table(lower: bool) -> np.ndarray:
