@@ -8,16 +8,17 @@ segment, a few rows for each thousand units of text.
 
   anchors   every text, in one scan: key and segment hash of each segment
   repeated  segments whose anchor key occurs twice or more (counted map-side)
-  whole     segments that occur twice or more as a whole: all their windows repeat
-  members   one segment for each distinct content under a key that has several;
-            only these have their text cut out, and are compared in groups
-  split     a key with over `GROUP` distinct segments is not one group: its
-            windows are dealt to halves by how far ahead of the anchor they
-            start, and each half is keyed by the units that all its windows
-            share, until groups are small. A half of one window is itself its
-            key, so this ends, with nothing dropped.
-
-Groups never hold more than GROUP segments; hot keys are counted by partial
+  members   for each distinct segment under such a key one row that holds it, and
+            a second one if there are more; their text is cut out and compared,
+            many keys at a time. What holds for them holds for all further copies,
+            which are equal in both 61-bit hashes and so the same string.
+  split     a key with over `GROUP` members is not one group: its windows are
+            dealt to halves by how far ahead of the anchor they start, and each
+            half is keyed by the units that all its windows share, until groups
+            are small. A half of one window is itself its key, and two rows stand
+            for it, so this ends, with nothing dropped.
+
+Groups never hold more than GROUP members; hot keys are counted by partial
 aggregation and joined where Spark can split them.
 """
 
@@ -31,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.shared import arrow_batches, stored
-from factloom.llm.textnp import column, span_hash
+from factloom.llm.textnp import column, span_hash, utf8
 
-#: Most distinct segments that one task compares with each other.
-GROUP = 2000
+#: Most members under one key that are compared with each other.
+GROUP = 4000
+#: Bytes of members that a task compares at once, whole keys at a time; bytes of text that it cuts out at once.
+BLOCK_BYTES = 3 << 20
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -74,13 +77,13 @@ def segments(sums: np.ndarray, other: np.ndarray, off: np.ndarray, size: int, gr
     first, last = first[keep], last[keep]
     row = np.searchsorted(off, first, "right") - 1
     zero, at = off[row], chosen[first]
-    return dict(row=row, lo=first - zero, hi=last - zero, at=at - zero, key=keys[at], hull=span_hash(other, first, last + size))
+    return dict(row=row, lo=first - zero, hi=last - zero, at=at - zero, key=keys[at], hull=span_hash(other, first, last + size, 1))
 
 
-#: Prepares some rows of text: prefix sums of two hashes of units, and the unit offsets of the rows.
+#: Prepares some rows of text: prefix sums in both bases of hashes of units, and the unit offsets of the rows.
 Units = Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]
-#: The units [lo, hi) of each of some texts, as bytes.
-Cut = Callable[[pa.Array, list[list[tuple[int, int]]]], list[list[bytes]]]
+#: Cuts units out of some texts: (texts) to a function of (row, from, to), arrays, that gives bytes and their offsets.
+Cut = Callable[[pa.Array], Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]
 
 _ANCHORS = "id long, text_key long, key long, hull long, lo int, hi int, at int"
 
@@ -100,55 +103,84 @@ def _anchoring(units: Units, size: int, gram: int):
     return run
 
 
+#: A row that holds a segment under a key. Its windows start `before` to `after` units ahead of the anchor (the least and the
+#: most); `content` is its units, the anchor at unit `anchor`. Only rows with an id under `below` count as
+#: earlier: the row's own, or, for the second row of a segment that has several, just over the first one's, so that what is found
+#: holds for all rows between the two.
+_MEMBERS = "key long, hull long, id long, below long, before int, after int, content binary, anchor int"
+_MEMBER_FIELDS = [("key", pa.int64()), ("hull", pa.int64()), ("id", pa.int64()), ("below", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("content", pa.binary()), ("anchor", pa.int32())]
+#: Windows of a segment that repeat, by how far ahead of the anchor they start, and an id of a row that holds them.
+_FOUND = "key long, hull long, before int, after int, witness long"
+
+
+def binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _cutting(cut: Cut, size: int):
-    names = ["key", "hull", "n", "min_id", "before", "after", "content", "anchor"]
+    schema = pa.schema(_MEMBER_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = column(batch, "members").to_pylist()
-            texts = cut(column(batch, "text"), [[(m["lo"], m["hi"] + size) for m in ms] for ms in lists])
-            flat = [m for ms in lists for m in ms]
-            cols = [[m[c] for m in flat] for c in ("key", "hull", "n", "min_id")]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in cols), pa.array([m["at"] - m["hi"] for m in flat], pa.int32()), pa.array([m["at"] - m["lo"] for m in flat], pa.int32()), pa.array([t for ts in texts for t in ts], pa.binary()), pa.array([m["at"] - m["lo"] for m in flat], pa.int32())], names=names)
+            lists = column(batch, "members")
+            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            m = {f.name: flat.field(k) for k, f in enumerate(flat.type)}
+            lo, hi, at = (m[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "at"))
+            take = cut(column(batch, "text"))
+            held = np.cumsum(hi - lo + size)
+            a = 0
+            while a < len(rows):  # of a very long text a part at a time
+                b = max(a + 1, int(np.searchsorted(held, (held[a - 1] if a else 0) + BLOCK_BYTES // 8, "right")))
+                content = binary(*take(rows[a:b], lo[a:b], hi[a:b] + size))
+                ends = [pa.array((at - hi)[a:b].astype(np.int32)), pa.array((at - lo)[a:b].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(m[c][a:b] for c in ("key", "hull", "id", "below")), *ends, content, ends[1]], schema=schema)
+                a = b
 
     return run
 
 
-#: A distinct segment under a key. Its windows start `before` to `after` units ahead of the anchor (the least and the
-#: most); `content` is its units, the anchor at unit `anchor`; n rows hold it, the smallest of their ids is min_id.
-_MEMBERS = "key long, hull long, n long, min_id long, before int, after int, content binary, anchor int"
-#: Windows of a segment that repeat, by how far ahead of the anchor they start, and an id of a row that holds them.
-_FOUND = "key long, hull long, before int, after int, witness long"
+class Block:
+    """Members of some keys, whole keys at a time and sorted by key: columns as arrays, contents as bytes and offsets."""
 
-#: Compares a group: rows (key, hull, n, min_id, before, after, content, anchor) to rows (hull, before, after, witness).
-Compare = Callable[[list[dict]], list[tuple[int, int, int, int]]]
+    def __init__(self, batch: pa.RecordBatch):
+        number = lambda name: column(batch, name).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.key, self.id, self.below, self.before, self.after, self.anchor = (number(c) for c in ("key", "id", "below", "before", "after", "anchor"))
+        self.data, self.off = utf8(column(batch, "content"))
+        self.group = np.cumsum(np.append(False, self.key[1:] != self.key[:-1])) if len(self.key) else self.key
 
 
-def _comparing(compare: Compare):
-    names = ["key", "hull", "before", "after", "witness"]
+#: Compares the members of a block: row, before, after and witness of windows that repeat, as arrays.
+Compare = Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-    def out(key: int, group: list[dict]) -> list[tuple]:
-        return [(key, *x) for x in compare(group)] if len(group) > 1 else []
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def _comparing(compare: Compare):
+    kinds = {"before": pa.int32(), "after": pa.int32(), "witness": pa.int64()}
+
+    def out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = column(batch, "key").to_numpy()
+        alone = np.ones(len(keys), bool)  # nothing to compare with
+        same = keys[1:] == keys[:-1]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        batch = batch.filter(pa.array(~alone))
+        if batch.num_rows:
+            row, *found = compare(Block(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(row)) for k in (0, 1)] + [pa.array(x, k) for x, k in zip(found, kinds.values(), strict=True)], names=["key", "hull", *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, rows = None, [], []
-        for batch in batches:  # sorted by key; a group may go on in the next batch
-            for r in batch.to_pylist():
-                if r["key"] != key:
-                    rows += out(key, group)
-                    key, group = r["key"], []
-                    if len(rows) > 2000:
-                        yield made(rows)
-                        rows = []
-                group.append(r)
-        rows += out(key, group)
-        if rows:
-            yield made(rows)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # sorted by key; a key may go on in the next batch
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+                whole = pa.concat_batches(held)
+                keys = column(whole, "key").to_numpy()
+                end = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+                if end:
+                    yield from out(whole.slice(0, end))
+                held = [whole.slice(end)]
+        if held:
+            yield from out(pa.concat_batches(held))
 
     return run
 
@@ -159,8 +191,7 @@ Part = Callable[[bytes, int, int], bytes]
 
 def _halving(part: Part, size: int, width: int):
     """Deals each segment's windows to cells of `width` offsets from the anchor."""
-    names = ["key", "hull", "n", "min_id", "before", "after", "content", "anchor", "parent_key", "parent_hull"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+    schema = pa.schema([*_MEMBER_FIELDS, ("parent_key", pa.int64()), ("parent_hull", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +202,9 @@ def _halving(part: Part, size: int, width: int):
                     before, after = max(x, r["before"]), min(y, r["after"])
                     content = part(r["content"], anchor - after, anchor - before + size)
                     key = hash_bytes(part(r["content"], anchor - x, anchor - y + size), r["key"] ^ cell)
-                    rows.append((key, hash_bytes(content, before), r["n"], r["min_id"], before, after, content, after, r["key"], r["hull"]))
+                    rows.append((key, hash_bytes(content, before), r["id"], r["id"], before, after, content, after, r["key"], r["hull"]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -196,27 +227,31 @@ class Repeats:
         """texts: id long, text string, text_key long. Returns id, text_key and windows array<struct<lo,hi>> (first and last start)."""
         arrow_batches(texts.sparkSession)
         anchors = stored(texts.select("id", "text_key", "text").mapInArrow(_anchoring(self.units, self.size, self.gram), _ANCHORS), "anchors")
-        counted = anchors.groupBy("key").agg(F.count("*").alias("rows"), F.min("hull").alias("a"), F.max("hull").alias("b"), F.min("id").alias("x"), F.max("id").alias("y"))
-        twice = counted.where((F.col("rows") > 1) & ((F.col("x") < F.col("y")) if self.earlier else F.lit(True))).select("key", (F.col("a") != F.col("b")).alias("several"))
+        counted = anchors.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("x"), F.max("id").alias("y"))
+        twice = counted.where(self._several(F.col("rows"), F.col("x"), F.col("y"))).select("key")
         # Written before the join: a join right above its aggregation cannot have hot keys split.
         repeated = stored(anchors.join(stored(twice, "twice"), "key"), "repeated")
-        first = F.min(F.struct("id", "text_key", "lo", "hi", "at")).alias("first")
-        distinct = repeated.groupBy("key", "hull", "several").agg(F.count("*").alias("n"), F.max("id").alias("max_id"), first)
-        whole = distinct.where(self._whole(F.col("n"), F.col("first.id"), F.col("max_id"))).select("key", "hull", F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("after"), F.col("first.id").alias("witness"))
-        member = F.struct("key", "hull", "n", F.col("first.id").alias("min_id"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), F.col("first.at").alias("at"))
-        wanted = distinct.where("several").groupBy(F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key")).agg(F.collect_list(member).alias("members"))
-        cut = texts.join(wanted.hint("shuffle_hash"), ["id", "text_key"])
-        members = stored(cut.select("text", "members").mapInArrow(_cutting(self.cut, self.size), _MEMBERS), "members")
-        found = whole.unionByName(self._resolve(members))
+        place = F.struct("id", "text_key", "lo", "hi", "at")
+        distinct = repeated.groupBy("key", "hull").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+        several = self._several(F.col("n"), F.col("first.id"), F.col("last.id"))
+        rows = distinct.select("key", "hull", "first", F.posexplode(F.when(several, F.array("first", "last")).otherwise(F.array("first"))).alias("k", "row"))
+        member = F.struct("key", "hull", F.col("row.id").alias("id"), self._below().alias("below"), F.col("row.lo").alias("lo"), F.col("row.hi").alias("hi"), F.col("row.at").alias("at"))
+        wanted = rows.groupBy(F.col("row.id").alias("id"), F.col("row.text_key").alias("text_key")).agg(F.collect_list(member).alias("members"))
+        held = texts.join(wanted.hint("shuffle_hash"), ["id", "text_key"]).dropDuplicates(["id", "text_key"])  # by the join's own keys
+        members = stored(held.select("text", "members").mapInArrow(_cutting(self.cut, self.size), _MEMBERS), "members")
+        found = stored(self._resolve(members), "found")
         there = (F.col("id") > F.col("witness")) if self.earlier else F.lit(True)
-        lo = F.greatest(F.col("lo"), F.coalesce(F.col("at") - F.col("after"), F.col("lo")))
-        hi = F.least(F.col("hi"), F.coalesce(F.col("at") - F.col("before"), F.col("hi")))
+        lo = F.greatest(F.col("lo"), F.col("at") - F.col("after"))
+        hi = F.least(F.col("hi"), F.col("at") - F.col("before"))
         spans = repeated.select("id", "text_key", "key", "hull", "lo", "hi", "at").join(found, ["key", "hull"]).where(there).select("id", "text_key", lo.alias("lo"), hi.alias("hi"))
         return spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
 
-    def _whole(self, n: Column, min_id: Column, max_id: Column) -> Column:
+    def _several(self, n: Column, min_id: Column, max_id: Column) -> Column:
         return min_id < max_id if self.earlier else n > 1
 
+    def _below(self) -> Column:
+        return F.col("first.id") + F.col("k") if self.earlier else F.col("row.id")
+
     def _resolve(self, members: DataFrame, width: int | None = None) -> DataFrame:
         """Found windows among members of the same key; hot keys are halved first. width: of the cells to halve."""
         width = width or 1 << (self.size - self.gram).bit_length()
@@ -227,12 +262,13 @@ class Repeats:
         calm = self._compare(members.join(hot, "key", "left_anti"))
         schema = _MEMBERS + ", parent_key long, parent_hull long"
         halves = stored(members.join(hot, "key").select(*members.columns).mapInArrow(_halving(self.part, self.size, width // 2), schema), "halves")
-        distinct = halves.groupBy("key", "hull", "before", "after", "anchor").agg(F.sum("n").alias("n"), F.min("min_id").alias("min_id"), F.max("min_id").alias("max_id"), F.first("content").alias("content"))
-        distinct = stored(distinct, "distinct")
-        whole = distinct.where(self._whole(F.col("n"), F.col("min_id"), F.col("max_id"))).select("key", "hull", "before", "after", F.col("min_id").alias("witness"))
-        several = distinct.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1").select("key")
-        below = self._resolve(stored(distinct.join(several, "key").select(*members.columns), "members"), width // 2)
-        found = whole.unionByName(below)
+        row = F.struct("id", "content")
+        distinct = halves.groupBy("key", "hull", "before", "after", "anchor").agg(F.count("*").alias("n"), F.min(row).alias("first"), F.max(row).alias("last"))
+        several = self._several(F.col("n"), F.col("first.id"), F.col("last.id"))
+        rows = distinct.select("key", "hull", "before", "after", "anchor", "first", F.posexplode(F.when(several, F.array("first", "last")).otherwise(F.array("first"))).alias("k", "row"))
+        rows = stored(rows.select("key", "hull", F.col("row.id").alias("id"), self._below().alias("below"), "before", "after", F.col("row.content").alias("content"), "anchor"), "distinct")
+        met = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+        found = self._resolve(stored(rows.join(met, "key").select(*members.columns), "members"), width // 2)
         back = halves.select("key", "hull", "parent_key", "parent_hull").join(found, ["key", "hull"])
         return calm.unionByName(back.select(F.col("parent_key").alias("key"), F.col("parent_hull").alias("hull"), "before", "after", "witness").distinct())
 

@@ -2,12 +2,13 @@
 
 A word is removed if it lies in a window of `size` consecutive words that also
 starts in a document with a smaller id; windows are judged on the input.
-Segments that share an anchor (`repeats`) form a reference block: taken in
-ascending order of their smallest id, each is factored greedily against the
-index of all before it. A factor of `size` words or more becomes a duplicate
-span; where one ends, the windows that reach over its boundary are looked up
-too, since another part of the block may hold them. Words that no factor covers
-are literals and extend the index.
+Texts are cut into segments around anchors (`repeats`), and all segments of some
+anchors form a reference block with a suffix array over its words. Each segment
+is factored greedily against its block, that is against the only block that can
+hold its windows: where the index holds `size` of its words in a document with a
+smaller id, the longest such factor becomes a duplicate span; where it ends, the
+windows over its boundary are looked up next, since another part of the block
+may hold them. Words in between are literals.
 
 Words are maximal runs of anything but space, tab, line feed, vertical tab, form
 feed and carriage return. Defined cases: a null or empty text has no words; a
@@ -19,17 +20,16 @@ other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.repeats import Repeats
+from factloom.llm.repeats import Block, Repeats, binary
 from factloom.llm.shared import arrow_batches, read
 from factloom.llm.suffix_dedup import keyed, shown
-from factloom.llm.textnp import SPACES, chunks, column, covered, letters, prefix, span_hash, utf8, word_spans, word_table
+from factloom.llm.textnp import SPACES, chunks, column, covered, gather, prefix, span_hash, utf8, word_spans, word_table
 
 SIZE = 50
 GRAM = 10
@@ -41,20 +41,26 @@ def word_units(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     for a, b in chunks(off):
         part = buf[off[a] : off[b]]
         s, e, rows = word_spans(part, off[a : b + 1] - off[a], word_table(False))
-        words = span_hash(prefix(letters(60)[part]), s, e)
-        yield a, b, prefix(words), prefix(words ^ np.uint64(0x5851F42D4C957F2D)), rows
+        yield a, b, *(prefix(span_hash(prefix(part, k), s, e, k), k) for k in (0, 1)), rows
 
 
 def split(text: bytes) -> list[bytes]:
     return text.translate(_BLANKS).split()
 
 
-def word_cut(arr: pa.Array, spans: list[list[tuple[int, int]]]) -> list[list[bytes]]:
-    out = []
-    for text, some in zip(arr.cast(pa.binary()).to_pylist(), spans, strict=True):
-        words = split(text)
-        out.append([b" ".join(words[x:y]) for x, y in some])
-    return out
+def word_cut(arr: pa.Array):
+    """Words of texts, joined by one blank."""
+    buf, off = utf8(arr)
+    s, e, rows = word_spans(buf, off, word_table(False))
+    at = np.append(0, np.cumsum(e - s + 1))
+    joined = np.full(at[-1], 0x20, np.uint8)
+    joined[gather(at[:-1], e - s)] = buf[gather(s, e - s)]
+
+    def take(row: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = at[rows[row] + lo], at[rows[row] + end] - 1
+        return joined[gather(x, y - x)], np.append(0, np.cumsum(y - x))
+
+    return take
 
 
 def word_part(text: bytes, x: int, y: int) -> bytes:
@@ -62,46 +68,97 @@ def word_part(text: bytes, x: int, y: int) -> bytes:
 
 
 class Reference:
-    """Index of a block: for every window seen, the segment and place where it was first."""
-
-    def __init__(self, size: int):
-        self.size, self.places, self.texts = size, {}, []
-
-    def add(self, words: list[bytes]) -> None:
-        self.texts.append(words)
-        for i in range(len(words) - self.size + 1):
-            self.places.setdefault(b" ".join(words[i : i + self.size]), (len(self.texts) - 1, i))
-
-    def factors(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """Greedy factors of at least a window: (start, end, reference segment). After one, the next may start
-        at any window that crosses its end."""
-        at, last = 0, len(words) - self.size
-        while at <= last:
-            place = self.places.get(b" ".join(words[at : at + self.size]))
-            if place is None:
-                at += 1  # a literal
-                continue
-            which, i = place
-            source, n = self.texts[which], self.size
-            while at + n < len(words) and i + n < len(source) and words[at + n] == source[i + n]:
-                n += 1
-            yield at, at + n, which
-            at += n - self.size + 1
-
-
-def parse(group: list[dict], size: int = SIZE) -> list[tuple[int, int, int, int]]:
-    """Windows of each segment that a segment with a smaller id holds."""
-    out, block, owners = [], Reference(size), []
-    for min_id, some in groupby(sorted(group, key=lambda g: g["min_id"]), key=lambda g: g["min_id"]):
-        fresh = [(g, g["content"].split(b" ")) for g in some]
-        for g, words in fresh:
-            for x, y, which in block.factors(words):
-                # windows start at x .. y - size; ahead of the anchor by anchor - start
-                out.append((g["hull"], g["anchor"] - (y - size), g["anchor"] - x, owners[which]))
-        for _, words in fresh:
-            block.add(words)
-            owners.append(min_id)
-    return out
+    """A suffix array over the words of a block of segments, with ranks of all runs of 2**k words from which it was built."""
+
+    def __init__(self, symbols: np.ndarray, owner: np.ndarray):
+        """symbols: the words' numbers from 1; a 0 closes each segment. owner: the id of the document that holds each word."""
+        n, zeros = len(symbols), symbols == 0
+        ends = int(zeros.sum())
+        rank = symbols.astype(np.int64) + ends
+        rank[zeros] = np.arange(ends)  # each end differs from all others, so no match goes over it
+        self.ranks, step = [rank.astype(np.int32)], 1
+        while True:
+            key = rank * (n + ends + 2)
+            key[: n - step] += rank[step:] + 1
+            order = np.argsort(key)
+            new = np.append(0, key[order][1:] != key[order][:-1])
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new)
+            if rank[order[-1]] == n - 1 or step >= n:
+                break
+            self.ranks.append(rank.astype(np.int32))
+            step *= 2
+        self.order, self.place, self.owner = order, rank, owner[order]
+        self.lcp = np.append(0, self.common(order[:-1], order[1:]))
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Number of words that the suffixes at i and j share."""
+        i, j, n = i.copy(), j.copy(), len(self.order)
+        out = np.zeros(len(i), np.int64)
+        for k in reversed(range(len(self.ranks))):
+            same = (i < n) & (j < n)
+            same &= self.ranks[k][np.where(same, i, 0)] == self.ranks[k][np.where(same, j, 0)]
+            step = np.where(same, 1 << k, 0)
+            out, i, j = out + step, i + step, j + step
+        return out
+
+    def known(self, below: np.ndarray, size: int) -> np.ndarray:
+        """Positions at which a factor of at least `size` words can start: some document with an id under below holds such words."""
+        starts = np.flatnonzero(self.lcp < size)  # runs of the suffix array that agree in so many words
+        least = np.minimum.reduceat(self.owner, starts)
+        run = np.cumsum(self.lcp < size) - 1
+        return least[run[self.place]] < below
+
+    def longest(self, at: np.ndarray, below: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Longest factor at each of some positions among documents with an id under below, and an id that holds it:
+        the nearer ones in the suffix array share more, so the next such id on either side decides."""
+        length, witness = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for side in (-1, 1):
+            live = np.arange(len(at))
+            r = self.place[at]
+            shared = np.full(len(at), np.iinfo(np.int64).max)
+            while len(live):
+                edge = r if side < 0 else r + 1
+                inside = edge < len(self.lcp)
+                shared = np.minimum(shared, np.where(inside, self.lcp[np.where(inside, edge, 0)], 0))
+                r = r + side
+                on = shared >= size
+                live, r, shared = live[on], r[on], shared[on]
+                got = self.owner[r] < below[live]
+                better = got & (shared > length[live])
+                length[live[better]], witness[live[better]] = shared[better], self.owner[r[better]]
+                live, r, shared = live[~got], r[~got], shared[~got]
+        return length, witness
+
+
+def parse(block: Block, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of each member that a document with a smaller id holds: greedy factors of all members at once against the block."""
+    m = len(block.key)
+    closed = np.insert(block.data, block.off[1:], 0x20)  # each word is followed by a blank
+    off = block.off + np.arange(m + 1)
+    start, _, rows = word_spans(closed, off, word_table(False))
+    words = binary(closed, np.append(start, len(closed))).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    symbols = np.insert(words.astype(np.int64) + 1, rows[1:], 0)
+    first = rows + np.arange(m + 1)  # of each member among the symbols; the last end closes
+    member = np.repeat(np.arange(m), np.diff(first))
+    index = Reference(symbols, block.id[member])
+    below = block.below[member]
+    # The next place at or after each one at which a factor can start.
+    known = np.flatnonzero(index.known(below, size))
+    out: list[tuple] = []
+    live, at = np.arange(m), first[:-1]
+    while len(live):
+        k = np.searchsorted(known, at)
+        some = k < len(known)
+        live, at = live[some], known[k[some]]
+        inside = at < first[live + 1]
+        live, at = live[inside], at[inside]
+        length, witness = index.longest(at, below[at], size)
+        x = at - first[live]
+        # Windows start at x .. x + length - size; ahead of the anchor by anchor - start.
+        out.append((live, block.anchor[live] - (x + length - size), block.anchor[live] - x, witness))
+        at = at + length - size + 1  # windows over the factor's end are looked up next
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _removing(size: int):
@@ -131,7 +188,7 @@ def remove_copied(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of docs: id, n_words, removed spans (word positions, end exclusive), kept words joined by a blank."""
     arrow_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
-    find = Repeats(size=size, gram=gram, units=word_units, cut=word_cut, compare=lambda g: parse(g, size), part=word_part, earlier=True)
+    find = Repeats(size=size, gram=gram, units=word_units, cut=word_cut, compare=lambda b: parse(b, size), part=word_part, earlier=True)
     rows = texts.join(find.find(texts).hint("shuffle_hash"), ["id", "text_key"], "left").select("id", "text", "windows")
     out = rows.mapInArrow(_removing(size), "id long, n_words long, spans array<struct<start:int,end:int>>, kept string")
     return out.select(shown(F.col("id")).alias(id_col), "n_words", "spans", "kept")

@@ -4,8 +4,8 @@ Every byte that lies in a string of `size` bytes that also starts anywhere else,
 in the same text or another, is removed; all strings are judged on the input.
 Candidates meet as segments around shared anchors (`repeats`). Within a group the
 suffixes from the anchor on, and the reversed prefixes before it, are sorted by
-deep-shallow sorting: multikey quicksort on eight bytes at a time down to
-SHALLOW bytes, then a blind trie orders each group that is still equal. A window
+deep-shallow sorting: multikey sorting on eight bytes at a time down to SHALLOW
+bytes, then a blind trie orders each group that is still equal. A window
 repeats if some other one agrees with it both ways, which common prefix lengths
 of neighbours in the two orders tell for all windows at once.
 
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.repeats import Repeats
+from factloom.llm.repeats import Block, Repeats
 from factloom.llm.shared import arrow_batches, read
-from factloom.llm.textnp import chunks, column, covered, letters, prefix, utf8
+from factloom.llm.textnp import chunks, column, covered, gather, prefix, utf8
 
 SIZE = 400
 GRAM = 64
@@ -104,85 +104,114 @@ def blind_order(texts: list[bytes], some: list[int], depth: int) -> list[int]:
     return out
 
 
-def deep_shallow(texts: list[bytes], known: int = 0) -> tuple[list[int], np.ndarray]:
-    """Sorted order of texts that agree on `known` bytes, and the common prefix length of each with the one before (0 first)."""
-    out: list[int] = []
-    stack: list[tuple[list[int], int]] = [(list(range(len(texts))), known)]
-    while stack:
-        some, depth = stack.pop()
-        if len(some) < 2:
-            out += some
-            continue
-        if depth >= known + SHALLOW:
-            out += blind_order(texts, some, depth)
-            continue
-        parts = [texts[i][depth : depth + _STEP] for i in some]
-        pivot = parts[len(parts) // 2]
-        less, same, more = [], [], []
-        for i, p in zip(some, parts, strict=True):
-            (same if p == pivot else less if p < pivot else more).append(i)
-        ended = len(pivot) < _STEP  # equal texts
-        stack.append((more, depth))
-        if ended:
-            stack += [([i], depth) for i in reversed(same)]
-        else:
-            stack.append((same, depth + _STEP))
-        stack.append((less, depth))
-    lcp = np.zeros(len(out), np.int64)
-    for k in range(1, len(out)):
-        lcp[k] = common(texts[out[k - 1]], texts[out[k]], known)
-    return out, lcp
-
-
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """First and last index of each run of true flags."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
-
-
-def compare(group: list[dict], size: int = SIZE, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
-    """Windows of the group's segments that another segment holds too."""
-    m = len(group)
-    after = [g["content"][g["anchor"] :] for g in group]
-    ahead = [g["content"][: g["anchor"]][::-1] for g in group]
-    low, high = np.array([g["before"] for g in group]), np.array([g["after"] for g in group])
-    order_r, lcp_r = deep_shallow(after, 0)
-    order_l, lcp_l = deep_shallow(ahead)
+class Suffixes:
+    """Texts within a buffer of bytes: where each starts and how long it is."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.data, self.start, self.length = np.append(data, np.zeros(_STEP, np.uint8)), start, length
+        raw = data.tobytes()
+        self.texts = [raw[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+
+    def word(self, some: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The next bytes of some texts as one number, and how many they are."""
+        rest = np.clip(self.length[some] - depth, 0, _STEP)
+        at = np.where(rest > 0, self.start[some] + depth, 0)
+        out = np.zeros(len(some), np.uint64)
+        for k in range(_STEP):
+            out = (out << np.uint64(8)) | np.where(k < rest, self.data[at + k], 0).astype(np.uint64)
+        return out, rest
+
+
+def deep_shallow(suffixes: Suffixes, group: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of the texts of each group, which agree on `known` bytes, and the common prefix length of each with the one
+    before (-1 for a group's first). All groups are refined together: shallow by words of bytes, deep by a blind trie for each."""
+    order = np.argsort(group, kind="stable")
+    cut = np.ones(len(order), bool)
+    cut[1:] = group[order[1:]] != group[order[:-1]]
+    heads = cut.copy()
+    for depth in range(known, known + SHALLOW, _STEP):
+        part = np.cumsum(cut) - 1
+        open_ = np.flatnonzero(np.bincount(part, minlength=1)[part] > 1)
+        if not len(open_):
+            break
+        some, part = order[open_], part[open_]
+        word, rest = suffixes.word(some, depth)
+        k = np.lexsort((rest, word, part))
+        order[open_] = some[k]
+        word, rest = word[k], rest[k]
+        cut[open_[1:]] |= (word[1:] != word[:-1]) | (rest[1:] != rest[:-1])
+    texts = suffixes.texts
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(order))
+    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        order[a:b] = blind_order(texts, order[a:b].tolist(), known + SHALLOW)
+    lcp = np.full(len(order), -1, np.int64)
+    where = np.flatnonzero(~heads)
+    lcp[where] = [common(texts[x], texts[y], known) for x, y in zip(order[where - 1].tolist(), order[where].tolist(), strict=True)]
+    return order, lcp
+
+
+def compare(block: Block, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the block's members that another member of their key holds too."""
+    start, length = block.off[:-1], np.diff(block.off)
+    order_r, lcp_r = deep_shallow(Suffixes(block.data, start + block.anchor, length - block.anchor), block.group)
+    order_l, lcp_l = deep_shallow(Suffixes(block.data[::-1], len(block.data) - start - block.anchor, block.anchor), block.group)
+    many = np.bincount(block.group)[block.group] > 2
+    out = [_of_pairs(block, size, order_r, lcp_r, order_l, lcp_l, many)] + ([_of_groups(block, size, order_r, lcp_r, order_l, lcp_l, many)] if many.any() else [])
+    row, before, after = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, before, after, np.zeros(len(row), np.int64)
+
+
+def _of_pairs(block: Block, size: int, order_r, lcp_r, order_l, lcp_l, many) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of two members: what both prefix lengths leave is one range."""
+    right, left = np.empty(len(many), np.int64), np.empty(len(many), np.int64)
+    right[order_r], left[order_l] = lcp_r, lcp_l
+    first = np.flatnonzero(~many)[::2]  # members of a key stand together
+    second = first + 1
+    n_r, n_l = np.maximum(right[first], right[second]), np.maximum(left[first], left[second])
+    lo = np.maximum(size - n_r, np.maximum(block.before[first], block.before[second]))
+    hi = np.minimum(n_l, np.minimum(block.after[first], block.after[second]))
+    some = lo <= hi
+    return np.concatenate([first[some], second[some]]), np.tile(lo[some], 2), np.tile(hi[some], 2)
+
+
+def _of_groups(block: Block, size: int, order_r, lcp_r, order_l, lcp_l, many) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of more: at each offset, members that neighbours' prefix lengths join in both orders are alike."""
+    rows = np.flatnonzero(many)
+    place = np.cumsum(many) - 1
+    keep_r, keep_l = many[order_r], many[order_l]
+    right, left, lcp_r, lcp_l = place[order_r[keep_r]], place[order_l[keep_l]], lcp_r[keep_r], lcp_l[keep_l]
+    low, high = block.before[rows], block.after[rows]
     first, last = int(low.min()), int(high.max())
-    offsets = np.arange(first, last + 1)
-    right, left = np.array(order_r), np.array(order_l)
-    hit = np.zeros((m, len(offsets)), bool)
-    for k, o in enumerate(offsets.tolist()):
-        valid = (low <= o) & (o <= high)
-        if valid.sum() < 2:
-            continue
-        r, le = np.empty(m, np.int64), np.empty(m, np.int64)
-        r[right] = np.cumsum(lcp_r < size - o)
-        le[left] = np.cumsum(lcp_l < o)
-        pair = (r * (m + 1) + le)[valid]
-        _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        hit[np.flatnonzero(valid), k] = counts[inverse] > 1
-    return [(g["hull"], first + x, first + y, 0) for g, flags in zip(group, hit, strict=True) if g["n"] == 1 for x, y in runs(flags)]
-
-
-def compare_two(a: dict, b: dict, size: int) -> list[tuple[int, int, int, int]]:
-    """The same for two segments: one range of offsets."""
-    x, y = a["anchor"], b["anchor"]
-    right = common(a["content"][x:], b["content"][y:])
-    left = common(a["content"][:x][::-1], b["content"][:y][::-1])
-    lo, hi = max(size - right, a["before"], b["before"]), min(left, a["after"], b["after"])
-    return [(g["hull"], lo, hi, 0) for g in (a, b) if g["n"] == 1] if lo <= hi else []
+    hit = np.zeros((len(rows), last - first + 3), np.int8)  # an empty column at each end
+    r, le = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    for o in range(first, last + 1):
+        some = np.flatnonzero((low <= o) & (o <= high))
+        r[right], le[left] = np.cumsum(lcp_r < size - o), np.cumsum(lcp_l < o)
+        pair = (r * (len(rows) + 1) + le)[some]
+        by = np.argsort(pair)
+        same = np.diff(pair[by]) == 0
+        alike = np.append(same, False) | np.append(False, same)
+        hit[some[by[alike]], o - first + 1] = 1
+    edge = np.diff(hit, axis=1)
+    row, x = np.nonzero(edge == 1)
+    return rows[row], first + x, first + np.nonzero(edge == -1)[1] - 1
 
 
 def byte_units(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     buf, off = utf8(arr)
     for a, b in chunks(off):
         part = buf[off[a] : off[b]]
-        yield a, b, prefix(letters(50)[part]), prefix(letters(51)[part]), off[a : b + 1] - off[a]
+        yield a, b, prefix(part), prefix(part, 1), off[a : b + 1] - off[a]
+
+
+def byte_cut(arr: pa.Array):
+    buf, off = utf8(arr)
 
+    def take(row: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return buf[gather(off[row] + lo, end - lo)], np.append(0, np.cumsum(end - lo))
 
-def byte_cut(arr: pa.Array, spans: list[list[tuple[int, int]]]) -> list[list[bytes]]:
-    return [[t[x:y] for x, y in some] for t, some in zip(arr.cast(pa.binary()).to_pylist(), spans, strict=True)]
+    return take
 
 
 def _removing(size: int):
@@ -224,11 +253,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row for each row of docs: id, n_bytes, removed spans (byte positions, end exclusive), kept bytes."""
     arrow_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
-
-    def group(rows: list[dict]) -> list[tuple[int, int, int, int]]:
-        return compare_two(*rows, size) if len(rows) == 2 else compare(rows, size, gram)
-
-    found = Repeats(size=size, gram=gram, units=byte_units, cut=byte_cut, compare=group, part=lambda t, x, y: t[x:y], earlier=False).find(texts)
+    found = Repeats(size=size, gram=gram, units=byte_units, cut=byte_cut, compare=lambda b: compare(b, size), part=lambda t, x, y: t[x:y], earlier=False).find(texts)
     rows = texts.join(found.hint("shuffle_hash"), ["id", "text_key"], "left").select("id", "text", "windows")
     out = rows.mapInArrow(_removing(size), "id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
     return out.select(shown(F.col("id")).alias(id_col), "n_bytes", "spans", "kept")

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from factloom.llm import rlz_dedup, suffix_dedup
@@ -49,7 +50,9 @@ def test_deep_shallow_sorts_like_sorted():
     rng = random.Random(3)
     base = bytes(rng.choice(b"ab") for _ in range(300))
     texts = [base[: rng.randint(0, 300)] + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 5))) for _ in range(300)] + [base] * 4 + [b""] * 3
-    order, lcp = suffix_dedup.deep_shallow(texts)
+    length = np.array(list(map(len, texts)))
+    suffixes = suffix_dedup.Suffixes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(length) - length, length)
+    order, lcp = suffix_dedup.deep_shallow(suffixes, np.zeros(len(texts), np.int64))
     assert [texts[i] for i in order] == sorted(texts)
     assert sorted(order) == list(range(len(texts)))
     for k in range(1, len(order)):
