@@ -187,6 +187,8 @@ def _of_groups(block: Block, size: int, order_r, lcp_r, order_l, lcp_l, many) ->
     r, le = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
     for o in range(first, last + 1):
         some = np.flatnonzero((low <= o) & (o <= high))
+        if len(some) < 2:
+            continue
         r[right], le[left] = np.cumsum(lcp_r < size - o), np.cumsum(lcp_l < o)
         pair = (r * (len(rows) + 1) + le)[some]
         by = np.argsort(pair)

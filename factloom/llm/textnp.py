@@ -28,17 +28,37 @@ _INVERSES = tuple(pow(b, -1, PRIME) for b in _BASES)
 _LOW31, _LOW30, _30, _31, _61 = _U((1 << 31) - 1), _U((1 << 30) - 1), _U(30), _U(31), _U(61)
 
 
+#: Numbers handled at once, so that what lies between stays in a processor's cache.
+_RUN = 1 << 14
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
     """Any 64-bit numbers modulo the prime."""
-    x = (x & _P) + (x >> _61)
-    return np.where(x >= _P, x - _P, x)
+    y = x >> _61
+    y += x & _P
+    return np.minimum(y, y - _P)  # below the prime the difference wraps around
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products modulo the prime of numbers below it."""
-    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
-    middle = a1 * b0 + a0 * b1
-    return reduced(((a1 * b1) << _U(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+    out = np.empty(len(a), _U)
+    for k in range(0, len(a), _RUN):
+        x, y = a[k : k + _RUN], b[k : k + _RUN]
+        high, low, middle = x >> _31, x & _LOW31, y & _LOW31
+        both = high * middle
+        middle *= low
+        y = y >> _31
+        low *= y
+        both += low
+        high *= y
+        high <<= _U(1)
+        high += middle
+        high += both >> _30
+        both &= _LOW30
+        both <<= _31
+        high += both
+        out[k : k + _RUN] = reduced(high)
+    return out
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -46,7 +66,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     done = 1
     while done < n:
         step = min(done, n - done)
-        out[done : done + step] = times(out[:step], np.full(1, pow(base, done, PRIME), _U))
+        out[done : done + step] = times(out[:step], np.full(step, pow(base, done, PRIME), _U))
         done += step
     return out
 
@@ -75,25 +95,53 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix(values: np.ndarray, base: int = 0) -> np.ndarray:
     """Prefix sums modulo the prime of values (bytes, code points or hashes) times powers, one longer than the input."""
-    power = powers(len(values) + 1, base)[0][: len(values)]
-    if values.dtype == _U:
-        term = times(reduced(values), power)
-    else:  # small letters: a product needs fewer parts
-        letter = values.astype(_U) + _U(1)
-        high = (power >> _31) * letter
-        term = reduced((high >> _30) + ((high & _LOW30) << _31) + (power & _LOW31) * letter)
+    power = powers(len(values) + 1, base)[0]
     out = np.zeros(len(values) + 1, _U)
-    # Halves of the terms are summed apart, so that no sum passes 2**64; 2**30 of the upper half's sum wraps around 61 bits.
-    high, low = reduced(np.cumsum(term >> _30)), np.cumsum(term & _LOW30)
-    out[1:] = reduced((high >> _31) + ((high & _LOW31) << _30) + reduced(low))
+    total = _U(0)
+    for k in range(0, len(values), _RUN):
+        some = values[k : k + _RUN]
+        by = power[k : k + len(some)]
+        if some.dtype == _U:
+            term = times(reduced(some), by)
+        else:  # small letters: a product needs fewer parts
+            letter = some.astype(_U)
+            letter += _U(1)
+            term = by >> _31
+            term *= letter
+            letter *= by & _LOW31
+            letter += term >> _30
+            term &= _LOW30
+            term <<= _31
+            term += letter
+            term = reduced(term)
+        # Halves of the terms are summed apart, so that no sum passes 2**64; the upper half's weight is 2**30.
+        high = np.cumsum(term >> _30)
+        term &= _LOW30
+        low = np.cumsum(term)
+        low += high >> _31
+        high &= _LOW31
+        high <<= _30
+        low += high
+        low += total
+        out[k + 1 : k + 1 + len(some)] = reduced(low)
+        total = out[k + len(some)]
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
     """64-bit hash of each span [start, end); equal contents hash alike wherever they stand."""
-    d = sums[end] + (_P - sums[start])
-    h = times(np.where(d >= _P, d - _P, d), powers(len(sums), base)[1][start])
-    return mix(h + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+    out, inverse = np.empty(len(start), _U), powers(len(sums), base)[1]
+    for k in range(0, len(start), _RUN):
+        x, y = start[k : k + _RUN], end[k : k + _RUN]
+        d = sums[y]
+        d += _P
+        d -= sums[x]
+        h = times(np.minimum(d, d - _P), inverse[x])
+        n = (y - x).astype(_U)
+        n *= _U(0xA24BAED4963EE407)
+        h += n
+        out[k : k + _RUN] = mix(h)
+    return out
 
 
 def set_hash(h: np.ndarray, starts: np.ndarray, which: int) -> np.ndarray:
