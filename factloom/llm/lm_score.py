@@ -1,26 +1,26 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models over one vocabulary are counted from the whole corpus: the
-background model from every text, the target model from the texts marked as
-target. A text's score is the mean over its words of the target loss less the
-background loss; the lower, the more it reads like the target texts. Both models
-smooth alike: a bigram backs off to its word, a word to a uniform share, each
-with a fixed prior weight, and words outside the vocabulary are one unknown word.
-
-Counting is two scans with counts summed in each task and then by a shuffle, so
-what is gathered grows with the corpus. The vocabulary keeps the words whose
-counts reach the smallest threshold at which at most VOCABULARY words remain,
-equal counts together; with its counts it is all that is broadcast. Every bigram
-counted over it stays in the model's table. Scoring numbers the words of
-documents in blocks; each block asks for its distinct bigrams once, dealt by key
-into buckets where they meet the table, so a key comes at most once from a block
-and none is hot; the answers go back to their block, which sums its texts' losses.
+background model from every text, the target model from the target texts. A
+text's score is the mean over its words of the target loss less the background
+loss; the lower, the more it reads like the target texts. Both models smooth
+alike: a bigram backs off to its word, a word to a uniform share, each
+with a fixed prior weight. The context of a text's first word is its start; a
+context's mass that no word takes is that of texts that end there. A word that
+the corpus does not hold has the uniform share alone.
+
+The vocabulary is every word of the corpus: counts of words and of bigrams go into one table by
+64-bit key, counted in one scan with counts summed in each task and then by a
+shuffle, and nothing in it is dropped or broadcast, so what is gathered grows
+with the corpus. Scoring numbers the words of documents in blocks; each block
+asks for its distinct words and bigrams once, dealt by key into buckets where
+they meet the table, so a key comes at most once from a block and none is hot;
+the answers go back to their block, which sums its texts' losses.
 
 Words are maximal runs of anything but the six ASCII spaces, A-Z lower-cased.
-Defined cases: a null or empty text has no words, no losses and score 0; without
-target texts the target model is the uniform prior; a null mark counts as not
-target; a text marked twice is target if one mark says so; repeated rows each
-count and keep their own row; other columns of the inputs are not read.
+Defined cases: a null or empty text has no words, losses and score 0; without
+target texts the target model is the uniform prior; repeated rows each count and
+keep their own row; other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -34,18 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from factloom.llm.shared import arrow_batches, read, stored
-from factloom.llm.textnp import chunks, column, fold_table, prefix, span_hash, utf8, word_spans, word_table
+from factloom.llm.shared import arrow_batches, read, spread, stored
+from factloom.llm.textnp import chunks, column, fold_table, mix, prefix, span_hash, utf8, word_spans, word_table
 
-VOCABULARY = 65_535
 #: Prior weights of a word's share among all words, and of the uniform share.
 PRIOR_BIGRAM, PRIOR_WORD = 20.0, 1000.0
-#: Distinct counts that a task gathers before it sends them on.
-_HELD = 1_000_000
+#: Keys that a task gathers before it counts them and sends them on.
+_HELD = 4_000_000
 #: Words in a block that is scored at once; a longer text stands alone.
-_BLOCK = 1_000_000
-#: Bigrams in a bucket where blocks meet the table.
+_BLOCK = 2_000_000
+#: Keys in a bucket where blocks meet the table.
 _BUCKET = 2_000_000
+#: The key of a text's start; the keys of words are even, those of bigrams odd.
+_START = 0
 
 
 def word_hashes(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -56,136 +57,74 @@ def word_hashes(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield a, b, span_hash(prefix(part), s, e), rows
 
 
-class Tally:
-    """Counts of 64-bit keys, for all texts and for target texts."""
+def word_keys(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(2)) << np.uint64(1)).view(np.int64)
 
-    def __init__(self):
-        self.keys, self.all, self.target = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        both = np.concatenate([self.keys, keys])
-        uniq, inverse = np.unique(both, return_inverse=True)
-        n = len(self.keys)
-        self.all = (np.bincount(inverse[:n], self.all, len(uniq)) + np.bincount(inverse[n:], minlength=len(uniq))).astype(np.int64)
-        self.target = (np.bincount(inverse[:n], self.target, len(uniq)) + np.bincount(inverse[n:], target, len(uniq))).astype(np.int64)
-        self.keys = uniq
+def bigram_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = mix(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64))
+    return ((mix(h ^ v.view(np.uint64)) >> np.uint64(2)) << np.uint64(1) | np.uint64(1)).view(np.int64)
 
-    def batches(self, least: int) -> Iterator[pa.RecordBatch]:
-        if len(self.keys) > least:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (self.keys, self.all, self.target)], names=["key", "every", "target"])
-            self.__init__()
 
+def contexts(words: np.ndarray, rows: np.ndarray, start: int) -> np.ndarray:
+    """The word before each word, or the start of its text; rows are the texts' n+1 offsets."""
+    before = np.concatenate([words[:1], words[:-1]])
+    before[rows[:-1][np.diff(rows) > 0]] = start
+    return before
 
-_COUNTS = "key long, every long, target long"
 
+_COUNTS = "key long, every long, target long"
 
-def _counting(keys_of):
-    """keys_of: words' hashes and row offsets to keys and the row of each."""
 
+def _counting(target: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, prepared = Tally(), keys_of()
-        for batch in batches:
-            marks = column(batch, "target").to_numpy(zero_copy_only=False)
-            for a, b, h, rows in word_hashes(column(batch, "text")):
-                keys, row = prepared(h, rows)
-                tally.add(keys, marks[a:b][row])
-                yield from tally.batches(_HELD)
-        yield from tally.batches(0)
-
-    return run
-
-
-def _word_keys():
-    return lambda h, rows: (h.view(np.int64), np.repeat(np.arange(len(rows) - 1), np.diff(rows)))
-
-
-def _bigram_keys(broadcast):
-    def prepare():
-        ids = Ids(broadcast.value)
-
-        def keys(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            w, v = ids.pairs(h, rows)
-            return v * (1 << 20) + w, np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+        held: list[np.ndarray] = []
 
-        return keys
-
-    return prepare
+        def counted() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            n, none = pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(keys), none if target else n, n if target else none], names=["key", "every", "target"])
 
+        for batch in batches:
+            for _, _, h, rows in word_hashes(column(batch, "text")):
+                words = word_keys(h)
+                held += [words, bigram_keys(contexts(words, rows, _START), words), np.full(np.count_nonzero(np.diff(rows)), _START)]
+                if sum(map(len, held)) >= _HELD:
+                    yield counted()
+        if held:
+            yield counted()
 
-class Ids:
-    """Numbers of the vocabulary's words: 0 starts a text, 1 is unknown, then by order of hash."""
+    return run
 
-    def __init__(self, sorted_hashes: np.ndarray):
-        self.have = sorted_hashes
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.have):
-            return np.ones(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.have, h.view(np.int64)), len(self.have) - 1)
-        return np.where(self.have[at] == h.view(np.int64), at + 2, 1)
+class Totals:
+    """What is known of both models besides the table: words of the vocabulary, and words of all texts and of target texts."""
 
-    def pairs(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's number and that of the word before it."""
-        w = self.of(h)
-        v = np.concatenate([[0], w[:-1]]) if len(w) else w.copy()
-        starts = rows[:-1][np.diff(rows) > 0]
-        v[starts] = 0
-        return w, v
+    def __init__(self, vocabulary: int, words: tuple[int, int]):
+        self.uniform, self.words = 1.0 / (vocabulary + 1), np.array(words, float)
 
+    def losses(self, pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """(n, 2): background and target loss in nats of words, given counts of the bigram, its context and its word."""
+        share = (word + PRIOR_WORD * self.uniform) / (self.words + PRIOR_WORD)
+        return -np.log((pair + PRIOR_BIGRAM * share) / (context + PRIOR_BIGRAM))
 
-class Shares:
-    """The vocabulary with its counts: what is broadcast of a model."""
 
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, context: np.ndarray):
-        """words: sorted hashes; word_counts and context: (numbers, 2)."""
-        self.ids, self.context = Ids(words), context
-        uniform = 1.0 / (len(words) + 1)
-        self.share = (word_counts + PRIOR_WORD * uniform) / (word_counts.sum(axis=0) + PRIOR_WORD)
-        self.share[0] = 0  # no word
+class Model:
+    """Both models: the totals, and the table (key, every, target) of all words and bigrams."""
 
-    def losses(self, keys: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """(keys, 2): background and target loss in nats of bigrams that were counted so often."""
-        v, w = keys >> 20, keys & ((1 << 20) - 1)
-        return -np.log((found + PRIOR_BIGRAM * self.share[w]) / (self.context[v] + PRIOR_BIGRAM))
+    def __init__(self, totals: Totals, table: DataFrame):
+        self.totals, self.table = totals, table
 
 
-class Model:
-    """Both models: the vocabulary's shares, and the table (key, every, target) of all bigrams."""
-
-    def __init__(self, shares: Shares, pairs: DataFrame):
-        self.shares, self.pairs, self.share = shares, pairs, shares.share
-
-
-def kept(counts: DataFrame, most: int, cap: int = 100_000) -> DataFrame:
-    """Rows whose `every` reaches the smallest count at which at most `most` rows remain."""
-    sizes = counts.groupBy(F.least("every", F.lit(cap)).alias("count")).agg(F.count("*").alias("rows")).orderBy(F.desc("count")).collect()
-    total, least = 0, cap + 1
-    for r in sizes:  # at most cap rows, whatever the corpus
-        total += r["rows"]
-        if total > most:
-            break
-        least = r["count"]
-    return counts.where(F.col("every") >= least)
-
-
-def train(docs: DataFrame, *, text_col: str = "text", target_col: str = "target", vocabulary: int = VOCABULARY) -> Model:
-    """Counts both models over all of docs; target_col is boolean."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
-    summed = [F.sum("every").alias("every"), F.sum("target").alias("target")]
-    words = stored(rows.mapInArrow(_counting(_word_keys), _COUNTS).groupBy("key").agg(*summed), "words")
-    top = kept(words, vocabulary).toArrow().sort_by("key")
-    hashes = top["key"].to_numpy()
-    numbers = spark.sparkContext.broadcast(hashes)
-    pairs = stored(rows.mapInArrow(_counting(_bigram_keys(numbers)), _COUNTS).groupBy("key").agg(*summed), "bigrams")
-    # Every word but a text's first has a context; sums over all bigrams give the contexts and the words' counts.
-    n = len(hashes) + 2
-    context, counts = np.zeros((n, 2)), np.zeros((n, 2))
-    for table, number in ((context, F.shiftright("key", 20)), (counts, F.col("key").bitwiseAND((1 << 20) - 1))):
-        by = pairs.groupBy(number.alias("number")).agg(*summed).toArrow()
-        table[by["number"].to_numpy()] = np.stack([by["every"].to_numpy(), by["target"].to_numpy()], axis=1)
-    return Model(Shares(hashes, counts, context), pairs)
+def train(docs: DataFrame, target: DataFrame, *, text_col: str = "text") -> Model:
+    """Counts the background model over all of docs and the target model over all of target."""
+    arrow_batches(docs.sparkSession)
+    counts = [df.select(F.col(text_col).alias("text")).mapInArrow(_counting(mark), _COUNTS) for df, mark in ((docs, False), (target, True))]
+    table = stored(counts[0].unionByName(counts[1]).groupBy("key").agg(F.sum("every").alias("every"), F.sum("target").alias("target")), "counts")
+    words = table.where((F.col("key") % 2 == 0) & (F.col("key") != _START))
+    n, every, marked = words.agg(F.count("*"), F.sum("every"), F.sum("target")).first()
+    return Model(Totals(n, (every or 0, marked or 0)), table)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -200,19 +139,19 @@ def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
-def _numbering(broadcast, schema: pa.Schema):
-    """Documents to blocks: their ids, numbers of words, and the words' numbers in the vocabulary."""
+def _numbering(schema: pa.Schema):
+    """Documents to blocks: their ids, numbers of words, the block's distinct words, and which of them each word is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, held, size = broadcast.value.ids, [], 0
+        held, size = [], 0
 
         def block() -> pa.RecordBatch:
             ids = pa.concat_arrays([x for x, _, _ in held])
             lengths, words = (np.concatenate([x[k] for x in held]) for k in (1, 2))
-            n_keys = len(np.unique(_keys(lengths, words)))
-            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            values = [[uuid.uuid4().hex], lists, [_packed(lengths)], [_packed(words.astype(np.int32))], [len(words)], [n_keys]]
-            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+            known, words = np.unique(words, return_inverse=True)
+            made = {"block": [uuid.uuid4().hex], "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "lengths": [_packed(lengths)], "known": [_packed(np.diff(known, prepend=0))], "words": [_packed(words.astype(np.int32))]}
+            made |= {"n_known": [len(known)], "n_words": [len(words)], "n_keys": [len(_keys(known, words, lengths)[0])]}
+            return pa.RecordBatch.from_arrays([v if isinstance(v := made[f.name], pa.Array) else pa.array(v, f.type) for f in schema], schema=schema)
 
         for batch in batches:
             ids = column(batch, "id")
@@ -220,7 +159,7 @@ def _numbering(broadcast, schema: pa.Schema):
                 if size and size + len(h) > _BLOCK:
                     yield block()
                     held, size = [], 0
-                held.append((ids[a:b], np.diff(rows), numbers.of(h)))
+                held.append((ids[a:b], np.diff(rows), word_keys(h)))
                 size += len(h)
         if held:
             yield block()
@@ -228,11 +167,21 @@ def _numbering(broadcast, schema: pa.Schema):
     return run
 
 
-def _keys(lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The bigram that each word ends."""
-    before = np.concatenate([[0], words[:-1]]).astype(np.int64) if len(words) else words.astype(np.int64)
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
-    return before * (1 << 20) + words
+def _keys(known: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys that a block asks for, where its distinct bigrams, their contexts and their words are among them,
+    and which bigram each word ends."""
+    before = contexts(words.astype(np.int64), np.append(0, np.cumsum(lengths)), -1)
+    pairs, which = np.unique((before + 1) * (len(known) + 1) + words, return_inverse=True)
+    v, w = pairs // (len(known) + 1) - 1, known[pairs % (len(known) + 1)]
+    v = np.where(v < 0, _START, known[v]) if len(known) else v
+    bigrams = bigram_keys(v, w)
+    keys = np.unique(np.concatenate([[_START], known, bigrams]))
+    return keys, *(np.searchsorted(keys, x) for x in (bigrams, v, w)), which
+
+
+def _of_block(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, words and lengths of a block."""
+    return np.cumsum(_unpacked(r["known"], r["n_known"], np.int64)), _unpacked(r["words"], r["n_words"], np.int32), _unpacked(r["lengths"], r["n_rows"], np.int64)
 
 
 def _bucket(keys, buckets: int):
@@ -252,7 +201,7 @@ def _asking(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys = np.unique(_keys(_unpacked(r["lengths"], r["n_rows"], np.int64), _unpacked(r["words"], r["n_words"], np.int32)))
+                keys, *_ = _keys(*_of_block(r))
                 dealt = [(r["block"], k, len(at), _packed(np.diff(keys[at], prepend=0))) for k, at in _dealt(keys, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*dealt, strict=True) if dealt else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "n", "keys"])
 
@@ -263,7 +212,7 @@ _ANSWER = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("every", p
 
 
 def _answering(asked: pa.Table, table: pa.Table) -> pa.Table:
-    """Counts of the keys that each block asked one bucket for; 0 where a bigram was never counted."""
+    """Counts of the keys that each block asked one bucket for; 0 for what was never counted."""
     out: list[list] = [[], [], [], []]
     have = table["key"].to_numpy() if table.num_rows else np.zeros(0, np.int64)
     order = np.argsort(have)
@@ -279,21 +228,24 @@ def _answering(asked: pa.Table, table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(out, _ANSWER, strict=True)], schema=_ANSWER)
 
 
-def _scoring(broadcast, buckets: int, schema: pa.Schema):
+_BLOCK_COLUMNS = ("known", "words", "lengths", "n_known", "n_words", "n_rows")
+
+
+def _scoring(totals: Totals, buckets: int, schema: pa.Schema):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        shares, parts = broadcast.value, [schema.empty_table()]
+        parts = [schema.empty_table()]
         got = {k: (x, y) for k, x, y in zip(*(answers[c].to_pylist() for c in ("bucket", "every", "target")), strict=True)} if answers.num_rows else {}
         for i in range(blocks.num_rows):
-            r = {c: blocks[c][i].as_py() for c in ("lengths", "words", "n_rows", "n_words")}
-            n = _unpacked(r["lengths"], r["n_rows"], np.int64)
-            keys, where = np.unique(_keys(n, _unpacked(r["words"], r["n_words"], np.int32)), return_inverse=True)
+            r = {c: blocks[c][i].as_py() for c in _BLOCK_COLUMNS}
+            known, words, n = _of_block(r)
+            keys, pair, context, word, which = _keys(known, words, n)
             found = np.zeros((len(keys), 2))
             for k, at in _dealt(keys, buckets):
                 found[at] = np.stack([_unpacked(x, len(at), np.int64) for x in got[k]], axis=1)
-            loss = shares.losses(keys, found)[where]
+            loss = totals.losses(found[pair], found[context], found[word])[which]
             rows = np.repeat(np.arange(len(n)), n)
-            back, target = (np.bincount(rows, loss[:, k], len(n)) for k in (0, 1))
-            columns = [blocks["ids"][i].values, pa.array(n), pa.array(target), pa.array(back), pa.array((target - back) / np.maximum(n, 1))]
+            back, target = (np.bincount(rows, loss[:, k], len(n)) / np.maximum(n, 1) for k in (0, 1))
+            columns = [blocks["ids"][i].values, pa.array(n), pa.array(target), pa.array(back), pa.array(target - back)]
             parts.append(pa.Table.from_arrays(columns, schema=schema))
         return pa.concat_tables(parts)
 
@@ -301,30 +253,49 @@ def _scoring(broadcast, buckets: int, schema: pa.Schema):
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, n_words, target_loss, background_loss, score) for each row of docs."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
+    """One row (id, n_words, target_loss, background_loss, score) for each row of docs; losses are means over the words, in nats."""
+    arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     schema = pa.schema([("id", to_arrow_type(kind)), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-    packed = pa.schema([("block", pa.string()), ("ids", pa.list_(to_arrow_type(kind))), ("lengths", pa.binary()), ("words", pa.binary()), ("n_words", pa.int64()), ("n_keys", pa.int64())])
-    shares = spark.sparkContext.broadcast(model.shares)
+    packed = pa.schema([("block", pa.string()), ("ids", pa.list_(to_arrow_type(kind))), *((c, pa.binary()) for c in ("lengths", "known", "words")), *((c, pa.int64()) for c in ("n_known", "n_words", "n_keys"))])
     # Block names are made up by the tasks: they hold once the blocks are written.
-    blocks = stored(rows.mapInArrow(_numbering(shares, packed), f"block string, ids array<{kind.simpleString()}>, lengths binary, words binary, n_words long, n_keys long"), "blocks")
+    blocks = stored(rows.mapInArrow(_numbering(packed), f"block string, ids array<{kind.simpleString()}>, lengths binary, known binary, words binary, n_known long, n_words long, n_keys long"), "blocks")
     blocks = blocks.withColumn("n_rows", F.size("ids").cast("long"))
     buckets = int(blocks.agg(F.sum("n_keys")).first()[0] or 0) // _BUCKET + 1
-    buckets = max(buckets, model.pairs.count() // _BUCKET + 1)
-    asked = blocks.select("block", "lengths", "words", "n_words", "n_rows").mapInArrow(_asking(buckets), "block string, bucket long, n long, keys binary")
-    table = model.pairs.withColumn("bucket", _bucket(F.col("key"), buckets))
+    buckets = max(buckets, model.table.count() // _BUCKET + 1)
+    asked = blocks.select("block", *_BLOCK_COLUMNS).mapInArrow(_asking(buckets), "block string, bucket long, n long, keys binary")
+    table = model.table.withColumn("bucket", _bucket(F.col("key"), buckets))
     answers = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_answering, "block string, bucket long, every binary, target binary")
-    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(shares, buckets, schema), f"id {kind.simpleString()}, n_words long, target_loss double, background_loss double, score double")
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(model.totals, buckets, schema), f"id {kind.simpleString()}, n_words long, target_loss double, background_loss double, score double")
     return found.withColumnRenamed("id", id_col)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target texts are those labelled of good quality. Labels grow with the corpus, so texts meet them by a shuffle at every
-    size; that is done once, and both counting scans read the table it leaves."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    good = read(spark, sf_dir, "labels", "doc_id", "quality").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("target"))
-    marked = stored(docs.join(good.hint("shuffle_hash"), "doc_id", "left").select("text", "target"), "marked")
-    return score(docs, train(marked))
+    """Target texts are those labelled of good quality. Labels grow with the corpus, so texts meet them by a shuffle at every size."""
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    good = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id")
+    target = docs.join(good.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    found = score(docs, train(docs, target))
+    return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
+#: Words and bigrams of all texts, and of those labelled good, by plain joins.
+SQL = f"""
+WITH RECURSIVE tokens AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
+events AS MATERIALIZED (SELECT r, good, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS v FROM tokens),
+word AS MATERIALIZED (SELECT w, count(*) AS every, count(*) FILTER (WHERE good) AS target FROM events GROUP BY w),
+pair AS MATERIALIZED (SELECT v, w, count(*) AS every, count(*) FILTER (WHERE good) AS target FROM events GROUP BY v, w),
+starts AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS every, count(*) FILTER (WHERE len(ws) > 0 AND good) AS target FROM tokens),
+total AS (SELECT count(*) AS v, sum(every) AS every, sum(target) AS target FROM word),
+loss AS MATERIALIZED (SELECT p.v, p.w,
+    -ln((p.every + {PRIOR_BIGRAM} * (w.every + {PRIOR_WORD} / (t.v + 1)) / (t.every + {PRIOR_WORD})) / (CASE WHEN p.v IS NULL THEN s.every ELSE c.every END + {PRIOR_BIGRAM})) AS back,
+    -ln((p.target + {PRIOR_BIGRAM} * (w.target + {PRIOR_WORD} / (t.v + 1)) / (t.target + {PRIOR_WORD})) / (CASE WHEN p.v IS NULL THEN s.target ELSE c.target END + {PRIOR_BIGRAM})) AS target
+  FROM pair p JOIN word w ON p.w = w.w LEFT JOIN word c ON p.v = c.w CROSS JOIN total t CROSS JOIN starts s),
+summed AS (SELECT e.r, sum(l.back) AS back, sum(l.target) AS target FROM events e JOIN loss l ON e.w = l.w AND e.v IS NOT DISTINCT FROM l.v GROUP BY e.r)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, round(coalesce(s.target / len(t.ws), 0), 6) AS target_loss, round(coalesce(s.back / len(t.ws), 0), 6) AS background_loss,
+  round(coalesce((s.target - s.back) / len(t.ws), 0), 6) AS score
+FROM tokens t LEFT JOIN summed s ON t.r = s.r
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factloom.llm import lm_score
 from factloom.llm.bpe import op6_bpe
 from factloom.llm.decontaminate import op10_decontaminate
 from factloom.llm.language import op4_language
@@ -14,4 +15,4 @@ from factloom.llm.suffix_dedup import op2_suffix_dedup
 from factloom.llm.token_files import op9_token_files
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_lm_score, op4_language, op5_rlz_dedup, op6_bpe, op7_secrets, op8_quality, op9_token_files, op10_decontaminate)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_lm_score": lm_score.SQL}
