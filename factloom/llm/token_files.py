@@ -2,7 +2,8 @@
 
 Documents are dealt by ranges of their id, encoded, and packed one after the
 other, each closed by an end id, into sequences of equal length. Each range is
-one file, an Arrow IPC stream whose batches hold, for every sequence,
+one file or several, each an Arrow IPC stream whose batches hold, for every
+sequence,
 
   input_ids  fixed_size_list<uint16 or uint32>[length]
   mask       fixed_size_list<bool>[length]   false where the last sequence is padded
@@ -10,9 +11,11 @@ one file, an Arrow IPC stream whose batches hold, for every sequence,
   doc_ids    list<int64>                     the documents that end in it
 
 so that a reader maps a file into memory and takes sequence k as a slice of the
-child array, without a copy. Files have fixed names and appear by a rename: a
-task that runs again or twice leaves one whole file. The folder must be one that
-all executors reach, given as a path or URI.
+child array, without a copy. Files have names of their own for each attempt of a
+task, and a manifest, written by Spark once all tasks are done, lists those that
+count: a task that runs again or twice changes nothing. The folder must be one
+that all executors reach, given as a path or a URI of a scheme that
+pyarrow.fs.FileSystem.from_uri knows (file, hdfs, s3, gs).
 
 Defined cases: null and empty texts are the end id alone; null ids come first;
 rows with equal ids follow each other by text; an empty table gives no files and
@@ -43,6 +46,8 @@ SEQUENCE = 2048
 BATCH_SEQUENCES = 64
 #: Bytes of text for one file.
 FILE_BYTES = 24 << 20
+#: Most ranges of ids that are dealt out, and ranges whose starts are summed in one task.
+RANGES, GROUP = 50_000, 1000
 
 
 class LibraryEncoder(Encoder):
@@ -130,50 +135,49 @@ def documents_in(reader: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None,
         at += n
 
 
-def _writing(broadcast, folder: str, length: int, end_id: int, wide: bool):
-    schema = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+def _writing(broadcast, folder: str, length: int, end_id: int, wide: bool, file_bytes: int):
+    schema = pa.schema([("range", pa.int64()), ("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part = context.partitionId()
-        first = next(batches, None)
-        if first is None:
-            return
-        encoder = LibraryEncoder(broadcast.value)
         fs, root = filesystem(folder)
-        path = f"{root}/part-{part:06d}.arrows"
-        fs.create_dir(root, recursive=True)
-        draft = f"{root}/.draft-{part:06d}-{context.taskAttemptId()}"
-        n_docs = 0
-        with fs.open_output_stream(draft) as sink:
-            writer = SequenceWriter(sink, length, wide)
-
-            def add(batch: pa.RecordBatch) -> int:
-                docs = column(batch, "id").to_pylist()
-                for a, b, tokens, rows in encoder(column(batch, "text")):
-                    n = np.diff(rows)
-                    ends = np.cumsum(n + 1) - 1
-                    out = np.full(len(tokens) + b - a, end_id, np.uint32)
-                    last = np.zeros(len(out), bool)
-                    last[ends] = True
-                    out[~last] = tokens
-                    writer.add(out, last, docs[a:b])
-                return len(docs)
-
-            n_docs += add(first)
-            for batch in batches:
-                n_docs += add(batch)
+        encoder, part, writer, sink, n_docs, n_bytes = None, 0, None, None, 0, 0
+
+        def closed() -> pa.RecordBatch:
             writer.close()
-        if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
-            fs.delete_file(path)
-        fs.move(draft, path)
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, f"{folder}/part-{part:06d}.arrows", n_docs, writer.total)], schema=schema)
+            sink.close()
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (context.partitionId(), part, f"{folder}/{name}", n_docs, writer.total)], schema=schema)
+
+        for batch in batches:
+            encoder = encoder or LibraryEncoder(broadcast.value)
+            docs, texts = column(batch, "id").to_pylist(), column(batch, "text")
+            for a, b, tokens, rows in encoder(texts):
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    name = f"range-{context.partitionId():06d}-{part:05d}-{context.taskAttemptId()}.arrows"
+                    sink = fs.open_output_stream(f"{root}/{name}")
+                    writer, n_docs, n_bytes = SequenceWriter(sink, length, wide), 0, 0
+                n = np.diff(rows)
+                ends = np.cumsum(n + 1) - 1
+                out = np.full(len(tokens) + b - a, end_id, np.uint32)
+                last = np.zeros(len(out), bool)
+                last[ends] = True
+                out[~last] = tokens
+                writer.add(out, last, docs[a:b])
+                n_docs += b - a
+                n_bytes += texts[a:b].nbytes
+                if n_bytes >= file_bytes:
+                    yield closed()
+                    part, writer = part + 1, None
+        if writer is not None:
+            yield closed()
 
     return run
 
 
 def write_sequences(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = SEQUENCE, end_id: int = 0) -> DataFrame:
-    """Writes the files and returns the manifest: part, path, n_docs, n_tokens and start, the ids before the file."""
+    """Writes the files and returns the manifest: path, n_docs, n_tokens and start, the ids before the file, and its place by range
+    and part. Only files in the manifest count: a task that ran twice or was lost may leave others, with names of their own."""
     spark = docs.sparkSession
     arrow_batches(spark)
     with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
@@ -182,12 +186,19 @@ def write_sequences(docs: DataFrame, folder: str, *, id_col: str = "doc_id", tex
 
     wide = Tokenizer.from_str(file).get_vocab_size(with_added_tokens=True) > 1 << 16 or end_id >= 1 << 16
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(1, int(size // FILE_BYTES) + 1)
-    ranged = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
-    made = ranged.mapInArrow(_writing(spark.sparkContext.broadcast(file), folder, length, end_id, wide), "part long, path string, n_docs long, n_tokens long")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return stored(made, "manifest").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    size = int(rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0)
+    # A range is one task. The driver samples ids for every range, so beyond RANGES of them ranges grow and hold several files each.
+    ranges = size // max(FILE_BYTES, size // RANGES, 1) + 1
+    ranged = rows.repartitionByRange(ranges, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    made = ranged.mapInArrow(_writing(spark.sparkContext.broadcast(file), folder, length, end_id, wide, FILE_BYTES), "range long, part long, path string, n_docs long, n_tokens long")
+    made = stored(made, "manifest")
+    # Starts in two steps: over groups of ranges in one task, a row for each group, then within each group.
+    group = F.floor(F.col("range") / GROUP)
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = made.groupBy(group.alias("group")).agg(F.sum("n_tokens").alias("tokens"))
+    sums = sums.select("group", F.coalesce(F.sum("tokens").over(before(["group"])), F.lit(0)).alias("ahead"))
+    within = made.withColumn("group", group).withColumn("inner", F.coalesce(F.sum("n_tokens").over(before("group", ["range", "part"])), F.lit(0)))
+    return within.join(sums, "group").select("range", "part", "path", "n_docs", "n_tokens", (F.col("ahead") + F.col("inner")).alias("start"))
 
 
 def read_documents(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -208,8 +219,8 @@ def read_documents(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=schema)
 
-    files = max(1, manifest.count())
-    dealt = manifest.select("part", "path", "start").repartitionByRange(files, "part")
+    files = manifest.count()
+    dealt = manifest.select("path", "start").repartition(max(1, min(files, RANGES)), "path")
     return dealt.select("path", "start").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 

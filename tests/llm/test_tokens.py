@@ -52,7 +52,7 @@ def test_token_files_round_trip(spark, library, monkeypatch):
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, found), key=lambda r: r[1]) == expected
-    first = manifest.orderBy("part").first()
+    first = manifest.orderBy("range", "part").first()
     with pa.memory_map(first.path.removeprefix("file:").replace("//", "/", 1)) as source:
         table = pa.ipc.open_stream(source).read_all()
     assert table.schema.field("input_ids").type == pa.list_(pa.uint16(), 64)
