@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.pretokens import Encoder
-from factloom.llm.shared import arrow_batches, read
+from factloom.llm.shared import arrow_batches, read, spread
 from factloom.llm.textnp import column, gather
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -224,6 +224,6 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", path: str | None = Non
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = decode(encode(read(spark, sf_dir, "documents", "doc_id", "text")))
+    back = decode(encode(spread(read(spark, sf_dir, "documents", "doc_id", "text"))))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -5,7 +5,7 @@ frequency in each language. An unseen word backs off to its character n-grams,
 marks of its two ends included, from the longest kept length down to single
 letters; the first length with a known n-gram gives the mean of their log
 frequencies. A text's language has the highest sum; its score is that language's
-share by softmax. The model is fitted to a hash sample of about TRAIN_DOCS
+share by softmax. The model is fitted to a hash sample of at most TRAIN_DOCS
 labelled texts and keeps the most frequent WORDS words and NGRAMS n-grams of
 each length, which bounds the broadcast.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.pretokens import LETTER, classes, code_points
-from factloom.llm.shared import arrow_batches, read, stored
+from factloom.llm.shared import arrow_batches, read, sampled, spread, stored
 from factloom.llm.textnp import chunks, column, gather, prefix, span_hash, utf8
 
 TRAIN_DOCS = 20_000
@@ -142,13 +142,11 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample: int = TRAIN_DOCS, words: int = WORDS, ngrams: int = NGRAMS) -> Model:
-    """Fits a model to labelled rows of docs."""
+def train(docs: DataFrame, *, id_col: str | None = None, text_col: str = "text", lang_col: str = "lang", sample: int = TRAIN_DOCS, words: int = WORDS, ngrams: int = NGRAMS) -> Model:
+    """Fits a model to at most `sample` labelled rows of docs, chosen by hash of the text and the id, if there is one."""
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    total = rows.count()
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / total) + 1)
+    rows = sampled(docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), sample, *([id_col] if id_col else []), text_col)
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.mapInArrow(_counting(), "n int, hash long, lang string, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
     per_key = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
     per_key = stored(per_key, "ngrams")
@@ -208,6 +206,6 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out()), id_col="doc_id")
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.graph import components
-from factloom.llm.shared import arrow_batches, read, stored
+from factloom.llm.shared import arrow_batches, read, spread, stored
 from factloom.llm.suffix_dedup import keyed, shown
 from factloom.llm.textnp import chunks, column, fold_table, mix, prefix, set_hash, span_hash, utf8, word_spans, word_table
 
@@ -226,4 +226,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), words=4)
+    return near_duplicates(spread(read(spark, sf_dir, "documents", "doc_id", "text")), words=4)

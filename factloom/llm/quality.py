@@ -25,9 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import read
+from factloom.llm.shared import read, sampled, spread
 
-#: Expected number of labelled rows that rules are learned from.
+#: Most labelled ids that rules are learned from.
 TRAIN_ROWS = 20_000
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -171,14 +171,11 @@ def cover(rows: list[dict], *, most_rules: int = 12, most_tests: int = 4, precis
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = TRAIN_ROWS) -> list[Rule]:
-    """Rules for documents labelled 0, from about `sample` labelled rows chosen by hash of the id."""
+    """Rules for documents labelled 0, from at most `sample` labelled ids, chosen by hash."""
     marks = labels.select(F.col(id_col).alias("labelled"), F.col(label_col).alias("label")).where(F.col("labelled").isNotNull() & F.col("label").isNotNull())
-    total = marks.count()
-    if total > sample:
-        marks = marks.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(1_000_000 * sample / total) + 1)
-    marks = marks.groupBy("labelled").agg(F.min("label").alias("label"))
+    marks = sampled(marks.groupBy("labelled").agg(F.min("label").alias("label")), sample, "labelled")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    some = texts.join(F.broadcast(marks), F.col("id") == F.col("labelled"))  # about `sample` rows of two numbers
+    some = texts.join(F.broadcast(marks), F.col("id") == F.col("labelled"))  # at most `sample` rows of two numbers
     found = statistics(some.select(F.struct("id", "label").alias("id"), "text"), id_col="id", text_col="text")
     rows = [r.asDict(recursive=True) for r in found.select("id", *FEATURES).orderBy(F.xxhash64("id.id"), "id.id", "n_words").collect()]
     return cover([{**{f: float(r[f]) for f in FEATURES}, "bad": int(r["id"]["label"] == 0)} for r in rows])
@@ -202,6 +199,6 @@ def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
     rules = learn(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
     return judged(statistics(docs), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -35,7 +35,7 @@ from factloom.llm.shared import arrow_batches, stored
 from factloom.llm.textnp import column, span_hash, utf8
 
 #: Most members under one key that are compared with each other.
-GROUP = 4000
+GROUP = 2000
 #: Bytes of members that a task compares at once, whole keys at a time; bytes of text that it cuts out at once.
 BLOCK_BYTES = 3 << 20
 _POSITION = np.uint64((1 << 28) - 1)

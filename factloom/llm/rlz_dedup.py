@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.repeats import Block, Repeats, binary
-from factloom.llm.shared import arrow_batches, read
+from factloom.llm.shared import arrow_batches, read, spread
 from factloom.llm.suffix_dedup import keyed, shown
 from factloom.llm.textnp import SPACES, chunks, column, covered, gather, prefix, span_hash, utf8, word_spans, word_table
 
@@ -195,6 +195,6 @@ def remove_copied(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_copied(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = remove_copied(spread(read(spark, sf_dir, "documents", "doc_id", "text")))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]).cast("long"))
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -6,8 +6,9 @@ marks around it and features of the whole text. Every token may be tagged;
 those whose score for outside beats all that their neighbours could add are
 outside on each best path, so Viterbi decoding falls apart exactly into the
 runs of the others.
-Training takes a bounded sample of texts (TRAIN_DOCS, by hash of the text)
-tagged by the fixed patterns, and generated lines in other common formats. It
+Training takes a bounded sample of texts (TRAIN_DOCS, by hash) tagged by the
+fixed patterns, each secret once more without what stands around it, and
+generated lines with secrets and harmless strings in other common formats. It
 takes them in pieces cut between any two outside tokens, each given that its
 neighbours are outside; equal pieces count together.
 Scanning is one pass over the texts without a shuffle.
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from factloom.llm.shared import arrow_batches, read
+from factloom.llm.shared import arrow_batches, read, sampled, spread
 from factloom.llm.textnp import chunks, column, fold_table, prefix, span_hash, utf8, word_spans
 
-#: Expected number of texts that the field is trained on.
+#: Most texts that the field is trained on.
 TRAIN_DOCS = 4000
+#: How much a generated line counts beside a line of the corpus, which has few secrets.
+GENERATED_WEIGHT = 10
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -91,9 +94,11 @@ def _cues() -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Sizes of the feature groups, in the order of features().
-GROUPS = (1, 11, 5, 5, 5, 2, 2, 6, 6, len(CUES) + 2, len(CUES) + 2, 5, 4, 4, 4)
+GROUPS = (1, 11, 5, 5, 5, 2, 2, 6, 6, len(CUES) + 2, len(CUES) + 2, 5, 4, 4, 4, 6, 88)
 N_FEATURES = sum(GROUPS)
 _STARTS = np.cumsum([0, *GROUPS[:-1]])
+#: The groups that tell what stands around a token, and their values where nothing telling does.
+_AROUND = {9: len(CUES), 10: len(CUES), 11: 0, 12: 0}
 
 
 class Tokens:
@@ -140,10 +145,13 @@ class Tokens:
             return np.where(inside, np.where(keys[k] == h, order[k], len(CUES)), len(CUES) + 1)
 
         size = np.maximum(last - first, 1)
+        long = np.searchsorted([4, 6, 8, 12, 16, 20, 24, 32, 40, 64], n, "right")
+        vowels = (m := _sums(low, b"aeiou"))[b] - m[a]
+        vowel_share = np.where(up + lo > 0, share(vowels * n // np.maximum(up + lo, 1)), 5)
         density = lambda k, unit: np.minimum(3, (count(k, first, last) * unit) // size)
         columns = [
-            np.zeros(len(at), np.int64), np.searchsorted([4, 6, 8, 12, 16, 20, 24, 32, 40, 64], n, "right"), share(d), share(up), share(lo), (hexes == n).astype(int), (d == n).astype(int),
-            np.minimum(5, turns * 8 // np.maximum(n, 1)), np.minimum(5, marks + 4 * ((digits[b] == digits[a]))), cue(1), cue(2), mark, quoted, density(_EQUALS, 1000), density(_DIGIT, 50),
+            np.zeros(len(at), np.int64), long, share(d), share(up), share(lo), (hexes == n).astype(int), (d == n).astype(int),
+            np.minimum(5, turns * 8 // np.maximum(n, 1)), np.minimum(5, marks + 4 * ((digits[b] == digits[a]))), cue(1), cue(2), mark, quoted, density(_EQUALS, 1000), density(_DIGIT, 50), vowel_share, long * 8 + (d > 0) + 2 * (up > 0) + 4 * (lo > 0),
         ]
         return np.stack([np.minimum(np.maximum(c, 0), g - 1) + z for c, g, z in zip(columns, GROUPS, _STARTS, strict=True)], axis=1).astype(np.int32)
 
@@ -271,6 +279,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, off = utf8(texts)
         for a, b in chunks(off):
             f, runs, tags = tagged(texts[a:b].to_pylist(), buf[off[a] : off[b]], off[a : b + 1] - off[a])
+            f, runs, tags = with_masked(f, runs, tags)
             starts, counts = pieces(f, runs, tags)
             length = np.diff(np.append(starts, len(f)))
             kept = counts > 0
@@ -280,6 +289,16 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([features, pa.ListArray.from_arrays(pa.array(ends), pa.array(tags[rows].astype(np.int32))), pa.array(counts[kept])], names=["features", "tags", "n"])
 
 
+def with_masked(features: np.ndarray, runs: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adds each token that is a secret alone once more, as a run of its own with nothing telling around it: the field is to know
+    secrets by their shape too, not only by the words that the fixed patterns know them by."""
+    alone = np.flatnonzero((tags == BEGIN) & (np.append(tags[1:], OUTSIDE) != INSIDE))
+    bare = features[alone].copy()
+    for k, value in _AROUND.items():
+        bare[:, k] = _STARTS[k] + value
+    return np.concatenate([features, bare]), np.concatenate([runs, len(tags) + np.arange(len(alone))]), np.concatenate([tags, tags[alone]])
+
+
 def pieces(features: np.ndarray, runs: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the pieces of runs, and how often each is seen: equal outside tokens that stand alone count at the first, 0 at the others."""
     at = np.arange(len(tags))
@@ -337,22 +356,31 @@ def generated(seed: int = 7, n: int = 60) -> tuple[list[str], list[tuple[int, in
             lead, after = ("set ", "", "then\n")[rng.integers(3)], ("' for it", " for it", "", "\nthen")[rng.integers(4)]
             lines.append(f"{lead}{before}{secret}{after}")
             spans.append((len(lead + before), len(lead + before + secret)))
+        # Secrets with nothing telling around them.
+        for secret in (
+            some(word, 20, 64), some(word + "._-", 40, 160), f"{some(low, 2, 5)}_{some(word, 18, 40)}", f"{some(low, 2, 6)}_{some(low, 3, 6)}_{some(word, 16, 40)}", some(word + "+/", 30, 64), some("0123456789ABCDEF", 24, 64), f"{some(word, 12, 30)}-{some(word, 12, 30)}", f"{some(word, 16, 40)}.{some(word, 16, 60)}",
+        ):
+            lead = " ".join(some(low, 2, 10) for _ in range(int(rng.integers(1, 4)))) + (" ", ": ", " '", "=")[rng.integers(4)]
+            lines.append(f"{lead}{secret} {some(low, 2, 10)}")
+            spans.append((len(lead), len(lead + secret)))
+        number = lambda a, b: some("0123456789", a, b)
+        name = lambda a, b: some(low, a, b).capitalize()
         for plain in (
-            f"call {pick('0123456789', 3)}-{pick('0123456789', 3)}-{pick('0123456789', 4)} now", f"on 20{pick('0123456789', 2)}-01-02T10.00 it", f"see www.site{pick('0123456789', 2)}.org/page for more", f"version {pick('0123456789', 2)}.{pick('0123456789', 3)}.{pick('0123456789', 4)} of it", f"number {pick('0123456789', 16)} is", f"at {pick('123', 3)}.{pick('123', 2)}.{pick('123', 3)}.{pick('123', 2)} there",
-            f"the {some(low, 2, 14)} of {some(low, 2, 14)} {some(low, 2, 14)} and {some(low, 2, 14)}.", f"note: {some(low, 3, 12)} = {some(low, 2, 12)}, '{some(low, 3, 12)}'", f"The client {some(low, 3, 12)} had access {some(low, 2, 12)} to a private {some(low, 3, 12)}", f"a secret {some(low, 3, 12)}, the key {some(low, 3, 12)} and a token {some(low, 3, 12)}", f"id: {pick('0123456789', 5)} at https://{some(low, 3, 12)}.org/{some(low, 3, 9)}",
+            f"call {number(3, 4)}-{number(3, 4)}-{number(4, 5)} now", f"on 20{number(2, 3)}-01-02T10.00 it", f"see www.site{number(2, 3)}.org/page for more", f"version {number(2, 3)}.{number(3, 4)}.{number(4, 5)} of it", f"number {number(9, 20)} is", f"{some(low, 2, 9)} {number(9, 20)} {some(low, 2, 9)}", f"key {number(6, 20)}, token {some(low, 3, 9)} {number(9, 20)}", f"at {number(2, 4)}.{number(2, 3)}.{number(3, 4)}.{number(2, 3)} there",
+            f"the {some(low, 2, 14)} of {some(low, 2, 14)} {some(low, 2, 24)} and {some(low, 2, 14)}.", f"note: {some(low, 3, 12)} = {some(low, 2, 12)}, '{some(low, 3, 12)}'", f"The client {some(low, 3, 12)} had access {some(low, 2, 12)} to a private {some(low, 3, 12)}", f"a secret {some(low, 3, 12)}, the key {some(low, 3, 12)} and a token {some(low, 3, 12)}", f"id: {number(5, 6)} at https://{some(low, 3, 12)}.org/{some(low, 3, 9)}",
+            f"in {some(low, 3, 9)}_{some(low, 3, 9)}_{some(low, 3, 9)} of {name(3, 9)}{name(3, 9)}{name(3, 9)}", f"see /{some(low, 3, 9)}/{some(low, 3, 9)}/{some(low, 3, 9)}-{number(1, 5)}/{some(low, 3, 9)}.html", f"mail {some(low, 3, 9)}.{some(low, 3, 9)}{number(1, 4)}@{some(low, 3, 9)}.{some(low, 2, 9)} today", f"file IMG_20{number(6, 7)}_{number(6, 7)}.jpg and {some(low, 3, 9)}-{some(low, 3, 9)}-{some(low, 3, 9)}-{some(low, 3, 9)}",
+            f"{some(low, 4, 20).upper()} {some(low, 3, 9)}{number(1, 5)} {name(2, 20)}-{name(2, 20)} {name(10, 30)}", f"isbn 978-{number(1, 2)}-{number(4, 5)}-{number(4, 5)}-{number(1, 2)} or {number(1, 4)}/{number(1, 4)}/{number(4, 5)}", f"part {some(low, 1, 4).upper()}-{number(2, 7)}-{some(low, 1, 3).upper()} of {some(low, 2, 9)}.{some(low, 2, 9)}.{some(low, 2, 9)}({number(1, 5)})",
         ):
             lines.append(plain)
             spans.append((0, 0))
     return lines, spans
 
 
-def train(docs: DataFrame, *, text_col: str = "text", sample: int = TRAIN_DOCS) -> Field:
-    """Fits a field to a hash sample of about `sample` texts and the generated lines."""
+def train(docs: DataFrame, *, id_col: str | None = None, text_col: str = "text", sample: int = TRAIN_DOCS) -> Field:
+    """Fits a field to at most `sample` texts, chosen by hash of the text and the id, if there is one, and to the generated lines."""
     arrow_batches(docs.sparkSession)
-    texts = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    total = texts.count()
-    if total > sample:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / total) + 1)
+    some = sampled(docs.where(F.col(text_col).isNotNull()), sample, *([id_col] if id_col else []), text_col)
+    texts = some.select(F.col(text_col).alias("text"))
     found = texts.mapInArrow(_training, "features array<int>, tags array<int>, n long").groupBy("features", "tags").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("features", "tags")).toArrow()
     flat = lambda name: np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in found[name].chunks)])
     lengths = np.concatenate([np.zeros(0, np.int32), *(c.value_lengths().to_numpy() for c in found["tags"].chunks)]).astype(np.int64)
@@ -365,7 +393,7 @@ def train(docs: DataFrame, *, text_col: str = "text", sample: int = TRAIN_DOCS)
     features = np.concatenate([flat("features").reshape(-1, len(GROUPS)), tokens.features]).astype(np.int32)
     runs = np.concatenate([np.cumsum(lengths) - lengths, lengths.sum() + starts])
     field = Field()
-    field.fit(features, runs, np.concatenate([flat("tags"), made]).astype(np.int64), np.concatenate([found["n"].to_numpy(), counts]))
+    field.fit(features, runs, np.concatenate([flat("tags"), made]).astype(np.int64), np.concatenate([found["n"].to_numpy(), GENERATED_WEIGHT * counts]))
     return field
 
 
@@ -440,8 +468,8 @@ def _listed(spans: F.Column) -> F.Column:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    found = scan(docs, train(docs))
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = scan(docs, train(docs, id_col="doc_id"))
     base = F.filter("spans", lambda s: s["kind"] != "crf")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes in an Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
@@ -17,6 +18,12 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, dealt out anew if its files give fewer splits than there are cores, as a small or a single-block file does."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of this machine only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,3 +55,11 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keeps Arrow batches small, so that a worker's memory does not follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def sampled(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """All of df if it has at most `most` rows, else at most so many, the same on every run: those with the smallest hashes of the
+    columns named. Rows whose hash equals that of the first one left out are left out too."""
+    key = F.xxhash64(*columns)
+    low = df.select(key.alias("key")).orderBy("key").limit(most + 1).agg(F.count("*").alias("rows"), F.max("key").alias("key")).first()
+    return df if low["rows"] <= most else df.where(key < low["key"])

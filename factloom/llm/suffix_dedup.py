@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.repeats import Block, Repeats
-from factloom.llm.shared import arrow_batches, read
+from factloom.llm.shared import arrow_batches, read, spread
 from factloom.llm.textnp import chunks, column, covered, gather, prefix, utf8
 
 SIZE = 400
@@ -262,6 +262,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = remove_repeats(spread(read(spark, sf_dir, "documents", "doc_id", "text")))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]).cast("long"))
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -112,42 +113,51 @@ def test_quality_rules_are_learned(spark):
     assert quality.judged(quality.statistics(brute.frame(spark, [(1, None)])), []).first().kept is False
 
 
-def test_language_model_scores(spark):
-    rng = random.Random(5)
-    rows = [(i, spoken("aa" if i % 2 else "bb", rng, 40), bool(i % 2) if i > 20 else None) for i in range(200)]
-    docs = spark.createDataFrame([*rows, (900, None, True), (901, "", None)], "doc_id long, text string, target boolean").withColumn("id", F.lit(0))
-    model = lm_score.train(docs)
-    got = {r.doc_id: r for r in lm_score.score(docs, model).collect()}
-    assert max(got[i].score for i in range(1, 200, 2)) < min(got[i].score for i in range(0, 200, 2))
-    assert (got[900].n_words, got[900].score, got[901].score) == (0, 0.0, 0.0)
-    assert lm_score.score(docs, lm_score.train(docs.where("false"))).count() == 202
-    # Shares of the words after each context sum to one over the vocabulary and the unknown word.
-    total = model.share.sum(axis=0)
-    assert np.allclose(total, 1, atol=1e-6)
-
-
-def test_language_model_keeps_every_bigram(spark, monkeypatch):
-    """Losses against plain counts; no bigram is dropped, however many blocks and buckets there are."""
-    monkeypatch.setattr(lm_score, "BIGRAMS", 1, raising=False)
-    monkeypatch.setattr(lm_score, "_BUCKET", 50, raising=False)
-    monkeypatch.setattr(lm_score.train, "__kwdefaults__", {k: 1 if k == "bigrams" else v for k, v in lm_score.train.__kwdefaults__.items()})
-    rng = random.Random(9)
-    rows = [(i, spoken("aa" if i % 2 else "bb", rng, rng.randint(0, 30)), i % 3 == 0) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
-    got = {r.doc_id: r for r in lm_score.score(docs, lm_score.train(docs)).collect()}
-    assert len(got) == len(rows)
-    losses = {}
-    for name, marked in (("background_loss", False), ("target_loss", True)):
-        pairs, context, words = {}, {}, {}
-        vocabulary = {w for _, t, _ in rows for w in t.split()}
-        for _, t, target in rows:
-            for v, w in zip([None, *t.split()], t.split(), strict=False) if target or not marked else ():
-                pairs[v, w], context[v], words[w] = pairs.get((v, w), 0) + 1, context.get(v, 0) + 1, words.get(w, 0) + 1
-        share = lambda w: (words.get(w, 0) + 1000 / (len(vocabulary) + 1)) / (sum(words.values()) + 1000)  # noqa: B023, E731
-        losses[name] = lambda v, w, p=pairs, c=context, s={w: share(w) for w in vocabulary}: -np.log((p.get((v, w), 0) + 20 * s[w]) / (c.get(v, 0) + 20))
-    for i, t, _ in rows:
-        for name, loss in losses.items():
-            assert got[i][name] == pytest.approx(sum(loss(v, w) for v, w in zip([None, *t.split()], t.split(), strict=False)))
+def losses_of(rows, target):
+    """(n_words, target_loss, background_loss) of each row by plain counts over whole lists."""
+    tables = []
+    for some in (target, rows):
+        pairs, context, words = Counter(), Counter(), Counter()
+        for _, t in some:
+            w = brute.words(brute.lower(t or ""))
+            words.update(w)
+            context.update(w)
+            context[None] += bool(w)
+            pairs.update(zip([None, *w], w, strict=False))
+        tables.append((pairs, context, words))
+    every = tables[1][2]
+    out = []
+    for i, t in rows:
+        w, sums = brute.words(brute.lower(t or "")), []
+        for pairs, context, words in tables:
+            share = lambda x: (words[x] + 1000 / (len(every) + 1)) / (sum(words.values()) + 1000)  # noqa: B023, E731
+            sums.append(sum(-np.log((pairs[v, x] + 20 * share(x)) / (context[v] + 20)) for v, x in zip([None, *w], w, strict=False)) / max(len(w), 1))
+        out.append((i, len(w), *(round(float(x), 8) for x in sums)))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_language_model_against_plain_counts(spark, monkeypatch, small):
+    """Nulls, repeated rows and a long text; blocks and buckets of a few words lose nothing."""
+    if small:
+        monkeypatch.setattr(lm_score, "_BLOCK", 100)
+        monkeypatch.setattr(lm_score, "_BUCKET", 500)
+        monkeypatch.setattr(lm_score, "_HELD", 300)
+    rows = [(i, t) for i, t in brute.corpus(seed=11, n=24) if i is None or len(t or "") < 20_000 or not small]
+    target = rows[::3]
+    model = lm_score.train(brute.frame(spark, rows), brute.frame(spark, target))
+    got = lm_score.score(brute.frame(spark, rows), model).collect()
+    assert brute.counted((r.doc_id, r.n_words, round(r.target_loss, 8), round(r.background_loss, 8)) for r in got) == brute.counted(losses_of(rows, target))
+    assert all(r.score == r.target_loss - r.background_loss for r in got)
+
+
+def test_language_model_without_target_texts_or_rows(spark):
+    docs, none = brute.frame(spark, [(1, "a b"), (2, None), (3, "a")]), brute.frame(spark, [])
+    got = {r.doc_id: r for r in lm_score.score(docs, lm_score.train(docs, none)).collect()}
+    assert got[2].score == 0 and got[1].target_loss == pytest.approx(np.log(3))
+    assert lm_score.score(none, lm_score.train(docs, docs)).count() == 0
+    unseen = lm_score.score(brute.frame(spark, [(1, "x")]), lm_score.train(docs, docs)).first()
+    assert unseen.background_loss == pytest.approx(-np.log(20 * (1000 / 3) / (3 + 1000) / (2 + 20)))
 
 
 def test_any_token_may_be_secret(spark):
