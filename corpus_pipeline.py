@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, language, minhash, secrets
-from factloom.llm.shared import fresh_path, read
+from factloom.llm.shared import fresh_path, read, spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least share of the best language among all, below which a document is rejected.
@@ -31,7 +31,7 @@ def _known(docs: DataFrame) -> DataFrame:
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no known language; lang becomes the one found."""
     docs = _known(docs)
-    model = language.train(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
+    model = language.train(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()), id_col="doc_id")
     # The other columns ride along as the id, so nothing is shuffled to bring them back.
     found = language.predict(docs.select(F.struct("doc_id", "source", "n_chars").alias("row"), "text"), model, id_col="row", with_text=True)
     good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -60,7 +60,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts; n_chars follows."""
     docs = _known(docs)
     rows = docs.select(F.struct("doc_id", "lang", "source", "n_chars").alias("row"), "text")
-    found = secrets.scan(rows, secrets.train(docs), id_col="row", redact=True)
+    found = secrets.scan(rows, secrets.train(docs, id_col="doc_id"), id_col="row", redact=True)
     n_chars = F.when(F.size("spans") > 0, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))
     return found.select("row.doc_id", F.col("redacted").alias("text"), "row.lang", "row.source", n_chars.alias("n_chars"))
 
@@ -86,7 +86,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
