@@ -285,7 +285,7 @@ SQL = f"""
 WITH RECURSIVE tokens AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
     doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
-events AS MATERIALIZED (SELECT r, good, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS v FROM tokens),
+events AS MATERIALIZED (SELECT r, good, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS v FROM tokens WHERE len(ws) > 0),
 word AS MATERIALIZED (SELECT w, count(*) AS every, count(*) FILTER (WHERE good) AS target FROM events GROUP BY w),
 pair AS MATERIALIZED (SELECT v, w, count(*) AS every, count(*) FILTER (WHERE good) AS target FROM events GROUP BY v, w),
 starts AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS every, count(*) FILTER (WHERE len(ws) > 0 AND good) AS target FROM tokens),
