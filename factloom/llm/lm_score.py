@@ -40,9 +40,9 @@ from factloom.llm.textnp import chunks, column, fold_table, mix, prefix, span_ha
 #: Prior weights of a word's share among all words, and of the uniform share.
 PRIOR_BIGRAM, PRIOR_WORD = 20.0, 1000.0
 #: Keys that a task gathers before it counts them and sends them on.
-_HELD = 4_000_000
+_HELD = 2_000_000
 #: Words in a block that is scored at once; a longer text stands alone.
-_BLOCK = 2_000_000
+_BLOCK = 1_000_000
 #: Keys in a bucket where blocks meet the table.
 _BUCKET = 2_000_000
 #: The key of a text's start; the keys of words are even, those of bigrams odd.
@@ -150,7 +150,7 @@ def _numbering(schema: pa.Schema):
             lengths, words = (np.concatenate([x[k] for x in held]) for k in (1, 2))
             known, words = np.unique(words, return_inverse=True)
             made = {"block": [uuid.uuid4().hex], "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "lengths": [_packed(lengths)], "known": [_packed(np.diff(known, prepend=0))], "words": [_packed(words.astype(np.int32))]}
-            made |= {"n_known": [len(known)], "n_words": [len(words)], "n_keys": [len(_keys(known, words, lengths)[0])]}
+            made |= {"n_known": [len(known)], "n_words": [len(words)]}
             return pa.RecordBatch.from_arrays([v if isinstance(v := made[f.name], pa.Array) else pa.array(v, f.type) for f in schema], schema=schema)
 
         for batch in batches:
@@ -167,16 +167,15 @@ def _numbering(schema: pa.Schema):
     return run
 
 
-def _keys(known: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct keys that a block asks for, where its distinct bigrams, their contexts and their words are among them,
-    and which bigram each word ends."""
-    before = contexts(words.astype(np.int64), np.append(0, np.cumsum(lengths)), -1)
-    pairs, which = np.unique((before + 1) * (len(known) + 1) + words, return_inverse=True)
-    v, w = pairs // (len(known) + 1) - 1, known[pairs % (len(known) + 1)]
-    v = np.where(v < 0, _START, known[v]) if len(known) else v
-    bigrams = bigram_keys(v, w)
-    keys = np.unique(np.concatenate([[_START], known, bigrams]))
-    return keys, *(np.searchsorted(keys, x) for x in (bigrams, v, w)), which
+def _keys(known: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """What a block asks for: the start, its words and its distinct bigrams, in this order."""
+    return np.concatenate([[_START], known, bigrams])
+
+
+def _bigrams(known: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bigram that each word ends, and the place of its context among what a block asks for."""
+    before = contexts(words.astype(np.int64) + 1, np.append(0, np.cumsum(lengths)), 0)
+    return bigram_keys(np.append(_START, known)[before], known[words]), before
 
 
 def _of_block(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +191,7 @@ def _bucket(keys, buckets: int):
 def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places of its keys, in order."""
     of = _bucket(keys, buckets)
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(of.astype(np.uint16) if buckets < 1 << 16 else of, kind="stable")
     found, first = np.unique(of[order], return_index=True)
     return zip(found.tolist(), np.split(order, first[1:]), strict=True)
 
@@ -201,7 +200,8 @@ def _asking(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, *_ = _keys(*_of_block(r))
+                known, words, lengths = _of_block(r)
+                keys = _keys(known, np.unique(_bigrams(known, words, lengths)[0]))
                 dealt = [(r["block"], k, len(at), _packed(np.diff(keys[at], prepend=0))) for k, at in _dealt(keys, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*dealt, strict=True) if dealt else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "n", "keys"])
 
@@ -238,11 +238,13 @@ def _scoring(totals: Totals, buckets: int, schema: pa.Schema):
         for i in range(blocks.num_rows):
             r = {c: blocks[c][i].as_py() for c in _BLOCK_COLUMNS}
             known, words, n = _of_block(r)
-            keys, pair, context, word, which = _keys(known, words, n)
+            bigrams, context = _bigrams(known, words, n)
+            bigrams, pair = np.unique(bigrams, return_inverse=True)
+            keys = _keys(known, bigrams)
             found = np.zeros((len(keys), 2))
             for k, at in _dealt(keys, buckets):
                 found[at] = np.stack([_unpacked(x, len(at), np.int64) for x in got[k]], axis=1)
-            loss = totals.losses(found[pair], found[context], found[word])[which]
+            loss = totals.losses(found[len(known) + 1 + pair], found[context], found[words + 1])
             rows = np.repeat(np.arange(len(n)), n)
             back, target = (np.bincount(rows, loss[:, k], len(n)) / np.maximum(n, 1) for k in (0, 1))
             columns = [blocks["ids"][i].values, pa.array(n), pa.array(target), pa.array(back), pa.array(target - back)]
@@ -258,11 +260,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     schema = pa.schema([("id", to_arrow_type(kind)), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-    packed = pa.schema([("block", pa.string()), ("ids", pa.list_(to_arrow_type(kind))), *((c, pa.binary()) for c in ("lengths", "known", "words")), *((c, pa.int64()) for c in ("n_known", "n_words", "n_keys"))])
+    packed = pa.schema([("block", pa.string()), ("ids", pa.list_(to_arrow_type(kind))), *((c, pa.binary()) for c in ("lengths", "known", "words")), *((c, pa.int64()) for c in ("n_known", "n_words"))])
     # Block names are made up by the tasks: they hold once the blocks are written.
-    blocks = stored(rows.mapInArrow(_numbering(packed), f"block string, ids array<{kind.simpleString()}>, lengths binary, known binary, words binary, n_known long, n_words long, n_keys long"), "blocks")
+    blocks = stored(rows.mapInArrow(_numbering(packed), f"block string, ids array<{kind.simpleString()}>, lengths binary, known binary, words binary, n_known long, n_words long"), "blocks")
     blocks = blocks.withColumn("n_rows", F.size("ids").cast("long"))
-    buckets = int(blocks.agg(F.sum("n_keys")).first()[0] or 0) // _BUCKET + 1
+    buckets = int(blocks.agg(F.sum(F.col("n_known") + F.col("n_words"))).first()[0] or 0) // _BUCKET + 1
     buckets = max(buckets, model.table.count() // _BUCKET + 1)
     asked = blocks.select("block", *_BLOCK_COLUMNS).mapInArrow(_asking(buckets), "block string, bucket long, n long, keys binary")
     table = model.table.withColumn("bucket", _bucket(F.col("key"), buckets))
