@@ -9,18 +9,23 @@ with a fixed prior weight. The context of a text's first word is its start; a
 context's mass that no word takes is that of texts that end there. A word that
 the corpus does not hold has the uniform share alone.
 
-The vocabulary is every word of the corpus: counts of words and of bigrams go into one table by
-64-bit key, counted in one scan with counts summed in each task and then by a
-shuffle, and nothing in it is dropped or broadcast, so what is gathered grows
-with the corpus. Scoring numbers the words of documents in blocks; each block
-asks for its distinct words and bigrams once, dealt by key into buckets where
-they meet the table, so a key comes at most once from a block and none is hot;
-the answers go back to their block, which sums its texts' losses.
+The vocabulary is every word of the corpus, and nothing that grows is dropped,
+broadcast or collected:
+
+  blocks    documents in blocks of a bounded number of words, each word numbered
+            among the block's distinct words; texts are read once
+  marks     ids meet the target ids by a shuffle of ids and come back by block
+  asked     each block sends its counts of its distinct words and bigrams, dealt
+            by 64-bit key into buckets; this is its share of both models' counts
+            and what it asks for at once, so a key comes at most once from a block
+  answers   a bucket sums what came for each key and sends the sums back
+  scored    a block turns the sums into its texts' losses
 
 Words are maximal runs of anything but the six ASCII spaces, A-Z lower-cased.
 Defined cases: a null or empty text has no words, losses and score 0; without
-target texts the target model is the uniform prior; repeated rows each count and
-keep their own row; other columns of the inputs are not read.
+target texts the target model is the uniform prior; a null id is no target;
+repeated rows and ids each count and keep their own row; other columns of the
+inputs are not read.
 """
 
 from __future__ import annotations
@@ -39,11 +44,9 @@ from factloom.llm.textnp import chunks, column, fold_table, mix, prefix, span_ha
 
 #: Prior weights of a word's share among all words, and of the uniform share.
 PRIOR_BIGRAM, PRIOR_WORD = 20.0, 1000.0
-#: Keys that a task gathers before it counts them and sends them on.
-_HELD = 2_000_000
-#: Words in a block that is scored at once; a longer text stands alone.
-_BLOCK = 1_000_000
-#: Keys in a bucket where blocks meet the table.
+#: Words and texts in a block; a longer text stands alone.
+_BLOCK, _BLOCK_ROWS = 1_000_000, 100_000
+#: Keys that blocks send to a bucket.
 _BUCKET = 2_000_000
 #: The key of a text's start; the keys of words are even, those of bigrams odd.
 _START = 0
@@ -73,31 +76,6 @@ def contexts(words: np.ndarray, rows: np.ndarray, start: int) -> np.ndarray:
     return before
 
 
-_COUNTS = "key long, every long, target long"
-
-
-def _counting(target: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            n, none = pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(keys), none if target else n, n if target else none], names=["key", "every", "target"])
-
-        for batch in batches:
-            for _, _, h, rows in word_hashes(column(batch, "text")):
-                words = word_keys(h)
-                held += [words, bigram_keys(contexts(words, rows, _START), words), np.full(np.count_nonzero(np.diff(rows)), _START)]
-                if sum(map(len, held)) >= _HELD:
-                    yield counted()
-        if held:
-            yield counted()
-
-    return run
-
-
 class Totals:
     """What is known of both models besides the table: words of the vocabulary, and words of all texts and of target texts."""
 
@@ -110,23 +88,6 @@ class Totals:
         return -np.log((pair + PRIOR_BIGRAM * share) / (context + PRIOR_BIGRAM))
 
 
-class Model:
-    """Both models: the totals, and the table (key, every, target) of all words and bigrams."""
-
-    def __init__(self, totals: Totals, table: DataFrame):
-        self.totals, self.table = totals, table
-
-
-def train(docs: DataFrame, target: DataFrame, *, text_col: str = "text") -> Model:
-    """Counts the background model over all of docs and the target model over all of target."""
-    arrow_batches(docs.sparkSession)
-    counts = [df.select(F.col(text_col).alias("text")).mapInArrow(_counting(mark), _COUNTS) for df, mark in ((docs, False), (target, True))]
-    table = stored(counts[0].unionByName(counts[1]).groupBy("key").agg(F.sum("every").alias("every"), F.sum("target").alias("target")), "counts")
-    words = table.where((F.col("key") % 2 == 0) & (F.col("key") != _START))
-    n, every, marked = words.agg(F.count("*"), F.sum("every"), F.sum("target")).first()
-    return Model(Totals(n, (every or 0, marked or 0)), table)
-
-
 def _packed(x: np.ndarray) -> bytes:
     """Whole numbers as compressed bytes, those of one weight together."""
     flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
@@ -143,7 +104,7 @@ def _numbering(schema: pa.Schema):
     """Documents to blocks: their ids, numbers of words, the block's distinct words, and which of them each word is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, n_rows = [], 0, 0
 
         def block() -> pa.RecordBatch:
             ids = pa.concat_arrays([x for x, _, _ in held])
@@ -156,11 +117,11 @@ def _numbering(schema: pa.Schema):
         for batch in batches:
             ids = column(batch, "id")
             for a, b, h, rows in word_hashes(column(batch, "text")):
-                if size and size + len(h) > _BLOCK:
+                if held and (size + len(h) > _BLOCK or n_rows + b - a > _BLOCK_ROWS):
                     yield block()
-                    held, size = [], 0
+                    held, size, n_rows = [], 0, 0
                 held.append((ids[a:b], np.diff(rows), word_keys(h)))
-                size += len(h)
+                size, n_rows = size + len(h), n_rows + b - a
         if held:
             yield block()
 
@@ -197,35 +158,45 @@ def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _asking(buckets: int):
+    schema = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("every", pa.binary()), ("target", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 known, words, lengths = _of_block(r)
-                keys = _keys(known, np.unique(_bigrams(known, words, lengths)[0]))
-                dealt = [(r["block"], k, len(at), _packed(np.diff(keys[at], prepend=0))) for k, at in _dealt(keys, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*dealt, strict=True) if dealt else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "n", "keys"])
+                marked = np.zeros(len(lengths))
+                marked[r["marked"] or []] = 1
+                marks = np.repeat(marked, lengths)
+                bigrams, which = np.unique(_bigrams(known, words, lengths)[0], return_inverse=True)
+                keys, n = _keys(known, bigrams), len(known)
+                some = lengths > 0
+                # The start is counted by texts, words and bigrams by their places.
+                every = np.concatenate([[some.sum()], np.bincount(words, minlength=n), np.bincount(which, minlength=len(bigrams))])
+                target = np.concatenate([[(some * marked).sum()], np.bincount(words, marks, n), np.bincount(which, marks, len(bigrams))])
+                rows: list[list] = [[] for _ in schema]
+                for k, at in _dealt(keys, buckets):
+                    for values, x in zip(rows, (r["block"], k, len(at), _packed(np.diff(keys[at], prepend=0)), *(_packed(c[at].astype(np.int32)) for c in (every, target))), strict=True):
+                        values.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, schema, strict=True)], schema=schema)
 
     return run
 
 
-_ANSWER = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("every", pa.binary()), ("target", pa.binary())])
+_ANSWER = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("every", pa.binary()), ("target", pa.binary()), ("words", pa.list_(pa.int64()))])
 
 
-def _answering(asked: pa.Table, table: pa.Table) -> pa.Table:
-    """Counts of the keys that each block asked one bucket for; 0 for what was never counted."""
-    out: list[list] = [[], [], [], []]
-    have = table["key"].to_numpy() if table.num_rows else np.zeros(0, np.int64)
-    order = np.argsort(have)
-    have = have[order]
-    counts = [table[c].to_numpy()[order] if len(have) else have for c in ("every", "target")]
-    for block, bucket, n, keys in zip(*(asked[c].to_pylist() for c in ("block", "bucket", "n", "keys")), strict=True) if asked.num_rows else ():
-        key = np.cumsum(_unpacked(keys, n, np.int64))
-        at = np.minimum(np.searchsorted(have, key), max(len(have) - 1, 0))
-        hit = have[at] == key if len(have) else np.zeros(n, bool)
-        answers = [_packed(np.where(hit, c[at], 0) if len(have) else np.zeros(n, np.int64)) for c in counts]
-        for values, x in zip(out, (block, bucket, *answers), strict=True):
-            values.append(x)
-    return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(out, _ANSWER, strict=True)], schema=_ANSWER)
+def _answering(asked: pa.Table) -> pa.Table:
+    """The sums over all blocks of the keys that each block sent to one bucket, and a row of this bucket's distinct words and their sums."""
+    blocks, buckets, sizes = (asked[c].to_pylist() for c in ("block", "bucket", "n"))
+    keys = np.concatenate([np.cumsum(_unpacked(x, n, np.int64)) for x, n in zip(asked["keys"].to_pylist(), sizes, strict=True)])
+    distinct, which = np.unique(keys, return_inverse=True)
+    sums = [np.bincount(which, np.concatenate([_unpacked(x, n, np.int32) for x, n in zip(asked[c].to_pylist(), sizes, strict=True)]), len(distinct)).astype(np.int64) for c in ("every", "target")]
+    ends = np.cumsum(sizes)[:-1]
+    answers = [[_packed(x) for x in np.split(c[which], ends)] for c in sums]
+    words = (distinct % 2 == 0) & (distinct != _START)
+    totals = [int(words.sum()), *(int(c[words].sum()) for c in sums)]
+    columns = [[*blocks, None], [*buckets, None], *([*x, None] for x in answers), [*(None for _ in blocks), totals]]
+    return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _ANSWER, strict=True)], schema=_ANSWER)
 
 
 _BLOCK_COLUMNS = ("known", "words", "lengths", "n_known", "n_words", "n_rows")
@@ -254,8 +225,9 @@ def _scoring(totals: Totals, buckets: int, schema: pa.Schema):
     return run
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, n_words, target_loss, background_loss, score) for each row of docs; losses are means over the words, in nats."""
+def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id, n_words, target_loss, background_loss, score) for each row of docs; losses are means over the words, in nats.
+    The background model is that of docs, the target model that of the docs whose id is in target."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
@@ -265,20 +237,19 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     blocks = stored(rows.mapInArrow(_numbering(packed), f"block string, ids array<{kind.simpleString()}>, lengths binary, known binary, words binary, n_known long, n_words long"), "blocks")
     blocks = blocks.withColumn("n_rows", F.size("ids").cast("long"))
     buckets = int(blocks.agg(F.sum(F.col("n_known") + F.col("n_words"))).first()[0] or 0) // _BUCKET + 1
-    buckets = max(buckets, model.table.count() // _BUCKET + 1)
-    asked = blocks.select("block", *_BLOCK_COLUMNS).mapInArrow(_asking(buckets), "block string, bucket long, n long, keys binary")
-    table = model.table.withColumn("bucket", _bucket(F.col("key"), buckets))
-    answers = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_answering, "block string, bucket long, every binary, target binary")
-    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(model.totals, buckets, schema), f"id {kind.simpleString()}, n_words long, target_loss double, background_loss double, score double")
+    wanted = target.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
+    marks = blocks.select("block", F.posexplode("ids").alias("at", "id")).join(wanted.hint("shuffle_hash"), "id", "left_semi").groupBy("block").agg(F.collect_list("at").alias("marked"))
+    asked = blocks.select("block", *_BLOCK_COLUMNS).join(marks.hint("shuffle_hash"), "block", "left").mapInArrow(_asking(buckets), "block string, bucket long, n long, keys binary, every binary, target binary")
+    answers = stored(asked.groupBy("bucket").applyInArrow(_answering, "block string, bucket long, every binary, target binary, words array<bigint>"), "answers")
+    words = [x or 0 for x in answers.where("words IS NOT NULL").agg(*(F.sum(F.col("words")[k]) for k in range(3))).first()]
+    answers = answers.where("block IS NOT NULL").drop("words")
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(Totals(words[0], (words[1], words[2])), buckets, schema), f"id {kind.simpleString()}, n_words long, target_loss double, background_loss double, score double")
     return found.withColumnRenamed("id", id_col)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target texts are those labelled of good quality. Labels grow with the corpus, so texts meet them by a shuffle at every size."""
-    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
-    good = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id")
-    target = docs.join(good.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    found = score(docs, train(docs, target))
+    """Target texts are those labelled of good quality."""
+    found = score(spread(read(spark, sf_dir, "documents", "doc_id", "text")), read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1"))
     return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
