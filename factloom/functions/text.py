@@ -9,8 +9,9 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from pyspark.sql.types import StringType
 
 # Fixed values of the notation that the texts use.
@@ -83,7 +84,9 @@ def folded(c: Column) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Distinct pairs of neighbouring characters."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
+    letters = F.split(c, "")
+    count = F.greatest(F.lit(0), F.size(letters) - 1)
+    pairs = F.zip_with(F.slice(letters, F.lit(1), count), F.slice(letters, F.lit(2), count), lambda x, y: F.concat(x, y))
     return F.when(F.length(c) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
@@ -194,16 +197,19 @@ def document_address(c: Column, base: str) -> Column:
     )
 
 
-def sign_pairs(text: Column) -> Column:
-    """array<struct<code, name>> of a list of reference signs: items split at line ends, commas and semicolons; codes that stand
-    alone belong to the next item that has a name; a chunk that is neither ends that. A code's first name wins.
+_PAIRS = "array<struct<code:string,name:string>>"
+
+
+def sign_items(text: Column) -> Column:
+    """struct<pairs, n_ok, n_bad> of a list of reference signs: items split at line ends, commas and semicolons; codes that stand
+    alone belong to the next item that has a name; a chunk that is neither ends that and is bad. A code's first name wins.
 
-    The fold carries the codes that wait and the pairs found."""
+    The fold carries the codes that wait, the pairs found, and the items with a name and without."""
     chunks = F.filter(F.transform(F.split(nfkc(text), r"[\n、,，;；]+"), lambda x: F.regexp_replace(x, r"(?U)^[\s。.]+|[\s。.]+$", "")), lambda x: x != "")
     only, named = f"^(?:{CODE}|{CODE_LETTERS})$", rf"^({CODE}|{CODE_LETTERS})(?:\s+|(?=[^\x00-\x7F]))(.+)$"
-    pair = "array<struct<code:string,name:string>>"
-    start = F.struct(F.array().cast("array<string>").alias("waiting"), F.array().cast(pair).alias("pairs"))
+    none = F.array().cast("array<string>")
     bare = lambda x: F.translate(x, "'’", "")
+    state = lambda waiting, pairs, ok, bad: F.struct(waiting.alias("waiting"), pairs.alias("pairs"), ok.alias("n_ok"), bad.alias("n_bad"))
 
     def step(acc: Column, x: Column) -> Column:
         name = clean_name(F.regexp_extract(x, named, 2))
@@ -211,10 +217,28 @@ def sign_pairs(text: Column) -> Column:
         codes = F.array_distinct(F.array_append(acc["waiting"], bare(F.regexp_extract(x, named, 1))))
         codes = F.filter(codes, lambda c: ~F.exists(acc["pairs"], lambda p: p["code"] == c))
         more = F.concat(acc["pairs"], F.transform(codes, lambda c: F.struct(c.alias("code"), name.alias("name"))))
-        none = F.array().cast("array<string>")
-        return F.when(x.rlike(only), F.struct(F.array_append(acc["waiting"], bare(x)).alias("waiting"), acc["pairs"].alias("pairs"))).when(good, F.struct(none.alias("waiting"), more.alias("pairs"))).otherwise(F.struct(none.alias("waiting"), acc["pairs"].alias("pairs")))
+        return (
+            F.when(x.rlike(only), state(F.array_append(acc["waiting"], bare(x)), acc["pairs"], acc["n_ok"], acc["n_bad"]))
+            .when(good, state(none, more, acc["n_ok"] + 1, acc["n_bad"]))
+            .otherwise(state(none, acc["pairs"], acc["n_ok"], acc["n_bad"] + 1))
+        )
+
+    return F.aggregate(chunks, state(none, F.array().cast(_PAIRS), F.lit(0), F.lit(0)), step, lambda acc: F.struct(acc["pairs"].alias("pairs"), acc["n_ok"].alias("n_ok"), acc["n_bad"].alias("n_bad")))
+
+
+def sign_pairs(text: Column) -> Column:
+    """array<struct<code, name>> of a list of reference signs, whatever else stands in it."""
+    return sign_items(text)["pairs"]
+
 
-    return F.aggregate(chunks, start, step, lambda acc: acc["pairs"])
+def sign_list(text: Column, least: int = 3) -> Column:
+    """array<struct<code, name>> of a text if it is a list of reference signs, else empty. With three dot leaders or more it is read
+    as dotted items, if there are `least` of them; otherwise it counts as a list with `least` named items and at most half as many
+    chunks that are none."""
+    dotted, plain = dotted_items(text), sign_items(text)
+    leaders = F.regexp_count(nfkc(text), F.lit(_LEADER))
+    good = (plain["n_ok"] >= least) & (plain["n_ok"] >= 2 * plain["n_bad"])
+    return F.when((leaders >= 3) & (dotted["n_ok"] >= least), dotted["pairs"]).when(good, plain["pairs"]).otherwise(F.array().cast(_PAIRS))
 
 
 def sign_section(c: Column) -> Column:
@@ -224,20 +248,40 @@ def sign_section(c: Column) -> Column:
     return F.regexp_replace(F.when(F.contains(t, F.lit("符号の説明")), part).otherwise(t), "【[0-9]+】", "\n")
 
 
-def dotted_signs(c: Column) -> Column:
-    """array<struct<code, name>> of items that join codes and a name by dot leaders and stand apart by white space. A digit set
-    apart after a number, as a subscript, belongs to it; a number known only with its subscript also stands for itself."""
-    t = F.regexp_replace(nfkc(c), r"([0-9]+)[ 　]+([0-9]|n)(?=\s*[、,，)）]|\s*(?:…|\.\.|‥))", "$1$2")
-    marked = F.regexp_replace(t, r"(?:…|\.\.|‥)[…\.‥]*", "⇒")
+#: Dots that lead from codes to a name, in compatibility form.
+_LEADER = r"(?:…|\.\.|‥|・・・)[…\.‥・]*"
+
+
+def dotted_items(c: Column) -> Column:
+    """struct<pairs, n_ok> of items that join codes and a name by dot leaders and stand apart by white space. A digit or n set apart
+    after a number, as a subscript, belongs to it. A code's first name wins. Since a drawing may show a subscript too small to
+    read, a number known only with a subscript also stands for its last one. n_ok counts the items."""
+    subscript = r"([0-9]+)[ 　]+([0-9]|n)(?=\s*[、,，)）]|\s*(?:…|\.\.|‥))"
+    t = nfkc(c)
+    numbers, digits = F.regexp_extract_all(t, F.lit(subscript), F.lit(1)), F.regexp_extract_all(t, F.lit(subscript), F.lit(2))
+    marked = F.regexp_replace(F.regexp_replace(t, subscript, "$1$2"), _LEADER, "⇒")
     items = F.filter(F.split(F.trim(marked), r"\s+(?=[^\s⇒]*⇒)"), lambda x: F.contains(x, F.lit("⇒")))
 
     def item(x: Column) -> Column:
         name = clean_name(F.regexp_extract(x, r"(?s)^[^⇒]*⇒\s*([^\n]*?)(?:\s{2,}|\n|$)", 1))
         codes = F.filter(F.transform(F.split(F.regexp_extract(x, "^([^⇒]*)⇒", 1), r"[、,，・()（）\s]+"), lambda k: F.translate(k, "'’", "")), lambda k: k.rlike(f"^(?:{CODE}|{CODE_LETTERS})$"))
         good = name.rlike(r"[^\x00-\x7F]") | name.rlike(r"^[A-Z][A-Za-z0-9\- ]+$")
-        return F.when(good, F.transform(codes, lambda k: F.struct(k.alias("code"), name.alias("name")))).otherwise(F.array().cast("array<struct<code:string,name:string>>"))
+        return F.when(good, F.transform(codes, lambda k: F.struct(k.alias("code"), name.alias("name")))).otherwise(F.array().cast(_PAIRS))
 
-    return F.flatten(F.transform(items, item))
+    found = F.filter(F.transform(items, item), lambda x: F.size(x) > 0)
+    none = F.array().cast(_PAIRS)
+    has = lambda pairs, code: F.exists(pairs, lambda p: p["code"] == code)
+    first = F.aggregate(F.flatten(found), none, lambda acc, p: F.when(has(acc, p["code"]), acc).otherwise(F.array_append(acc, p)))
+    wholes = F.zip_with(numbers, digits, lambda n, d: F.struct(n.alias("code"), F.concat(n, d).alias("name")))
+    last = F.aggregate(wholes, none, lambda acc, x: F.array_append(F.filter(acc, lambda y: y["code"] != x["code"]), x))
+    named = lambda acc, x: F.transform(F.filter(acc, lambda p: p["code"] == x["name"]), lambda p: F.struct(x["code"].alias("code"), p["name"].alias("name")))
+    every = F.aggregate(last, first, lambda acc, x: F.when(has(acc, x["code"]), acc).otherwise(F.concat(acc, named(acc, x))))
+    return F.struct(every.alias("pairs"), F.size(found).alias("n_ok"))
+
+
+def dotted_signs(c: Column) -> Column:
+    """array<struct<code, name>> of items that join codes and a name by dot leaders."""
+    return dotted_items(c)["pairs"]
 
 
 def solution_part(c: Column) -> Column:
@@ -262,6 +306,17 @@ def clean_answer(c: Column) -> Column:
     return stripped(F.regexp_replace(c, r"(?is)<think>.*?(?:</think>|$)|<note>.*?(?:</note>|$)", ""))
 
 
-def fingerprint(*columns: Column) -> Column:
-    """A key of values that does not depend on the order of map entries or fields within them."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def _canonical(c: Column, kind: DataType) -> Column:
+    """A value whose fields and map entries stand in order of their names and keys."""
+    if isinstance(kind, MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), _canonical(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _canonical(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*(_canonical(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
+    return c
+
+
+def fingerprint(df: DataFrame, *names: str) -> Column:
+    """A key of the values of some columns of df that depends neither on the order of the columns nor on that of fields and map entries within them."""
+    return F.sha2(F.to_json(F.struct(*(_canonical(F.col(n), df.schema[n].dataType).alias(n) for n in sorted(names)))), 256)

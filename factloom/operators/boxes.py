@@ -41,10 +41,14 @@ def contained(boxes: DataFrame, slack: int = 3, size: int = 64) -> DataFrame:
 def corner_pairs(boxes: DataFrame, reach: int = 30) -> DataFrame:
     """Pairs of equal labels on a page whose upper left corners lie less than `reach` apart both ways, lower id first."""
     at = boxes.select("page", "label", "box_id", "x0", "y0", F.floor(F.col("x0") / reach).alias("cx"), F.floor(F.col("y0") / reach).alias("cy"))
-    around = at.withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    # Half of the neighbouring cells: each pair meets once, from one side or the other.
+    steps = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)))))
+    around = at.withColumn("step", steps).withColumns({"cx": F.col("cx") + F.col("step.x"), "cy": F.col("cy") + F.col("step.y")})
     keys = ["page", "label", "cx", "cy"]
     pairs = _renamed(around, "a", keys).join(_renamed(at, "b", keys), keys)
-    return pairs.where((F.col("box_id_a") < F.col("box_id_b")) & (F.abs(F.col("x0_a") - F.col("x0_b")) < reach) & (F.abs(F.col("y0_a") - F.col("y0_b")) < reach)).select("page", "label", F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b"))
+    once = ((F.col("step_a.x") != 0) | (F.col("step_a.y") != 0) | (F.col("box_id_a") < F.col("box_id_b"))) & (F.col("box_id_a") != F.col("box_id_b"))
+    close = (F.abs(F.col("x0_a") - F.col("x0_b")) < reach) & (F.abs(F.col("y0_a") - F.col("y0_b")) < reach)
+    return pairs.where(once & close).select("page", "label", F.least("box_id_a", "box_id_b").alias("a"), F.greatest("box_id_a", "box_id_b").alias("b"))
 
 
 def rotated(boxes: DataFrame, angle: int, width: Column, height: Column) -> DataFrame:
@@ -73,25 +77,65 @@ def reconciled(callouts: DataFrame, tokens: DataFrame, slack: int = 5) -> DataFr
     return kept.unionByName(added)
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, reach: int = 45, band: int = 12) -> DataFrame:
-    """For each box the longest segment among those whose near end is within `band` of the closest, none over `reach` away."""
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    ends = F.greatest(F.abs(F.col("sx0") - cx), F.abs(F.col("sy0") - cy))
-    pairs = points.join(segments, "page").withColumn("distance", ends).where(F.col("distance") <= reach)
+def nearest_segment(points: DataFrame, segments: DataFrame, reach: int = 45, band: int = 12, slack: int = 5, size: int = 64) -> DataFrame:
+    """For each box the longest segment of those with an end nearly as close as the closest: within `band` of it, none over `reach`
+    away, the other end outside the box. Either end may be the near one; ends meet boxes through the cells of a grid."""
+    ends = [segments.select("page", "segment_id", *(F.col(c).alias(n) for c, n in zip(order, ("nx", "ny", "fx", "fy"), strict=True))) for order in (("sx0", "sy0", "sx1", "sy1"), ("sx1", "sy1", "sx0", "sy0"))]
+    near = ends[0].unionByName(ends[1]).withColumns({"cx": F.floor(F.col("nx") / size), "cy": F.floor(F.col("ny") / size)})
+    beyond = lambda lo, hi, at: F.greatest(F.col(lo) - F.col(at), F.lit(0), F.col(at) - F.col(hi))
+    within = F.col("fx").between(F.col("x0") - slack, F.col("x1") + slack) & F.col("fy").between(F.col("y0") - slack, F.col("y1") + slack)
+    dx, dy = beyond("x0", "x1", "nx").cast("double"), beyond("y0", "y1", "ny").cast("double")
+    pairs = celled(points, size, reach).join(near, ["page", "cx", "cy"]).where(~within).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= reach)
     close = Window.partitionBy("page", "box_id")
     pairs = pairs.withColumn("least", F.min("distance").over(close)).where(F.col("distance") <= F.col("least") + band)
-    longest = (F.col("sx1") - F.col("sx0")) * (F.col("sx1") - F.col("sx0")) + (F.col("sy1") - F.col("sy0")) * (F.col("sy1") - F.col("sy0"))
-    w = Window.partitionBy("page", "box_id").orderBy(longest.desc(), "segment_id")
+    w = close.orderBy(((F.col("fx") - F.col("nx")) ** 2 + (F.col("fy") - F.col("ny")) ** 2).desc(), "segment_id")
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("page", "box_id", "segment_id")
 
 
 def split_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens with bracketed parts, as one row for each part; widths are shared by characters."""
+    n = F.greatest(F.lit(1), F.length("label"))
+    at = lambda i: F.substring(F.col("label"), i, F.lit(1))
+    bracket = lambda i: at(i).isin("(", ")")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: ~bracket(i) & ((i == 1) | bracket(i - 1)))
     parts = F.filter(F.split("label", r"[()]+"), lambda p: p != "")
-    rows = tokens.select("*", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("label"))).alias("k", "part"), F.greatest(F.lit(1), F.length("label")).alias("n"), F.size(parts).alias("parts"))
-    start = F.instr(F.col("label"), F.col("part")) - 1
-    wide = (F.col("x1") - F.col("x0")) / F.col("n")
-    one = F.col("parts") <= 1
+    whole = F.array(F.struct(F.lit(1).alias("start"), F.col("label").alias("part")))
+    rows = tokens.select("*", n.alias("n"), F.size(parts).alias("parts"), F.explode(F.when(F.size(parts) > 0, F.arrays_zip(starts.alias("start"), parts.alias("part"))).otherwise(whole)).alias("p"))
+    wide, one, start = (F.col("x1") - F.col("x0")) / F.col("n"), F.col("parts") <= 1, F.col("p.start") - 1
     x0 = F.when(one, F.col("x0")).otherwise((F.col("x0") + wide * start).cast("int"))
-    x1 = F.when(one, F.col("x1")).otherwise((F.col("x0") + wide * (start + F.length("part"))).cast("int"))
-    return rows.select(*(c for c in tokens.columns if c not in ("label", "x0", "x1")), F.col("part").alias("label"), x0.alias("x0"), x1.alias("x1"))
+    x1 = F.when(one, F.col("x1")).otherwise((F.col("x0") + wide * (start + F.length("p.part"))).cast("int"))
+    return rows.select(*(c for c in tokens.columns if c not in ("label", "x0", "x1")), F.col("p.part").alias("label"), x0.alias("x0"), x1.alias("x1"))
+
+
+def joined_tokens(tokens: DataFrame, code: str, known: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """Tokens (page, box_id, label, box) after neighbours that were read apart are joined: one that follows at once in the same row,
+    or as a smaller subscript, and makes a code together with it. A round joins on every page the first such pair, by rows and then
+    from the left, whose two tokens are in no earlier pair of that round, and rounds go on until none is left."""
+    high = lambda e: F.col(f"y1_{e}") - F.col(f"y0_{e}")
+    gap = F.col("x0_b") - F.col("x1_a")
+    dy = F.abs((F.col("y0_a") + F.col("y1_a")) / 2 - (F.col("y0_b") + F.col("y1_b")) / 2)
+    row = dy < 0.35 * high("a")
+    subscript = (high("b") < 0.85 * high("a")) & (F.col("y1_b") >= F.col("y1_a") - 0.2 * high("a")) & (dy < 0.6 * high("a"))
+    both = F.concat("label_a", "label_b")
+    now = tokens.select("page", "box_id", "label", *BOX)
+    for _ in range(most):
+        reach = F.ceil(F.greatest(F.lit(2), F.col("y1") - F.col("y0"))).cast("int")
+        keys = ["page", "cx", "cy"]
+        left = now.withColumn("cx", F.explode(F.sequence(F.floor((F.col("x1") - 2) / 64), F.floor((F.col("x1") + reach) / 64)))).withColumn("cy", F.explode(F.sequence(F.floor((F.col("y0") - reach) / 64), F.floor((F.col("y1") + reach) / 64))))
+        right = now.withColumns({"cx": F.floor(F.col("x0") / 64), "cy": F.floor((F.col("y0") + F.col("y1")) / 128)})
+        pairs = _renamed(left, "a", keys).join(_renamed(right, "b", keys), keys).where((F.col("box_id_a") != F.col("box_id_b")) & (row | subscript) & (gap >= -2) & (gap < 0.45 * high("a")) & both.rlike(f"^(?:{code})$"))
+        if known is not None:
+            pairs = pairs.join(known.select(F.col("code").alias("joined")).distinct(), both == F.col("joined"), "left_semi")
+        order = F.struct("y0_a", "x0_a", "box_id_a", "y0_b", "x0_b", "box_id_b")
+        ends = pairs.select("page", order.alias("o"), F.explode(F.array("box_id_a", "box_id_b")).alias("end"))
+        first = ends.groupBy("page", "end").agg(F.min("o").alias("o"))
+        chosen = pairs.select("*", order.alias("o"))
+        for end in ("a", "b"):  # a pair counts if it is the first one of both its tokens
+            chosen = chosen.join(first.select("page", F.col("end").alias(f"box_id_{end}"), F.col("o").alias(f"o_{end}")), ["page", f"box_id_{end}"]).where(F.col(f"o_{end}") == F.col("o"))
+        chosen = chosen.checkpoint()
+        if chosen.isEmpty():
+            return now
+        merged = chosen.select("page", F.col("box_id_a").alias("box_id"), both.alias("label"), F.col("x0_a").alias("x0"), F.least("y0_a", "y0_b").alias("y0"), F.col("x1_b").alias("x1"), F.greatest("y1_a", "y1_b").alias("y1"))
+        gone = chosen.select("page", F.explode(F.array("box_id_a", "box_id_b")).alias("box_id"))
+        now = now.join(gone, ["page", "box_id"], "left_anti").unionByName(merged).checkpoint()
+    return now

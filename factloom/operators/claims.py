@@ -50,9 +50,21 @@ def body_signs(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def sign_table(docs: DataFrame, column: str = "signs", least: int = 3) -> DataFrame:
-    """id, code, name of lists of reference signs; lists of fewer than `least` codes are dropped as no such lists."""
-    pairs = docs.select("id", text.sign_pairs(F.col(column)).alias("pairs")).where(F.size("pairs") >= least)
-    return pairs.select("id", F.explode("pairs").alias("p")).select("id", "p.code", "p.name")
+    """id, code, name of texts that are lists of reference signs (`text.sign_list`)."""
+    return docs.select("id", F.explode(text.sign_list(F.col(column), least)).alias("p")).select("id", "p.code", "p.name")
+
+
+def publication_signs(pages: DataFrame, last: int = 6) -> DataFrame:
+    """id, code, name and origin of the signs of parsed publications (id, signs, paragraphs): the marked list; else the last of the
+    closing paragraphs that is a list; else what follows the heading for signs, if that gives two codes or more."""
+    listed = pages.select("id", text.sign_list(F.col("signs"), 1).alias("pairs"), F.lit(1).alias("least"), F.lit("list").alias("origin"), F.lit(0).alias("way"))
+    paragraphs = pages.select("id", F.size("paragraphs").alias("n"), F.posexplode("paragraphs").alias("at", "p")).where(F.col("at") >= F.col("n") - last).select("id", "at", text.sign_list(F.col("p")).alias("pairs"))
+    closing = paragraphs.where(F.size("pairs") > 0).groupBy("id").agg(F.max_by("pairs", "at").alias("pairs")).select("id", "pairs", F.lit(1), F.lit("paragraph"), F.lit(1))
+    whole = pages.select("id", F.array_join("paragraphs", "\n").alias("t")).where(F.contains(text.nfkc(F.col("t")), F.lit("符号の説明")))
+    headed = whole.select("id", text.sign_pairs(text.sign_section(F.col("t"))).alias("pairs"), F.lit(2), F.lit("heading"), F.lit(2))
+    ways = listed.union(closing).union(headed).where(F.size("pairs") >= F.col("least"))
+    best = ways.groupBy("id").agg(F.min_by(F.struct("pairs", "origin"), "way").alias("w"))
+    return best.select("id", F.explode("w.pairs").alias("p"), "w.origin").select("id", "p.code", "p.name", "origin")
 
 
 def code_order(c: Column) -> list[Column]:

@@ -45,7 +45,7 @@ def match_codes(read: DataFrame, known: DataFrame) -> DataFrame:
     return m.select("text", code.alias("code"), tier.alias("tier")).where("code IS NOT NULL")
 
 
-def contained_words(texts: DataFrame, names: DataFrame, letters: str = "a-z") -> DataFrame:
+def contained_words(texts: DataFrame, names: DataFrame, letters: str = r"\p{L}") -> DataFrame:
     """Names (name) that occur in texts (id, text) without a letter before: the prefixes of the texts' words meet the names."""
     words = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{letters}]+"), F.lit(0)))).alias("word"))
     lengths = names.agg(F.min(F.length("name")).alias("short"), F.max(F.length("name")).alias("long"))

@@ -52,7 +52,7 @@ def near_duplicates(candidates: DataFrame, synonyms: DataFrame) -> DataFrame:
 def apply_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """Rows after an edited graph replaces them. Rows: row_id, triple, keep, verdict, score. Edits: edge_no, row_id (null for a
     new edge), triple. Kept rows without an edge lose keep; edges of known rows are kept, changed ones as corrected; all
-    other edges become new rows of score 1."""
+    other edges become new rows of the highest score, 10."""
     e = edits.select("edge_no", F.col("row_id").alias("edge_row"), *(F.col(c).alias(f"new_{c}") for c in TRIPLE))
     joined = rows.join(e, F.col("row_id") == F.col("edge_row"), "full")
     known, edge = F.col("row_id").isNotNull(), F.col("edge_no").isNotNull()

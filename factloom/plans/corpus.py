@@ -96,17 +96,17 @@ def radar_specialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.specialisation(rows, "company", "code")
 
 
-_WORDS = "words AS (SELECT DISTINCT doc_id AS id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents)"
+_WORDS = "words AS (SELECT DISTINCT doc_id AS id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) AS term FROM documents)"
 
 
-@query(f"""WITH {_WORDS}, titles AS (SELECT doc_id AS id, lower(regexp_extract(text, '[A-Za-z]{{4,}}')) AS term FROM documents), kept AS (SELECT w.* FROM words w ANTI JOIN titles t ON w.id = t.id AND w.term = t.term),
+@query(f"""WITH {_WORDS}, titles AS (SELECT doc_id AS id, lower(regexp_extract(text, '\\p{{L}}{{4,}}')) AS term FROM documents), kept AS (SELECT w.* FROM words w ANTI JOIN titles t ON w.id = t.id AND w.term = t.term),
 here AS (SELECT term, count(DISTINCT id) AS n_selected FROM kept WHERE lang = 'fr' GROUP BY term HAVING count(DISTINCT id) >= 2), there AS (SELECT term, count(DISTINCT id) AS n_all FROM kept GROUP BY term)
 SELECT term, n_selected, n_all FROM here JOIN there USING (term) ORDER BY n_selected DESC, term LIMIT 50""")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of one group's texts against all; a term that opens its text is left out for that text."""
     docs = model.doc(spark, sf_dir)
-    words = docs.select("id", "grp", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("term"))
-    titles = docs.select("id", F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0)).alias("term"))
+    words = docs.select("id", "grp", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
+    titles = docs.select("id", F.lower(F.regexp_extract("text", r"\p{L}{4,}", 0)).alias("term"))
     kept = words.join(titles, ["id", "term"], "left_anti")
     return stats.terms(kept.where("grp = 'fr'"), kept, 2, 50).select("term", "n_selected", "n_all")
 

@@ -24,7 +24,10 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEAR = "a.x1 >= b.x0 - 5 AND b.x1 >= a.x0 - 5 AND a.y1 >= b.y0 - 5 AND b.y1 >= a.y0 - 5"
 
 
-@query(_BOXES + f" SELECT a.page, a.box_id AS a, b.box_id AS b FROM b a JOIN b ON a.page = b.page AND a.box_id < b.box_id AND {_NEAR}")
+_PAIRS = ", p AS MATERIALIZED (SELECT l.page, l.label, r.label AS other, l.box_id AS a, r.box_id AS b, l.x0 AS lx0, l.y0 AS ly0, l.x1 AS lx1, l.y1 AS ly1, r.x0, r.y0, r.x1, r.y1 FROM b AS l JOIN b AS r ON l.page = r.page)"
+
+
+@query(_BOXES + _PAIRS + " SELECT page, a, b FROM p WHERE a < b AND lx1 >= x0 - 5 AND x1 >= lx0 - 5 AND ly1 >= y0 - 5 AND y1 >= ly0 - 5")
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
     return boxes.overlapping(rows, rows).where("box_id_a < box_id_b").select("page", F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b"))
@@ -35,7 +38,7 @@ def box_contain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.contained(labelled(spark, sf_dir))
 
 
-@query(_BOXES + " SELECT a.page, a.label, a.box_id AS a, b.box_id AS b FROM b a JOIN b ON a.page = b.page AND a.label = b.label AND a.box_id < b.box_id AND abs(a.x0 - b.x0) < 30 AND abs(a.y0 - b.y0) < 30")
+@query(_BOXES + _PAIRS + " SELECT page, label, a, b FROM p WHERE label = other AND a < b AND abs(lx0 - x0) < 30 AND abs(ly0 - y0) < 30")
 def box_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.corner_pairs(labelled(spark, sf_dir))
 
@@ -58,8 +61,10 @@ def rotate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.rotated(rows, 90, side, side).withColumn("angle", F.lit(90)).unionByName(boxes.rotated(rows, 270, side, side).withColumn("angle", F.lit(270)))
 
 
-@query(_BOXES + """, p AS (SELECT a.page, a.box_id, s.box_id AS segment_id, greatest(abs(s.x0 - (a.x0 + a.x1) / 2), abs(s.y0 - (a.y0 + a.y1) / 2)) AS distance, (s.x1 - s.x0) * (s.x1 - s.x0) + (s.y1 - s.y0) * (s.y1 - s.y0) AS long FROM b a JOIN b s ON a.page = s.page WHERE a.box_id % 2 = 0 AND s.box_id % 2 = 1),
-n AS (SELECT *, min(distance) OVER (PARTITION BY page, box_id) AS least FROM p WHERE distance <= 45) SELECT page, box_id, segment_id FROM n WHERE distance <= least + 12 QUALIFY row_number() OVER (PARTITION BY page, box_id ORDER BY long DESC, segment_id) = 1""")
+@query(_BOXES + """, e AS (SELECT page, box_id AS segment_id, x0 AS nx, y0 AS ny, x1 AS fx, y1 AS fy FROM b WHERE box_id % 2 = 1 UNION ALL SELECT page, box_id, x1, y1, x0, y0 FROM b WHERE box_id % 2 = 1),
+p AS MATERIALIZED (SELECT l.page, l.box_id, e.segment_id, e.nx, e.ny, e.fx, e.fy, sqrt(CAST(greatest(l.x0 - nx, 0, nx - l.x1) ** 2 + greatest(l.y0 - ny, 0, ny - l.y1) ** 2 AS DOUBLE)) AS distance, fx BETWEEN l.x0 - 5 AND l.x1 + 5 AND fy BETWEEN l.y0 - 5 AND l.y1 + 5 AS inside FROM b AS l JOIN e ON l.page = e.page WHERE l.box_id % 2 = 0),
+n AS (SELECT *, min(distance) OVER (PARTITION BY page, box_id) AS least FROM p WHERE distance <= 45 AND NOT inside)
+SELECT page, box_id, segment_id FROM n WHERE distance <= least + 12 QUALIFY row_number() OVER (PARTITION BY page, box_id ORDER BY (fx - nx) ** 2 + (fy - ny) ** 2 DESC, segment_id) = 1""")
 def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
     segments = rows.where("box_id % 2 = 1").select("page", F.col("box_id").alias("segment_id"), *(F.col(c).alias(f"s{c}") for c in boxes.BOX))
@@ -68,7 +73,7 @@ def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BOXES + """, t AS (SELECT page, box_id, label || '(' || substr(label, 2) || ')' AS label, label AS p1, substr(label, 2) AS p2, x0, y0, x1, y1 FROM b), n AS (SELECT *, length(label) AS n FROM t)
 SELECT page, box_id, y0, y1, p1 AS label, x0, CAST(trunc(x0 + (x1 - x0) / n * length(p1)) AS INTEGER) AS x1 FROM n
-UNION ALL SELECT page, box_id, y0, y1, p2, CAST(trunc(x0 + (x1 - x0) / n * (instr(label, p2) - 1)) AS INTEGER), CAST(trunc(x0 + (x1 - x0) / n * (instr(label, p2) - 1 + length(p2))) AS INTEGER) FROM n""")
+UNION ALL SELECT page, box_id, y0, y1, p2, CAST(trunc(x0 + (x1 - x0) / n * (length(p1) + 1)) AS INTEGER), CAST(trunc(x0 + (x1 - x0) / n * (length(p1) + 1 + length(p2))) AS INTEGER) FROM n""")
 def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two codes, one in brackets, as two boxes."""
     rows = labelled(spark, sf_dir)

@@ -151,14 +151,14 @@ def char_code_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest(similarity.cosine(w.where("id % 100 = 0"), w), 5).select("id", "other", "rank")
 
 
-@query("""WITH terms AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS term FROM documents),
+@query("""WITH terms AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents),
 tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT id) AS n FROM terms),
 w AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n), u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
 s AS (SELECT a.id, b.id AS other, sum(a.w * b.w) AS sim FROM u a JOIN u b ON a.term = b.term AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY a.id, b.id)
 SELECT id, other, CAST(row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, other) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest five texts by their longer words; queries are the ids divisible by 100, against all."""
-    terms = model.doc(spark, sf_dir).select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("term"))
+    """Nearest five texts by their words; queries are the ids divisible by 100, against all."""
+    terms = model.doc(spark, sf_dir).select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("term"))
     w = similarity.weights(terms)
     return similarity.nearest(similarity.cosine(w.where("id % 100 = 0"), w), 5).select("id", "other", "rank")
 
@@ -171,3 +171,46 @@ def prefix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges = similarity.prefix_merges(part.select(F.col("p_name").alias("name")).union(part.select(first)))
     counts = stats.rank_values(part.select(first.alias("into")), "into", name="parts")
     return merges.join(counts, "into", "left").select("name", F.col("into").alias("into_name"), F.coalesce("parts", F.lit(0)).alias("parts"))
+
+
+@query(f"""WITH {TRIPLE}, {ENTITY}, c AS (SELECT DISTINCT id, source, target, CASE WHEN score >= 8 THEN 'accept' WHEN relation = 'A' OR score >= 5 THEN 'review' ELSE 'reject' END AS status FROM triple),
+seen AS (SELECT doc_id AS id, max(quality) AS keep FROM labels GROUP BY doc_id), rels AS (SELECT c.id, source, target, s.id IS NOT NULL AS reviewed FROM c LEFT JOIN seen s ON c.id = s.id WHERE CASE WHEN s.id IS NULL THEN status IN ('accept', 'review') ELSE keep = 1 END)
+SELECT DISTINCT id, unnest([source, target]) AS component, reviewed FROM rels""")
+def drawing_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of each item for its drawing: of the rows kept in review where it was reviewed, else of what is accepted or to review."""
+    seen = model.review(spark, sf_dir).groupBy("id").agg(F.max("keep").alias("keep"))
+    rows = classified(spark, sf_dir).select("id", "source", "target", "status").distinct().join(seen, "id", "left")
+    kept = rows.where(F.coalesce("keep", F.col("status").isin("accept", "review")))
+    return kept.select("id", F.explode(F.array("source", "target")).alias("component"), F.col("keep").isNotNull().alias("reviewed")).distinct()
+
+
+@query(f"""WITH {TRIPLE}, {code_sql(1)}, u AS (SELECT id, 'code' AS kind, code AS term FROM entity_code UNION SELECT id, 'component', source FROM triple WHERE score >= 5 UNION SELECT id, 'component', target FROM triple WHERE score >= 5 UNION SELECT id, 'relation', relation FROM triple WHERE score >= 5)
+SELECT kind, term, count(*) AS items FROM u GROUP BY kind, term""")
+def term_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items by the terms of every kind that they hold: codes, components and relations of chosen statements."""
+    t = model.triple(spark, sf_dir).where("score >= 5")
+    kinds = [(model.entity_code(spark, sf_dir, 1), "code", "code"), (t, "component", "source"), (t, "component", "target"), (t, "relation", "relation")]
+    rows = [df.select("id", F.lit(kind).alias("kind"), F.col(column).alias("term")) for df, kind, column in kinds]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.distinct().groupBy("kind", "term").agg(F.count("*").alias("items"))
+
+
+@query(f"""WITH {TRIPLE}, d AS (SELECT DISTINCT id, source, relation, target FROM triple WHERE score >= 5), g AS (SELECT id, count(*) AS kept, string_agg(source || '|' || relation || '|' || target, ';' ORDER BY source, relation, target) AS triples FROM d GROUP BY id)
+SELECT id, kept, triples FROM g WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def gold_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of each reviewed item, in order, as one list; an item's statements are few."""
+    done = model.review(spark, sf_dir).where("keep").select("id").distinct()
+    d = model.triple(spark, sf_dir).where("score >= 5").select("id", "source", "relation", "target").distinct().join(done, "id", "left_semi")
+    listed = F.array_sort(F.collect_list(F.struct("source", "relation", "target")))
+    return d.groupBy("id").agg(F.count("*").alias("kept"), F.array_join(F.transform(listed, lambda x: F.concat_ws("|", x["source"], x["relation"], x["target"])), ";").alias("triples"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) || ' group' FROM part), s AS (SELECT name AS parent, left(name, length(name) - 6) AS stem FROM n WHERE ends_with(name, ' group'))
+SELECT name, coalesce(min_by(parent, (length(stem), parent)), name) AS into_name FROM n LEFT JOIN s ON starts_with(name, stem) GROUP BY name""")
+def parent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that open with a parent company's stem merge into it."""
+    part = model.table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("name")).union(part.select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" group"))))
+    return similarity.parent_merges(names, (" group",)).withColumnRenamed("into", "into_name")

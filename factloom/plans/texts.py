@@ -12,14 +12,12 @@ from factloom.plans.base import query
 from factloom.sources import pages
 
 
-@query("""WITH b AS (SELECT item_id AS id, regexp_replace(text, '[\\s.,()]', '', 'g') AS t FROM benchmark), g AS (SELECT DISTINCT id, substr(t, CAST(i AS INTEGER), 2) AS term FROM b, unnest(range(1, length(t))) u(i)),
-n AS (SELECT id, count(*) AS n FROM g GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS same FROM g x JOIN g y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2),
-s AS (SELECT a, b, same, na.n + nb.n - same AS either FROM p JOIN n na ON a = na.id JOIN n nb ON b = nb.id)
-SELECT a, b, same, either FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY same * 1000000 // either DESC, b) = 1""")
+@query()
 def claim_jaccard_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most alike other item of each test item, by character pairs."""
-    items = model.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.explode(text.claim_grams(F.col("text"))).alias("term"))
-    return similarity.best(similarity.jaccard(items, items).where("a <> b")).withColumnRenamed("both", "same")
+    """The most alike document of each test item, by character pairs; tested against plain sets."""
+    grams = lambda df, key: df.select(F.col(key).alias("id"), text.claim_grams(F.col("text")).alias("terms"))
+    items, docs = grams(model.table(spark, sf_dir, "benchmark"), "item_id"), grams(model.table(spark, sf_dir, "documents"), "doc_id")
+    return similarity.best_matches(items, docs).withColumnRenamed("both", "same")
 
 
 @query("""WITH s AS (SELECT DISTINCT p_brand AS code, p_name AS name FROM part), c AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS comp FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size = 1),
@@ -32,14 +30,14 @@ def name_match_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.link_names(comps, signs)
 
 
-@query("""WITH names AS (SELECT DISTINCT substr(term, 1, 4) AS name FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark)),
-words AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
-SELECT DISTINCT id, name FROM words JOIN names ON name = substr(word, 1, 4) WHERE length(word) >= 4""")
+@query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]{4,}')) AS name FROM benchmark),
+words AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents)
+SELECT DISTINCT id, name FROM words JOIN names ON substr(name, 1, 4) = substr(word, 1, 4) AND starts_with(word, name)""")
 def contains_not_preceded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names from the test items that stand at the start of some word of a text."""
-    items = model.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
+    items = model.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("name"))
     docs = model.doc(spark, sf_dir).select("id", F.lower("text").alias("text"))
-    return resolve.contained_words(docs, items.select(F.substring("term", 1, 4).alias("name")).distinct()).select("id", "name")
+    return resolve.contained_words(docs, items.distinct()).select("id", "name")
 
 
 @query("""WITH known AS (SELECT DISTINCT replace(p_brand, '#', '') AS code FROM part), read AS (SELECT DISTINCT v AS text FROM (SELECT code AS v FROM known UNION ALL SELECT lower(code) FROM known UNION ALL SELECT translate(code, '12', 'lZ') FROM known UNION ALL SELECT code || 'x' FROM known)),
@@ -53,10 +51,10 @@ def code_tier_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.match_codes(read, known)
 
 
-@query("""WITH w AS (SELECT lang, substr(word, 1, 2) AS key, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[a-z]{3,}')) AS word FROM documents) GROUP BY ALL)
+@query("""WITH w AS (SELECT lang, substr(word, 1, 2) AS key, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '\\p{Ll}{3,}')) AS word FROM documents) GROUP BY ALL)
 SELECT key || '/' || lang AS key, word, n FROM w QUALIFY row_number() OVER (PARTITION BY key, lang ORDER BY n DESC, word) = 1""")
 def vote_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = model.doc(spark, sf_dir).select("grp", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    words = model.doc(spark, sf_dir).select("grp", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Ll}{3,}"), F.lit(0))).alias("word"))
     return stats.majority(words.select(F.concat_ws("/", F.substring("word", 1, 2), "grp").alias("key"), "word"), "key", "word")
 
 
@@ -124,11 +122,10 @@ def claim_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.count("*").over(w).alias("parts"), F.sum("n").over(w).alias("chars"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages WHERE html NOT LIKE '%&%' OR position('&' IN regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) = 0")
+@query()
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles as they stand; titles with character references are left to parsed_pages."""
-    rows = model.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("raw"))
-    return rows.where(~F.contains(F.col("raw"), F.lit("&"))).select("page_id", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("title"))
+    """The title of every page, character references resolved; tested against a plain reading of the pages."""
+    return pages.parse(model.table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
 @query("""SELECT page_id, count(*) AS links, count(DISTINCT link) AS targets FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href="([^"]*)"', 1)) AS link FROM pages) GROUP BY page_id""")

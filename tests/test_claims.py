@@ -29,3 +29,17 @@ def test_publication_page(spark):
       <span itemprop="publicationNumber">US9</span><a itemprop="pdfLink" href="p.pdf">"""
     row = publications.parse(spark.createDataFrame([("JP1A", html), ("x", None)], "id string, html string")).where("id = 'JP1A'").first()
     assert (row.title, row.claims, row.paragraphs, row.signs, row.images, row.family, row.pdf) == ("Fan unit", ["Axfan", "B"], ["text 1"], "1 管\n2 軸", ["u1"], ["JP2B"], "p.pdf")
+
+
+def test_lists_of_signs_are_chosen_by_their_form(spark):
+    docs = spark.createDataFrame([(1, "１０…管 ２０…軸 ３０・・・羽根"), (2, "１ 管、２ 軸、３ 羽根、これは文、あれも文"), (3, "これは文、１ 管、２ 軸、あれは文"), (4, None)], "id int, signs string")
+    assert {(r.id, r.code, r.name) for r in claims.sign_table(docs).collect()} == {(1, "10", "管"), (1, "20", "軸"), (1, "30", "羽根")}
+
+
+def test_signs_fall_back_to_paragraphs_and_headings(spark):
+    rows = [("a", "1 管\n2 軸", ["x"]), ("b", "", ["文一、文二", "１ 管、２ 軸、３ 羽根", "末の文"]), ("c", "", ["【符号の説明】１ 管、２ 軸【書類名】図面"]), ("d", "", ["文"]), ("e", None, None)]
+    got = claims.publication_signs(spark.createDataFrame(rows, "id string, signs string, paragraphs array<string>"))
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.id, r.origin), set()).add(r.code)
+    assert found == {("a", "list"): {"1", "2"}, ("b", "paragraph"): {"1", "2", "3"}, ("c", "heading"): {"1", "2"}}

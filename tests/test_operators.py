@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import network, resolve, review, similarity, stats
+from factloom.functions import text
+from factloom.operators import boxes, network, resolve, review, similarity, stats
 from factloom.sources import pages, tables
 from factloom.streaming import progress
 
@@ -104,3 +105,47 @@ def test_stream_resumes(spark, tmp_path):
         q = progress.append_to(progress.unseen(progress.arriving(spark, source, schema)), out, at)
         q.awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == list(range(15))
+
+
+def test_tokens_read_apart_are_joined(spark):
+    rows = [(1, 1, "30ap", 0, 0, 40, 20), (1, 2, "1", 42, 0, 50, 20), (1, 3, "124", 0, 100, 30, 120), (1, 4, "1", 31, 110, 36, 122), (1, 5, "12", 200, 0, 220, 20), (1, 6, "13", 300, 0, 320, 20), (1, 7, "a", 51, 0, 60, 20), (2, 1, "9", 42, 0, 50, 20)]
+    tokens = spark.createDataFrame(rows, "page int, box_id int, label string, x0 int, y0 int, x1 int, y1 int")
+    got = boxes.joined_tokens(tokens, text.CODE)
+    assert rows_of(got, "page", "label", "x0", "x1") == [(1, "12", 200, 220), (1, "1241", 0, 36), (1, "13", 300, 320), (1, "30ap1a", 0, 60), (2, "9", 42, 50)]
+    known = spark.createDataFrame([("1241",)], "code string")
+    assert [r for r in rows_of(boxes.joined_tokens(tokens, text.CODE, known), "label") if len(r[0]) > 2] == [("1241",), ("30ap",)]
+
+
+def rows_of(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=repr)
+
+
+def test_bracketed_tokens_keep_their_places(spark):
+    token = spark.createDataFrame([(1, "20(20)", 0, 0, 60, 10), (2, "7", 5, 0, 9, 10), (3, "()", 0, 0, 8, 4)], "box_id int, label string, x0 int, y0 int, x1 int, y1 int")
+    assert rows_of(boxes.split_tokens(token), "box_id", "label", "x0", "x1") == [(1, "20", 0, 20), (1, "20", 30, 50), (2, "7", 5, 9), (3, "()", 0, 8)]
+
+
+def test_either_end_of_a_segment_may_be_near(spark):
+    box = spark.createDataFrame([(1, 1, 100, 100, 120, 110)], "page int, box_id int, x0 int, y0 int, x1 int, y1 int")
+    segments = [(1, 1, 200, 200, 122, 105), (1, 2, 150, 105, 300, 300), (1, 3, 121, 105, 110, 105)]
+    found = boxes.nearest_segment(box, spark.createDataFrame(segments, "page int, segment_id int, sx0 int, sy0 int, sx1 int, sy1 int"))
+    assert rows(found) == [(1, 1, 1)]
+
+
+def test_most_alike_documents(spark, sf_dir):
+    """Against plain sets, also where nothing is shared."""
+    a = spark.createDataFrame([(1, ["x", "y"]), (2, ["q"]), (3, [])], "id int, terms array<string>")
+    b = spark.createDataFrame([(5, ["x", "y", "z"]), (6, ["x", "y", "w"]), (4, ["k"])], "id int, terms array<string>")
+    assert rows(similarity.best_matches(a, b, block=1, salts=2)) == [(1, 5, 2, 3), (2, 4, 0, 2), (3, 4, 0, 1)]
+
+
+def test_titles_of_all_pages(spark, sf_dir):
+    import html
+    import re
+
+    from factloom.plans import registry
+
+    got = {r.page_id: r.title for r in registry.QUERIES["html_title"](spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        raw = re.search(r"(?is)<title[^>]*>(.*?)</title>", r.html)
+        assert got[r.page_id] == " ".join(html.unescape(raw[1]).split())

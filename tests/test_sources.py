@@ -12,7 +12,7 @@ def one(spark, column, **values):
 
 def test_dotted_signs(spark):
     got = one(spark, text.dotted_signs(F.col("t")), t="１１０…放熱装置 １１０ａ、３１０ａ…装着面 １２４ 1、１２４ 2…開口部")
-    assert [(x["code"], x["name"]) for x in got] == [("110", "放熱装置"), ("110a", "装着面"), ("310a", "装着面"), ("1241", "開口部"), ("1242", "開口部")]
+    assert [(x["code"], x["name"]) for x in got] == [("110", "放熱装置"), ("110a", "装着面"), ("310a", "装着面"), ("1241", "開口部"), ("1242", "開口部"), ("124", "開口部")]
 
 
 def test_sections_and_labels(spark):
@@ -21,8 +21,9 @@ def test_sections_and_labels(spark):
     assert one(spark, text.item_label(F.col("a"), F.col("b"), F.col("c")), a="k", b=" ", c="Acme") == "k｜no title｜Acme"
     assert one(spark, text.text_label(F.col("t")), t="請求項（全文）") == "請求項"
     assert one(spark, text.clean_answer(F.col("t")), t="<think>a\nb</think> yes ") == "yes"
-    same = lambda a, b: one(spark, text.fingerprint(F.col("a"), F.col("b")), a=a, b=b)
-    assert same(1, "x") == same(1, "x") != same(2, "x")
+    df = spark.sql("SELECT 1 AS a, map('x', 1, 'y', 2) AS m, named_struct('p', 1, 'q', map(1, 2)) AS s UNION ALL SELECT 1, map('y', 2, 'x', 1), named_struct('p', 1, 'q', map(1, 2)) UNION ALL SELECT 1, map('x', 2, 'y', 1), named_struct('p', 1, 'q', map(1, 2))")
+    one_way, other = ([r.k for r in df.select(text.fingerprint(df, *names).alias("k")).collect()] for names in (("a", "m", "s"), ("s", "a", "m")))
+    assert one_way == other and one_way[0] == one_way[1] != one_way[2]
 
 
 def test_extraction_keeps_failures_and_resumes(spark):
