@@ -261,7 +261,8 @@ class Field:
                     np.subtract.at(g_m, (y[:, t - 1], y[:, t]), times)
             g_w = decay * n * self.weights
             for c in range(features.shape[1]):
-                np.add.at(g_w, features[:, c], g_e)
+                for tag in range(3):
+                    g_w[:, tag] += np.bincount(features[:, c], g_e[:, tag], N_FEATURES)
             for value, grad, (first, second) in zip((self.weights, self.moves), (g_w, g_m), state, strict=True):
                 first += 0.1 * (grad - first)
                 second += 0.01 * (grad * grad - second)
