@@ -37,6 +37,8 @@ from factloom.llm.textnp import chunks, column, fold_table, prefix, span_hash, u
 TRAIN_DOCS = 4000
 #: How much a generated line counts beside a line of the corpus, which has few secrets.
 GENERATED_WEIGHT = 10
+#: Bytes of text whose tokens are described at once: some 200 bytes of arrays are held for each.
+PART_BYTES = 1 << 17
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -278,7 +280,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = column(batch, "text")
         buf, off = utf8(texts)
-        for a, b in chunks(off):
+        for a, b in chunks(off, PART_BYTES):
             f, runs, tags = tagged(texts[a:b].to_pylist(), buf[off[a] : off[b]], off[a : b + 1] - off[a])
             f, runs, tags = with_masked(f, runs, tags)
             starts, counts = pieces(f, runs, tags)
@@ -406,7 +408,7 @@ def _scanning(broadcast, schema: pa.Schema):
             buf, off = utf8(texts)
             plain = texts.to_pylist()
             spans: list[list[tuple[int, int, int]]] = [base_spans(t) if t else [] for t in plain]
-            for a, b in chunks(off):
+            for a, b in chunks(off, PART_BYTES):
                 part, rows = buf[off[a] : off[b]], off[a : b + 1] - off[a]
                 tokens = Tokens(part, rows)
                 if not tokens.n:
