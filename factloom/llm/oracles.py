@@ -82,3 +82,37 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM texts LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
+
+
+def _crc_table() -> list[int]:
+    """The 256 entries of CRC-32 by its rule: eight shifts, each followed by the reversed polynomial where a one falls out."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 * (c & 1))
+        table.append(c)
+    return table
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string expression's UTF-8 bytes."""
+    digit = lambda k: f"strpos('0123456789ABCDEF', x[{k}]) - 1"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ({digit(1)}) * 16 + {digit(2)})"
+    return f"xor(list_reduce({data}, lambda c, x: xor(({_crc_table()})[1 + (xor(c, x) & 255)], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def importance(buckets: int, percent: int, least: int, seed: int) -> str:
+    return f"""
+WITH texts AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, {_LOWER} AS text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, {_LOWER} FROM benchmark),
+cut AS MATERIALIZED (SELECT side, r, doc_id, regexp_extract_all(text, {_ALNUM}) AS ws FROM texts),
+runs AS MATERIALIZED (SELECT side, r, array_to_string(ws[i:i + k - 1], ' ') AS f FROM (SELECT side, r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS k FROM cut) WHERE len(ws) >= k)),
+hashed AS MATERIALIZED (SELECT f, {crc32("f")} % {buckets} AS bucket FROM (SELECT DISTINCT f FROM runs)),
+marks AS MATERIALIZED (SELECT side, r, bucket, count(*) AS n FROM runs JOIN hashed USING (f) GROUP BY ALL),
+sizes AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (side = 1), 0) AS DOUBLE) AS t FROM marks GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sizes) + {buckets}) / ((s + 1) * ((SELECT sum(t) FROM sizes) + {buckets})))) AS gain FROM sizes),
+weights AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM marks JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+noise AS (SELECT r, doc_id, len(ws) AS n_words, CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM cut WHERE side = 0),
+scores AS (SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM noise LEFT JOIN weights USING (r)),
+placed AS (SELECT *, CASE WHEN n_words >= {least} THEN row_number() OVER (PARTITION BY n_words >= {least} ORDER BY score DESC, doc_id NULLS FIRST, weight DESC) END AS place FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT {percent} * count(*) // 100 FROM scores WHERE n_words >= {least}) THEN place END AS rank, n_words FROM placed
+"""
