@@ -116,3 +116,20 @@ scores AS (SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coales
 placed AS (SELECT *, CASE WHEN n_words >= {least} THEN row_number() OVER (PARTITION BY n_words >= {least} ORDER BY score DESC, doc_id NULLS FIRST, weight DESC) END AS place FROM scores)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT {percent} * count(*) // 100 FROM scores WHERE n_words >= {least}) THEN place END AS rank, n_words FROM placed
 """
+
+
+def spelling(length: int, count: int, ratio: int, rare: int) -> str:
+    return f"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= {length} GROUP BY doc_id, w),
+hashed AS (SELECT w, n, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM runs),
+written AS (SELECT CASE WHEN h % {rare} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM written WHERE length(word) >= {length} GROUP BY word HAVING sum(n) >= {count}),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+inserted AS (SELECT DISTINCT c.word AS x, c.n AS nx, w.word AS y, w.n AS ny FROM cut c JOIN words w ON c.rest = w.word),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION ALL SELECT x, y, ny FROM inserted UNION ALL SELECT y, x, nx FROM inserted),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS form_n FROM pairs GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {ratio} * w.n THEN form END AS form, CASE WHEN form_n >= {ratio} * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+follow AS (SELECT word, word AS here, 0 AS depth FROM formed UNION ALL SELECT f.word, g.form, depth + 1 FROM follow f JOIN formed g ON f.here = g.word WHERE g.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, depth) AS root FROM follow GROUP BY word)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN roots ON formed.word = roots.word
+"""
