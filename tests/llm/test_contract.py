@@ -17,7 +17,7 @@ from tests import oracle
 from tests.llm import brute
 from tests.llm.test_models import base_of, stats_of
 
-TABLES = ("documents", "benchmark", "labels")
+TABLES = ("documents", "benchmark", "labels", "conversations")
 
 
 def thue_morse(letters: str, n: int = 1024) -> str:
@@ -54,6 +54,9 @@ def folders(spark, tmp_path_factory):
     pd.DataFrame(items, columns=["item_id", "text"]).assign(id=1, spans=2).to_parquet(odd / "benchmark.parquet")
     labels = [(i, int(i % 3 > 0)) for i, _ in rows if i % 4] + [(3, 0), (9999, 1)]
     pd.DataFrame(labels, columns=["doc_id", "quality"]).assign(label=7).to_parquet(odd / "labels.parquet")
+    talks = [(i // 3, i % 3, ("user", "assistant", "a\\\nb<|")[i % 3], t) for i, (_, t) in enumerate(rows) if t is None or len(t) < 50_000]
+    talks += [(50, 0, "assistant", None), (50, 0, None, "<\\\\|<|x"), (51, 7, "system", ""), (52, 1, "assistant", "<\\"), (52, 2, "assistant", "|x")]
+    pd.DataFrame(talks, columns=["conv_id", "turn", "role", "text"]).assign(id=1, node=2, path="p").to_parquet(odd / "conversations.parquet")
     return {"small": "/root/testdata/sf0.001", "odd": str(odd)}
 
 
