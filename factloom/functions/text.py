@@ -95,8 +95,13 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
+def bare_claim(c: Column) -> Column:
+    """A claim without spaces, punctuation and brackets."""
+    return F.regexp_replace(norm(c), r"(?U)[\s、。，．,.（）()「」]", "")
+
+
 def claim_grams(c: Column) -> Column:
-    return bigrams(F.regexp_replace(norm(c), r"(?U)[\s、。，．,.（）()「」]", ""))
+    return bigrams(bare_claim(c))
 
 
 def base_term(c: Column) -> Column:

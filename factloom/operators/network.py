@@ -55,15 +55,17 @@ def scaled(nodes_: DataFrame) -> DataFrame:
     return nodes_.crossJoin(F.broadcast(most)).withColumn("scale", F.try_divide(F.col("count").cast("double"), "most")).drop("most")
 
 
-def depths(links: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
+def depths(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Least depth of each node below the roots, level by level until no new node is found."""
-    found = roots.select("node", F.lit(0).alias("depth"))
-    front = found
-    for depth in range(1, most + 1):
-        front = front.join(links, front.node == links.source).select(F.col("target").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.lit(depth).alias("depth")).checkpoint()
-        if front.isEmpty():
-            break
+    front = found = roots.select("node", F.lit(0).alias("depth")).distinct()
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        below = front.join(links, front.node == links.source).select(F.col("target").alias("node")).distinct()
+        front = below.join(found, "node", "left_anti").select("node", F.lit(depth).alias("depth")).checkpoint()
         found = found.unionByName(front)
+        if depth % 20 == 0:  # so that the plan of a deep tree stays short
+            found = found.checkpoint()
     return found
 
 

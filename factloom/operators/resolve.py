@@ -12,37 +12,39 @@ def _suffixes(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substring(c, k, F.lit(10_000)))
 
 
-def link_names(components: DataFrame, signs: DataFrame) -> DataFrame:
-    """Best-scored signs (code, name) of each component (comp), all ties kept. A match ends in the component's name without
-    ordinals, so the two sides meet by equal suffixes instead of a cross join."""
+def link_names(components: DataFrame, signs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Best-scored signs (code, name) of each component (comp), all ties kept; where `by` names columns, within equal values of them.
+    A match ends in the component's name without ordinals, so the two sides meet by equal suffixes instead of a cross join."""
     stem = lambda c: text.without_ordinal(text.norm(F.col(c)))
-    left = components.select("comp", stem("comp").alias("stem")).distinct().where("stem <> ''")
-    right = signs.select("code", "name", F.explode(_suffixes(stem("name"))).alias("stem"))
-    scored = left.join(right, "stem").select("comp", "code", "name", text.name_match(F.col("comp"), F.col("name")).alias("score")).where("score > 0").distinct()
-    w = Window.partitionBy("comp").orderBy(F.desc("score"))
+    plain = lambda c: text.nfkc(F.col(c))
+    left = components.select(*by, "comp", plain("comp").alias("plain_comp")).distinct().withColumn("stem", stem("plain_comp")).where("stem <> ''")
+    right = signs.select(*by, "code", "name", plain("name").alias("plain_name")).withColumn("stem", F.explode(_suffixes(stem("plain_name"))))
+    scored = left.join(right, [*by, "stem"]).select(*by, "comp", "code", "name", text.name_match(F.col("plain_comp"), F.col("plain_name")).alias("score")).where("score > 0").distinct()
+    w = Window.partitionBy(*by, "comp").orderBy(F.desc("score"))
     return scored.withColumn("r", F.rank().over(w)).where("r = 1").drop("r")
 
 
-def link_with_fallback(components: DataFrame, signs: DataFrame, body: DataFrame) -> DataFrame:
+def link_with_fallback(components: DataFrame, signs: DataFrame, body: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Links by the sign table, and by the body table for components without any."""
-    first = link_names(components, signs).withColumn("origin", F.lit("signs"))
-    rest = components.select("comp").distinct().join(first, "comp", "left_anti")
-    return first.unionByName(link_names(rest, body).withColumn("origin", F.lit("body")))
-
-
-def match_codes(read: DataFrame, known: DataFrame) -> DataFrame:
-    """Known code of each text read: the same; else the same but for case; else, for two characters or more, the only one that
-    is the same after folding what is often misread. tier tells which."""
-    keys = lambda name, c: known.select(F.col("code").alias(name), c.alias("key"))
-    only = lambda df, name: df.groupBy("key").agg(F.min(name).alias(name), F.count("*").alias("hits"))
-    t = read.select("text").distinct()
-    exact = known.select(F.col("code").alias("exact"))
-    lower = only(keys("lower", F.lower("code")), "lower").select(F.col("key").alias("lower_key"), "lower")
-    folded = only(keys("fold", text.folded(F.col("code"))), "fold").where("hits = 1").select(F.col("key").alias("fold_key"), "fold")
-    m = t.join(exact, t.text == exact.exact, "left").join(lower, F.lower("text") == F.col("lower_key"), "left").join(folded, (text.folded(F.col("text")) == F.col("fold_key")) & (F.length("text") >= 2), "left")
-    code = F.coalesce("exact", "lower", "fold")
+    first = link_names(components, signs, by).withColumn("origin", F.lit("signs"))
+    rest = components.select(*by, "comp").distinct().join(first, [*by, "comp"], "left_anti")
+    return first.unionByName(link_names(rest, body, by).withColumn("origin", F.lit("body")))
+
+
+def match_codes(read: DataFrame, known: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Known code of each text read, where `by` names columns within equal values of them: the same; else the same but for case; else,
+    for two characters or more, the only one that is the same after folding what is often misread. tier tells which."""
+    codes = known.select(*by, "code").distinct()
+
+    def only(name: str, c: Column) -> DataFrame:
+        return codes.select(*by, F.col("code").alias(name), c.alias(f"{name}_key")).groupBy(*by, f"{name}_key").agg(F.min(name).alias(name), F.count("*").alias("hits"))
+
+    t = read.select(*by, "text").distinct().withColumns({"exact_key": F.col("text"), "lower_key": F.lower("text"), "fold_key": F.when(F.length("text") >= 2, text.folded(F.col("text")))})
+    exact = codes.select(*by, F.col("code").alias("exact_key"), F.col("code").alias("exact"))
+    lower, folded = only("lower", F.lower("code")).drop("hits"), only("fold", text.folded(F.col("code"))).where("hits = 1").drop("hits")
+    m = t.join(exact, [*by, "exact_key"], "left").join(lower, [*by, "lower_key"], "left").join(folded, [*by, "fold_key"], "left")
     tier = F.when(F.col("exact").isNotNull(), 1).when(F.col("lower").isNotNull(), 2).when(F.col("fold").isNotNull(), 3)
-    return m.select("text", code.alias("code"), tier.alias("tier")).where("code IS NOT NULL")
+    return m.select(*by, "text", F.coalesce("exact", "lower", "fold").alias("code"), tier.alias("tier")).where("code IS NOT NULL")
 
 
 def contained_words(texts: DataFrame, names: DataFrame, letters: str = r"\p{L}") -> DataFrame:
