@@ -6,9 +6,16 @@ exact condition; a pair counts once, in the first cell that both boxes touch.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import CONFUSED, MEANT
+
 BOX = ["x0", "y0", "x1", "y1"]
 
 
@@ -107,35 +114,100 @@ def split_tokens(tokens: DataFrame) -> DataFrame:
     return rows.select(*(c for c in tokens.columns if c not in ("label", "x0", "x1")), F.col("p.part").alias("label"), x0.alias("x0"), x1.alias("x1"))
 
 
-def joined_tokens(tokens: DataFrame, code: str, known: DataFrame | None = None, most: int = 20) -> DataFrame:
-    """Tokens (page, box_id, label, box) after neighbours that were read apart are joined: one that follows at once in the same row,
-    or as a smaller subscript, and makes a code together with it. A round joins on every page the first such pair, by rows and then
-    from the left, whose two tokens are in no earlier pair of that round, and rounds go on until none is left."""
-    high = lambda e: F.col(f"y1_{e}") - F.col(f"y0_{e}")
-    gap = F.col("x0_b") - F.col("x1_a")
-    dy = F.abs((F.col("y0_a") + F.col("y1_a")) / 2 - (F.col("y0_b") + F.col("y1_b")) / 2)
-    row = dy < 0.35 * high("a")
-    subscript = (high("b") < 0.85 * high("a")) & (F.col("y1_b") >= F.col("y1_a") - 0.2 * high("a")) & (dy < 0.6 * high("a"))
-    both = F.concat("label_a", "label_b")
-    now = tokens.select("page", "box_id", "label", *BOX)
-    for _ in range(most):
-        reach = F.ceil(F.greatest(F.lit(2), F.col("y1") - F.col("y0"))).cast("int")
-        keys = ["page", "cx", "cy"]
-        left = now.withColumn("cx", F.explode(F.sequence(F.floor((F.col("x1") - 2) / 64), F.floor((F.col("x1") + reach) / 64)))).withColumn("cy", F.explode(F.sequence(F.floor((F.col("y0") - reach) / 64), F.floor((F.col("y1") + reach) / 64))))
-        right = now.withColumns({"cx": F.floor(F.col("x0") / 64), "cy": F.floor((F.col("y0") + F.col("y1")) / 128)})
-        pairs = _renamed(left, "a", keys).join(_renamed(right, "b", keys), keys).where((F.col("box_id_a") != F.col("box_id_b")) & (row | subscript) & (gap >= -2) & (gap < 0.45 * high("a")) & both.rlike(f"^(?:{code})$"))
-        if known is not None:
-            pairs = pairs.join(known.select(F.col("code").alias("joined")).distinct(), both == F.col("joined"), "left_semi")
-        order = F.struct("y0_a", "x0_a", "box_id_a", "y0_b", "x0_b", "box_id_b")
-        ends = pairs.select("page", order.alias("o"), F.explode(F.array("box_id_a", "box_id_b")).alias("end"))
-        first = ends.groupBy("page", "end").agg(F.min("o").alias("o"))
-        chosen = pairs.select("*", order.alias("o"))
-        for end in ("a", "b"):  # a pair counts if it is the first one of both its tokens
-            chosen = chosen.join(first.select("page", F.col("end").alias(f"box_id_{end}"), F.col("o").alias(f"o_{end}")), ["page", f"box_id_{end}"]).where(F.col(f"o_{end}") == F.col("o"))
-        chosen = chosen.checkpoint()
-        if chosen.isEmpty():
-            return now
-        merged = chosen.select("page", F.col("box_id_a").alias("box_id"), both.alias("label"), F.col("x0_a").alias("x0"), F.least("y0_a", "y0_b").alias("y0"), F.col("x1_b").alias("x1"), F.greatest("y1_a", "y1_b").alias("y1"))
-        gone = chosen.select("page", F.explode(F.array("box_id_a", "box_id_b")).alias("box_id"))
-        now = now.join(gone, ["page", "box_id"], "left_anti").unionByName(merged).checkpoint()
-    return now
+def away_from(new: DataFrame, old: DataFrame, reach: int = 25) -> DataFrame:
+    """Boxes whose centre lies less than `reach` from that of no old box on their page, by either axis."""
+    middle = lambda df, lo, hi: (df[lo] + df[hi]) / 2
+    at = lambda df, *more: df.select(*more, "page", middle(df, "x0", "x1").alias("mx"), middle(df, "y0", "y1").alias("my"))
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = at(old).withColumn("cx", F.explode(F.sequence(cell("mx") - 1, cell("mx") + 1))).withColumn("cy", F.explode(F.sequence(cell("my") - 1, cell("my") + 1)))
+    here = at(new, "box_id").withColumns({"cx": cell("mx"), "cy": cell("my")})
+    keys = ["page", "cx", "cy"]
+    pairs = _renamed(here, "a", keys).join(_renamed(around, "b", keys), keys)
+    close = pairs.where((F.abs(F.col("mx_a") - F.col("mx_b")) < reach) & (F.abs(F.col("my_a") - F.col("my_b")) < reach)).select("page", F.col("box_id_a").alias("box_id")).distinct()
+    return new.join(close, ["page", "box_id"], "left_anti")
+
+
+class _Page:
+    """The tokens of one page by rows and from the left, and for each its partner: the first token that joins on to it."""
+
+    def __init__(self, rows: pd.DataFrame, code: re.Pattern, known: list[str] | None):
+        self.rows = rows.sort_values(["y0", "x0", "box_id"], kind="stable").reset_index(drop=True)
+        self.labels = self.rows.label.tolist()
+        self.box = self.rows[BOX].to_numpy(float)
+        self.fixed = self.rows.rotated.to_numpy(bool)
+        self.gone = np.zeros(len(self.rows), bool)
+        self.code, self.known = code, None if known is None else _Known(known)
+        self.partner = [self.first(a) for a in range(len(self.rows))]
+
+    def fits(self, a, b) -> np.ndarray:
+        """Whether b (an index or all) follows a (all or an index) closely enough in its row, or as its subscript."""
+        ax1, ay0, ay1 = self.box[a, 2], self.box[a, 1], self.box[a, 3]
+        high, low, gap = ay1 - ay0, self.box[b, 3] - self.box[b, 1], self.box[b, 0] - ax1
+        dy = np.abs((ay0 + ay1) / 2 - (self.box[b, 1] + self.box[b, 3]) / 2)
+        below = (low < 0.85 * high) & (self.box[b, 3] >= ay1 - 0.2 * high) & (dy < 0.6 * high)
+        near = ((dy < 0.35 * high) | below) & (gap >= -2) & (gap < 0.45 * high)
+        return near & ~self.gone[a] & ~self.gone[b] & ~self.fixed[a] & ~self.fixed[b]
+
+    def named(self, a: int, b: int) -> bool:
+        text = self.labels[a] + self.labels[b]
+        return a != b and self.code.fullmatch(text) is not None and (self.known is None or text in self.known)
+
+    def first(self, a: int) -> int:
+        return next((b for b in np.flatnonzero(self.fits(a, slice(None))).tolist() if self.named(a, b)), -1)
+
+    def joined(self) -> pd.DataFrame:
+        """Joins the first token that has a partner with it, until none has one. Only pairs with one of the two can change."""
+        while (a := next((k for k, b in enumerate(self.partner) if b >= 0), -1)) >= 0:
+            b = self.partner[a]
+            self.labels[a] += self.labels[b]
+            self.box[a] = self.box[a, 0], min(self.box[a, 1], self.box[b, 1]), self.box[b, 2], max(self.box[a, 3], self.box[b, 3])
+            self.rows.loc[a, "conf"] = min(self.rows.conf[a], self.rows.conf[b])
+            self.gone[b] = True
+            self.partner[b] = -1
+            before = set(np.flatnonzero(self.fits(slice(None), a)).tolist())
+            for c, p in enumerate(self.partner):
+                if c == a or p in (a, b):
+                    self.partner[c] = self.first(c)
+                elif c in before and (p < 0 or a < p) and self.named(c, a):
+                    self.partner[c] = a
+        out = self.rows.assign(label=self.labels, **{c: self.box[:, k].astype("int64") for k, c in enumerate(BOX)})
+        return out[~self.gone]
+
+
+class _Known:
+    """Codes that a text stands for: the same, the same but for case, or the only one that is the same once misread characters are folded."""
+
+    def __init__(self, codes: list[str]):
+        self.codes, self.lower = set(codes), {c.lower() for c in codes}
+        self.folded = Counter(map(self.fold, self.codes))
+
+    @staticmethod
+    def fold(text: str) -> str:
+        return text.translate(str.maketrans(CONFUSED, MEANT)).lower()
+
+    def __contains__(self, text: str) -> bool:
+        return text in self.codes or text.lower() in self.lower or (len(text) >= 2 and self.folded[self.fold(text)] == 1)
+
+
+def joined_tokens(tokens: DataFrame, code: str, known: DataFrame | None = None) -> DataFrame:
+    """Tokens (page, box_id, label, box) after neighbours that were read apart are joined: one that follows at once in the same row, or
+    as a smaller subscript, and makes a code together with it that stands for a known one, where codes are given: (page, code), or
+    (code) for all pages, one drawing's list. Pairs are joined one at a time, by rows and then from the left, until none is left; a
+    page's tokens are one group. Tokens with `rotated` stay as they are; `conf` becomes the lower one of the two."""
+    extra = {"rotated": F.lit(False), "conf": F.lit(None).cast("double")}
+    now = tokens.select("page", "box_id", "label", *BOX, *((F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c == "rotated" else F.col(c).cast("double")).alias(c) if c in tokens.columns else v.alias(c) for c, v in extra.items()))
+    if known is not None:
+        by = [c for c in ("page",) if c in known.columns]
+        lists = known.groupBy(*by).agg(F.collect_set("code").alias("known"))
+        now = now.join(lists, by, "left") if by else now.crossJoin(F.broadcast(lists))
+        now = now.withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    kinds = dict(tokens.dtypes)
+    pattern, schema = re.compile(code), f"page {kinds['page']}, box_id {kinds['box_id']}, label string, x0 long, y0 long, x1 long, y1 long, conf double"
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = list(rows.known.iloc[0]) if "known" in rows else None
+        return _Page(rows, pattern, codes).joined()[columns]
+
+    out = now.groupBy("page").applyInPandas(join, schema)
+    return out.select("page", "box_id", "label", *(F.col(c).cast(kinds[c]).alias(c) for c in BOX), *(["conf"] if "conf" in tokens.columns else []))

@@ -148,7 +148,7 @@ def char_code_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.length("p_name") - 1), lambda i: F.concat(F.lit("g"), F.substring(F.col("p_name"), i, F.lit(2))))
     terms = part.select(F.col("p_partkey").alias("id"), F.explode(F.concat(F.array(F.concat(F.lit("c"), "p_brand")), grams)).alias("term"))
     w = similarity.weights(terms)
-    return similarity.nearest(similarity.cosine(w.where("id % 100 = 0"), w), 5).select("id", "other", "rank")
+    return similarity.top_cosine(w.where("id % 100 = 0"), w, 5).select("id", "other", "rank")
 
 
 @query("""WITH terms AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents),
@@ -160,7 +160,35 @@ def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest five texts by their words; queries are the ids divisible by 100, against all."""
     terms = model.doc(spark, sf_dir).select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("term"))
     w = similarity.weights(terms)
-    return similarity.nearest(similarity.cosine(w.where("id % 100 = 0"), w), 5).select("id", "other", "rank")
+    return similarity.top_cosine(w.where("id % 100 = 0"), w, 5).select("id", "other", "rank")
+
+
+_GRAINS = f"""WITH {TRIPLE}, d AS (SELECT DISTINCT id, source, relation, target FROM triple WHERE score >= 2), g AS (SELECT DISTINCT id, 'triple' AS grain, source || '|' || relation || '|' || target AS term FROM d UNION SELECT id, 'pair', source || '|' || target FROM d UNION SELECT id, 'component', source FROM d UNION SELECT id, 'component', target FROM d)"""
+
+
+def grains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, grain, term of chosen statements: whole, as pairs, and as components."""
+    return similarity.grains(model.triple(spark, sf_dir).where("score >= 2"))
+
+
+@query(_GRAINS + """, terms AS MATERIALIZED (SELECT id, grain || ':' || term AS term FROM g), df AS (SELECT term, count(*) AS df FROM terms GROUP BY term), n AS (SELECT count(DISTINCT id) AS n FROM terms),
+w AS (SELECT id, term, ln((1 + n) / (1 + df)) + 1 AS w FROM terms JOIN df USING (term) CROSS JOIN n), u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+s AS (SELECT a.id, b.id AS other, sum(a.w * b.w) AS sim FROM u a JOIN u b ON a.term = b.term AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY a.id, b.id)
+SELECT id, other, CAST(row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, other) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def grain_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest five items by their statements at three grains; queries are the ids divisible by 100, against all."""
+    terms = grains(spark, sf_dir).select("id", F.concat_ws(":", "grain", "term").alias("term"))
+    w = similarity.weights(terms)
+    return similarity.top_cosine(w.where("id % 100 = 0"), w, 5).select("id", "other", "rank")
+
+
+@query(_GRAINS + """ SELECT x.id AS a, x.id + 1 AS b, x.grain, count(*) AS common, string_agg(x.term, ',' ORDER BY x.term) AS terms FROM g x JOIN g y ON y.id = x.id + 1 AND x.grain = y.grain AND x.term = y.term GROUP BY x.id, x.grain""")
+def grain_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What neighbours in the list share: statements, pairs and components."""
+    g = grains(spark, sf_dir)
+    pairs = g.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).distinct()
+    common = similarity.shared(g.select("id", F.struct("grain", "term").alias("term")), pairs)
+    return common.groupBy("a", "b", "term.grain").agg(F.count("*").alias("common"), F.array_join(F.array_sort(F.collect_list("term.term")), ",").alias("terms"))
 
 
 @query("WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part), m AS (SELECT a.name, min_by(b.name, length(b.name)) AS into_name FROM n a JOIN n b ON starts_with(a.name, b.name) GROUP BY a.name), c AS (SELECT split_part(p_name, ' ', 1) AS into_name, count(*) AS parts FROM part GROUP BY 1) SELECT name, into_name, coalesce(parts, 0) AS parts FROM m LEFT JOIN c USING (into_name)")

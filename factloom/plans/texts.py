@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.functions import text
-from factloom.operators import resolve, similarity, stats
+from factloom.operators import claims, resolve, similarity, stats
 from factloom.plans.base import query
 from factloom.sources import pages
 
 
-@query()
+@query("""WITH t AS (SELECT 0 AS side, item_id AS id, regexp_replace(text, '[\\s、。，．,.（）()「」]', '', 'g') AS t FROM benchmark UNION ALL SELECT 1, doc_id, regexp_replace(text, '[\\s、。，．,.（）()「」]', '', 'g') FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT side, id, substr(t, CAST(i AS INTEGER), 2) AS gram FROM (SELECT *, unnest(range(1, length(t))) AS i FROM t)), n AS MATERIALIZED (SELECT t.side, t.id, count(gram) AS n FROM t LEFT JOIN g USING (side, id) GROUP BY t.side, t.id),
+met AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS same FROM g x JOIN g y USING (gram) WHERE x.side = 0 AND y.side = 1 GROUP BY x.id, y.id),
+p AS (SELECT x.id AS a, y.id AS b, coalesce(same, 0) AS same, x.n + y.n - coalesce(same, 0) AS either FROM n x JOIN n y ON x.side = 0 AND y.side = 1 LEFT JOIN met ON met.a = x.id AND met.b = y.id)
+SELECT a, b, same, either FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY coalesce(same * 1000000 // nullif(either, 0), 0) DESC, b) = 1""")
 def claim_jaccard_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most alike document of each test item, by character pairs; tested against plain sets."""
+    """The most alike document of each test item, by character pairs."""
     grams = lambda df, key: df.select(F.col(key).alias("id"), text.claim_grams(F.col("text")).alias("terms"))
     items, docs = grams(model.table(spark, sf_dir, "benchmark"), "item_id"), grams(model.table(spark, sf_dir, "documents"), "doc_id")
     return similarity.best_matches(items, docs).withColumnRenamed("both", "same")
@@ -116,10 +120,10 @@ def first_of_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT c.conv_id, c.turn, CAST(1 AS BIGINT) AS parts, CAST(c.n AS BIGINT) AS chars FROM c JOIN first USING (conv_id, turn) UNION ALL SELECT c.conv_id, c.turn, w.parts + 1, w.chars + c.n FROM w JOIN c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1) SELECT * FROM w""")
 def claim_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with all it builds on, back to the first: parts and characters of the whole."""
-    rows = model.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = rows.withColumn("gap", F.when(F.col("turn") - F.lag("turn").over(w) > 1, 1).otherwise(0)).withColumn("broken", F.sum("gap").over(w)).where("broken = 0")
-    return rows.select("conv_id", "turn", F.count("*").over(w).alias("parts"), F.sum("n").over(w).alias("chars"))
+    rows = model.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("no"), "text", (F.col("turn") - 1).alias("ref"))
+    start = rows.groupBy("id").agg(F.min("no").alias("start"))
+    whole = claims.expanded(rows, "").join(start, "id").where(F.col("n_parts") == F.col("no") - F.col("start") + 1)
+    return whole.select(F.col("id").alias("conv_id"), F.col("no").alias("turn"), F.col("n_parts").cast("long").alias("parts"), F.length("text").cast("long").alias("chars"))
 
 
 @query()

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +123,57 @@ def rows_of(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
+def plain_joins(tokens, known=None):
+    """One pair at a time, looked for from the start each time."""
+    tokens = [list(t) for t in sorted(tokens, key=lambda t: (t[3], t[2], t[0]))]
+
+    def fits(a, b):
+        ah, bh, gap = a[5] - a[3], b[5] - b[3], b[2] - a[4]
+        dy = abs((a[3] + a[5]) / 2 - (b[3] + b[5]) / 2)
+        near = dy < 0.35 * ah or (bh < 0.85 * ah and b[5] >= a[5] - 0.2 * ah and dy < 0.6 * ah)
+        return near and -2 <= gap < 0.45 * ah and re.fullmatch(text.CODE, a[1] + b[1]) and (known is None or a[1] + b[1] in known)
+
+    while pair := next(((a, b) for a in tokens for b in tokens if a is not b and fits(a, b)), None):
+        a, b = pair
+        a[1:] = [a[1] + b[1], a[2], min(a[3], b[3]), b[4], max(a[5], b[5])]
+        tokens.remove(b)
+    return [tuple(t) for t in tokens]
+
+
+def test_tokens_are_joined_to_the_end(spark):
+    """Thirty letters and digits in a row, and pages of crowded tokens, as one pair at a time from the start gives them."""
+    rng = random.Random(4)
+    rows = [(1, k, "ab1c2"[k % 5], 10 * k, 0, 10 * k + 9, 10) for k in range(30)] + [(2, k, str(k % 10), 10 * k, 0, 10 * k + 9, 10) for k in range(30)]
+    for page in range(3, 30):
+        for k in range(rng.randint(1, 14)):
+            x, y, h = rng.randint(0, 60), rng.randint(0, 12), rng.choice([6, 10, 12])
+            rows.append((page, k, rng.choice(["1", "2", "3a", "b", "4", "10", "ap"]), x, y, x + rng.randint(3, 9), y + h))
+    schema = "page int, box_id int, label string, x0 int, y0 int, x1 int, y1 int"
+    got = {}
+    for r in boxes.joined_tokens(spark.createDataFrame(rows, schema), text.CODE).collect():
+        got.setdefault(r.page, []).append(tuple(r)[1:])
+    for page in {r[0] for r in rows}:
+        assert sorted(got[page]) == sorted(plain_joins([r[1:] for r in rows if r[0] == page])), page
+    assert len(got[2]) == 8  # thirty digits make codes of four
+
+
+def test_joins_look_up_codes_in_tiers_and_leave_rotated_tokens(spark):
+    schema = "page int, box_id int, label string, x0 int, y0 int, x1 int, y1 int, rotated int, conf double"
+    pair = lambda page, a, b, rotated=0: [(page, 1, a, 0, 0, 10, 10, rotated, 90.0), (page, 2, b, 11, 0, 20, 10, None, 60.0)]
+    tokens = spark.createDataFrame(pair(1, "1", "0") + pair(2, "1", "A") + pair(3, "B", "0") + pair(4, "1", "0", 1) + pair(5, "9", "9") + pair(6, "1", "0"), schema)
+    known = spark.createDataFrame([(1, "10"), (2, "1a"), (3, "80"), (4, "10"), (5, "98")], "page int, code string")
+    got = boxes.joined_tokens(tokens, text.CODE, known)
+    assert sorted((r.page, r.label, r.conf) for r in got.collect() if len(r.label) > 1) == [(1, "10", 60.0), (2, "1A", 60.0), (3, "B0", 60.0)]
+    assert sorted(r.page for r in boxes.joined_tokens(tokens, text.CODE, known.select("code")).collect() if len(r.label) > 1) == [1, 2, 3, 6]
+
+
+def test_centres_keep_their_distance(spark):
+    schema = "page int, box_id int, x0 int, y0 int, x1 int, y1 int"
+    old = spark.createDataFrame([(1, 0, 100, 100, 110, 110)], schema)
+    new = spark.createDataFrame([(1, 1, 124, 81, 134, 91), (1, 2, 125, 100, 135, 110), (1, 3, 76, 124, 86, 134), (2, 4, 100, 100, 110, 110)], schema)
+    assert sorted(r.box_id for r in boxes.away_from(new, old).collect()) == [2, 4]
+
+
 def test_bracketed_tokens_keep_their_places(spark):
     token = spark.createDataFrame([(1, "20(20)", 0, 0, 60, 10), (2, "7", 5, 0, 9, 10), (3, "()", 0, 0, 8, 4)], "box_id int, label string, x0 int, y0 int, x1 int, y1 int")
     assert rows_of(boxes.split_tokens(token), "box_id", "label", "x0", "x1") == [(1, "20", 0, 20), (1, "20", 30, 50), (2, "7", 5, 9), (3, "()", 0, 8)]
@@ -136,7 +190,9 @@ def test_most_alike_documents(spark, sf_dir):
     """Against plain sets, also where nothing is shared."""
     a = spark.createDataFrame([(1, ["x", "y"]), (2, ["q"]), (3, [])], "id int, terms array<string>")
     b = spark.createDataFrame([(5, ["x", "y", "z"]), (6, ["x", "y", "w"]), (4, ["k"])], "id int, terms array<string>")
-    assert rows(similarity.best_matches(a, b, block=1, salts=2)) == [(1, 5, 2, 3), (2, 4, 0, 2), (3, 4, 0, 1)]
+    assert rows(similarity.best_matches(a, b, block=1)) == [(1, 5, 2, 3), (2, 4, 0, 2), (3, 4, 0, 1)]
+    assert rows(similarity.best_matches(a, b)) == [(1, 5, 2, 3), (2, 4, 0, 2), (3, 4, 0, 1)]
+    assert similarity.best_matches(a.limit(0), b).count() == similarity.best_matches(a, b.limit(0)).count() == 0
 
 
 def test_titles_of_all_pages(spark, sf_dir):
@@ -149,3 +205,17 @@ def test_titles_of_all_pages(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         raw = re.search(r"(?is)<title[^>]*>(.*?)</title>", r.html)
         assert got[r.page_id] == " ".join(html.unescape(raw[1]).split())
+
+
+@pytest.mark.parametrize("budget", [0, 30, 5000])
+def test_pruned_cosine_is_exact(spark, budget):
+    """Against all pairs: a term in every text, ties, texts that share nothing, and fewer partners than are asked for."""
+    rng = random.Random(budget)
+    terms = [(i, t) for i in range(120) for t in {"all", *(f"t{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(1, 25)))} for _ in range(rng.randint(1, 3))]
+    terms += [(200, "only"), (201, "only"), (202, "lonely"), (203, "x"), (203, "y"), (204, "x"), (204, "y"), (205, "x"), (205, "y")]
+    w = similarity.weights(spark.createDataFrame(terms, "id long, term string")).cache()
+    asked = F.col("id").isin(0, 1, 2, 60, 119, 200, 202, 203)
+    full = similarity.nearest(similarity.cosine(w.where(asked), w), 4)
+    pruned = similarity.top_cosine(w.where(asked), w, 4, budget=budget)
+    shown = lambda df: sorted((r.id, r.other, r["rank"], round(r.sim, 9)) for r in df.collect())
+    assert shown(pruned) == shown(full) and len(shown(full)) > 20
