@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import text
+
 TRIPLE = ["source", "relation", "target"]
 
 
@@ -41,12 +43,19 @@ def capped(candidates: DataFrame, pair: list[str], score: str, ties: list[str],
     return candidates.where(F.col(score) >= least).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
 
 
-def near_duplicates(candidates: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Unselected candidates whose unordered pair has a selected one with the same relation or a synonym."""
-    pair = [F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")]
+def near_duplicates(candidates: DataFrame, synonyms: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """Unselected candidates whose unordered pair has a selected one with the same relation or a synonym. Pairs are those of canonical
+    names where a table (name, canonical) of them is given."""
+    ends = ["source", "target"]
+    if canonical is not None:
+        for c in ("source", "target"):
+            table = canonical.select(F.col("name").alias(c), F.col("canonical").alias(f"{c}_name"))
+            candidates = candidates.join(table, c, "left").withColumn(f"{c}_name", F.coalesce(f"{c}_name", c))
+        ends = ["source_name", "target_name"]
+    pair = [F.least(*ends).alias("a"), F.greatest(*ends).alias("b")]
     known = synonyms.select("x", "y").union(synonyms.select("y", "x")).union(candidates.select("relation", "relation")).distinct()
     chosen = candidates.where("selected").select("id", *pair, F.col("relation").alias("x")).distinct().join(known, "x").select("id", "a", "b", F.col("y").alias("relation")).distinct()
-    return candidates.where(~F.col("selected")).select("*", *pair).join(chosen, ["id", "a", "b", "relation"], "left_semi").drop("a", "b")
+    return candidates.where(~F.col("selected")).select("*", *pair).join(chosen, ["id", "a", "b", "relation"], "left_semi").drop("a", "b", "source_name", "target_name")
 
 
 def apply_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
@@ -89,9 +98,68 @@ def next_open(queue: DataFrame, order: str, done: str, group: str, *, width: int
 
 
 def merge_texts(documents: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with the texts given for their keys, analysis reset where the text changed; and the keys changed."""
-    new = texts.select("key", F.col("text").alias("new_text"))
+    """Documents with the texts given for their keys (key, text, and text_source where there is one), and the keys changed. Where the
+    text changed, analysis is reset: analyzed becomes false, and of relations, n_rejected and text_source those that are there
+    become empty, 0 and the new text's source."""
+    source = "text_source" in texts.columns
+    new = texts.select("key", F.col("text").alias("new_text"), *([F.col("text_source").alias("new_source")] if source else []))
     joined = documents.join(new, "key", "left")
     changed = F.col("new_text").isNotNull() & ~F.col("new_text").eqNullSafe(F.col("text"))
-    out = joined.withColumn("analyzed", F.when(changed, F.lit(False)).otherwise(F.coalesce("analyzed", F.lit(True)))).withColumn("text", F.when(changed, F.col("new_text")).otherwise(F.col("text")))
-    return out.drop("new_text"), joined.where(changed).select("key")
+    reset = {"analyzed": (F.lit(False), F.coalesce("analyzed", F.lit(True)))}
+    if "relations" in documents.columns:
+        reset["relations"] = (F.slice("relations", 1, 0), F.col("relations"))
+    if "n_rejected" in documents.columns:
+        reset["n_rejected"] = (F.lit(0), F.col("n_rejected"))
+    if source and "text_source" in documents.columns:
+        reset["text_source"] = (F.col("new_source"), F.col("text_source"))
+    out = joined.withColumns({c: F.when(changed, to).otherwise(old) for c, (to, old) in reset.items()} | {"text": F.when(changed, F.col("new_text")).otherwise(F.col("text"))})
+    return out.drop("new_text", "new_source"), joined.where(changed).select("key")
+
+
+def without(reviews: DataFrame, changed: DataFrame) -> DataFrame:
+    """Reviews (id, ...) of items whose text stayed as it was: changed holds the keys of the others."""
+    return reviews.join(changed.select(F.col("key").alias("id")).distinct(), "id", "left_anti")
+
+
+def rule_effects(found: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """What each rule is worth: rule, n (rows it had a part in), tp and fp without it, f1_without, and f1_delta, how far F1 falls without it.
+
+    Rows of found carry `rules`, all of which they need. Without a rule a statement is gone if every row that makes it needs that
+    rule; all rules are measured in one aggregation, not in a run for each."""
+    truth = gold.select(*keys).distinct()
+    marked = found.groupBy(*keys).agg(F.count("*").alias("rows"), F.flatten(F.collect_list(F.array_distinct(F.coalesce("rules", F.array().cast("array<string>"))))).alias("rules")).join(truth.withColumn("right", F.lit(True)), keys, "left")
+    marked = marked.withColumn("right", F.coalesce("right", F.lit(False)))
+    all_ = marked.agg(F.count_if("right").alias("tp"), F.count_if(~F.col("right")).alias("fp")).crossJoin(truth.agg(F.count("*").alias("gold")))
+    needed = marked.select(*keys, "rows", "right", F.explode("rules").alias("rule")).groupBy(*keys, "rows", "right", "rule").agg(F.count("*").alias("with"))
+    gone = F.col("with") == F.col("rows")
+    lost = needed.groupBy("rule").agg(F.sum("with").alias("n"), F.count_if(gone & F.col("right")).alias("tp_lost"), F.count_if(gone & ~F.col("right")).alias("fp_lost"))
+    f1 = lambda tp, fp: F.coalesce(F.try_divide(2.0 * tp, tp + fp + F.col("gold")), F.lit(0.0))
+    tp, fp = F.col("tp") - F.col("tp_lost"), F.col("fp") - F.col("fp_lost")
+    return lost.crossJoin(F.broadcast(all_)).select("rule", "n", tp.alias("tp"), fp.alias("fp"), f1(tp, fp).alias("f1_without"), (f1(F.col("tp"), F.col("fp")) - f1(tp, fp)).alias("f1_delta"))
+
+
+def dropped_by(found: DataFrame, rules: list[str], keys: list[str]) -> DataFrame:
+    """Statements that are gone once these rules are off, with all rules they used."""
+    held = found.where(~F.arrays_overlap(F.coalesce("rules", F.array().cast("array<string>")), F.array(*map(F.lit, rules))))
+    return found.join(held.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
+
+
+def structure_evaluation(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """tp, fp, fn over the structure of statements (id, source, target) alone. Relations are left out, and what stands for a node is
+    compared by `text.base_term`: where several spellings in an item have one base, they are matched one to one in the order of
+    their spelling, so that an item's two electrodes stay two. An edge, counted once, is right if both its ends are matched and
+    the gold has it in the same direction."""
+
+    def nodes(df: DataFrame) -> DataFrame:
+        ends = df.select("id", F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("base", text.base_term(text.nfkc(F.col("node"))))
+        w = Window.partitionBy("id", "base").orderBy("node")
+        return ends.withColumn("k", F.row_number().over(w))
+
+    there = nodes(gold).select("id", "base", "k", F.col("node").alias("gold_node"))
+    match = nodes(found).join(there, ["id", "base", "k"]).select("id", "node", "gold_node")
+    end = lambda c: match.select("id", F.col("node").alias(c), F.col("gold_node").alias(f"{c}_of"))
+    mapped = found.select("id", "source", "target").distinct().join(end("source"), ["id", "source"], "left").join(end("target"), ["id", "target"], "left")
+    right = gold.select("id", F.col("source").alias("source_of"), F.col("target").alias("target_of")).distinct().withColumn("right", F.lit(True))
+    judged = mapped.join(right, ["id", "source_of", "target_of"], "left")
+    counts = judged.agg(F.count("right").alias("tp"), F.count_if(F.col("right").isNull()).alias("fp"))
+    return counts.crossJoin(right.agg(F.count("*").alias("gold"))).select("tp", "fp", (F.col("gold") - F.col("tp")).alias("fn"))

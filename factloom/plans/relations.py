@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import model
 from factloom.model import ENTITY, TRIPLE, code_sql
-from factloom.operators import network, review, similarity, stats
+from factloom.operators import canonical, network, review, similarity, stats
 from factloom.plans.base import query
 
 _EDGES = f"WITH {TRIPLE}, edges AS (SELECT source, relation, target, count(DISTINCT id) AS count FROM triple GROUP BY source, relation, target)"
@@ -242,3 +242,24 @@ def parent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = model.table(spark, sf_dir, "part")
     names = part.select(F.col("p_name").alias("name")).union(part.select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" group"))))
     return similarity.parent_merges(names, (" group",)).withColumnRenamed("into", "into_name")
+
+
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT unnest([p_name, upper(p_name), replace(p_name, ' ', '-'), p_brand]) AS name FROM part), f AS (SELECT name, replace(replace(lower(name), ' ', ''), '-', '') AS form FROM s),
+e AS (SELECT x.name AS a, y.name AS b FROM f x JOIN f y USING (form) UNION SELECT p_name, p_brand FROM part WHERE p_partkey % 40 = 1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT name AS a, name AS b FROM s UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS name, min(b) AS canonical FROM r GROUP BY a""")
+def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings of part names and brands, some of which are merged, by the smallest one that they lead to."""
+    part = model.table(spark, sf_dir, "part")
+    spelled = part.select(F.explode(F.array("p_name", F.upper("p_name"), F.replace("p_name", F.lit(" "), F.lit("-")), "p_brand")).alias("name"))
+    return canonical.names(spelled, part.where("p_partkey % 40 = 1").select(F.col("p_name").alias("name"), F.col("p_brand").alias("into")))
+
+
+@query(f"""WITH {TRIPLE}, v AS (SELECT id, CASE id % 3 WHEN 0 THEN upper(source) WHEN 1 THEN replace(source, '#', '-#') ELSE source END AS source, ' ' || relation AS relation, CASE WHEN id % 5 = 0 THEN source ELSE target END AS target FROM triple),
+c AS (SELECT name, min(name) OVER (PARTITION BY replace(lower(name), '-', '')) AS canonical FROM (SELECT source AS name FROM v UNION SELECT target FROM v))
+SELECT v.id, a.canonical AS source, trim(relation) AS relation, b.canonical AS target, count(*) AS n FROM v JOIN c a ON source = a.name JOIN c b ON target = b.name WHERE a.canonical <> b.canonical GROUP BY ALL""")
+def tidy_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements in several spellings, some from a name to itself, by canonical names."""
+    t = model.triple(spark, sf_dir)
+    source = F.when(F.col("id") % 3 == 0, F.upper("source")).when(F.col("id") % 3 == 1, F.replace("source", F.lit("#"), F.lit("-#"))).otherwise(F.col("source"))
+    v = t.select("id", source.alias("source"), F.concat(F.lit(" "), "relation").alias("relation"), F.when(F.col("id") % 5 == 0, F.col("source")).otherwise(F.col("target")).alias("target"))
+    return canonical.tidy(v, canonical.names(v.select(F.explode(F.array("source", "target")).alias("name"))))

@@ -106,3 +106,54 @@ def gold_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS reviews, CAST(sum(quality) AS BIGINT) AS kept, count(DISTINCT doc_id) AS items FROM labels")
 def kept_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.review(spark, sf_dir).agg(F.count("*").alias("reviews"), F.count_if("keep").alias("kept"), F.countDistinct("id").alias("items"))
+
+
+_RULES = f"""WITH {TRIPLE}, f AS (SELECT id, source, relation, target, CASE WHEN score >= 8 THEN ['R' || score % 4, relation] ELSE ['R' || score % 4] END AS rules FROM triple WHERE score >= 4), g AS (SELECT DISTINCT id, source, relation, target FROM triple WHERE score >= 6 AND relation <> 'N'),
+names AS (SELECT DISTINCT unnest(rules) AS rule FROM f), runs AS (SELECT rule, id, source, relation, target FROM names CROSS JOIN (SELECT id, source, relation, target, rules FROM f) WHERE NOT list_contains(rules, rule) GROUP BY ALL),
+base AS (SELECT count(*) FILTER (g.id IS NOT NULL) AS tp, count(*) FILTER (g.id IS NULL) AS fp FROM (SELECT DISTINCT id, source, relation, target FROM f) x LEFT JOIN g USING (id, source, relation, target)), n AS (SELECT rule, count(*) AS n FROM f, unnest(rules) u(rule) GROUP BY rule)"""
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Statements with the rules that made them, and the gold ones."""
+    t = model.triple(spark, sf_dir)
+    own = F.concat(F.lit("R"), (F.col("score") % 4).cast("string"))
+    found = t.where("score >= 4").select("id", "source", "relation", "target", F.when(F.col("score") >= 8, F.array(own, "relation")).otherwise(F.array(own)).alias("rules"))
+    return found, t.where("score >= 6 AND relation <> 'N'")
+
+
+@query(_RULES + """, w AS (SELECT rule, count(*) FILTER (g.id IS NOT NULL) AS tp, count(*) FILTER (g.id IS NULL) AS fp FROM runs r LEFT JOIN g USING (id, source, relation, target) GROUP BY rule), k AS (SELECT count(*) AS gold FROM g)
+SELECT rule, n, tp, fp, 2.0::DOUBLE * tp / (tp + fp + gold) AS f1_without, (SELECT 2.0::DOUBLE * tp / (tp + fp + gold) FROM base, k) - 2.0::DOUBLE * tp / (tp + fp + gold) AS f1_delta FROM w JOIN n USING (rule) CROSS JOIN k""")
+def rule_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far F1 falls without each rule; the SQL runs the evaluation once for every rule."""
+    return review.rule_effects(*_ruled(spark, sf_dir), ["id", "source", "relation", "target"])
+
+
+@query(_RULES + " SELECT id, source, relation, target, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM f, unnest(rules) u(rule) WHERE (id, source, relation, target) NOT IN (SELECT id, source, relation, target FROM f WHERE NOT list_contains(rules, 'R0') AND NOT list_contains(rules, 'A')) GROUP BY id, source, relation, target")
+def rule_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that two rules switched off take away."""
+    gone = review.dropped_by(_ruled(spark, sf_dir)[0], ["R0", "A"], ["id", "source", "relation", "target"])
+    return gone.withColumn("rules", F.array_join("rules", ","))
+
+
+@query(f"""WITH {TRIPLE}, f AS (SELECT DISTINCT id, source || CASE WHEN score % 2 = 0 THEN '1' ELSE '22' END AS source, target FROM triple WHERE score >= 5), g AS (SELECT DISTINCT id, source || '3' AS source, target FROM triple WHERE score >= 4 AND relation <> 'N'),
+fn AS (SELECT id, node, base, row_number() OVER (PARTITION BY id, base ORDER BY node) AS k FROM (SELECT DISTINCT id, node, regexp_replace(node, '[0-9]+$', '') AS base FROM (SELECT id, source AS node FROM f UNION SELECT id, target FROM f))),
+gn AS (SELECT id, node, base, row_number() OVER (PARTITION BY id, base ORDER BY node) AS k FROM (SELECT DISTINCT id, node, regexp_replace(node, '[0-9]+$', '') AS base FROM (SELECT id, source AS node FROM g UNION SELECT id, target FROM g))),
+m AS (SELECT fn.id, fn.node, gn.node AS of FROM fn JOIN gn USING (id, base, k)), t AS (SELECT count(*) AS tp FROM f JOIN m a ON f.id = a.id AND f.source = a.node JOIN m b ON f.id = b.id AND f.target = b.node JOIN g ON g.id = f.id AND g.source = a.of AND g.target = b.of)
+SELECT tp, (SELECT count(*) FROM f) - tp AS fp, (SELECT count(*) FROM g) - tp AS fn, 2.0::DOUBLE * tp / ((SELECT count(*) FROM f) + (SELECT count(*) FROM g)) AS f1 FROM t""")
+def structure_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of edges without their relations, nodes matched one to one by their base."""
+    t = model.triple(spark, sf_dir)
+    found = t.where("score >= 5").select("id", F.concat("source", F.when(F.col("score") % 2 == 0, "1").otherwise("22")).alias("source"), "target")
+    gold = t.where("score >= 4 AND relation <> 'N'").select("id", F.concat("source", F.lit("3")).alias("source"), "target")
+    return review.f_score(review.structure_evaluation(found, gold))
+
+
+@query("""WITH new AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || '.' END AS new_text FROM documents WHERE doc_id % 2 = 0), m AS (SELECT doc_id, new_text IS NOT NULL AND new_text IS DISTINCT FROM text AS changed FROM documents LEFT JOIN new ON doc_id = key)
+SELECT doc_id AS id, CASE WHEN changed THEN 0 ELSE doc_id % 7 END AS n_rejected, NOT changed AND doc_id IN (SELECT doc_id FROM labels) AS reviewed, CASE WHEN changed THEN 'claim' ELSE 'abstract' END AS text_source FROM m""")
+def text_merge_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What new texts reset: rejected counts, reviews and the text's source, where the text differs."""
+    docs = model.doc(spark, sf_dir).select(F.col("id").alias("key"), "text", F.lit(None).cast("boolean").alias("analyzed"), (F.col("id") % 7).alias("n_rejected"), F.lit("abstract").alias("text_source"))
+    new = docs.where("key % 2 = 0").select("key", F.when(F.col("key") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("."))).alias("text"), F.lit("claim").alias("text_source"))
+    merged, changed = review.merge_texts(docs, new)
+    left = review.without(model.review(spark, sf_dir), changed).select(F.col("id").alias("key"), F.lit(True).alias("reviewed")).distinct()
+    return merged.join(left, "key", "left").select(F.col("key").alias("id"), "n_rejected", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), "text_source")
