@@ -17,11 +17,17 @@ ROLES = {
     "url": ("URL", "link"),
     "claim": ("請求項", "請求の範囲", "claim"),
     "abstract": ("要約", "abstract", "text"),
+    "alt": ("代替", "課題", "解決手段", "summary", "description"),
+    "ipc": ("IPC",),
 }
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV list with a header, all columns strings, quoted line ends allowed; a byte-order mark is dropped."""
+    """A CSV or XLSX list with a header, all columns strings, quoted line ends allowed; a byte-order mark is dropped."""
+    if path.lower().endswith(".xlsx"):
+        from factloom.sources import workbooks
+
+        return workbooks.read_workbook(spark, path)
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
@@ -38,13 +44,16 @@ def detect_columns(columns: list[str]) -> dict[str, str]:
     return found
 
 
-def documents(df: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """Rows by role: id, title, applicant, fi, year, url, text (claim, else abstract) and where the text came from."""
+def documents(df: DataFrame, roles: dict[str, str], limit: int = 0) -> DataFrame:
+    """Rows by role: id, title, applicant, fi (codes of the other scheme where it has none), year, url, text (claim, else abstract,
+    else the alternative column) and where the text came from. limit: at most so many rows, 0 for all."""
     get = lambda role: F.nullif(F.trim(F.col(f"`{roles[role]}`")), F.lit("")) if role in roles else F.lit(None).cast("string")
-    claim, abstract = get("claim"), get("abstract")
-    origin = F.when(claim.isNotNull(), "claim").when(abstract.isNotNull(), "abstract").otherwise("none")
+    texts = [(role, get(role)) for role in ("claim", "abstract", "alt")]
+    origin = F.coalesce(*(F.when(c.isNotNull(), F.lit(role)) for role, c in texts), F.lit("none"))
     year = F.regexp_extract(F.coalesce(get("date"), F.lit("")), "^([0-9]{4})", 1).try_cast("int")
-    return df.select(get("id").alias("id"), get("title").alias("title"), get("applicant").alias("applicant"), get("fi").alias("fi"), year.alias("year"), get("url").alias("url"), F.coalesce(claim, abstract).alias("text"), origin.alias("text_source"))
+    fields = {"id": get("id"), "title": get("title"), "applicant": get("applicant"), "fi": F.coalesce(get("fi"), get("ipc")), "year": year, "url": get("url")}
+    rows = df.select(*(c.alias(n) for n, c in fields.items()), F.coalesce(*(c for _, c in texts)).alias("text"), origin.alias("text_source"))
+    return rows.limit(limit) if limit else rows
 
 
 def pasted(df: DataFrame, column: str, mark: str = "-----") -> DataFrame:
