@@ -1,18 +1,18 @@
 """Text functions as columns: normalisation, names, codes, identifiers, character bigrams.
 
-Only NFKC needs Python, an Arrow UDF; everything else is a built-in expression.
+Only NFKC and lists of signs with dot leaders need Python, in Arrow UDFs; everything else is a built-in expression.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, MapType, StringType, StructField, StructType
 
 # Fixed values of the notation that the texts use.
 SAID = "前記"
@@ -135,9 +135,13 @@ def claims_block(c: Column) -> Column:
 def fig_label(c: Column) -> Column:
     """"figure: description", shortened to 36 characters."""
     t = F.trim(nfkc(c))
-    head = r"^[【\[]?(図[0-9]+(?:\([a-zA-Z0-9]\))?)[】\]]?\s*(?:は、?|:|、)?\s*(.*)$"
-    figure, rest = F.regexp_extract(t, head, 1), F.regexp_extract(t, head, 2)
-    told = F.trim(F.regexp_replace(rest, "(?:を示す図|を示す|の図)?(?:である|です)?。?$", ""))
+    named = "^[【\\[]?(図[0-9]+(?:\\([a-zA-Z0-9]\\))?)"
+    figure = F.regexp_extract(t, named, 1)
+    told = F.substring(t, F.length(F.regexp_extract(t, named, 0)) + 1, F.length(t))
+    # What stands between figure and description, then the ways in which a description ends, from the last mark on.
+    for ends in ("^[】\\]]?\\s*(?:は、?|:|、)?\\s*", "。$", "(?:である|です)$", "(?:を示す図|を示す|の図)$"):
+        told = F.regexp_replace(told, ends, "")
+    told = F.trim(told)
     short = F.when(F.length(told) > 36, F.concat(F.left(told, F.lit(35)), F.lit("…"))).otherwise(told)
     return F.when(figure == "", F.left(t, F.lit(40))).when(short == "", figure).otherwise(F.concat(figure, F.lit("："), short))
 
@@ -249,39 +253,68 @@ def sign_list(text: Column, least: int = 3) -> Column:
 def sign_section(c: Column) -> Column:
     """The part of a text under the heading for reference signs, up to the next heading; the whole text without one."""
     t = nfkc(c)
-    part = F.regexp_extract(t, r"(?s)符号の説明[】\]]?(.*?)(?:【(?![0-9]+】|符号)|$)", 1)
-    return F.regexp_replace(F.when(F.contains(t, F.lit("符号の説明")), part).otherwise(t), "【[0-9]+】", "\n")
+    after = F.split(t, "符号の説明", 2)
+    under = F.try_element_at(F.split(F.try_element_at(after, F.lit(2)), "【(?![0-9]+】|符号)"), F.lit(1))
+    part = F.when(F.size(after) > 1, F.regexp_replace(under, r"^[】\]]", "")).otherwise(t)
+    return F.regexp_replace(part, "【[0-9]+】", "\n")  # paragraph numbers
 
 
 #: Dots that lead from codes to a name, in compatibility form.
 _LEADER = r"(?:…|\.\.|‥|・・・)[…\.‥・]*"
 
 
+class _Dotted:
+    """Items of codes, a leader and a name, read from leader to leader: what stands before a leader ends with its codes, and what is
+    left of it names the codes before."""
+
+    def __init__(self, text: str):
+        self.names: dict[str, str] = {}
+        self.wholes: dict[str, str] = {}  # numbers by the last subscript that they were seen with
+        self.n_ok = 0
+        spans = re.split(_LEADER, text)
+        codes: list[str] = []
+        for k, span in enumerate(spans):
+            rest, ahead = (span, []) if k == len(spans) - 1 else self.tail(span)
+            if k:
+                self.item(codes, rest)
+            codes = ahead
+
+    def tail(self, span: str) -> tuple[str, list[str]]:
+        """The span without its last words that are codes, and these codes. A digit or n at their head, set apart from a number
+        before it, is that number's subscript."""
+        rest, group = re.fullmatch(r"(.*?)(\S*)\s*", span, re.DOTALL).groups()
+        while (first := re.match(r"([0-9]|n)(?=$|[、,，)）])", group)) and (number := re.search(r"[0-9]+$", rest.rstrip())):
+            self.wholes[number[0]] = number[0] + first[0]
+            words = rest.split()
+            rest, group = rest.rstrip()[: -len(words[-1])], words[-1] + group
+        return rest, [bare for part in re.split("[、,，・()（）]+", group) if re.fullmatch(f"{CODE}|{CODE_LETTERS}", bare := re.sub("['’]", "", part))]
+
+    def item(self, codes: list[str], told: str) -> None:
+        name = re.split(r"\s{2,}|\n", told.strip())[0] if told.strip() else ""
+        name = re.sub(r"[（(][^）)]*[）)]$", "", name.strip(" 　…・:：.。")).strip()
+        if codes and (not name.isascii() or re.fullmatch(r"[A-Z][A-Za-z0-9\- ]+", name)):
+            self.n_ok += 1
+            for code in codes:
+                self.names.setdefault(code, name)
+
+    def pairs(self) -> list[dict]:
+        for number, whole in self.wholes.items():
+            if whole in self.names:
+                self.names.setdefault(number, self.names[whole])
+        return [{"code": c, "name": n} for c, n in self.names.items()]
+
+
+@F.pandas_udf(StructType([StructField("pairs", ArrayType(StructType([StructField("code", StringType()), StructField("name", StringType())]))), StructField("n_ok", IntegerType())]))
+def _dotted(texts: pd.Series) -> pd.DataFrame:
+    read = [_Dotted(t or "") for t in texts]
+    return pd.DataFrame({"pairs": [r.pairs() for r in read], "n_ok": [r.n_ok for r in read]})
+
+
 def dotted_items(c: Column) -> Column:
     """struct<pairs, n_ok> of items that join codes and a name by dot leaders and stand apart by white space. A digit or n set apart
     after a number, as a subscript, belongs to it. A code's first name wins. Since a drawing may show a subscript too small to
     read, a number known only with a subscript also stands for its last one. n_ok counts the items."""
-    subscript = r"([0-9]+)[ 　]+([0-9]|n)(?=\s*[、,，)）]|\s*(?:…|\.\.|‥))"
-    t = nfkc(c)
-    numbers, digits = F.regexp_extract_all(t, F.lit(subscript), F.lit(1)), F.regexp_extract_all(t, F.lit(subscript), F.lit(2))
-    marked = F.regexp_replace(F.regexp_replace(t, subscript, "$1$2"), _LEADER, "⇒")
-    items = F.filter(F.split(F.trim(marked), r"\s+(?=[^\s⇒]*⇒)"), lambda x: F.contains(x, F.lit("⇒")))
-
-    def item(x: Column) -> Column:
-        name = clean_name(F.regexp_extract(x, r"(?s)^[^⇒]*⇒\s*([^\n]*?)(?:\s{2,}|\n|$)", 1))
-        codes = F.filter(F.transform(F.split(F.regexp_extract(x, "^([^⇒]*)⇒", 1), r"[、,，・()（）\s]+"), lambda k: F.translate(k, "'’", "")), lambda k: k.rlike(f"^(?:{CODE}|{CODE_LETTERS})$"))
-        good = name.rlike(r"[^\x00-\x7F]") | name.rlike(r"^[A-Z][A-Za-z0-9\- ]+$")
-        return F.when(good, F.transform(codes, lambda k: F.struct(k.alias("code"), name.alias("name")))).otherwise(F.array().cast(_PAIRS))
-
-    found = F.filter(F.transform(items, item), lambda x: F.size(x) > 0)
-    none = F.array().cast(_PAIRS)
-    has = lambda pairs, code: F.exists(pairs, lambda p: p["code"] == code)
-    first = F.aggregate(F.flatten(found), none, lambda acc, p: F.when(has(acc, p["code"]), acc).otherwise(F.array_append(acc, p)))
-    wholes = F.zip_with(numbers, digits, lambda n, d: F.struct(n.alias("code"), F.concat(n, d).alias("name")))
-    last = F.aggregate(wholes, none, lambda acc, x: F.array_append(F.filter(acc, lambda y: y["code"] != x["code"]), x))
-    named = lambda acc, x: F.transform(F.filter(acc, lambda p: p["code"] == x["name"]), lambda p: F.struct(x["code"].alias("code"), p["name"].alias("name")))
-    every = F.aggregate(last, first, lambda acc, x: F.when(has(acc, x["code"]), acc).otherwise(F.concat(acc, named(acc, x))))
-    return F.struct(every.alias("pairs"), F.size(found).alias("n_ok"))
+    return _dotted(nfkc(c))
 
 
 def dotted_signs(c: Column) -> Column:

@@ -40,14 +40,16 @@ def expanded(claims: DataFrame, mark: str = "\n") -> DataFrame:
 
 
 def body_signs(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Name of each code (id, code, name) that a text writes as a noun followed by the code: the most frequent, then the first."""
-    cut = F.regexp_replace(text.nfkc(F.col(column)), "前記|当該|上記|該", "、")
-    pattern = F.lit(rf"((?:第[0-9]+の?)?{NAME}*{NAME}(?<!第))({text.CODE})(?![0-9A-Za-z.])")
-    pairs = F.arrays_zip(F.regexp_extract_all(cut, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(cut, pattern, F.lit(2)).alias("code"))
-    found = docs.select("id", F.posexplode(pairs).alias("at", "p")).select("id", "at", text.norm(F.col("p.name")).alias("name"), F.translate("p.code", "'", "").alias("code"))
-    real = found.where(F.col("code").rlike("[0-9]") & (F.col("name") != "") & ~F.col("name").rlike(STOPPED))
-    keyed = real.select(F.struct("id", "code").alias("key"), "name", "at")
-    return stats.majority(keyed, "key", "name", "at").select("key.id", "key.code", "name")
+    """Name of each code (id, code, name) that a text writes as a noun followed by the code: the most frequent, then the first.
+
+    Codes right behind a noun cut the text; what stands before each cut ends in its name."""
+    code = rf"(?<={NAME})(?<!第){text.CODE}(?![0-9A-Za-z.])"
+    read = docs.select("id", F.regexp_replace(text.nfkc(F.col(column)), "前記|当該|上記|該", "、").alias("t"))
+    cuts = read.select("id", F.posexplode(F.arrays_zip(F.split("t", code).alias("before"), F.regexp_extract_all("t", F.lit(code), F.lit(0)).alias("code"))).alias("at", "c")).where("c.code IS NOT NULL")
+    noun = F.regexp_extract("c.before", f"(?:第[0-9]+の?)?{NAME}+$", 0)
+    named = cuts.select(F.struct("id", F.replace("c.code", F.lit("'"), F.lit("")).alias("code")).alias("key"), "at", text.norm(noun).alias("name"))
+    real = named.where(F.col("key.code").rlike("[0-9]") & (F.col("name") != "") & ~F.col("name").rlike(STOPPED))
+    return stats.majority(real, "key", "name", "at").select("key.id", "key.code", "name")
 
 
 def sign_table(docs: DataFrame, column: str = "signs", least: int = 3) -> DataFrame:
