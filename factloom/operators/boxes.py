@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import groupby
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from factloom.functions.text import CONFUSED, MEANT
 
@@ -130,48 +133,41 @@ def away_from(new: DataFrame, old: DataFrame, reach: int = 25) -> DataFrame:
 class _Page:
     """The tokens of one page by rows and from the left, and for each its partner: the first token that joins on to it."""
 
-    def __init__(self, rows: pd.DataFrame, code: re.Pattern, known: list[str] | None):
-        self.rows = rows.sort_values(["y0", "x0", "box_id"], kind="stable").reset_index(drop=True)
-        self.labels = self.rows.label.tolist()
-        self.box = self.rows[BOX].to_numpy(float)
-        self.fixed = self.rows.rotated.to_numpy(bool)
-        self.gone = np.zeros(len(self.rows), bool)
-        self.code, self.known = code, None if known is None else _Known(known)
-        self.partner = [self.first(a) for a in range(len(self.rows))]
-
-    def fits(self, a, b) -> np.ndarray:
-        """Whether b (an index or all) follows a (all or an index) closely enough in its row, or as its subscript."""
-        ax1, ay0, ay1 = self.box[a, 2], self.box[a, 1], self.box[a, 3]
-        high, low, gap = ay1 - ay0, self.box[b, 3] - self.box[b, 1], self.box[b, 0] - ax1
-        dy = np.abs((ay0 + ay1) / 2 - (self.box[b, 1] + self.box[b, 3]) / 2)
-        below = (low < 0.85 * high) & (self.box[b, 3] >= ay1 - 0.2 * high) & (dy < 0.6 * high)
-        near = ((dy < 0.35 * high) | below) & (gap >= -2) & (gap < 0.45 * high)
-        return near & ~self.gone[a] & ~self.gone[b] & ~self.fixed[a] & ~self.fixed[b]
-
-    def named(self, a: int, b: int) -> bool:
-        text = self.labels[a] + self.labels[b]
-        return a != b and self.code.fullmatch(text) is not None and (self.known is None or text in self.known)
+    def __init__(self, tokens: list[dict], code: re.Pattern):
+        self.tokens = sorted(tokens, key=lambda t: (t["y0"], t["x0"], t["box_id"]))
+        self.code = code
+        known = tokens[0].get("known")
+        self.known = None if known is None else _Known(known)
+        self.partner = [self.first(a) for a in range(len(tokens))]
+
+    def fits(self, a: dict | None, b: dict | None) -> bool:
+        """Whether b follows a closely enough in its row, or as its subscript, and both together stand for a code."""
+        if a is None or b is None or a is b or a["rotated"] or b["rotated"]:
+            return False
+        high, gap = a["y1"] - a["y0"], b["x0"] - a["x1"]
+        if not -2 <= gap < 0.45 * high:
+            return False
+        dy = abs(a["y0"] + a["y1"] - b["y0"] - b["y1"]) / 2
+        below = b["y1"] - b["y0"] < 0.85 * high and b["y1"] >= a["y1"] - 0.2 * high and dy < 0.6 * high
+        text = a["label"] + b["label"]
+        return (dy < 0.35 * high or below) and self.code.fullmatch(text) is not None and (self.known is None or text in self.known)
 
     def first(self, a: int) -> int:
-        return next((b for b in np.flatnonzero(self.fits(a, slice(None))).tolist() if self.named(a, b)), -1)
+        return next((b for b, t in enumerate(self.tokens) if self.fits(self.tokens[a], t)), -1)
 
-    def joined(self) -> pd.DataFrame:
+    def joined(self) -> list[dict]:
         """Joins the first token that has a partner with it, until none has one. Only pairs with one of the two can change."""
         while (a := next((k for k, b in enumerate(self.partner) if b >= 0), -1)) >= 0:
             b = self.partner[a]
-            self.labels[a] += self.labels[b]
-            self.box[a] = self.box[a, 0], min(self.box[a, 1], self.box[b, 1]), self.box[b, 2], max(self.box[a, 3], self.box[b, 3])
-            self.rows.loc[a, "conf"] = min(self.rows.conf[a], self.rows.conf[b])
-            self.gone[b] = True
-            self.partner[b] = -1
-            before = set(np.flatnonzero(self.fits(slice(None), a)).tolist())
+            t, u = self.tokens[a], self.tokens[b]
+            t |= {"label": t["label"] + u["label"], "y0": min(t["y0"], u["y0"]), "x1": u["x1"], "y1": max(t["y1"], u["y1"]), "conf": min((c for c in (t["conf"], u["conf"]) if c is not None), default=None)}
+            self.tokens[b], self.partner[b] = None, -1
             for c, p in enumerate(self.partner):
                 if c == a or p in (a, b):
                     self.partner[c] = self.first(c)
-                elif c in before and (p < 0 or a < p) and self.named(c, a):
+                elif (p < 0 or a < p) and self.fits(self.tokens[c], t):
                     self.partner[c] = a
-        out = self.rows.assign(label=self.labels, **{c: self.box[:, k].astype("int64") for k, c in enumerate(BOX)})
-        return out[~self.gone]
+        return [t for t in self.tokens if t is not None]
 
 
 class _Known:
@@ -189,6 +185,23 @@ class _Known:
         return text in self.codes or text.lower() in self.lower or (len(text) >= 2 and self.folded[self.fold(text)] == 1)
 
 
+def _joining(code: re.Pattern, schema: pa.Schema):
+    """Pages stand together in the rows; one is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for _, page in groupby(rows, key=lambda row: row["page"]):
+            out += _Page(list(page), code).joined()
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
+
+
 def joined_tokens(tokens: DataFrame, code: str, known: DataFrame | None = None) -> DataFrame:
     """Tokens (page, box_id, label, box) after neighbours that were read apart are joined: one that follows at once in the same row, or
     as a smaller subscript, and makes a code together with it that stands for a known one, where codes are given: (page, code), or
@@ -201,13 +214,8 @@ def joined_tokens(tokens: DataFrame, code: str, known: DataFrame | None = None)
         lists = known.groupBy(*by).agg(F.collect_set("code").alias("known"))
         now = now.join(lists, by, "left") if by else now.crossJoin(F.broadcast(lists))
         now = now.withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    made = StructType([f for f in now.schema.fields if f.name not in ("rotated", "known")])
+    sorted_ = now.repartition("page").sortWithinPartitions("page")
+    out = sorted_.mapInArrow(_joining(re.compile(code), to_arrow_schema(made)), made)
     kinds = dict(tokens.dtypes)
-    pattern, schema = re.compile(code), f"page {kinds['page']}, box_id {kinds['box_id']}, label string, x0 long, y0 long, x1 long, y1 long, conf double"
-    columns = [c.split(" ")[0] for c in schema.split(", ")]
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = list(rows.known.iloc[0]) if "known" in rows else None
-        return _Page(rows, pattern, codes).joined()[columns]
-
-    out = now.groupBy("page").applyInPandas(join, schema)
     return out.select("page", "box_id", "label", *(F.col(c).cast(kinds[c]).alias(c) for c in BOX), *(["conf"] if "conf" in tokens.columns else []))

@@ -97,6 +97,33 @@ def next_open(queue: DataFrame, order: str, done: str, group: str, *, width: int
     return near.select(*queue.columns, F.nullif(found, at).alias("next_open"))
 
 
+def beside(queue: DataFrame, order: str, group: str, *, width: int = 1000) -> DataFrame:
+    """For each row the places before and after it in its group's queue (previous, following), null at the ends. The order is dealt in
+    ranges of `width`, as in `next_open`."""
+    at = F.col(order)
+    rows = queue.withColumn("range", F.floor(at / width))
+    ranges = rows.groupBy(group, "range").agg(F.min(order).alias("low"), F.max(order).alias("high"))
+    along = Window.partitionBy(group).orderBy("range")
+    ranges = ranges.select(group, "range", F.lag("high").over(along).alias("earlier"), F.lead("low").over(along).alias("later"))
+    inside = Window.partitionBy(group, "range").orderBy(order)
+    near = rows.withColumns({"before": F.lag(order).over(inside), "after": F.lead(order).over(inside)}).join(ranges, [group, "range"])
+    return near.select(*queue.columns, F.coalesce("before", "earlier").alias("previous"), F.coalesce("after", "later").alias("following"))
+
+
+def queue_of(items: DataFrame, reviewed: DataFrame, *, companies: list[str] | None = None, only_open: bool = True, current: str | int | None = None) -> DataFrame:
+    """Items (id, company, text, analyzed) to review: with a text and analysed (null counts as analysed), of the companies named (none:
+    of all), and without a review, unless reviewed ones are asked for too or the item is the current one."""
+    rows = items.where((F.coalesce(F.trim("text"), F.lit("")) != "") & F.coalesce("analyzed", F.lit(True)))
+    if companies:
+        rows = rows.where(F.col("company").isin(companies))
+    if not only_open:
+        return rows
+    seen = reviewed.select("id").distinct()
+    if current is not None:
+        seen = seen.where(F.col("id") != current)
+    return rows.join(seen, "id", "left_anti")
+
+
 def merge_texts(documents: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with the texts given for their keys (key, text, and text_source where there is one), and the keys changed. Where the
     text changed, analysis is reset: analyzed becomes false, and of relations, n_rejected and text_source those that are there

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,13 @@ def top_groups(df: DataFrame, column: str, n: int, other: str = "other") -> Data
     """Adds `bucket`: the value where it is among the n most frequent, else the name for the rest."""
     best = rank_values(df, column, n).select(F.col(column).alias("kept"))
     return df.join(F.broadcast(best), F.col(column) == F.col("kept"), "left").withColumn("bucket", F.coalesce("kept", F.lit(other))).drop("kept")
+
+
+def terms(entities: DataFrame, statements: DataFrame, codes: DataFrame, kinds: tuple[str, ...] = ("code", "component", "relation", "title")) -> DataFrame:
+    """id, kind and term, each once, of the kinds asked for: classification codes (id, code), components and relations of statements,
+    and words of two letters or more in titles (id, title)."""
+    word = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{2,}"), F.lit(0)))
+    ends = F.explode(F.array("source", "target"))
+    made = {"code": (codes, F.col("code")), "component": (statements, ends), "relation": (statements, F.col("relation")), "title": (entities, word)}
+    parts = [df.select("id", c.alias("term")).select("id", F.lit(k).alias("kind"), "term") for k, (df, c) in made.items() if k in kinds]
+    return reduce(DataFrame.unionByName, parts).where("term IS NOT NULL").distinct()

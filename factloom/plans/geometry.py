@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import model
+from factloom.functions import text
 from factloom.operators import boxes
 from factloom.plans.base import query
 
@@ -78,3 +79,20 @@ def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two codes, one in brackets, as two boxes."""
     rows = labelled(spark, sf_dir)
     return boxes.split_tokens(rows.withColumn("label", F.concat("label", F.lit("("), F.substring("label", 2, 10), F.lit(")"))))
+
+
+@query(_BOXES + " SELECT n.page, n.box_id FROM b n WHERE n.box_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM b o WHERE o.box_id % 2 = 0 AND o.page = n.page AND abs((o.x0 + o.x1) / 2.0 - (n.x0 + n.x1) / 2.0) < 25 AND abs((o.y0 + o.y1) / 2.0 - (n.y0 + n.y1) / 2.0) < 25)")
+def box_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes read a second time whose centres are not near one read before."""
+    rows = labelled(spark, sf_dir)
+    return boxes.away_from(rows.where("box_id % 2 = 1"), rows.where("box_id % 2 = 0")).select("page", "box_id")
+
+
+@query(_BOXES + """, t AS (SELECT page, box_id, x0 * 9 AS x0, x0 * 9 + 8 AS x1, row_number() OVER (PARTITION BY page ORDER BY x0) AS k FROM (SELECT page, min(box_id) AS box_id, x0 FROM b GROUP BY page, x0)), g AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w BETWEEN -2 AND 4 THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY page ORDER BY k)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY k) AS run FROM g), p AS (SELECT *, (row_number() OVER (PARTITION BY page, run ORDER BY k) - 1) // 4 AS part FROM r)
+SELECT page, min(x0) AS x0, max(x1) AS x1, repeat('7', count(*)) AS label FROM p GROUP BY page, run, part""")
+def token_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits in one row, joined while they touch and make a code, which has four digits at most."""
+    rows = labelled(spark, sf_dir).groupBy("page", "x0").agg(F.min("box_id").alias("box_id"))
+    tokens = rows.select("page", "box_id", F.lit("7").alias("label"), (F.col("x0") * 9).alias("x0"), F.lit(0).alias("y0"), (F.col("x0") * 9 + 8).alias("x1"), F.lit(10).alias("y1"))
+    return boxes.joined_tokens(tokens, text.CODE).select("page", "x0", "x1", "label")

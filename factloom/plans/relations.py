@@ -212,17 +212,13 @@ def drawing_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("id", F.explode(F.array("source", "target")).alias("component"), F.col("keep").isNotNull().alias("reviewed")).distinct()
 
 
-@query(f"""WITH {TRIPLE}, {code_sql(1)}, u AS (SELECT id, 'code' AS kind, code AS term FROM entity_code UNION SELECT id, 'component', source FROM triple WHERE score >= 5 UNION SELECT id, 'component', target FROM triple WHERE score >= 5 UNION SELECT id, 'relation', relation FROM triple WHERE score >= 5)
+@query(f"""WITH {TRIPLE}, {code_sql(1)}, {ENTITY}, u AS (SELECT id, 'code' AS kind, code AS term FROM entity_code UNION SELECT id, 'component', source FROM triple WHERE score >= 5 UNION SELECT id, 'component', target FROM triple WHERE score >= 5 UNION SELECT id, 'relation', relation FROM triple WHERE score >= 5
+UNION SELECT id, 'title', unnest(regexp_extract_all(lower(title), '\\p{{L}}{{2,}}')) FROM entity)
 SELECT kind, term, count(*) AS items FROM u GROUP BY kind, term""")
 def term_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items by the terms of every kind that they hold: codes, components and relations of chosen statements."""
-    t = model.triple(spark, sf_dir).where("score >= 5")
-    kinds = [(model.entity_code(spark, sf_dir, 1), "code", "code"), (t, "component", "source"), (t, "component", "target"), (t, "relation", "relation")]
-    rows = [df.select("id", F.lit(kind).alias("kind"), F.col(column).alias("term")) for df, kind, column in kinds]
-    every = rows[0]
-    for r in rows[1:]:
-        every = every.unionByName(r)
-    return every.distinct().groupBy("kind", "term").agg(F.count("*").alias("items"))
+    """Items by the terms of every kind that they hold: codes, components and relations of chosen statements, words of titles."""
+    rows = stats.terms(model.entity(spark, sf_dir), model.triple(spark, sf_dir).where("score >= 5"), model.entity_code(spark, sf_dir, 1))
+    return rows.groupBy("kind", "term").agg(F.count("*").alias("items"))
 
 
 @query(f"""WITH {TRIPLE}, d AS (SELECT DISTINCT id, source, relation, target FROM triple WHERE score >= 5), g AS (SELECT id, count(*) AS kept, string_agg(source || '|' || relation || '|' || target, ';' ORDER BY source, relation, target) AS triples FROM d GROUP BY id)

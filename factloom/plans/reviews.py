@@ -157,3 +157,11 @@ def text_merge_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged, changed = review.merge_texts(docs, new)
     left = review.without(model.review(spark, sf_dir), changed).select(F.col("id").alias("key"), F.lit(True).alias("reviewed")).distinct()
     return merged.join(left, "key", "left").select(F.col("key").alias("id"), "n_rejected", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), "text_source")
+
+
+@query("SELECT doc_id AS id, source, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS following FROM documents WHERE doc_id % 3 <> 0 AND text <> '' AND source IN ('src1', 'src2', 'src3', 'src4', 'src5') AND (doc_id NOT IN (SELECT doc_id FROM labels) OR doc_id = 1) WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+def queue_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items before and after each open one in its company's queue; items that are not analysed yet are left out."""
+    docs = model.doc(spark, sf_dir).withColumn("analyzed", F.when(F.col("id") % 3 == 0, False))
+    q = review.queue_of(docs, model.review(spark, sf_dir), companies=["src1", "src2", "src3", "src4", "src5"], current=1)
+    return review.beside(q.select("id", F.col("company").alias("source")), "id", "source").select("id", "source", "previous", "following")

@@ -13,6 +13,10 @@ _SKIPPED = {"script", "style", "noscript", "template"}
 _BLOCKS = {"p", "li", "div", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote", "pre", "tr", "table", "ul", "ol", "body", "br"}
 
 
+#: A title without references and markup.
+_PLAIN = "(?i)<title>([^<&]*)</title>"
+
+
 class _Page(HTMLParser):
     """Collects the title, link targets and blocks of text."""
 
@@ -65,3 +69,15 @@ def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """page_id, title, links, paragraphs of each page. Null pages are empty; broken markup never fails."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_parsing, "page_id long, title string, links array<string>, paragraphs array<string>")
+
+
+def titles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """page_id and title of each page, as `parse` gives it. A page whose only title holds neither a reference nor markup is read by a
+    built-in expression; the parser gets the others."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), html.alias("html"))
+    found, before = F.regexp_extract("html", _PLAIN, 1), F.substring_index(F.lower("html"), "<title>", 1)
+    # The only one, and not within anything in which it would be no title.
+    once = (F.regexp_count("html", F.lit("(?i)<title")) == 1) & F.col("html").rlike(_PLAIN) & ~before.rlike("<(?:script|style|noscript|template|textarea|!--)")
+    plain = rows.where(once).select("page_id", F.array_join(F.filter(F.split(found, r"(?U)\s+"), lambda x: x != ""), " ").alias("title"))
+    return plain.unionByName(parse(rows.where(~once)).select("page_id", "title"))
