@@ -163,12 +163,12 @@ def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.top_cosine(w.where("id % 100 = 0"), w, 5).select("id", "other", "rank")
 
 
-_GRAINS = f"""WITH {TRIPLE}, d AS (SELECT DISTINCT id, source, relation, target FROM triple WHERE score >= 2), g AS (SELECT DISTINCT id, 'triple' AS grain, source || '|' || relation || '|' || target AS term FROM d UNION SELECT id, 'pair', source || '|' || target FROM d UNION SELECT id, 'component', source FROM d UNION SELECT id, 'component', target FROM d)"""
+_GRAINS = f"""WITH {TRIPLE}, d AS (SELECT DISTINCT id, source, relation, target FROM triple WHERE score >= 5), g AS (SELECT DISTINCT id, 'triple' AS grain, source || '|' || relation || '|' || target AS term FROM d UNION SELECT id, 'pair', source || '|' || target FROM d UNION SELECT id, 'component', source FROM d UNION SELECT id, 'component', target FROM d)"""
 
 
 def grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, grain, term of chosen statements: whole, as pairs, and as components."""
-    return similarity.grains(model.triple(spark, sf_dir).where("score >= 2"))
+    return similarity.grains(model.triple(spark, sf_dir).where("score >= 5"))
 
 
 @query(_GRAINS + """, terms AS MATERIALIZED (SELECT id, grain || ':' || term AS term FROM g), df AS (SELECT term, count(*) AS df FROM terms GROUP BY term), n AS (SELECT count(DISTINCT id) AS n FROM terms),

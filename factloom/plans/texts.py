@@ -19,8 +19,8 @@ p AS (SELECT x.id AS a, y.id AS b, coalesce(same, 0) AS same, x.n + y.n - coales
 SELECT a, b, same, either FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY coalesce(same * 1000000 // nullif(either, 0), 0) DESC, b) = 1""")
 def claim_jaccard_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most alike document of each test item, by character pairs."""
-    grams = lambda df, key: df.select(F.col(key).alias("id"), text.claim_grams(F.col("text")).alias("terms"))
-    items, docs = grams(model.table(spark, sf_dir, "benchmark"), "item_id"), grams(model.table(spark, sf_dir, "documents"), "doc_id")
+    bare = lambda df, key: df.select(F.col(key).alias("id"), text.bare_claim(F.col("text")).alias("terms"))
+    items, docs = bare(model.table(spark, sf_dir, "benchmark"), "item_id"), bare(model.table(spark, sf_dir, "documents"), "doc_id")
     return similarity.best_matches(items, docs).withColumnRenamed("both", "same")
 
 

@@ -207,6 +207,11 @@ def test_titles_of_all_pages(spark, sf_dir):
         assert got[r.page_id] == " ".join(html.unescape(raw[1]).split())
 
 
+def test_texts_stand_for_their_pairs(spark):
+    a, b = (spark.createDataFrame(x, "id int, terms string") for x in ([(1, "abab😀"), (2, "q"), (3, None)], [(5, "abc"), (6, "bab😀"), (4, "")]))
+    assert rows(similarity.best_matches(a, b)) == [(1, 6, 3, 3), (2, 4, 0, 0), (3, 4, 0, 0)]
+
+
 @pytest.mark.parametrize("budget", [0, 30, 5000])
 def test_pruned_cosine_is_exact(spark, budget):
     """Against all pairs: a term in every text, ties, texts that share nothing, and fewer partners than are asked for."""
