@@ -91,7 +91,8 @@ class Tree:
             self.size += len(turn[0]) + len(turn[1])
         self.leaves.append((key, self.path[-1]))
 
-    def row(self, encoder: Encoder, marks: tuple[int, int], line: list[int]) -> dict:
+    def row(self, encoder: Encoder, marks: tuple[int, int], line: list[int]) -> tuple[list[np.ndarray], list[dict], list[dict]]:
+        """input_ids, loss_mask and position_ids; nodes; leaves."""
         parts = [x for role, text in self.turns for x in (written_role(role) + LINE, escaped(text))]
         coded: list[np.ndarray] = []
         for a, b, tokens, rows in encoder(pa.array(parts, pa.string())):
@@ -116,8 +117,7 @@ class Tree:
             places.append(at + np.arange(len(token)))
             depth.append(at + len(token))
             nodes.append({"parent": parent, "begin": begin, "end": end, "attends": seen})
-        whole = [np.concatenate(x) for x in (ids, mask, places)]
-        return {"input_ids": whole[0], "loss_mask": whole[1], "position_ids": whole[2], "nodes": nodes, "leaves": [{"id": key, "node": node} for key, node in self.leaves]}
+        return [np.concatenate(x) for x in (ids, mask, places)], nodes, [{"id": key, "node": node} for key, node in self.leaves]
 
 
 def _packing(file, schema: pa.Schema, block: int, most: int):
@@ -126,7 +126,12 @@ def _packing(file, schema: pa.Schema, block: int, most: int):
         encoder = Encoder(v.encode_pieces, v.added)
         marks, line = (len(v.tokens), len(v.tokens) + 1), v.encode_piece(LINE)
         tree = Tree()
-        ready = lambda: pa.RecordBatch.from_pylist([tree.row(encoder, marks, line)], schema=schema)
+
+        def ready() -> pa.RecordBatch:
+            tokens, nodes, leaves = tree.row(encoder, marks, line)
+            flat = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x).cast(f.type.value_type)) for x, f in zip(tokens, schema, strict=False)]
+            return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*flat, pa.array([nodes], schema.field("nodes").type), pa.array([leaves], schema.field("leaves").type)], schema, strict=True)], schema=schema)
+
         for batch in batches:
             for key, turns in zip(column(batch, "id").to_pylist(), column(batch, "turns").to_pylist(), strict=True):
                 tree.add(key, [(t["role"], t["text"]) for t in turns])
