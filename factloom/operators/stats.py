@@ -82,7 +82,7 @@ def top_groups(df: DataFrame, column: str, n: int, other: str = "other") -> Data
     return df.join(F.broadcast(best), F.col(column) == F.col("kept"), "left").withColumn("bucket", F.coalesce("kept", F.lit(other))).drop("kept")
 
 
-def terms(entities: DataFrame, statements: DataFrame, codes: DataFrame, kinds: tuple[str, ...] = ("code", "component", "relation", "title")) -> DataFrame:
+def held_terms(entities: DataFrame, statements: DataFrame, codes: DataFrame, kinds: tuple[str, ...] = ("code", "component", "relation", "title")) -> DataFrame:
     """id, kind and term, each once, of the kinds asked for: classification codes (id, code), components and relations of statements,
     and words of two letters or more in titles (id, title)."""
     word = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{2,}"), F.lit(0)))

@@ -217,7 +217,7 @@ UNION SELECT id, 'title', unnest(regexp_extract_all(lower(title), '\\p{{L}}{{2,}
 SELECT kind, term, count(*) AS items FROM u GROUP BY kind, term""")
 def term_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items by the terms of every kind that they hold: codes, components and relations of chosen statements, words of titles."""
-    rows = stats.terms(model.entity(spark, sf_dir), model.triple(spark, sf_dir).where("score >= 5"), model.entity_code(spark, sf_dir, 1))
+    rows = stats.held_terms(model.entity(spark, sf_dir), model.triple(spark, sf_dir).where("score >= 5"), model.entity_code(spark, sf_dir, 1))
     return rows.groupBy("kind", "term").agg(F.count("*").alias("items"))
 
 
