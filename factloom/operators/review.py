@@ -15,9 +15,16 @@ def classify(score: Column, selected: Column, *, accept: float, least: float) ->
     return F.when(score >= accept, "accept").when(selected | (score >= least), "review").otherwise("reject")
 
 
-def confidence(accepted: Column, sources: Column) -> Column:
-    """Scale of the rule method by agreement: accepted from several sources or one, several sources alone, one alone."""
-    return F.when(accepted & (sources > 1), 1.0).when(accepted, 0.8).when(sources > 1, 0.5).otherwise(0.1)
+def confidence(accepted: Column, sources: Column, rules_only: Column | None = None) -> Column:
+    """Scale of the rule method by agreement: accepted from several sources or one, several sources alone, one alone; what was accepted
+    by rules only, where no model could be asked, counts 0.6."""
+    scale = F.when(accepted & (sources > 1), 1.0).when(accepted, 0.8).when(sources > 1, 0.5).otherwise(0.1)
+    return scale if rules_only is None else F.when(rules_only & accepted, 0.6).otherwise(scale)
+
+
+def match_label(same: Column, sim: Column, near: float = 0.6) -> Column:
+    """exact for equal statements, near from a similarity on, else weak."""
+    return F.when(same, "exact").when(sim >= near, "near").otherwise("weak")
 
 
 def default_tick(status: Column, selected: Column) -> Column:

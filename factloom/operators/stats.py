@@ -90,3 +90,9 @@ def held_terms(entities: DataFrame, statements: DataFrame, codes: DataFrame, kin
     made = {"code": (codes, F.col("code")), "component": (statements, ends), "relation": (statements, F.col("relation")), "title": (entities, word)}
     parts = [df.select("id", c.alias("term")).select("id", F.lit(k).alias("kind"), "term") for k, (df, c) in made.items() if k in kinds]
     return reduce(DataFrame.unionByName, parts).where("term IS NOT NULL").distinct()
+
+
+def members(entities: DataFrame, held: DataFrame, company: str, kind: str, term: str) -> DataFrame:
+    """Entities of a company that hold a term of a kind; held as `held_terms` gives it."""
+    ids = held.where((F.col("kind") == kind) & (F.col("term") == term)).select("id")
+    return entities.where(F.col("company") == company).join(ids, "id", "left_semi")

@@ -129,12 +129,14 @@ def shared_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.id, c.id AS other, list_cosine_similarity(q.e, c.e) AS sim FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 100 = 0)
-SELECT id, other, CASE WHEN sim >= 0.6 THEN 'near' ELSE 'weak' END AS label FROM p WHERE sim >= 0.3""")
+SELECT id, other, CASE WHEN (SELECT e FROM v WHERE v.id = p.id) = (SELECT e FROM v WHERE v.id = p.other) THEN 'exact' WHEN sim >= 0.6 THEN 'near' ELSE 'weak' END AS label FROM p WHERE sim >= 0.3""")
 def semantic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 100 against all others."""
     v = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     found = similarity.vector_matches(v.where("id % 100 = 0"), v, 0.3)
-    return found.select("id", "other", F.when(F.col("sim") >= 0.6, "near").otherwise("weak").alias("label"))
+    key = lambda name: v.select(F.col("id").alias(name), F.xxhash64("v").alias(f"{name}_key"))
+    keyed = found.join(key("id"), "id").join(key("other"), "other")
+    return keyed.select("id", "other", review.match_label(F.col("id_key") == F.col("other_key"), F.col("sim")).alias("label"))
 
 
 @query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_brand AS code FROM part), terms AS (SELECT id, 'c' || code AS term FROM t UNION ALL SELECT id, 'g' || substr(name, CAST(i AS INTEGER), 2) FROM t, unnest(range(1, length(name))) u(i)),
@@ -259,3 +261,17 @@ def tidy_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("id") % 3 == 0, F.upper("source")).when(F.col("id") % 3 == 1, F.replace("source", F.lit("#"), F.lit("-#"))).otherwise(F.col("source"))
     v = t.select("id", source.alias("source"), F.concat(F.lit(" "), "relation").alias("relation"), F.when(F.col("id") % 5 == 0, F.col("source")).otherwise(F.col("target")).alias("target"))
     return canonical.tidy(v, canonical.names(v.select(F.explode(F.array("source", "target")).alias("name"))))
+
+
+_AXES = {"code": "Brand#22", "component": "NATION_3", "relation": "R", "title": "high"}
+
+
+@query(f"WITH {TRIPLE}, {code_sql(1)}, {ENTITY} " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, id, title, year FROM entity WHERE company = 'BUILDING' AND {test}" for kind, test in (
+    ("code", "id IN (SELECT id FROM entity_code WHERE code = 'Brand#22')"), ("component", "id IN (SELECT id FROM triple WHERE score >= 5 AND 'NATION_3' IN (source, target))"),
+    ("relation", "id IN (SELECT id FROM triple WHERE score >= 5 AND relation = 'R')"), ("title", "list_contains(regexp_extract_all(lower(title), '\\p{L}{2,}'), 'high')"))))
+def members_by_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company's items behind one cell of each kind of matrix: by code, component, relation and word of the title."""
+    entities = model.entity(spark, sf_dir)
+    held = stats.held_terms(entities, model.triple(spark, sf_dir).where("score >= 5"), model.entity_code(spark, sf_dir, 1))
+    parts = [stats.members(entities, held, "BUILDING", kind, term).select(F.lit(kind).alias("kind"), "id", "title", "year") for kind, term in _AXES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -224,3 +224,9 @@ def test_pruned_cosine_is_exact(spark, budget):
     pruned = similarity.top_cosine(w.where(asked), w, 4, budget=budget)
     shown = lambda df: sorted((r.id, r.other, r["rank"], round(r.sim, 9)) for r in df.collect())
     assert shown(pruned) == shown(full) and len(shown(full)) > 20
+
+
+def test_confidence_and_labels(spark):
+    rows_ = spark.createDataFrame([(True, 2, False, 0.9, True), (True, 1, False, 0.7, False), (False, 2, True, 0.6, False), (False, 1, False, 0.5, False), (True, 3, True, 0.1, True)], "a boolean, n int, only boolean, sim double, same boolean")
+    got = rows_.select(review.confidence(F.col("a"), F.col("n"), F.col("only")).alias("c"), review.match_label(F.col("same"), F.col("sim")).alias("l"))
+    assert [tuple(r) for r in got.collect()] == [(1.0, "exact"), (0.8, "near"), (0.5, "near"), (0.1, "weak"), (0.6, "exact")]
