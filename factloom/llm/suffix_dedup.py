@@ -4,8 +4,9 @@ Every byte that lies in a string of `size` bytes that also starts anywhere else,
 in the same text or another, is removed; all strings are judged on the input.
 Candidates meet as segments around shared anchors (`repeats`). Within a group the
 suffixes from the anchor on, and the reversed prefixes before it, are sorted by
-deep-shallow sorting: multikey sorting on eight bytes at a time down to SHALLOW
-bytes, then a blind trie orders each group that is still equal. A window
+deep-shallow sorting: three-way multikey quicksort on eight bytes at a time over
+SHALLOW bytes, to the right of the anchor those behind its GRAM bytes, which all
+members share; then a blind trie orders each part that is still equal. A window
 repeats if some other one agrees with it both ways, which common prefix lengths
 of neighbours in the two orders tell for all windows at once.
 
@@ -29,7 +30,7 @@ from factloom.llm.textnp import chunks, column, covered, gather, prefix, utf8
 
 SIZE = 400
 GRAM = 64
-#: Depth to which multikey quicksort goes before blind tries take over.
+#: Bytes, beyond those known to be equal, over which multikey quicksort goes before blind tries take over.
 SHALLOW = 32
 _STEP = 8
 NULL_ID = -(1 << 63)
@@ -112,8 +113,8 @@ class Suffixes:
         raw = data.tobytes()
         self.texts = [raw[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
 
-    def word(self, some: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The next bytes of some texts as one number, and how many they are."""
+    def word(self, some: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of some texts that follow a depth in each as one number, and how many they are."""
         rest = np.clip(self.length[some] - depth, 0, _STEP)
         at = np.where(rest > 0, self.start[some] + depth, 0)
         out = np.zeros(len(some), np.uint64)
@@ -122,24 +123,43 @@ class Suffixes:
         return out, rest
 
 
-def deep_shallow(suffixes: Suffixes, group: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of the texts of each group, which agree on `known` bytes, and the common prefix length of each with the one
-    before (-1 for a group's first). All groups are refined together: shallow by words of bytes, deep by a blind trie for each."""
+def multikey(suffixes: Suffixes, group: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The shallow half: texts of each group, which agree on `known` bytes, by three-way multikey quicksort over SHALLOW bytes more.
+
+    Returns their order and where a new part starts in it; texts of one part agree to the full depth. In each round every part is
+    split by the word of its middle text in smaller, equal and larger ones, and equal ones go on a word deeper: parts of all
+    groups at once, each at its own depth."""
     order = np.argsort(group, kind="stable")
     cut = np.ones(len(order), bool)
     cut[1:] = group[order[1:]] != group[order[:-1]]
-    heads = cut.copy()
-    for depth in range(known, known + SHALLOW, _STEP):
+    depth = np.full(len(order), known, np.int64)
+    word, rest = suffixes.word(order, depth)
+    while True:
         part = np.cumsum(cut) - 1
-        open_ = np.flatnonzero(np.bincount(part, minlength=1)[part] > 1)
+        size = np.bincount(part, minlength=1)
+        open_ = np.flatnonzero((size[part] > 1) & (depth < known + SHALLOW))
         if not len(open_):
-            break
-        some, part = order[open_], part[open_]
-        word, rest = suffixes.word(some, depth)
-        k = np.lexsort((rest, word, part))
-        order[open_] = some[k]
-        word, rest = word[k], rest[k]
-        cut[open_[1:]] |= (word[1:] != word[:-1]) | (rest[1:] != rest[:-1])
+            return order, cut
+        part = part[open_]
+        pivot = (np.flatnonzero(cut) + size // 2)[part]
+        w, r = word[open_], rest[open_]
+        side = np.where(w == word[pivot], np.sign(r - rest[pivot]) + 1, np.where(w > word[pivot], 2, 0))
+        by = np.argsort(part * 3 + side, kind="stable")
+        for x in (order, word, rest):
+            x[open_] = x[open_[by]]
+        side = side[by]
+        cut[open_[1:]] |= (part[1:] == part[:-1]) & (side[1:] != side[:-1])
+        equal = open_[side == 1]
+        depth[equal] += _STEP
+        word[equal], rest[equal] = suffixes.word(order[equal], depth[equal])
+
+
+def deep_shallow(suffixes: Suffixes, group: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of the texts of each group, which agree on `known` bytes, and the common prefix length of each with the one
+    before (-1 for a group's first): multikey quicksort first, then a blind trie for each part that is left with several texts."""
+    order, cut = multikey(suffixes, group, known)
+    heads = np.ones(len(order), bool)
+    heads[1:] = group[order[1:]] != group[order[:-1]]
     texts = suffixes.texts
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(order))
@@ -151,10 +171,21 @@ def deep_shallow(suffixes: Suffixes, group: np.ndarray, known: int = 0) -> tuple
     return order, lcp
 
 
-def compare(block: Block, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def same_anchors(block: Block, gram: int) -> bool:
+    """Whether the members of each key do share their anchor's bytes, and not only its hash."""
+    at = block.off[:-1] + block.anchor
+    if not len(at) or int((block.off[1:] - at).min()) < gram:
+        return False
+    head = np.flatnonzero(np.append(True, np.diff(block.group) != 0))[block.group]  # groups are numbered in the order of the members
+    bytes_ = np.lib.stride_tricks.sliding_window_view(block.data, gram)
+    return bool((bytes_[at] == bytes_[at[head]]).all())
+
+
+def compare(block: Block, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of the block's members that another member of their key holds too."""
     start, length = block.off[:-1], np.diff(block.off)
-    order_r, lcp_r = deep_shallow(Suffixes(block.data, start + block.anchor, length - block.anchor), block.group)
+    known = gram if same_anchors(block, gram) else 0
+    order_r, lcp_r = deep_shallow(Suffixes(block.data, start + block.anchor, length - block.anchor), block.group, known)
     order_l, lcp_l = deep_shallow(Suffixes(block.data[::-1], len(block.data) - start - block.anchor, block.anchor), block.group)
     many = np.bincount(block.group)[block.group] > 2
     out = [_of_pairs(block, size, order_r, lcp_r, order_l, lcp_l, many)] + ([_of_groups(block, size, order_r, lcp_r, order_l, lcp_l, many)] if many.any() else [])
@@ -255,7 +286,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row for each row of docs: id, n_bytes, removed spans (byte positions, end exclusive), kept bytes."""
     arrow_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
-    found = Repeats(size=size, gram=gram, units=byte_units, cut=byte_cut, compare=lambda b: compare(b, size), part=lambda t, x, y: t[x:y], earlier=False).find(texts)
+    found = Repeats(size=size, gram=gram, units=byte_units, cut=byte_cut, compare=lambda b: compare(b, size, gram), part=lambda t, x, y: t[x:y], earlier=False).find(texts)
     rows = texts.join(found.hint("shuffle_hash"), ["id", "text_key"], "left").select("id", "text", "windows")
     out = rows.mapInArrow(_removing(size), "id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
     return out.select(shown(F.col("id")).alias(id_col), "n_bytes", "spans", "kept")

@@ -1,5 +1,7 @@
+import os
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -59,3 +61,44 @@ def test_deep_shallow_sorts_like_sorted():
         a, b = texts[order[k - 1]], texts[order[k]]
         n = lcp[k]
         assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1] or a == b
+
+
+def test_both_halves_of_the_sort_order_members(monkeypatch):
+    """Members of two keys around one shared anchor each: multikey quicksort splits parts on both sides, blind tries order the rest."""
+    rng = random.Random(7)
+    letters = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    anchors, left, right = [letters(64), letters(64)], letters(500), letters(500)
+    texts = []
+    for k in range(60):
+        a, b = bytearray(left), bytearray(right)
+        a[-1 - rng.randrange(200)] ^= 1
+        b[rng.randrange(200)] ^= 1
+        texts.append(bytes(a) + anchors[k // 30] + bytes(b))
+    length = np.array(list(map(len, texts)))
+    block = SimpleNamespace(data=np.frombuffer(b"".join(texts), np.uint8), off=np.append(0, np.cumsum(length)), anchor=np.full(60, 500), group=np.arange(60) // 30)
+    assert suffix_dedup.same_anchors(block, 64)
+    tries = []
+    blind = suffix_dedup.blind_order
+    monkeypatch.setattr(suffix_dedup, "blind_order", lambda x, some, depth: tries.append(depth) or blind(x, some, depth))
+    start = block.off[:-1]
+    for data, at, n, known in ((block.data, start + 500, length - 500, 64), (block.data[::-1], len(block.data) - start - 500, np.full(60, 500), 0)):
+        suffixes = suffix_dedup.Suffixes(data, at, n)
+        order, cut = suffix_dedup.multikey(suffixes, block.group, known)
+        assert 2 < cut.sum() < 60
+        tries.clear()
+        order, lcp = suffix_dedup.deep_shallow(suffixes, block.group, known)
+        assert tries and set(tries) == {known + suffix_dedup.SHALLOW}
+        for g in range(2):
+            mine = [suffixes.texts[i] for i in order[g * 30 : g * 30 + 30]]
+            assert mine == sorted(mine) and set(order[g * 30 : g * 30 + 30].tolist()) == set(range(g * 30, g * 30 + 30))
+            assert [len(os.path.commonprefix(mine[k - 1 : k + 1])) for k in range(1, 30)] == lcp[g * 30 + 1 : g * 30 + 30].tolist()
+
+
+def test_anchors_that_share_only_a_hash_are_told_apart():
+    """Two different anchors under one key: nothing is taken as known, and what follows them does not count as shared."""
+    texts = [b"x" * 64 + b"same" * 100, b"y" * 64 + b"same" * 100]
+    length = np.array(list(map(len, texts)))
+    ends = dict(before=np.zeros(2, np.int64), after=np.zeros(2, np.int64))
+    block = SimpleNamespace(data=np.frombuffer(b"".join(texts), np.uint8), off=np.append(0, np.cumsum(length)), anchor=np.zeros(2, np.int64), group=np.zeros(2, np.int64), **ends)
+    assert not suffix_dedup.same_anchors(block, 64)
+    assert not len(suffix_dedup.compare(block)[0])
