@@ -47,13 +47,18 @@ def match_codes(read: DataFrame, known: DataFrame, by: tuple[str, ...] = ()) ->
     return m.select(*by, "text", F.coalesce("exact", "lower", "fold").alias("code"), tier.alias("tier")).where("code IS NOT NULL")
 
 
-def contained_words(texts: DataFrame, names: DataFrame, letters: str = r"\p{L}") -> DataFrame:
-    """Names (name) that occur in texts (id, text) without a letter before: the prefixes of the texts' words meet the names."""
+def contained_words(texts: DataFrame, names: DataFrame, letters: str = r"\p{L}", *, least: int = 1, present: DataFrame | None = None) -> DataFrame:
+    """Names (name, of `least` characters or more) that occur in texts (id, text) without a letter before, each once for an id;
+    those that `present` (id, name) holds already are left out. What a word starts with does not depend on its text: each
+    distinct word's prefixes meet the names once, and only the words that hold one go back to their texts."""
+    names = names.select("name").where(F.length("name") >= least).distinct()
     words = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{letters}]+"), F.lit(0)))).alias("word"))
     lengths = names.agg(F.min(F.length("name")).alias("short"), F.max(F.length("name")).alias("long"))
-    cut = words.crossJoin(F.broadcast(lengths)).where(F.length("word") >= F.col("short"))
+    cut = words.select("word").distinct().crossJoin(F.broadcast(lengths)).where(F.length("word") >= F.col("short"))
     prefixes = F.transform(F.sequence(F.col("short"), F.least(F.length("word"), F.col("long"))), lambda k: F.substring(F.col("word"), F.lit(1), k))
-    return cut.select("id", F.explode(prefixes).alias("name")).join(names.distinct(), "name", "left_semi").distinct()
+    holding = cut.select("word", F.explode(prefixes).alias("name")).join(names, "name", "left_semi")
+    found = words.join(holding, "word").select("id", "name").distinct()
+    return found if present is None else found.join(present.select("id", "name"), ["id", "name"], "left_anti")
 
 
 def merged_by_priority(tables: list[DataFrame], key: str, value: str) -> DataFrame:

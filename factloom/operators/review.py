@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +107,20 @@ def next_open(queue: DataFrame, order: str, done: str, group: str, *, width: int
     return near.select(*queue.columns, F.nullif(found, at).alias("next_open"))
 
 
+def places(queue: DataFrame, group: str, ranks: dict[str, bool], order: str, *, width: int = 1000) -> DataFrame:
+    """Adds place (1, 2, 3 ...) in a group's queue, by the columns of ranks (True: largest first) and then by `order`, a number. The
+    order is dealt in ranges of `width`, as in `next_open`: rows are numbered within one range of equal ranks, and ranges by their sizes."""
+    cell = [group, *ranks, "range"]
+    rows = queue.withColumn("range", F.floor(F.col(order) / width))
+    inside = rows.withColumn("inside", F.row_number().over(Window.partitionBy(*cell).orderBy(order)))
+    sorts = [F.desc(c) if largest else F.asc(c) for c, largest in ranks.items()]
+    before = Window.partitionBy(group).orderBy(*sorts, "range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*cell).agg(F.count("*").alias("n"))
+    ahead = sizes.select(*(F.col(c).alias(f"its_{c}") for c in cell), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in cell))
+    return inside.join(ahead, same).select(*queue.columns, (F.col("ahead") + F.col("inside")).cast("long").alias("place"))
+
+
 def beside(queue: DataFrame, order: str, group: str, *, width: int = 1000) -> DataFrame:
     """For each row the places before and after it in its group's queue (previous, following), null at the ends. The order is dealt in
     ranges of `width`, as in `next_open`."""

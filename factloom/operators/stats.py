@@ -59,13 +59,15 @@ def specialisation(rows: DataFrame, group: str, value: str) -> DataFrame:
     return part.join(overall, value).crossJoin(F.broadcast(everything)).select(group, value, "n", "size", "all_n", "all_ids", ratio(F.col("share"), ratio(F.col("all_n"), F.col("all_ids"))).alias("coefficient"))
 
 
-def terms(selected: DataFrame, all_rows: DataFrame, least: int, n: int) -> DataFrame:
-    """Terms of a selection: ids that hold them there and overall, and the ratio of shares."""
-    here = selected.groupBy("term").agg(F.countDistinct("id").alias("n_selected"))
-    there = all_rows.groupBy("term").agg(F.countDistinct("id").alias("n_all"))
-    totals = selected.agg(F.countDistinct("id").alias("ids")).crossJoin(all_rows.agg(F.countDistinct("id").alias("all_ids")))
-    found = here.where(F.col("n_selected") >= least).join(there, "term").crossJoin(F.broadcast(totals))
+def terms(rows: DataFrame, chosen: Column, least: int, n: int) -> DataFrame:
+    """Terms of a selection of rows (id, term): ids that hold them there and overall, and the ratio of shares. Both counts come
+    from one pass; a row without an id counts for nothing."""
+    rows = rows.select("id", "term", F.coalesce(chosen, F.lit(False)).alias("chosen")).where(F.col("id").isNotNull())
+    both = lambda df, a, b: df.agg(F.count_if("chosen").alias(a), F.count("*").alias(b))
+    counts = both(rows.groupBy("id", "term").agg(F.bool_or("chosen").alias("chosen")).groupBy("term"), "n_selected", "n_all").where(F.col("term").isNotNull())
+    totals = both(rows.groupBy("id").agg(F.bool_or("chosen").alias("chosen")).groupBy(), "ids", "all_ids")
     share = ratio(ratio(F.col("n_selected"), F.col("ids")), ratio(F.col("n_all"), F.col("all_ids")))
+    found = counts.where(F.col("n_selected") >= least).crossJoin(F.broadcast(totals))  # one row
     return top(found.select("term", "n_selected", "n_all", share.alias("coefficient")), "n_selected", n, ties="term")
 
 

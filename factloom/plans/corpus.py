@@ -104,11 +104,10 @@ here AS (SELECT term, count(DISTINCT id) AS n_selected FROM kept WHERE lang = 'f
 SELECT term, n_selected, n_all FROM here JOIN there USING (term) ORDER BY n_selected DESC, term LIMIT 50""")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of one group's texts against all; a term that opens its text is left out for that text."""
-    docs = model.doc(spark, sf_dir)
-    words = docs.select("id", "grp", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
-    titles = docs.select("id", F.lower(F.regexp_extract("text", r"\p{L}{4,}", 0)).alias("term"))
-    kept = words.join(titles, ["id", "term"], "left_anti")
-    return stats.terms(kept.where("grp = 'fr'"), kept, 2, 50).select("term", "n_selected", "n_all")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))
+    opening = F.array(F.lower(F.regexp_extract("text", r"\p{L}{4,}", 0)))
+    kept = model.doc(spark, sf_dir).select("id", "grp", F.explode(F.array_except(words, opening)).alias("term"))  # distinct in a text
+    return stats.terms(kept, F.col("grp") == "fr", 2, 50).select("term", "n_selected", "n_all")
 
 
 @query(f"WITH {ENTITY}, {code_sql(0)} SELECT DISTINCT id, company, year FROM entity SEMI JOIN (SELECT * FROM entity_code WHERE code = 'PROMO') c USING (id) WHERE company IN ('BUILDING', 'MACHINERY') AND year BETWEEN 1996 AND 1998")

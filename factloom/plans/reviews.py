@@ -57,11 +57,9 @@ def unreviewed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, review, accept, row_number() OVER (PARTITION BY id % 50 ORDER BY review DESC, accept, id) AS place FROM q""")
 def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty reviewers' queues, each with the most open statements first."""
-    from pyspark.sql import Window
-
     q = model.triple(spark, sf_dir).groupBy("id").agg(F.count_if(F.col("score").between(5, 7)).alias("review"), F.count_if(F.col("score") >= 8).alias("accept"))
-    w = Window.partitionBy(F.col("id") % 50).orderBy(F.desc("review"), "accept", "id")
-    return q.withColumn("place", F.row_number().over(w).cast("long"))
+    queues = q.withColumn("reviewer", F.col("id") % 50)
+    return review.places(queues, "reviewer", {"review": True, "accept": False}, "id").drop("reviewer")
 
 
 @query("""WITH q AS (SELECT d.doc_id AS id, source, l.doc_id IS NOT NULL AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),

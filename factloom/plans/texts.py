@@ -44,6 +44,17 @@ def contains_not_preceded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.contained_words(docs, items.distinct()).select("id", "name")
 
 
+@query("""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]{4,}')) AS name FROM benchmark), sentence AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([\\p{L}]+)[.]', 1)) AS name FROM documents),
+words AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents)
+SELECT DISTINCT id, name FROM words JOIN names ON length(name) >= 6 AND substr(name, 1, 4) = substr(word, 1, 4) AND starts_with(word, name) WHERE (id, name) NOT IN (SELECT id, name FROM sentence WHERE name IS NOT NULL AND id IS NOT NULL)""")
+def contained_not_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longer names from the test items in a text, but for those that end one of its sentences and so are known for it."""
+    items = model.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("name"))
+    docs = model.doc(spark, sf_dir).select("id", F.lower("text").alias("text"))
+    known = docs.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)[.]"), F.lit(1))).alias("name"))
+    return resolve.contained_words(docs, items, least=6, present=known)
+
+
 @query("""WITH known AS (SELECT DISTINCT replace(p_brand, '#', '') AS code FROM part), read AS (SELECT DISTINCT v AS text FROM (SELECT code AS v FROM known UNION ALL SELECT lower(code) FROM known UNION ALL SELECT translate(code, '12', 'lZ') FROM known UNION ALL SELECT code || 'x' FROM known)),
 f AS (SELECT code, lower(translate(code, 'OoDQlIi|tSsZzBGbqgAT', '00001111155228669947')) AS k, lower(code) AS l FROM known), one AS (SELECT k, min(code) AS code FROM f GROUP BY k HAVING count(*) = 1), low AS (SELECT l, min(code) AS code FROM f GROUP BY l)
 SELECT text, coalesce(known.code, low.code, one.code) AS code, CAST(CASE WHEN known.code IS NOT NULL THEN 1 WHEN low.code IS NOT NULL THEN 2 ELSE 3 END AS INTEGER) AS tier

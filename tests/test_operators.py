@@ -64,6 +64,35 @@ def test_next_open_goes_round(spark):
         assert got == {1: 13, 2: 13, 9: 13, 13: 1, 5: None, 6: 5}
 
 
+def test_places_are_those_of_one_window(spark):
+    data = [(k % 3 if k % 7 else None, (k * 5) % 4 if k % 11 else None, k % 2, k * 13 % 101) for k in range(60)]
+    q = spark.createDataFrame(data, "grp int, review int, accept int, id int")
+    nulls_last = lambda r: (r[1] is None, -(r[1] or 0), r[2], r[3])
+    expected = []
+    for g in {r[0] for r in data}:
+        mine = sorted((r for r in data if r[0] == g), key=nulls_last)
+        expected += [(*r, k + 1) for k, r in enumerate(mine)]
+    for width in (1, 7, 1000):
+        got = [tuple(r) for r in review.places(q, "grp", {"review": True, "accept": False}, "id", width=width).collect()]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert review.places(q.limit(0), "grp", {"review": True}, "id").count() == 0
+
+
+def test_contained_words_by_distinct_words(spark):
+    texts = spark.createDataFrame([(1, "motors motor x"), (2, "motorcase, unmotor"), (3, None), (4, ""), (2, "motorcase")], "id int, text string")
+    names = spark.createDataFrame([("motor",), ("motor",), ("motorcase",), ("x",), (None,)], "name string")
+    assert rows(resolve.contained_words(texts, names)) == [(1, "motor"), (1, "x"), (2, "motor"), (2, "motorcase")]
+    present = spark.createDataFrame([(1, "motor", "more")], "id int, name string, note string")
+    assert rows(resolve.contained_words(texts, names, least=2, present=present)) == [(2, "motor"), (2, "motorcase")]
+    assert rows(resolve.contained_words(texts, names.limit(0))) == rows(resolve.contained_words(texts.limit(0), names)) == []
+
+
+def test_terms_count_ids_once(spark):
+    held = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "a", "y"), (2, "b", "y"), (3, "b", None), (None, "a", "x"), (1, "c", "x")], "id int, term string, grp string")
+    assert rows(stats.terms(held, F.col("grp") == "x", 1, 5)) == [("a", 1, 2, 1.5), ("c", 1, 1, 3.0)]
+    assert rows(stats.terms(held, F.col("grp") == "z", 1, 5)) == []
+
+
 def test_evaluate_empty(spark):
     none = spark.createDataFrame([], "a string")
     r = review.f_score(review.evaluate(none, none, ["a"])).first()
