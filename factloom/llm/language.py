@@ -143,9 +143,9 @@ class Model:
 
 
 def train(docs: DataFrame, *, id_col: str | None = None, text_col: str = "text", lang_col: str = "lang", sample: int = TRAIN_DOCS, words: int = WORDS, ngrams: int = NGRAMS) -> Model:
-    """Fits a model to at most `sample` labelled rows of docs, chosen by hash of the text and the id, if there is one."""
+    """Fits a model to at most `sample` labelled rows of docs, chosen by hash of text, language and the id, if there is one; equal rows count once."""
     arrow_batches(docs.sparkSession)
-    rows = sampled(docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), sample, *([id_col] if id_col else []), text_col)
+    rows = sampled(docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), sample, *([id_col] if id_col else []), text_col, lang_col)
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.mapInArrow(_counting(), "n int, hash long, lang string, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
     per_key = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))

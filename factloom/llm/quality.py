@@ -171,11 +171,12 @@ def cover(rows: list[dict], *, most_rules: int = 12, most_tests: int = 4, precis
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = TRAIN_ROWS) -> list[Rule]:
-    """Rules for documents labelled 0, from at most `sample` labelled ids, chosen by hash."""
+    """Rules for documents labelled 0, from at most `sample` labelled ids, chosen by hash; of an id's texts the smallest counts."""
     marks = labels.select(F.col(id_col).alias("labelled"), F.col(label_col).alias("label")).where(F.col("labelled").isNotNull() & F.col("label").isNotNull())
     marks = sampled(marks.groupBy("labelled").agg(F.min("label").alias("label")), sample, "labelled")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     some = texts.join(F.broadcast(marks), F.col("id") == F.col("labelled"))  # at most `sample` rows of two numbers
+    some = some.groupBy("id", "label").agg(F.min("text").alias("text"))
     found = statistics(some.select(F.struct("id", "label").alias("id"), "text"), id_col="id", text_col="text")
     rows = [r.asDict(recursive=True) for r in found.select("id", *FEATURES).orderBy(F.xxhash64("id.id"), "id.id", "n_words").collect()]
     return cover([{**{f: float(r[f]) for f in FEATURES}, "bad": int(r["id"]["label"] == 0)} for r in rows])

@@ -380,7 +380,8 @@ def generated(seed: int = 7, n: int = 60) -> tuple[list[str], list[tuple[int, in
 
 
 def train(docs: DataFrame, *, id_col: str | None = None, text_col: str = "text", sample: int = TRAIN_DOCS) -> Field:
-    """Fits a field to at most `sample` texts, chosen by hash of the text and the id, if there is one, and to the generated lines."""
+    """Fits a field to at most `sample` texts, chosen by hash of the text and the id, if there is one, and to the generated lines;
+    equal rows count once."""
     arrow_batches(docs.sparkSession)
     some = sampled(docs.where(F.col(text_col).isNotNull()), sample, *([id_col] if id_col else []), text_col)
     texts = some.select(F.col(text_col).alias("text"))

@@ -58,8 +58,9 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def sampled(df: DataFrame, most: int, *columns: str) -> DataFrame:
-    """All of df if it has at most `most` rows, else at most so many, the same on every run: those with the smallest hashes of the
-    columns named. Rows whose hash equals that of the first one left out are left out too."""
+    """The different rows of df by the columns named, all of them if there are at most `most`, else those with the smallest hashes:
+    the same on every run, never more than `most`, and none only where df is empty. Equal rows count once, however many there are."""
     key = F.xxhash64(*columns)
-    low = df.select(key.alias("key")).orderBy("key").limit(most + 1).agg(F.count("*").alias("rows"), F.max("key").alias("key")).first()
-    return df if low["rows"] <= most else df.where(key < low["key"])
+    low = df.select(key.alias("key")).distinct().orderBy("key").limit(most + 1).agg(F.count("*").alias("rows"), F.max("key").alias("key")).first()
+    some = df if low["rows"] <= most else df.where(key < low["key"])
+    return some.withColumn("sample_key", key).dropDuplicates(["sample_key"]).select(*df.columns)

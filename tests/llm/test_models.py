@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import language, lm_score, quality, secrets
+from factloom.llm.shared import sampled
 from tests.llm import brute
 
 SHAPES = {"aa": ("ka", "to", "mi"), "bb": ("sch", "ung", "der"), "cc": ("éau", "ille", "qu")}
@@ -165,3 +166,30 @@ def test_any_token_may_be_secret(spark):
     for i, t in enumerate(hidden):
         assert got[i].redacted == t[: max(t.rfind(" "), t.rfind("=")) + 1] + secrets.MASK
     assert [got[4 + i].redacted for i in range(len(plain))] == plain
+
+
+def test_samples_hold_every_kind_of_row_once(spark):
+    """Fifty thousand equal rows neither empty a sample nor fill it."""
+    some = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same").alias("text"), F.lit("en").alias("key"))
+    rest = spark.range(2, 60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("fr").alias("key"))
+    df = some.unionByName(rest).repartition(4)
+    for most, n in ((1000, 59), (59, 59), (20, 20), (1, 1)):
+        got = sampled(df, most, "doc_id", "text")
+        assert got.columns == df.columns
+        found = sorted(r.doc_id for r in got.collect())
+        assert len(found) == len(set(found)) == n
+        assert found == sorted(r.doc_id for r in sampled(df.repartition(3), most, "doc_id", "text").collect())
+    assert sampled(df.limit(0), 5, "doc_id").count() == 0
+    rows = some.select("doc_id", "text").withColumn("lang", F.lit("en"))
+    model = language.train(rows, id_col="doc_id", sample=10)
+    assert [r.lang_pred for r in language.predict(spark.createDataFrame([(1, "the same")], "doc_id long, text string"), model).collect()] == ["en"]
+
+
+def test_rules_learn_from_one_text_of_each_id(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    texts = [(1, "b two"), (1, "a one"), (1, None), (2, "x"), (3, "y")]
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "cover", lambda rows: seen.append(rows) or [])
+        quality.learn(spark.createDataFrame(texts * 30, "doc_id long, text string"), labels)
+    assert sorted((r["n_words"], r["bad"]) for r in seen[0]) == [(1.0, 0), (2.0, 1)]
