@@ -4,7 +4,7 @@ from tests.llm import brute
 
 
 def test_queries_are_named():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_stages_on_odd_rows(spark, tmp_path):
