@@ -270,3 +270,15 @@ def test_numbers_of_seven_digits(spark, tmp_path):
     con = oracle.duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     oracle.same(registry.QUERIES["doc_candidates"](spark, str(tmp_path)), con, registry.ORACLE_SQL["doc_candidates"])
+
+
+def test_copies_cost_no_pairs(spark):
+    """Many equal rows are one class: exact, and no pair of rows is joined by a term, which is what filled the disk."""
+    terms = [(i, t) for i in range(400) for t in ("all", f"a{i % 3}", f"b{i % 2}")]
+    v = similarity.vectors(spark.createDataFrame(terms, "id long, term string")).checkpoint()
+    w = similarity.weights(spark.createDataFrame(terms, "id long, term string"))
+    asked = F.col("id").isin(0, 7, 399)
+    found = similarity.top_cosine(v.where(asked), v, 5)
+    assert "term#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    shown = lambda df: sorted((r.id, r.other, r["rank"], round(r.sim, 9)) for r in df.collect())
+    assert shown(found) == shown(similarity.nearest(similarity.cosine(w.where(asked), w), 5))
