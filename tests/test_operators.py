@@ -282,3 +282,12 @@ def test_copies_cost_no_pairs(spark):
     assert "term#" not in found._jdf.queryExecution().optimizedPlan().toString()
     shown = lambda df: sorted((r.id, r.other, r["rank"], round(r.sim, 9)) for r in df.collect())
     assert shown(found) == shown(similarity.nearest(similarity.cosine(w.where(asked), w), 5))
+
+
+def test_equal_vectors_in_blocks(spark):
+    """Each block of queries by itself; the same vector under another id is marked, vectors of zeros are no error."""
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0])], "id long, v array<float>")
+    for block in (1, 100):
+        got = sorted((r.id, r.other, r.same) for r in similarity.vector_matches(v.where("id < 4"), v.where("id < 5"), 0.5, block=block).collect())
+        assert got == [(1, 2, False), (1, 3, True), (2, 1, False), (2, 3, False), (3, 1, True), (3, 2, False)]
+    assert similarity.vector_matches(v.where("id = 1"), v.where("id = 5"), 0.5).count() == 1
