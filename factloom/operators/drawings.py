@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType
 from factloom.functions import text
 from factloom.operators import boxes, claims, resolve
 from factloom.operators.boxes import BOX
+from factloom.session import stored
 
 #: Family members looked at, figures taken, and the share of an image's codes that the signs have to know.
 FAMILY, FIGURES, KNOWN = 6, 40, 0.3
@@ -50,27 +51,30 @@ def claim_likeness(pairs: DataFrame) -> DataFrame:
     return bare.withColumn("sim", F.when(F.coalesce("claim", F.lit("")) == "", 0.5).otherwise(_likeness("own", "theirs"))).drop("own", "theirs", "claims")
 
 
-def resolved(requests: DataFrame, publications: DataFrame, signs: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+def resolved(requests: DataFrame, publications: DataFrame, signs: DataFrame, hits: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """id, doc, found_by, sim, sign_doc, image_doc of requests (id, number, claim) for which a publication is found.
 
     publications: as parsed; signs: (id, code) of publications; hits: (id, rank, hit) what a search for a request gave. doc is the
     first candidate number that exists, else the best hit. Family members in their order of preference, FAMILY at most, lend signs
-    (own or international publications only) and images; images only where the codes in them are known to the signs."""
-    signs = signs.select("id", "code").distinct().checkpoint()  # they are met three times, and their plan is long
-    direct = by_number(requests, publications).select("id", "doc", F.lit("number").alias("found_by")).checkpoint()
+    (own or international publications only) and images; images only where the codes in them are known to the signs. publications
+    hold a number once; where several documents share one, own (id, pictured, family) tells what is a request's own."""
+    signs = stored(signs.select("id", "code").distinct(), "signs")  # they are met three times, and their plan is long
+    direct = stored(by_number(requests, publications).select("id", "doc", F.lit("number").alias("found_by")), "direct")
     docs = publications.select(F.col("id").alias("doc"), "claims")
     chosen = direct
     if hits is not None:
         open_ = requests.join(direct, "id", "left_anti").select("id", "claim")
         likely = claim_likeness(open_.join(hits, "id").join(docs, F.col("hit") == F.col("doc")).select("id", "claim", "rank", "hit", "claims"))
         chosen = direct.unionByName(resolve.best_hit(likely).select("id", F.col("hit").alias("doc"), F.lit("search").alias("found_by")))
-    near = claim_likeness(chosen.join(requests.select("id", "claim"), "id").join(docs, "doc")).withColumn("sim", F.when(F.coalesce("claim", F.lit("")) != "", F.col("sim")))
+    told = requests.select("id", "claim").where("claim <> ''")
+    near = chosen.join(claim_likeness(chosen.join(told, "id").join(docs, "doc")).select("id", "sim"), "id", "left")
 
     signed = signs.select(F.col("id").alias("doc")).distinct().withColumn("signed", F.lit(True))
-    pictured = publications.where(F.size("images") > 0).select(F.col("id").alias("doc"), F.lit(True).alias("pictured"))
-    owned = near.join(signed, "doc", "left").join(pictured, "doc", "left").select("id", "doc", "found_by", "sim", F.coalesce("signed", F.lit(False)).alias("signed"), F.coalesce("pictured", F.lit(False)).alias("pictured"))
+    if own is None:
+        own = chosen.join(publications.select(F.col("id").alias("doc"), (F.size("images") > 0).alias("pictured"), "family"), "doc").select("id", "pictured", "family")
+    owned = near.join(signed, "doc", "left").join(own, "id", "left").select("id", "doc", "found_by", "sim", "family", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("signed", "pictured")))
     lacking = owned.where("NOT signed OR NOT pictured")
-    members = _family(lacking.join(publications.select(F.col("id").alias("doc"), "family"), "doc"))
+    members = _family(lacking)
     members = members.withColumnRenamed("signed", "doc_signed").join(signed.withColumnRenamed("doc", "member"), "member", "left")
     lender = members.where("NOT doc_signed AND signed AND (member LIKE 'JP%' OR member LIKE 'WO%')").groupBy("id").agg(F.min(F.struct("place", F.col("member").alias("sign_doc"))).alias("lender"))
     with_images = members.where("NOT pictured").join(lender, "id", "left")
@@ -80,7 +84,7 @@ def resolved(requests: DataFrame, publications: DataFrame, signs: DataFrame, hit
     image = fitting.groupBy("id").agg(F.min_by("member", "place").alias("member_image"))
     out = owned.join(lender, "id", "left").join(image, "id", "left")
     lent_ = lambda own, other, name: F.when(F.col(own), F.col("doc")).otherwise(F.col(other)).alias(name)
-    return out.select("id", "doc", "found_by", "sim", lent_("signed", "lender.sign_doc", "sign_doc"), lent_("pictured", "member_image", "image_doc")).checkpoint()
+    return stored(out.select("id", "doc", "found_by", "sim", lent_("signed", "lender.sign_doc", "sign_doc"), lent_("pictured", "member_image", "image_doc")), "resolved")
 
 
 def _family(rows: DataFrame) -> DataFrame:
@@ -164,7 +168,7 @@ def legend_of(components: DataFrame, claim: DataFrame, signs: DataFrame, body: D
     own = components.groupBy("id", "comp").agg(F.min("place").alias("place")).withColumn("extra", F.lit(False))
     more = extra_components(claim, signs, own).select("id", "comp", F.col("at").alias("place"), F.lit(True).alias("extra"))
     order = Window.partitionBy("id").orderBy("extra", "place", "comp")
-    every = own.unionByName(more).withColumn("place", F.row_number().over(order)).checkpoint()
+    every = stored(own.unionByName(more).withColumn("place", F.row_number().over(order)), "components")
     links = resolve.link_with_fallback(every, signs, body, ("id",))
     linked = links.groupBy("id", "comp").agg(in_code_order(F.collect_set("code")).alias("codes"), F.array_sort(F.collect_set("name")).alias("names"), F.min("origin").alias("source"))
     none = F.array().cast("array<string>")
@@ -178,7 +182,7 @@ def _hits(callouts: DataFrame, tokens: DataFrame | None, known: DataFrame) -> tu
     # A page of the report is a page of one request: boxes meet on both.
     placed = lambda df: df.withColumn("page", F.struct("id", "page"))
     back = lambda df: df.select(F.col("page.id").alias("id"), F.col("page.page").alias("page"), F.col("label").alias("code"), "origin")
-    called = matched(callouts).withColumn("label", F.coalesce("code", "label")).drop("code")
+    called = stored(matched(callouts).withColumn("label", F.coalesce("code", "label")).drop("code"), "called")
     seen = called.select("id", "page", F.col("label").alias("code"), "note")
     if tokens is None:
         return called.select("id", "page", F.col("label").alias("code"), F.lit("callout").alias("origin")), seen
@@ -187,6 +191,7 @@ def _hits(callouts: DataFrame, tokens: DataFrame | None, known: DataFrame) -> tu
     both = boxes.reconciled(placed(called.select("id", "page", "box_id", "label", *BOX)), placed(read.select("id", "page", "box_id", "label", *BOX)))
     doubtful = placed(read.where(~F.col("sure"))).select("page", "box_id")
     hits = both.join(doubtful, ["page", "box_id"], "left_anti")
+    hits = stored(hits, "hits")
     added = back(hits.where(F.startswith("box_id", F.lit("t"))))
     return back(hits), seen.unionByName(added.select("id", "page", "code", F.lit("").alias("note")))
 
@@ -196,11 +201,11 @@ def report(components: DataFrame, claim: DataFrame, signs: DataFrame, body: Data
     pages (id, page, label), callouts (id, page, box_id, label, note, box) and tokens read (id, page, box_id, label, conf, box).
 
     Tables that several parts use are written once in between: parsing and linking stay out of the plans of those parts."""
-    signs, body, pages, callouts = (df.checkpoint() for df in (signs, body, pages, callouts))
-    legend = legend_of(components, claim, signs, body).checkpoint()
+    signs, body, pages, callouts = (stored(df, name) for df, name in ((signs, "signs"), (body, "body"), (pages, "pages"), (callouts, "callouts")))
+    legend = stored(legend_of(components, claim, signs, body), "legend")
     claimed = legend.select("id", "comp", F.explode("codes").alias("code"))
     known = signs.select("id", "code").union(body.select("id", "code"))
-    hits, seen = (df.checkpoint() for df in _hits(callouts, tokens, known))
+    hits, seen = _hits(callouts, tokens, known)
     labels = lambda rows: F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct("page", rows))), lambda x: x[rows]))
 
     shown = hits.select("id", "page", "code").distinct().join(claimed, ["id", "code"]).join(pages, ["id", "page"])

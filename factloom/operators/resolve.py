@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from factloom.functions import text
 
 
-def _suffixes(c: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substring(c, k, F.lit(10_000)))
-
-
 def link_names(components: DataFrame, signs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Best-scored signs (code, name) of each component (comp), all ties kept; where `by` names columns, within equal values of them.
-    A match ends in the component's name without ordinals, so the two sides meet by equal suffixes instead of a cross join."""
+    A match ends in the component's name without ordinals, so the two sides meet by equal suffixes instead of a cross join; of a sign
+    only the suffixes as long as some component's name are made, where `by` names columns as some component's with equal values."""
     stem = lambda c: text.without_ordinal(text.norm(F.col(c)))
     plain = lambda c: text.nfkc(F.col(c))
     left = components.select(*by, "comp", plain("comp").alias("plain_comp")).distinct().withColumn("stem", stem("plain_comp")).where("stem <> ''")
-    right = signs.select(*by, "code", "name", plain("name").alias("plain_name")).withColumn("stem", F.explode(_suffixes(stem("plain_name"))))
+    lengths = left.groupBy(*by).agg(F.collect_set(F.length("stem")).alias("lengths"))
+    met = signs.select(*by, "code", "name").join(lengths, list(by)) if by else signs.select("code", "name").crossJoin(F.broadcast(lengths))
+    ends = F.transform(F.filter("lengths", lambda n: n <= F.length("whole")), lambda n: F.right(F.col("whole"), n))
+    right = met.withColumn("plain_name", plain("name")).withColumn("whole", stem("plain_name")).select(*by, "code", "name", "plain_name", F.explode(ends).alias("stem"))
     scored = left.join(right, [*by, "stem"]).select(*by, "comp", "code", "name", text.name_match(F.col("plain_comp"), F.col("plain_name")).alias("score")).where("score > 0").distinct()
     w = Window.partitionBy(*by, "comp").orderBy(F.desc("score"))
     return scored.withColumn("r", F.rank().over(w)).where("r = 1").drop("r")
