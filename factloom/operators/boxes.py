@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,10 @@ def contained(boxes: DataFrame, slack: int = 3, size: int = 64) -> DataFrame:
 
 
 def corner_pairs(boxes: DataFrame, reach: int = 30) -> DataFrame:
-    """Pairs of equal labels on a page whose upper left corners lie less than `reach` apart both ways, lower id first."""
-    at = boxes.select("page", "label", "box_id", "x0", "y0", F.floor(F.col("x0") / reach).alias("cx"), F.floor(F.col("y0") / reach).alias("cy"))
+    """Pairs of equal labels on a page whose upper left corners lie less than `reach` apart both ways, lower id first. Boxes alone with
+    their label on a page, as most are, do not go on to the grid."""
+    several = F.count("*").over(Window.partitionBy("page", "label")) > 1
+    at = boxes.withColumn("several", several).where("several").select("page", "label", "box_id", "x0", "y0", F.floor(F.col("x0") / reach).alias("cx"), F.floor(F.col("y0") / reach).alias("cy"))
     # Half of the neighbouring cells: each pair meets once, from one side or the other.
     steps = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)))))
     around = at.withColumn("step", steps).withColumns({"cx": F.col("cx") + F.col("step.x"), "cy": F.col("cy") + F.col("step.y")})
@@ -185,19 +188,50 @@ class _Known:
         return text in self.codes or text.lower() in self.lower or (len(text) >= 2 and self.folded[self.fold(text)] == 1)
 
 
+def _touching(table: pa.Table, most: int = 64) -> np.ndarray:
+    """For each row whether some token of its page may follow another: their gap fits. Pages of over `most` tokens may always."""
+    key, x0, x1, y0, y1 = (table[c].to_numpy() for c in ("page_key", "x0", "x1", "y0", "y1"))
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    page = np.repeat(np.arange(len(start)), size)
+    high, hit = y1 - y0, size > most
+    for k in range(1, min(most, size.max())):
+        near = np.flatnonzero(page[k:] == page[:-k])
+        for a, b in ((near, near + k), (near + k, near)):
+            gap = x0[b] - x1[a]
+            hit[page[a[(gap >= -2) & (gap < 0.45 * high[a])]]] = True
+    return hit[page]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables that end where a page ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column("page_key").to_numpy()
+        last = int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1])
+        if last or (held and held[-1].column("page_key")[-1].as_py() != key[0]):
+            if held or last:
+                yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _joining(code: re.Pattern, schema: pa.Schema):
-    """Pages stand together in the rows; one is held at a time."""
+    """Pages stand together in the rows. Those on which no token may follow another stay as they are; of the others one is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
-        rows = (row for batch in batches for row in batch.to_pylist())
-        for _, page in groupby(rows, key=lambda row: row["page"]):
-            out += _Page(list(page), code).joined()
-            if len(out) > 10_000:
+        for table in _whole(batches):
+            hit = _touching(table)
+            yield from table.filter(pa.array(~hit)).select(schema.names).cast(schema).to_batches()
+            out: list[dict] = []
+            for _, page in groupby(table.filter(pa.array(hit)).to_pylist(), key=lambda row: row["page"]):
+                out += _Page(list(page), code).joined()
+            if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
@@ -215,7 +249,8 @@ def joined_tokens(tokens: DataFrame, code: str, known: DataFrame | None = None)
         now = now.join(lists, by, "left") if by else now.crossJoin(F.broadcast(lists))
         now = now.withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     made = StructType([f for f in now.schema.fields if f.name not in ("rotated", "known")])
-    sorted_ = now.repartition("page").sortWithinPartitions("page")
+    # Equal keys of neighbouring pages would only have these looked at more closely.
+    sorted_ = now.repartition("page").sortWithinPartitions("page").withColumn("page_key", F.xxhash64("page"))
     out = sorted_.mapInArrow(_joining(re.compile(code), to_arrow_schema(made)), made)
     kinds = dict(tokens.dtypes)
     return out.select("page", "box_id", "label", *(F.col(c).cast(kinds[c]).alias(c) for c in BOX), *(["conf"] if "conf" in tokens.columns else []))

@@ -19,7 +19,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, y0 = k * 37 % 120, (k * 91 + n * 13) % 90
     label = F.concat(F.lit("a"), (k % 7).cast("string"), F.when(k % 3 == 0, "b").otherwise(""))
     box = [v.cast("int").alias(c) for c, v in zip(boxes.BOX, (x0, y0, x0 + 5 + k % 60, y0 + 5 + n * 7 % 40), strict=True)]
-    return model.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (k * 8 + n).alias("box_id"), label.alias("label"), *box).distinct()
+    rows = model.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (k * 8 + n).alias("box_id"), label.alias("label"), *box)
+    return rows.repartition(model.parts(spark, sf_dir, "lineitem"), "page").distinct()
 
 
 _NEAR = "a.x1 >= b.x0 - 5 AND b.x1 >= a.x0 - 5 AND a.y1 >= b.y0 - 5 AND b.y1 >= a.y0 - 5"
