@@ -63,7 +63,8 @@ counted AS (SELECT grp, code, count(*) AS n FROM cells GROUP BY grp, code), grid
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.entity(spark, sf_dir).join(model.entity_code(spark, sf_dir, 1), "id")
+    codes = model.entity_code(spark, sf_dir, 1).repartition(model.parts(spark, sf_dir, "lineitem"), "id")
+    return model.entity(spark, sf_dir).join(codes, "id")
 
 
 @query(_MATRIX + " SELECT grp, code, n FROM grid")
