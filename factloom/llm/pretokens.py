@@ -8,6 +8,7 @@ and the strings of added tokens, which stand alone.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,26 @@ def code_points(buf: np.ndarray, off: np.ndarray) -> tuple[str, np.ndarray, np.n
     return text, np.frombuffer(text.encode("utf-32-le"), np.uint32), at.astype(np.int64)
 
 
+class Grown:
+    """Numbers that others are added behind; room doubles, so that few are copied."""
+
+    def __init__(self, kind: type, some: int = 0):
+        self.room, self.size = np.zeros(1 << 12, kind), some
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : end] = more
+        self.size = end
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Encoder:
     """Token ids of texts: every distinct piece is encoded once and kept, up to a bound."""
 
@@ -81,8 +102,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.letters, self.places = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # code points of the pieces
+        self.ids, self.offsets = Grown(np.uint32), Grown(np.int64, 1)
+        self.letters, self.places = Grown(np.uint32), Grown(np.int64, 1)  # code points of the pieces
 
     def __call__(self, arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For bounded ranges of rows: first row, end row, all ids, the offsets of each row's ids."""
@@ -101,8 +122,10 @@ class Encoder:
             e = np.append(s[1:], len(cp))
             keys = span_hash(prefix(cp), s, e)
             slot = self.checked(self.slots_of(keys, text, s, e), text, cp, s, e)
-            n = self.offsets[slot + 1] - self.offsets[slot]
-            ids = self.ids[gather(self.offsets[slot], n)]
+            offsets = self.offsets.all
+            at = offsets[slot]
+            n = offsets[slot + 1] - at
+            ids = self.ids.all[gather(at, n)]
             yield a, b, ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(s, rows)]
 
     def find(self, text: str, rows: np.ndarray) -> list[tuple[int, int, int]]:
@@ -120,7 +143,7 @@ class Encoder:
         return sorted(out)
 
     def slots_of(self, keys: np.ndarray, text: str, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        if len(self.keys) > self.bound or len(self.letters) > 16 * self.bound:
+        if len(self.keys) > self.bound or self.letters.size > 16 * self.bound:
             self.clear()
         uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, uniq)
@@ -142,22 +165,23 @@ class Encoder:
         plain = [x for x in pieces if x not in self.added]
         got = iter(self.encode(plain))
         lists = [[self.added[x]] if x in self.added else next(got) for x in pieces]
-        base = len(self.offsets) - 1
+        base = self.offsets.size - 1
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        self.letters = np.concatenate([self.letters, np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)])
-        self.places = np.concatenate([self.places, self.places[-1] + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        self.offsets.add(self.ids.size + np.cumsum(sizes))
+        self.ids.add(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
+        self.places.add(self.letters.size + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))))
+        self.letters.add(np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32))
         return base + np.arange(len(pieces))
 
     def checked(self, slot: np.ndarray, text: str, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """The slots, once each piece is found equal to the one kept there; a piece that only hashes like another is encoded itself."""
-        n, size = e - s, self.places[slot + 1] - self.places[slot]
-        wrong = n != size
-        at = gather(self.places[slot], np.where(wrong, 0, n))
+        places = self.places.all
+        first = places[slot]
+        n = e - s
+        wrong = n != places[slot + 1] - first
+        at = gather(first, np.where(wrong, 0, n))
         here = cp if not wrong.any() else cp[gather(s, np.where(wrong, 0, n))]
-        differ = np.flatnonzero(self.letters[at] != here)
+        differ = np.flatnonzero(self.letters.all[at] != here)
         if not len(differ) and not wrong.any():
             return slot
         ends = np.cumsum(np.where(wrong, 0, n))

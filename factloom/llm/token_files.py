@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -50,20 +51,40 @@ FILE_BYTES = 24 << 20
 RANGES, GROUP = 50_000, 1000
 
 
+#: Most pieces that a worker keeps with their ids.
+KEPT_PIECES = 1_000_000
+
+
 class LibraryEncoder(Encoder):
-    """Encodes with the tokenizers library; each distinct piece once in a task."""
+    """Encodes with the tokenizers library; each distinct piece once in a worker, up to KEPT_PIECES."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file)
         self.model = self.tokenizer.model
-        self.shown = {b: c for b, c in byte_letters().items() if chr(b) != c}
-        super().__init__(self.pieces, {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
+        shown = byte_letters()
+        self.shown = np.array([ord(shown[b]) for b in range(256)], np.uint16)
+        super().__init__(self.pieces, {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}, KEPT_PIECES)
 
     def pieces(self, texts: list[str]) -> list[list[int]]:
         tokenize = self.model.tokenize
-        return [[t.id for t in tokenize(x.encode().decode("latin-1").translate(self.shown))] for x in texts]
+        data = list(map(str.encode, texts))
+        letters = self.shown[np.frombuffer(b"".join(data), np.uint8)].tobytes().decode("utf-16-le")  # one a byte
+        ends = list(accumulate(map(len, data), initial=0))
+        return [[t.id for t in tokenize(letters[a:b])] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+_made: dict[tuple[int, str], LibraryEncoder] = {}
+
+
+def library_encoder(file: str, run: str) -> LibraryEncoder:
+    """One for each worker and run: what one task encoded serves the worker's later tasks of that run, and no other run."""
+    key = hash(file), run
+    if key not in _made:
+        _made.clear()
+        _made[key] = LibraryEncoder(file)
+    return _made[key]
 
 
 def file_schema(length: int, wide: bool) -> pa.Schema:
@@ -149,7 +170,7 @@ def _writing(broadcast, folder: str, length: int, end_id: int, wide: bool, file_
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (context.partitionId(), part, f"{folder}/{name}", n_docs, writer.total)], schema=schema)
 
         for batch in batches:
-            encoder = encoder or LibraryEncoder(broadcast.value)
+            encoder = encoder or library_encoder(broadcast.value, folder)
             docs, texts = column(batch, "id").to_pylist(), column(batch, "text")
             for a, b, tokens, rows in encoder(texts):
                 if writer is None:

@@ -62,3 +62,28 @@ def test_token_files_round_trip(spark, library, monkeypatch):
 def test_token_files_of_nothing(spark):
     manifest = token_files.write_sequences(brute.frame(spark, []), fresh_path(spark, "tokens"))
     assert token_files.read_documents(manifest).count() == 0
+
+
+def test_pieces_are_encoded_once_in_a_worker(library, monkeypatch):
+    """What one task encoded is there for the next of its run; past the bound all is encoded anew. Ids are the library's throughout."""
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 2000)
+    file = library.to_str()
+    rng = random.Random(9)
+    texts = odd_texts() + [" ".join("".join(rng.choice("abcdé日") for _ in range(rng.randint(1, 6))) for _ in range(12)) for _ in range(400)]
+
+    def ids(encoder, some):
+        return [tokens[a:b].tolist() for _, _, tokens, rows in encoder(pa.array(some)) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+
+    assert ids(token_files.library_encoder(file, "run"), texts[:500]) == [library.encode(t, add_special_tokens=False).ids for t in texts[:500]]
+    encoder, asked = token_files.library_encoder(file, "run"), []
+    encode = encoder.encode
+    encoder.encode = lambda pieces: asked.extend(pieces) or encode(pieces)
+    ids(encoder, texts[:500])
+    assert not asked
+    assert ids(encoder, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    held = len(encoder.keys)
+    assert held > 2000 and asked
+    asked.clear()
+    assert ids(encoder, texts[:500]) == [library.encode(t, add_special_tokens=False).ids for t in texts[:500]]
+    assert asked and len(encoder.keys) < held
+    assert token_files.library_encoder(file, "other run") is not encoder
