@@ -7,8 +7,8 @@ it on the rest, and drops what it covers. `verdict` turns the list into one
 ordered Spark conditional expression.
 
 Words are maximal runs of anything but space, tab, line feed, vertical tab, form
-feed and carriage return. Repeated windows are found by sorting each text's own
-window hashes (64 bits), so nothing is shuffled.
+feed and carriage return. Repeated windows are found by sorting the window
+hashes (64 bits) of each text that has some, so nothing is shuffled.
 
 Defined cases: a null or empty text has zero words and counts, fails the base
 rule and is not kept; ratios over zero are 0; with no labels, or labels of one
@@ -29,36 +29,50 @@ from factloom.llm.shared import read, sampled, spread
 
 #: Most labelled ids that rules are learned from.
 TRAIN_ROWS = 20_000
+#: A power of two.
 WINDOW = 8
+#: As in a pattern's class of characters.
 SYMBOLS = "#*$%&|<>"
 
 _SPACE = r"[\x20\x09-\x0D]"
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "words_a_line", "distinct_share")
 
 
-def _without(text: Column, chars: str) -> Column:
-    """Number of characters of text that are among chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _among(text: Column, chars: str) -> Column:
+    """Number of characters of text that are in a class of characters."""
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    """Adds windows, the hashes of all windows of WINDOW words, made from hashes of words by doubling; none where no window repeats.
+
+    A window that repeats has WINDOW + 1 - k runs of k words that occurred before, so texts with fewer are done at that length."""
+    df, k = df.withColumn("windows", F.col("hashes")), 1
+    while k <= WINDOW:
+        few = f"size(windows) - size(array_distinct(windows)) < {WINDOW + 1 - k}"
+        rest = f"greatest(size(windows) - {k}, 0)"
+        longer = f"zip_with(slice(windows, 1, {rest}), slice(windows, {k + 1}, {rest}), (a, b) -> xxhash64(a, b))" if k < WINDOW else "windows"
+        df, k = df.withColumn("windows", F.expr(f"IF({few}, cast(array() AS array<bigint>), {longer})")), 2 * k
+    return df
 
 
 def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, the counts and the features of the rules."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    df = df.select("id", "text", F.array_remove(F.split("text", _SPACE), "").alias("words"), F.split("text", "\n").alias("all_lines"))
+    df = df.select("id", "text", F.array_remove(F.split("text", f"{_SPACE}+"), "").alias("words"), F.split("text", "\n").alias("all_lines"))
     df = df.select("*", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.filter("all_lines", lambda x: ~x.rlike(rf"^{_SPACE}*$")).alias("lines"))
-    at = ", ".join(f"get(hashes, i + {k})" for k in range(WINDOW))
-    df = df.select(
+    df = _windows(df).select(
         "id",
         "n_words",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        _without(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-        _without(F.col("text"), "!?").cast("long").alias("n_marks"),
+        _among(F.col("text"), SYMBOLS).alias("n_symbols"),
+        _among(F.col("text"), "A-Z").alias("n_upper"),
+        _among(F.col("text"), "!?").alias("n_marks"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("hashes")).cast("long").alias("n_distinct"),
-        F.expr(f"IF(n_words >= {WINDOW}, transform(sequence(0, cast(n_words AS int) - {WINDOW}), i -> xxhash64({at})), cast(array() AS array<bigint>))").alias("windows"),
+        "windows",
         F.ceil(F.log2(F.col("n_words") + 2)).cast("int").alias("bits"),
     )
     # The upper bits of a window's hash and its position in one long: sorting brings equal windows together.
