@@ -67,8 +67,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, proved by decoding: round_trip tells whether they give the text again."""
-    encoded = bpe.encode(_known(docs).select(F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).alias("row"), "text"), id_col="row")
-    back = bpe.decode(encoded, id_col="row")
+    rows = _known(docs).select(F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).alias("row"), "text")
+    back = bpe.round_trip(rows, id_col="row")
     same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("row.digest")
     return back.select("row.doc_id", "row.lang", "row.source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

@@ -197,6 +197,15 @@ def _decoding(broadcast, schema: pa.Schema):
     return run
 
 
+def _round_trip(broadcast, schema: pa.Schema):
+    encoding, decoding = _encoding(broadcast, pa.schema([schema.field("id"), schema.field("ids")])), _decoding(broadcast, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from decoding(encoding(batches))
+
+    return run
+
+
 def vocabulary_file(spark: SparkSession, path: str | None):
     """The file's text as a broadcast: its size is that of a vocabulary, whatever the corpus."""
     with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
@@ -223,7 +232,18 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", path: str | None = Non
     return rows.mapInArrow(_decoding(vocabulary_file(spark, path), schema), f"id {kind.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """One row (id, ids, decoded string) for each row of docs: what decode(encode(docs)) gives, but a task holds one Python worker and
+    one vocabulary, where the two as stages of one plan hold two."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType
+    schema = pa.schema([("id", to_arrow_type(kind)), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    return rows.mapInArrow(_round_trip(vocabulary_file(spark, path), schema), f"id {kind.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = decode(encode(spread(read(spark, sf_dir, "documents", "doc_id", "text"))))
+    back = round_trip(spread(read(spark, sf_dir, "documents", "doc_id", "text")))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from factloom.llm import bpe, token_files
 from factloom.llm.shared import fresh_path
 from tests.llm import brute
@@ -40,6 +41,18 @@ def test_decode_odd_ids(spark, library):
     assert bpe.encode(brute.frame(spark, [])).count() == 0
 
 
+def test_round_trip_takes_one_python_worker_a_task(spark, library, tmp_path):
+    """Each Python step of one stage is a worker of its own in every task, with a vocabulary of its own."""
+    rows = [(i, t) for i, t in enumerate(odd_texts(60))] + brute.corpus(n=16)
+    found = bpe.round_trip(brute.frame(spark, rows)).collect()
+    expected = brute.counted((i, ids := library.encode(t or "", add_special_tokens=False).ids, library.decode(ids, skip_special_tokens=False)) for i, t in rows)
+    assert brute.counted((r.doc_id, r.ids, r.decoded) for r in found) == expected
+    docs = brute.frame(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for df in (corpus_pipeline.tokenize(spark, docs, ""), bpe.op6_bpe(spark, str(tmp_path))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_token_files_round_trip(spark, library, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
     rows = brute.corpus(n=40)
