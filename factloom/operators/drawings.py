@@ -3,7 +3,7 @@
 `resolved` finds for each request its publication, and where that lacks signs or
 images the family member that lends them. `report` joins components, signs and
 what was read in the figures into four tables: legend, figures, unknown, others.
-All of it is joins and aggregations by request; nothing loops over requests.
+All of it is joins and aggregations by request; nothing loops over requests, and no table is sent whole to each task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType
 from factloom.functions import text
 from factloom.operators import boxes, claims, resolve
 from factloom.operators.boxes import BOX
-from factloom.session import stored
+from factloom.session import by_key, stored
 
 #: Family members looked at, figures taken, and the share of an image's codes that the signs have to know.
 FAMILY, FIGURES, KNOWN = 6, 40, 0.3
@@ -29,7 +29,7 @@ SURE, NUMBER = 85, "^[0-9]{1,4}[a-z]?$"
 def by_number(requests: DataFrame, publications: DataFrame) -> DataFrame:
     """id, doc, n_tried of requests (id, number) one of whose possible publication numbers exists: the first one, and how many were tried."""
     tried = requests.select("id", F.posexplode(text.doc_candidates(F.col("number"))).alias("at", "doc"))
-    found = tried.join(publications.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi")
+    found = tried.join(by_key(publications.select(F.col("id").alias("doc")).distinct()), "doc", "left_semi")
     return found.groupBy("id").agg(F.min_by("doc", "at").alias("doc"), (F.min("at") + 1).alias("n_tried"))
 
 
@@ -60,29 +60,29 @@ def resolved(requests: DataFrame, publications: DataFrame, signs: DataFrame, hit
     hold a number once; where several documents share one, own (id, pictured, family) tells what is a request's own."""
     signs = stored(signs.select("id", "code").distinct(), "signs")  # they are met three times, and their plan is long
     direct = stored(by_number(requests, publications).select("id", "doc", F.lit("number").alias("found_by")), "direct")
-    docs = publications.select(F.col("id").alias("doc"), "claims")
+    docs = by_key(publications.select(F.col("id").alias("doc"), "claims"))
     chosen = direct
     if hits is not None:
-        open_ = requests.join(direct, "id", "left_anti").select("id", "claim")
-        likely = claim_likeness(open_.join(hits, "id").join(docs, F.col("hit") == F.col("doc")).select("id", "claim", "rank", "hit", "claims"))
+        open_ = requests.join(by_key(direct), "id", "left_anti").select("id", "claim")
+        likely = claim_likeness(open_.join(by_key(hits), "id").join(docs, F.col("hit") == F.col("doc")).select("id", "claim", "rank", "hit", "claims"))
         chosen = direct.unionByName(resolve.best_hit(likely).select("id", F.col("hit").alias("doc"), F.lit("search").alias("found_by")))
     told = requests.select("id", "claim").where("claim <> ''")
-    near = chosen.join(claim_likeness(chosen.join(told, "id").join(docs, "doc")).select("id", "sim"), "id", "left")
+    near = chosen.join(by_key(claim_likeness(chosen.join(by_key(told), "id").join(docs, "doc")).select("id", "sim")), "id", "left")
 
     signed = signs.select(F.col("id").alias("doc")).distinct().withColumn("signed", F.lit(True))
     if own is None:
-        own = chosen.join(publications.select(F.col("id").alias("doc"), (F.size("images") > 0).alias("pictured"), "family"), "doc").select("id", "pictured", "family")
-    owned = near.join(signed, "doc", "left").join(own, "id", "left").select("id", "doc", "found_by", "sim", "family", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("signed", "pictured")))
+        own = chosen.join(by_key(publications.select(F.col("id").alias("doc"), (F.size("images") > 0).alias("pictured"), "family")), "doc").select("id", "pictured", "family")
+    owned = near.join(by_key(signed), "doc", "left").join(by_key(own), "id", "left").select("id", "doc", "found_by", "sim", "family", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("signed", "pictured")))
     lacking = owned.where("NOT signed OR NOT pictured")
     members = _family(lacking)
-    members = members.withColumnRenamed("signed", "doc_signed").join(signed.withColumnRenamed("doc", "member"), "member", "left")
+    members = members.withColumnRenamed("signed", "doc_signed").join(by_key(signed.withColumnRenamed("doc", "member")), "member", "left")
     lender = members.where("NOT doc_signed AND signed AND (member LIKE 'JP%' OR member LIKE 'WO%')").groupBy("id").agg(F.min(F.struct("place", F.col("member").alias("sign_doc"))).alias("lender"))
-    with_images = members.where("NOT pictured").join(lender, "id", "left")
+    with_images = members.where("NOT pictured").join(by_key(lender), "id", "left")
     # What an image's codes are held against at each member: the signs found up to there, or else its own.
     against = F.when(F.col("doc_signed"), F.col("doc")).when(F.col("lender.place") <= F.col("place"), F.col("lender.sign_doc")).otherwise(F.col("member"))
     fitting = _fitting(with_images.select("id", "place", "member", against.alias("against")), publications, signs)
     image = fitting.groupBy("id").agg(F.min_by("member", "place").alias("member_image"))
-    out = owned.join(lender, "id", "left").join(image, "id", "left")
+    out = owned.join(by_key(lender), "id", "left").join(by_key(image), "id", "left")
     lent_ = lambda own, other, name: F.when(F.col(own), F.col("doc")).otherwise(F.col(other)).alias(name)
     return stored(out.select("id", "doc", "found_by", "sim", lent_("signed", "lender.sign_doc", "sign_doc"), lent_("pictured", "member_image", "image_doc")), "resolved")
 
@@ -99,13 +99,13 @@ def _fitting(rows: DataFrame, publications: DataFrame, signs: DataFrame) -> Data
     codes = F.array_distinct(F.flatten(F.transform("images", lambda i: F.transform(i["callouts"], lambda c: c["id"]))))
     read = publications.where(F.size("images") > 0).select(F.col("id").alias("member"), codes.alias("read"))
     table = signs.groupBy(F.col("id").alias("against")).agg(F.collect_set("code").alias("known"))  # the signs of one publication
-    both = rows.join(read, "member").join(table, "against", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    both = rows.join(by_key(read), "member").join(by_key(table), "against", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     return both.where((F.size("read") == 0) | (F.size("known") == 0) | (F.size(F.array_intersect("read", "known")) >= KNOWN * F.size("read")))
 
 
 def lent(found: DataFrame, table: DataFrame, source: str) -> DataFrame:
     """Rows of a table by publication (id, ...) as rows of the requests that use it: source names the column of found."""
-    return found.select("id", F.col(source).alias("of")).join(table.withColumnRenamed("id", "of"), "of").drop("of")
+    return found.select("id", F.col(source).alias("of")).where("of IS NOT NULL").join(by_key(table.withColumnRenamed("id", "of")), "of").drop("of")
 
 
 def merged_body(found: DataFrame, body: DataFrame) -> DataFrame:
@@ -141,10 +141,10 @@ def extra_components(claim: DataFrame, signs: DataFrame, components: DataFrame)
     components yet; of names that are one after normalising the first."""
     names = signs.select("id", "at", "name", text.norm(F.col("name")).alias("key")).where(F.length("key") >= 2)
     first = names.groupBy("id", "key").agg(F.min_by(F.struct("at", "name"), F.struct("at", "name")).alias("s"))
-    new = first.join(components.select("id", text.norm(F.col("comp")).alias("key")).distinct(), ["id", "key"], "left_anti")
+    new = first.join(by_key(components.select("id", text.norm(F.col("comp")).alias("key")).distinct()), ["id", "key"], "left_anti")
     flat = claim.select("id", text.norm(text.nfkc(F.col("claim"))).alias("flat"))
     quoted = F.concat(F.lit(f"(?<!{claims.NAME})\\Q"), F.replace("key", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return new.join(flat, "id").where(F.contains("flat", F.col("key")) & F.regexp("flat", quoted)).select("id", F.col("s.name").alias("comp"), F.col("s.at").alias("at"))
+    return new.join(by_key(flat), "id").where(F.contains("flat", F.col("key")) & F.regexp("flat", quoted)).select("id", F.col("s.name").alias("comp"), F.col("s.at").alias("at"))
 
 
 @dataclass
@@ -172,13 +172,13 @@ def legend_of(components: DataFrame, claim: DataFrame, signs: DataFrame, body: D
     links = resolve.link_with_fallback(every, signs, body, ("id",))
     linked = links.groupBy("id", "comp").agg(in_code_order(F.collect_set("code")).alias("codes"), F.array_sort(F.collect_set("name")).alias("names"), F.min("origin").alias("source"))
     none = F.array().cast("array<string>")
-    return every.join(linked, ["id", "comp"], "left").select("id", "place", "comp", F.coalesce("codes", none).alias("codes"), F.coalesce("names", none).alias("names"), F.coalesce("source", F.lit("")).alias("source"), "extra")
+    return every.join(by_key(linked), ["id", "comp"], "left").select("id", "place", "comp", F.coalesce("codes", none).alias("codes"), F.coalesce("names", none).alias("names"), F.coalesce("source", F.lit("")).alias("source"), "extra")
 
 
 def _hits(callouts: DataFrame, tokens: DataFrame | None, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What each page shows: (id, page, code, origin), and what was found before boxes were reconciled: (id, page, code, note)."""
     by = ("id",)
-    matched = lambda df: df.join(resolve.match_codes(df.select("id", F.col("label").alias("text")), known, by).select("id", F.col("text").alias("label"), "code"), ["id", "label"], "left")
+    matched = lambda df: df.join(by_key(resolve.match_codes(df.select("id", F.col("label").alias("text")), known, by).select("id", F.col("text").alias("label"), "code")), ["id", "label"], "left")
     # A page of the report is a page of one request: boxes meet on both.
     placed = lambda df: df.withColumn("page", F.struct("id", "page"))
     back = lambda df: df.select(F.col("page.id").alias("id"), F.col("page.page").alias("page"), F.col("label").alias("code"), "origin")
@@ -190,7 +190,7 @@ def _hits(callouts: DataFrame, tokens: DataFrame | None, known: DataFrame) -> tu
     read = read.where(F.col("sure") | F.col("label").rlike(f"^{text.CODE}$")).withColumns({"label": F.coalesce("code", "label"), "box_id": F.concat(F.lit("t"), F.col("box_id").cast("string"))})
     both = boxes.reconciled(placed(called.select("id", "page", "box_id", "label", *BOX)), placed(read.select("id", "page", "box_id", "label", *BOX)))
     doubtful = placed(read.where(~F.col("sure"))).select("page", "box_id")
-    hits = both.join(doubtful, ["page", "box_id"], "left_anti")
+    hits = both.join(by_key(doubtful), ["page", "box_id"], "left_anti")
     hits = stored(hits, "hits")
     added = back(hits.where(F.startswith("box_id", F.lit("t"))))
     return back(hits), seen.unionByName(added.select("id", "page", "code", F.lit("").alias("note")))
@@ -208,22 +208,22 @@ def report(components: DataFrame, claim: DataFrame, signs: DataFrame, body: Data
     hits, seen = _hits(callouts, tokens, known)
     labels = lambda rows: F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct("page", rows))), lambda x: x[rows]))
 
-    shown = hits.select("id", "page", "code").distinct().join(claimed, ["id", "code"]).join(pages, ["id", "page"])
+    shown = hits.select("id", "page", "code").distinct().join(by_key(claimed), ["id", "code"]).join(by_key(pages), ["id", "page"])
     figs = shown.groupBy("id", "comp").agg(labels("label").alias("figs"))
-    legend = legend.join(figs, ["id", "comp"], "left").select("id", "place", "comp", "codes", "names", "source", "extra", F.coalesce("figs", F.array().cast("array<string>")).alias("figs"))
+    legend = legend.join(by_key(figs), ["id", "comp"], "left").select("id", "place", "comp", "codes", "names", "source", "extra", F.coalesce("figs", F.array().cast("array<string>")).alias("figs"))
 
     marks = claimed.select("id", "code").distinct().withColumn("claimed", F.lit(True))
-    of_page = hits.join(marks, ["id", "code"], "left").groupBy("id", "page").agg(
+    of_page = hits.join(by_key(marks), ["id", "code"], "left").groupBy("id", "page").agg(
         in_code_order(F.collect_set("code")).alias("codes"), in_code_order(F.collect_set(F.when(F.col("claimed"), F.col("code")))).alias("claim_codes"),
         F.count_if(F.col("origin") == "callout").alias("n_callouts"), F.count_if(F.col("origin") == "token").alias("n_tokens"),
     )
     none = F.array().cast("array<string>")
-    figures = pages.join(of_page, ["id", "page"], "left").select("id", "page", "label", *(F.coalesce(c, none).alias(c) for c in ("codes", "claim_codes")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_callouts", "n_tokens")))
+    figures = pages.join(by_key(of_page), ["id", "page"], "left").select("id", "page", "label", *(F.coalesce(c, none).alias(c) for c in ("codes", "claim_codes")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_callouts", "n_tokens")))
 
-    strange = seen.join(signs.select("id", "code").distinct(), ["id", "code"], "left_anti").join(pages, ["id", "page"])
+    strange = seen.join(by_key(signs.select("id", "code").distinct()), ["id", "code"], "left_anti").join(by_key(pages), ["id", "page"])
     unknown = strange.groupBy("id", "code").agg(F.min_by("note", F.struct("page", "note")).alias("note"), labels("label").alias("figs"))
-    unknown = unknown.join(body.select("id", "code", F.col("name").alias("body_name")), ["id", "code"], "left").select("id", "code", "note", F.coalesce("body_name", F.lit("")).alias("body_name"), "figs")
-    others = signs.select("id", "code", "name").join(marks, ["id", "code"], "left_anti")
+    unknown = unknown.join(by_key(body.select("id", "code", F.col("name").alias("body_name"))), ["id", "code"], "left").select("id", "code", "note", F.coalesce("body_name", F.lit("")).alias("body_name"), "figs")
+    others = signs.select("id", "code", "name").join(by_key(marks), ["id", "code"], "left_anti")
     return Report(legend, figures, unknown, others)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.session import by_key, stored
 
 
 def link_names(components: DataFrame, signs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -16,18 +17,18 @@ def link_names(components: DataFrame, signs: DataFrame, by: tuple[str, ...] = ()
     plain = lambda c: text.nfkc(F.col(c))
     left = components.select(*by, "comp", plain("comp").alias("plain_comp")).distinct().withColumn("stem", stem("plain_comp")).where("stem <> ''")
     lengths = left.groupBy(*by).agg(F.collect_set(F.length("stem")).alias("lengths"))
-    met = signs.select(*by, "code", "name").join(lengths, list(by)) if by else signs.select("code", "name").crossJoin(F.broadcast(lengths))
+    met = signs.select(*by, "code", "name").join(by_key(lengths), list(by)) if by else signs.select("code", "name").crossJoin(F.broadcast(lengths))
     ends = F.transform(F.filter("lengths", lambda n: n <= F.length("whole")), lambda n: F.right(F.col("whole"), n))
     right = met.withColumn("plain_name", plain("name")).withColumn("whole", stem("plain_name")).select(*by, "code", "name", "plain_name", F.explode(ends).alias("stem"))
-    scored = left.join(right, [*by, "stem"]).select(*by, "comp", "code", "name", text.name_match(F.col("plain_comp"), F.col("plain_name")).alias("score")).where("score > 0").distinct()
+    scored = left.join(by_key(right) if by else right, [*by, "stem"]).select(*by, "comp", "code", "name", text.name_match(F.col("plain_comp"), F.col("plain_name")).alias("score")).where("score > 0").distinct()
     w = Window.partitionBy(*by, "comp").orderBy(F.desc("score"))
     return scored.withColumn("r", F.rank().over(w)).where("r = 1").drop("r")
 
 
 def link_with_fallback(components: DataFrame, signs: DataFrame, body: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Links by the sign table, and by the body table for components without any."""
-    first = link_names(components, signs, by).withColumn("origin", F.lit("signs"))
-    rest = components.select(*by, "comp").distinct().join(first, [*by, "comp"], "left_anti")
+    first = stored(link_names(components, signs, by).withColumn("origin", F.lit("signs")), "links")  # used twice
+    rest = components.select(*by, "comp").distinct().join(by_key(first), [*by, "comp"], "left_anti")
     return first.unionByName(link_names(rest, body, by).withColumn("origin", F.lit("body")))
 
 
@@ -42,6 +43,7 @@ def match_codes(read: DataFrame, known: DataFrame, by: tuple[str, ...] = ()) ->
     t = read.select(*by, "text").distinct().withColumns({"exact_key": F.col("text"), "lower_key": F.lower("text"), "fold_key": F.when(F.length("text") >= 2, text.folded(F.col("text")))})
     exact = codes.select(*by, F.col("code").alias("exact_key"), F.col("code").alias("exact"))
     lower, folded = only("lower", F.lower("code")).drop("hits"), only("fold", text.folded(F.col("code"))).where("hits = 1").drop("hits")
+    exact, lower, folded = (by_key(df) if by else df for df in (exact, lower, folded))
     m = t.join(exact, [*by, "exact_key"], "left").join(lower, [*by, "lower_key"], "left").join(folded, [*by, "fold_key"], "left")
     tier = F.when(F.col("exact").isNotNull(), 1).when(F.col("lower").isNotNull(), 2).when(F.col("fold").isNotNull(), 3)
     return m.select(*by, "text", F.coalesce("exact", "lower", "fold").alias("code"), tier.alias("tier")).where("code IS NOT NULL")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from factloom import model
 from factloom.functions import text
@@ -13,6 +14,18 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def broadcast(spark, run) -> list[str]:
+    """The plans with broadcasts among those that run by its end, of the session's own record of them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    plans = [runs.apply(k).physicalPlanDescription() for k in range(before, runs.size())]
+    assert plans and all("Scan parquet" in p for p in plans)
+    return [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_parts_follow_the_rows(spark, sf_dir):
     assert model.parts(spark, sf_dir, "lineitem", 100) == model.table(spark, sf_dir, "lineitem").count() // 100 + 1
     assert model.parts(spark, sf_dir, "region") == spark.sparkContext.defaultParallelism
@@ -55,3 +68,9 @@ def test_pages_without_neighbours_stay_as_they_are(spark):
     rows = [(p, n, "7", x, 0, x + 8, 10) for p in range(300) for n, x in enumerate((0, 9) if p % 3 == 0 else (0, 30))]
     got = boxes.joined_tokens(spark.createDataFrame(rows, "page int, box_id int, label string, x0 int, y0 int, x1 int, y1 int").repartition(1), text.CODE).collect()
     assert sorted((r.page, r.label) for r in got) == sorted((p, x) for p in range(300) for x in (["77"] if p % 3 == 0 else ["7", "7"]))
+
+
+@pytest.mark.parametrize("name", ["drawing_legend", "document_resolution"])
+def test_drawings_send_no_table_through_the_driver(spark, sf_dir, name):
+    """Small files are no reason to broadcast: every join of a drawing deals its rows by key, in the tables written between too."""
+    assert not broadcast(spark, lambda: registry.QUERIES[name](spark, sf_dir).collect())
