@@ -46,6 +46,8 @@ from factloom.llm.textnp import column
 START, END, LINE, SPEAKER = "<|im_start|>", "<|im_end|>", "\n", "assistant"
 #: Characters of new turns and conversations in one block.
 BLOCK, LEAVES = 1 << 18, 2000
+#: Blocks that a reader of the stored table holds at once.
+HELD = 8
 
 _MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -206,7 +208,7 @@ def op11_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = f"{END}{START}{SPEAKER} ok"
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, SPEAKER, text)], "conv_id long, turn long, role string, text string")
-    back = unpacked(stored(packed(rows.unionByName(more)), "chat"))
+    back = unpacked(stored(packed(rows.unionByName(more)), "chat", HELD))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss", "")
     return back.select(

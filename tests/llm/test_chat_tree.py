@@ -1,11 +1,13 @@
 import hashlib
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from factloom.llm import chat_tree, queries
+from factloom.llm.shared import stored
 from tests.llm import brute
 
 SCHEMA = "conv_id long, turn long, role string, text string, id string, node int, path string"
@@ -100,3 +102,13 @@ def test_op11_has_the_marked_conversation(spark, sf_dir):
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert (row.n_turns, row.loss_chars, row.loss_sha256, row.turns_sha256) == (2, len(text), digest(text), digest(f"user\n{text}\nassistant\n{text}\n"))
     assert brute.counted(queries.op11_chat_tree(spark, sf_dir).select("conv_id").distinct().collect()).total() == queries.op11_chat_tree(spark, sf_dir).count()
+
+
+def test_few_blocks_are_read_at_once(spark):
+    """A reader takes a row group into memory, so a group holds a few blocks, however many a task writes."""
+    rows = spark.createDataFrame([(i, 0, "user", f"{i} " * 50) for i in range(300)], "conv_id long, turn long, role string, text string").coalesce(1)
+    table = stored(chat_tree.packed(rows, block=1000), "chat", chat_tree.HELD)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) > 5 * chat_tree.HELD and max(groups) <= chat_tree.HELD
+    assert chat_tree.unpacked(table).count() == 300
