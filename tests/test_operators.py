@@ -1,6 +1,9 @@
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +294,49 @@ def test_equal_vectors_in_blocks(spark):
         got = sorted((r.id, r.other, r.same) for r in similarity.vector_matches(v.where("id < 4"), v.where("id < 5"), 0.5, block=block).collect())
         assert got == [(1, 2, False), (1, 3, True), (2, 1, False), (2, 3, False), (3, 1, True), (3, 2, False)]
     assert similarity.vector_matches(v.where("id = 1"), v.where("id = 5"), 0.5).count() == 1
+
+
+def test_vectors_of_lists(spark):
+    """Lists with repeats, nulls and an id twice, in one block and in many, equal rows too many for one: the numbers of `weights`."""
+    rng = random.Random(4)
+    lists = [(i, [f"t{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.randint(1, 20))]) for i in range(60)]
+    lists += [(100 + i, ["all", "same", "same"]) for i in range(50)] + [(3, ["again", "t1", None]), (200, []), (201, None), (202, [None])]
+    terms = [(i, t) for i, x in lists for t in x or () if t is not None]
+    expected = {(r.id, r.term): round(r.w, 12) for r in similarity.weights(spark.createDataFrame(terms, "id long, term string")).collect()}
+    for rows, schema in ((lists, "id long, terms array<string>"), (terms, "id long, term string")):
+        for budget in (10, 10_000):
+            got = similarity.vectors(spark.createDataFrame(rows, schema), budget=budget).collect()
+            found = {(r.id, t): round(w, 12) for r in got for t, w in zip(r.terms, r.ws, strict=True)}
+            assert found == expected and len(got) == len({i for i, _ in terms}) and all(r.terms == sorted(r.terms) for r in got)
+
+
+def test_terms_are_not_dealt_one_by_one(spark):
+    """Rows go out whole, and no exchange has a row for each term of each text but the one that a block asks with."""
+    v = similarity.vectors(spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "id long, terms array<string>"))
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(block" in plan and "BroadcastHashJoin [term" not in plan
+
+
+@pytest.mark.parametrize("rows, entries", [(64, 1 << 20), (640, 300), (1 << 18, 1 << 20)])
+def test_rows_without_a_heavy_term_are_passed_over(rows, entries):
+    """Whatever the sizes of the chunks, the best of all pairs, ties by id; a query with near rows looks at few of the others."""
+    rng = np.random.default_rng(3)
+    sets = [{0, *rng.integers(1, 30, rng.integers(1, 6)).tolist()} for _ in range(300)] + [{0, 50, 51}] * 9
+    w = [np.array([0.2 if t == 0 else 1.0 for t in sorted(x)]) for x in sets]
+    ws = [(x / np.sqrt((x * x).sum())).tolist() for x in w]
+    table = pa.table({"id": list(range(len(sets))), "terms": [[f"{t:02}" for t in sorted(x)] for x in sets], "ws": ws, "h": [hash(tuple(sorted(x))) for x in sets], "g": [0] * len(sets)})
+    asked, vocabulary = [3, 77, 300], pa.array([f"{t:02}" for t in range(60)])
+    heavy = [sorted(zip(sorted(sets[q]), ws[q], strict=True), key=lambda x: -x[1]) for q in asked]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in heavy])]).tolist()
+    block = SimpleNamespace(value=(pa.array(asked), vocabulary, starts, [t for x in heavy for t, _ in x], np.array([v for x in heavy for _, v in x])))
+    dense = np.zeros((len(sets), 60))
+    for i, x in enumerate(sets):
+        dense[i, sorted(x)] = ws[i]
+    sims = dense @ dense[asked].T
+    expected = [(q, i) for k, q in enumerate(asked) for i in sorted(range(len(sets)), key=lambda i: (-round(sims[i, k], 9), i))[:6]]
+    got = pa.Table.from_batches(similarity._best_in(block, 6, 9, rows, entries)(iter(table.to_batches(max_chunksize=50))))
+    assert list(zip(got["q"].to_pylist(), got["other"].to_pylist(), strict=True)) == expected
+    chunk, (a, b) = similarity._Chunk(table, vocabulary, 6), starts[2:4]
+    places, v = block.value[3][a:b], block.value[4][a:b]
+    found, _ = chunk.hits(places, v, np.sqrt(np.cumsum((v**2)[::-1])[::-1]), 0.9, 6, 1e-9)
+    assert len(found) == 1 and len(chunk.starts) < len(sets)  # the nine equal ones are one row
