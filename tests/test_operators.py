@@ -340,3 +340,10 @@ def test_rows_without_a_heavy_term_are_passed_over(rows, entries):
     places, v = block.value[3][a:b], block.value[4][a:b]
     found, _ = chunk.hits(places, v, np.sqrt(np.cumsum((v**2)[::-1])[::-1]), 0.9, 6, 1e-9)
     assert len(found) == 1 and len(chunk.starts) < len(sets)  # the nine equal ones are one row
+
+
+def test_lists_of_grains(spark):
+    rows = spark.createDataFrame([(1, "a", "r", "b"), (1, "a", "r", "b"), (1, "b", "s", "a"), (2, "a", "r", "c")], "id long, source string, relation string, target string")
+    expected = sorted((r.id, f"{r.grain}:{r.term}") for r in similarity.grains(rows).collect())
+    assert sorted((r.id, t) for r in similarity.grain_lists(rows).collect() for t in r.terms) == expected
+    assert similarity.grain_lists(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
