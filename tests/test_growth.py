@@ -70,7 +70,7 @@ def test_pages_without_neighbours_stay_as_they_are(spark):
     assert sorted((r.page, r.label) for r in got) == sorted((p, x) for p in range(300) for x in (["77"] if p % 3 == 0 else ["7", "7"]))
 
 
-@pytest.mark.parametrize("name", ["drawing_legend", "document_resolution"])
+@pytest.mark.parametrize("name", ["drawing_legend", "drawing_figures", "drawing_unknown_and_others", "document_resolution"])
 def test_drawings_send_no_table_through_the_driver(spark, sf_dir, name):
     """Small files are no reason to broadcast: every join of a drawing deals its rows by key, in the tables written between too."""
     assert not broadcast(spark, lambda: registry.QUERIES[name](spark, sf_dir).collect())
